@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
+from attesta.session import cut_lineage
 
 
 def exact_duplicates(sources: DataFrame) -> DataFrame:
@@ -66,12 +67,19 @@ def repeated_line_filter(lines: DataFrame) -> DataFrame:
 
 
 def shingle_array(text: Column) -> Column:
-    """Sampled five-word shingles of a text as a set of 32-bit checksums."""
+    """Sampled five-word shingles of a text as a set of 32-bit checksums.
+
+    The word list is bound once as a lambda variable; naming it inside the inner lambda would split the text again for
+    every shingle.
+    """
     k = fixed.SHINGLE_WORDS
-    words = F.split(X.normalize_text(text), " ")
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    sums = F.transform(starts, lambda i: F.crc32(F.array_join(F.slice(words, i, F.lit(k)), " ")))
-    return F.array_distinct(F.filter(sums, lambda h: h % fixed.SHINGLE_MODULUS == 0))
+
+    def sums(words: Column) -> Column:
+        starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.crc32(F.array_join(F.slice(words, i, F.lit(k)), " ")))
+
+    all_sums = F.flatten(F.transform(F.array(F.split(X.normalize_text(text), " ")), sums))
+    return F.array_distinct(F.filter(all_sums, lambda h: h % fixed.SHINGLE_MODULUS == 0))
 
 
 def shingle_sets(sources: DataFrame) -> DataFrame:
@@ -152,9 +160,11 @@ def near_duplicates(sets: DataFrame) -> DataFrame:
     """(case_id, source_id, near_duplicate_of, similarity) of every near copy.
 
     First each source is held against the best-ranked holder of each of its shingles; sources found to be copies are
-    no longer candidates. The rest is matched exactly with each other.
+    no longer candidates. The rest is matched exactly with each other. The shingle sets feed six joins, so they are
+    checkpointed once instead of being computed from the texts each time.
     """
-    first = _best_original(measure_pairs(leader_pairs(sets), sets))
+    sets = cut_lineage(sets)
+    first = cut_lineage(_best_original(measure_pairs(leader_pairs(sets), sets)))
     rest = sets.join(first, ["case_id", "source_id"], "left_anti")
     second = _best_original(_both_ways(measure_pairs(_prefix_pairs(rest), rest)))
     return first.unionByName(second)

@@ -44,11 +44,14 @@ def compare(spark, con, name, query, sql, directory):
     took = time.time() - t
     if sql is None:
         return None, len(got), took
+    t2 = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}", len(got), took
+    if time.time() - t2 > 3:
+        print(f"    (checking SQL took {time.time() - t2:.1f}s)")
     a, b = _rows(df.columns, got), _rows(names, want)
     if a == b:
         return None, len(got), took
