@@ -114,33 +114,37 @@ def mean_vectors(vectors: DataFrame, *keys: str) -> DataFrame:
 
 
 def lsa_vectors(passages: DataFrame, dimensions: int = 120, min_passages: int = 1) -> DataFrame:
-    """Dense passage vectors from sublinear TF-IDF and a truncated SVD computed on the cluster, unit length."""
+    """Dense passage vectors from sublinear TF-IDF and a truncated SVD computed on the cluster, unit length.
+
+    Rows stay sparse; the driver only holds the term weights and the term-by-dimension matrix, whose height is the
+    vocabulary and not the number of passages.
+    """
     from pyspark.ml.feature import IDF, CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import DenseMatrix as MlMatrix  # noqa: F401  (keeps the ml types registered)
-    from pyspark.mllib.linalg import Vectors as OldVectors
+    from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     tokens = passages.select("passage_id", X.tokenize(F.col("text")).alias("tk")).where(F.size("tk") > 0)
-    counted = CountVectorizer(inputCol="tk", outputCol="tf", minDF=float(min_passages)).fit(tokens)
-    weights = IDF(inputCol="tf", outputCol="unused").fit(counted.transform(tokens)).idf
-    rows = counted.transform(tokens).select("passage_id", "tf")
-    idf = F.broadcast(passages.sparkSession.createDataFrame([(weights.toArray().tolist(),)], "idf array<double>"))
-    dense = rows.select("passage_id", vector_to_array("tf").alias("tf")).join(idf, how="cross").select(
-        "passage_id", F.zip_with("tf", "idf", lambda c, w: F.when(c > 0, (1 + F.log(c)) * (w + 1)).otherwise(0.0)).alias("v"))
-    matrix = RowMatrix(dense.rdd.map(lambda r: OldVectors.dense(r["v"])))
-    k = max(2, min(dimensions, matrix.numCols() - 1))
-    v = matrix.computeSVD(k).V.toArray()
-    names = passages.sparkSession.sparkContext.broadcast(v)
+    counter = CountVectorizer(inputCol="tk", outputCol="tf", minDF=float(min_passages)).fit(tokens)
+    counted = counter.transform(tokens)
+    idf = IDF(inputCol="tf", outputCol="unused").fit(counted).idf.toArray().tolist()
+    spark, terms = passages.sparkSession, len(idf)
+    weight_row = F.broadcast(spark.createDataFrame([(idf,)], "idf array<double>"))
+    cell = F.unwrap_udt("tf")
+    weight = lambda i, c: (1 + F.log(c)) * (F.get(F.col("idf"), i) + 1)
+    sparse = counted.select("passage_id", cell.alias("c")).crossJoin(weight_row).select(
+        "passage_id", F.col("c.indices").alias("i"), F.zip_with("c.indices", "c.values", weight).alias("w")).where(F.size("i") > 0)
+    matrix = RowMatrix(sparse.rdd.map(lambda r: Vectors.sparse(terms, r["i"], r["w"])))
+    basis = spark.sparkContext.broadcast(matrix.computeSVD(max(2, min(dimensions, terms - 1))).V.toArray())
 
     def project(batches):
         import numpy as np
+
         for batch in batches:
-            z = np.vstack(batch["v"].to_list()) @ names.value
+            z = np.array([np.asarray(w) @ basis.value[np.asarray(i)] for i, w in zip(batch["i"], batch["w"])])
             z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-9
             yield pd.DataFrame({"passage_id": batch["passage_id"], "vector": list(z)})
 
-    return dense.mapInPandas(project, "passage_id string, vector array<double>")
+    return sparse.mapInPandas(project, "passage_id string, vector array<double>")
 
 
 # ------------------------------------------------------------------------------------------------ fusion
