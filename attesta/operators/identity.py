@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
 from attesta.operators.ranking import top_k
-from attesta.sources.tables import lookup
+from attesta.sources.tables import dimension
 
 WORDS = r"[\p{L}\p{N}]+"
 EMPTY = F.array
@@ -231,24 +231,23 @@ def query_templates(terms: DataFrame, pages: int = 2) -> DataFrame:
                      F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("page"))
 
 
-def _language_word(lang: Column, position: int) -> Column:
-    return lookup(lang, [(row[0], row[position]) for row in fixed.LANGUAGE_WORDS])
-
-
 def place_facts(terms: DataFrame) -> DataFrame:
-    """Adds language, official domain, warning systems, place words, hazard and the local words of each case."""
-    code = F.col("country")
-    systems = [(c, " OR ".join(f'"{s}"' if " " in s else s for s in names[:3])) for c, _, _, _, names in fixed.COUNTRIES]
-    place = X.place_words(F.col("location"), code)
-    df = terms.withColumn("lang", lookup(code, [(c, lang) for c, _, lang, *_ in fixed.COUNTRIES])).withColumn(
-        "site", lookup(code, [(c, site) for c, _, _, site, _ in fixed.COUNTRIES])).withColumn("systems", lookup(code, systems)).withColumn(
-        "place", F.when(place == "", F.col("name")).otherwise(place)).withColumn(
+    """Adds language, official domain, warning systems, place words, hazard and the local words of each case.
+
+    The word tables have a fixed size and are broadcast; as literals they would outgrow one generated method.
+    """
+    spark = terms.sparkSession
+    countries = dimension(spark, [
+        (c, lang, site, " OR ".join(f'"{s}"' if " " in s else s for s in systems[:3])) for c, _, lang, site, systems in fixed.COUNTRIES
+    ], "country string, lang string, site string, systems string")
+    words = dimension(spark, fixed.LANGUAGE_WORDS, "lang string, disaster string, warning string, report string, inquiry string")
+    hazards = dimension(spark, fixed.LANGUAGE_HAZARDS, "lang string, hazard string, local_word string")
+    place = X.place_words(F.col("location"), F.col("country"))
+    df = terms.withColumn("place", place).withColumn("place", F.when(F.col("place") == "", F.col("name")).otherwise(F.col("place"))).withColumn(
         "yr", F.coalesce(F.concat(F.lit(" "), F.get("years", 0)), F.lit(""))).withColumn(
         "hazard", F.coalesce(X.hazard_of(F.col("name")), X.hazard_of(F.col("location"))))
-    local = lookup(F.concat_ws("/", "lang", "hazard"), [(f"{lang}/{h}", w) for lang, h, w in fixed.LANGUAGE_HAZARDS])
-    return df.withColumn("warning", _language_word(F.col("lang"), 2)).withColumn("report", _language_word(F.col("lang"), 3)).withColumn(
-        "inquiry", _language_word(F.col("lang"), 4)).withColumn(
-        "local_hazard", F.coalesce(local, _language_word(F.col("lang"), 1)))
+    return df.join(countries, "country", "left").join(words, "lang", "left").join(hazards, ["lang", "hazard"], "left").withColumn(
+        "local_hazard", F.coalesce("local_word", "disaster")).drop("local_word", "disaster")
 
 
 def localized_queries(terms: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,7 +134,8 @@ def lsa_vectors(passages: DataFrame, dimensions: int = 120, min_passages: int =
     weight = lambda i, c: (1 + F.log(c)) * (F.get(F.col("idf"), i) + 1)
     sparse = counted.select("passage_id", cell.alias("c")).crossJoin(weight_row).select(
         "passage_id", F.col("c.indices").alias("i"), F.zip_with("c.indices", "c.values", weight).alias("w")).where(F.size("i") > 0)
-    matrix = RowMatrix(sparse.rdd.map(lambda r: Vectors.sparse(terms, r["i"], r["w"])))
+    # the solver visits the rows once per iteration, so they are kept; a lost block is rebuilt from its lineage
+    matrix = RowMatrix(sparse.rdd.map(lambda r: Vectors.sparse(terms, r["i"], r["w"])).persist(StorageLevel.MEMORY_AND_DISK))
     basis = spark.sparkContext.broadcast(matrix.computeSVD(max(2, min(dimensions, terms - 1))).V.toArray())
 
     def project(batches):

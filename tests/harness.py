@@ -55,8 +55,9 @@ def compare(spark, con, name, query, sql, directory):
     a, b = _rows(df.columns, got), _rows(names, want)
     if a == b:
         return None, len(got), took
-    only_a = [x for x in a if x not in set(b)][:2]
-    only_b = [x for x in b if x not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a = [x for x in a if x not in in_b][:2]
+    only_b = [x for x in b if x not in in_a][:2]
     cols = sorted(names)
     fmt = lambda x: {c: (v[0], v[1][:160]) for c, v in zip(cols, x)}
     return f"rows {len(a)} vs {len(b)}\n   spark: {[fmt(x) for x in only_a]}\n   check: {[fmt(x) for x in only_b]}", len(got), took
