@@ -95,14 +95,18 @@ def trim_quote(c: Column) -> Column:
     return F.regexp_replace(c, r"^[ .\"']+|[ .\"']+$", "")
 
 
-def quote_in_passage(quote: Column, passage: Column) -> Column:
-    """The quote, or every piece of it around an ellipsis, occurs word for word in the passage."""
-    q, t = trim_quote(normalize_quote(quote)), normalize_quote(passage)
+def quote_found(q: Column, t: Column) -> Column:
+    """A prepared quote, or every piece of it around an ellipsis, occurs in the prepared passage."""
     pieces = F.filter(F.transform(F.split(q, r"\s*(?:\.\.\.|…)\s*"), trim_quote), lambda p: p != "")
     joined = (F.size(pieces) > 1) & F.forall(pieces, lambda p: (F.length(p) >= 6) & F.contains(t, p))
     return (q != "") & (F.contains(t, q) | joined)
 
 
+def quote_in_passage(quote: Column, passage: Column) -> Column:
+    """The quote occurs word for word in the passage, quotation marks, dashes, blanks and case aside."""
+    return quote_found(trim_quote(normalize_quote(quote)), normalize_quote(passage))
+
+
 def special_missing_form(c: Column) -> Column:
     """'-9.0' and ' -9 ' become '-9'; anything else is null."""
     code = F.regexp_extract(F.trim(c), r"^(-\d+)(?:\.0+)?$", 1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
+from attesta.session import cut_lineage
 from attesta.sources.tables import dimension
 
 _STRINGS = "array<string>"
@@ -30,13 +31,14 @@ def check_citations(citations: DataFrame, passages: DataFrame) -> DataFrame:
     """
     c = citations.withColumn("passage_id", F.trim("passage_id")).withColumn("quote", F.trim("quote"))
     joined = c.join(passages.select("case_id", "passage_id", "text"), ["case_id", "passage_id"], "left")
+    joined = joined.withColumns({"_q": X.trim_quote(X.normalize_quote(F.col("quote"))), "_t": X.normalize_quote(F.col("text"))})
     length = F.length("quote")
     reason = (
         F.when(F.col("text").isNull(), "evidence_id_not_supplied")
         .when((length < fixed.QUOTE_MIN) | (length > fixed.QUOTE_MAX), "quote_invalid_length")
-        .when(~X.quote_in_passage(F.col("quote"), F.col("text")), "quote_not_found")
+        .when(~X.quote_found(F.col("_q"), F.col("_t")), "quote_not_found")
     )
-    return joined.withColumn("reason", reason).drop("text")
+    return joined.withColumn("reason", reason).drop("text", "_q", "_t")
 
 
 def citation_facts(checked: DataFrame) -> DataFrame:
@@ -231,24 +233,34 @@ def selection_verdicts(validated: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------ alternatives, status
-def validate_alternatives(alternatives: DataFrame, citations: DataFrame, passages: DataFrame, fields: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Alternatives that hold as values of their own, without the chosen value and without repeats.
+def alternative_verdicts(alternatives: DataFrame, citations: DataFrame, passages: DataFrame, fields: DataFrame) -> DataFrame:
+    """(alt_id, item_id, ord, kept): the codebook spelling of alternatives that hold as values, null for the others.
 
-    ``alternatives``: alt_id, item_id, case_id, variable, ord, value; ``citations`` use alt_id as item_id.
+    ``alternatives``: alt_id, item_id, case_id, variable, ord, value; ``citations`` use alt_id as item_id. The result is
+    checkpointed: it is a few columns wide and is read by both the kept and the rejected side.
     """
     blank = F.lit(None).cast("string")
     items = alternatives.select(F.col("alt_id").alias("item_id"), "case_id", "variable", "value", blank.alias("evidence_status"),
                                 blank.alias("rationale"))
     no_options = items.select("item_id", F.lit(0).alias("ord"), blank.alias("code")).where("false")
-    held = item_verdicts(validate_items(prepare_items(items, citations, no_options, passages, fields))).where(
-        "ok AND outcome = 'valid' AND value <> ''").select(F.col("item_id").alias("alt_id"), F.col("value").alias("kept"))
-    rows = alternatives.select("alt_id", "item_id", "ord").join(held, "alt_id").join(
-        chosen.select("item_id", F.upper(F.coalesce("value", F.lit(""))).alias("chosen")), "item_id")
+    verdicts = item_verdicts(validate_items(prepare_items(items, citations, no_options, passages, fields))).select(
+        F.col("item_id").alias("alt_id"), F.when(F.expr("ok AND outcome = 'valid' AND value <> ''"), F.col("value")).alias("kept"))
+    return cut_lineage(alternatives.select("alt_id", "item_id", "ord").join(verdicts, "alt_id"))
+
+
+def validate_alternatives(verdicts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Kept alternatives without the chosen value and without repeats."""
+    rows = verdicts.where("kept IS NOT NULL").join(chosen.select("item_id", F.upper(F.coalesce("value", F.lit(""))).alias("chosen")), "item_id")
     fresh = rows.where(F.upper("kept") != F.col("chosen"))
     return fresh.groupBy("item_id", F.upper("kept").alias("up")).agg(F.min(F.struct("ord", "kept")).alias("f")).select(
         "item_id", F.col("f.ord").alias("ord"), F.col("f.kept").alias("value"))
 
 
+def alternative_counts(verdicts: DataFrame, kept: DataFrame) -> DataFrame:
+    rejected = verdicts.groupBy("item_id").agg(F.count_if(F.col("kept").isNull()).alias("n_rejected"))
+    return rejected.join(kept.groupBy("item_id").agg(F.count("*").alias("n_kept")), "item_id", "left")
+
+
 def resolve_status(validated: DataFrame, alternatives: DataFrame) -> DataFrame:
     """Combine the validator's verdict with the reported evidence status.
 

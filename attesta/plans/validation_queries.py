@@ -9,6 +9,7 @@ from attesta.functions import text as X
 from attesta.operators import validation as V
 from attesta.plans.registry import query, with_tables
 from attesta.plans.text_queries import SQL_QUOTE, SQL_SPLIT, quoted
+from attesta.session import cut_lineage
 from attesta.sources.tables import dimension, values_sql
 
 # variable, number, type, multi, rule missing, banded, codes, labels, missing codes, options
@@ -277,10 +278,12 @@ def alternatives(t):
     return _proj(rows, ALT_COLUMNS), _proj(rows, ALT_CITES)
 
 
-def kept_alternatives(t, validated):
-    alts, cites = alternatives(t)
-    chosen = V.item_verdicts(validated)
-    return alts, V.validate_alternatives(alts, cites, case_passages(t), codebook(t), chosen)
+VERDICT_COLUMNS = ["item_id", "es", "value", "status", "rule_unclear", "counter", "verdict"]
+
+
+def stored_verdicts(t):
+    """Validated items as they would be stored: the columns later steps need."""
+    return cut_lineage(V.validate_items(prepared(t)).select(*VERDICT_COLUMNS))
 
 
 SQL_ALT = (f"alts AS (SELECT {_sel(ALT_COLUMNS)} FROM six WHERE {ALT_FILTER}), acites AS (SELECT {_sel(ALT_CITES)} FROM six WHERE {ALT_FILTER}), "
@@ -291,7 +294,9 @@ akept AS (SELECT item_id, kept AS value, min(ord) AS ord FROM aok WHERE upper(ke
 
 @query("validate_alternatives", LADDER.rstrip() + f", {SQL_ALT} SELECT item_id, ord, value FROM akept")
 def _(t):
-    return kept_alternatives(t, V.validate_items(prepared(t)))[1]
+    alts, cites = alternatives(t)
+    chosen = V.validate_items(prepared(t)).select("item_id", "verdict.value")
+    return V.validate_alternatives(V.alternative_verdicts(alts, cites, case_passages(t), codebook(t)), chosen)
 
 
 @query("resolve_status", LADDER.rstrip() + f""", {SQL_ALT},
@@ -310,14 +315,11 @@ SELECT item_id, CASE WHEN NOT rok THEN 'validation_failed' WHEN silent THEN 'sug
   CASE WHEN rok AND es = 'AMBIGUOUS' AND nk = 0 AND n_options < 2 THEN 'ambiguous_without_alternatives' END, CASE WHEN rok AND es = 'CONFLICTING' AND nk = 0 AND counter = 0 THEN 'conflicting_without_counter_evidence' END,
   CASE WHEN rok AND es IN ('SUPPORTED', 'INFERRED') AND rv = '' THEN 'status_without_value' END], lambda c: c IS NOT NULL), ',') AS codes, rok AND es <> '' AS complete FROM r3""")
 def _(t):
-    validated = V.validate_items(prepared(t))
-    alts, kept = kept_alternatives(t, validated)
-    held = V.item_verdicts(V.validate_items(V.prepare_items(
-        alts.select(F.col("alt_id").alias("item_id"), "case_id", "variable", "value", F.lit("").alias("evidence_status"), F.lit("").alias("rationale")),
-        alternatives(t)[1], options(t).where("false"), case_passages(t), codebook(t)))).where("NOT (ok AND outcome = 'valid' AND value <> '')")
-    lost = alts.join(held.select(F.col("item_id").alias("alt_id")), "alt_id").groupBy("item_id").agg(F.count("*").alias("n_rejected"))
-    counts = kept.groupBy("item_id").agg(F.count("*").alias("n_kept")).join(lost, "item_id", "full_outer")
-    return V.resolve_status(validated, counts)
+    validated = stored_verdicts(t)
+    alts, cites = alternatives(t)
+    verdicts = V.alternative_verdicts(alts, cites, case_passages(t), codebook(t))
+    kept = V.validate_alternatives(verdicts, validated.select("item_id", "verdict.value"))
+    return V.resolve_status(validated, V.alternative_counts(verdicts, kept))
 
 
 @query("derived_validation_status", with_tables("res") + f"""
