@@ -269,16 +269,17 @@ def coder_vs_human(latest: DataFrame, reviews: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ values in use
 def display_rows(pair: DataFrame) -> DataFrame:
     """One neutral row per variable: a single coder's result, or the combined view of two; with the comparison if any."""
-    two = combined_view(pair).select(*KEY, "value", "status", "n_counter", F.lit(None).cast("string").alias("reason"))
+    two = combined_view(pair).select(*KEY, "value", "status", "n_counter", "evidence_sources")
     review = lambda r: r["review_reason"]
     flagged = both_compared(pair).select(*KEY, F.concat_ws("; ", F.when(review(F.col("a")) != "", review(F.col("a"))), F.when(review(F.col("b")) != "", review(F.col("b")))).alias("why"))
     compared = compare_pair(pair).select(*KEY, "comparison", comparison_kind(F.col("a"), F.col("b")).alias("kind"), "same_value")
-    two = two.drop("reason").join(flagged, KEY).join(compared, KEY)
+    two = two.join(flagged, KEY).join(compared, KEY)
     usable = lambda r: r.isNotNull() & F.coalesce(r["state"] != "stopped", F.lit(False))
     a, b = F.col("a"), F.col("b")
     pick = F.when(usable(a), a).when(usable(b), b).when(a.isNotNull() & (b.isNull() | (a["id"] > b["id"])), a).otherwise(b)
     one = pair.where(~(usable(a) & usable(b))).withColumn("s", pick).select(
-        *KEY, F.col("s.value").alias("value"), F.col("s.status").alias("status"), F.col("s.n_counter").alias("n_counter"), F.col("s.review_reason").alias("why"),
+        *KEY, F.col("s.value").alias("value"), F.col("s.status").alias("status"), F.col("s.n_counter").alias("n_counter"), _sources(F.col("s")).alias("evidence_sources"),
+        F.col("s.review_reason").alias("why"),
         F.lit(None).cast("string").alias("comparison"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("same_value"))
     return two.unionByName(one)
 

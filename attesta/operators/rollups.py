@@ -43,12 +43,15 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 
 
 def usage_summary(usage: DataFrame) -> DataFrame:
-    """Requests, cost and cost basis per case and activity; an unknown price stays unknown, never zero."""
+    """Requests, cost and cost basis per case and activity; an unknown price stays unknown, never zero.
+
+    Money is summed as decimals, so the rounded totals do not depend on the order of the rows.
+    """
     per = []
     for kind in ("search", "model"):
         is_kind = F.col("kind") == kind
         per += [F.count_if(is_kind).alias(f"{kind}_n"), F.count_if(is_kind & F.col("cost_usd").isNull()).alias(f"{kind}_u"),
-                F.sum(F.when(is_kind, F.col("cost_usd"))).alias(f"{kind}_c"), F.bool_or(is_kind & F.col("estimated")).alias(f"{kind}_e")]
+                F.sum(F.when(is_kind, F.col("cost_usd").cast("decimal(18,5)"))).alias(f"{kind}_c"), F.bool_or(is_kind & F.col("estimated")).alias(f"{kind}_e")]
     wide = usage.groupBy("case_id").agg(*per)
 
     def row(kind: str, label: str) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from attesta.plans import registry
 
-MODULES = ["text_queries", "evidence_queries", "retrieval_queries", "identity_queries", "validation_queries", "compare_queries", "rollup_queries"]
+MODULES = ["text_queries", "evidence_queries", "retrieval_queries", "identity_queries", "validation_queries", "compare_queries", "rollup_queries", "export_queries", "streaming_queries"]
 
 
 def _load() -> None:

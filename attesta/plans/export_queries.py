@@ -1,0 +1,85 @@
+"""Queries over the export tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from attesta.functions import fixed_values as fixed
+from attesta.operators import compare as C
+from attesta.operators import exports as E
+from attesta.plans.compare_queries import DISPLAY, SQL_EXPORT, display, latest, pair
+from attesta.plans.evidence_queries import HASHED, MARKED, SQL_USABLE
+from attesta.plans.registry import query, with_tables
+from attesta.plans.retrieval_queries import SQL_PRIORITY
+from attesta.plans.rollup_queries import SOURCES, full_sources
+from attesta.plans.text_queries import SQL_HOST
+from attesta.sources.stand_ins import SQL_TABLES
+
+case = lambda col, rows, other: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rows) + f" ELSE {other} END"
+DISPLAY_SRC = DISPLAY.replace("comparison, kind, va = vb AND len(va) > 0 AS same_value FROM cmp", "comparison, kind, va = vb AND len(va) > 0 AS same_value, list_distinct(list_concat(a.src_list, b.src_list)) AS srcs FROM cmp").replace(
+    "s.review_reason, NULL, NULL, NULL FROM", "s.review_reason, NULL, NULL, NULL, s.src_list FROM")
+EXPORT_SRC = SQL_EXPORT.replace("SELECT coalesce(disp.case_id", "SELECT srcs, coalesce(disp.case_id", 1)
+EXPORTED = DISPLAY_SRC.rstrip() + ", " + with_tables("src").split("RECURSIVE ", 1)[1].rstrip() + ", " + EXPORT_SRC
+
+
+def values(t):
+    return C.export_value(display(t), t.reviews(), True)
+
+
+@query("export_long", EXPORTED + f""", cells AS (SELECT case_id, variable, string_agg('S' || s || '-P1' || CASE WHEN src.source_id IS NULL THEN ' para 1' WHEN content_type = 'application/pdf' THEN ' p.1' ELSE ' para 1' END || coalesce(' ' || coalesce(final_url, url), ''), '; ' ORDER BY s) AS source
+ FROM (SELECT case_id, variable, unnest(srcs) AS s FROM exv WHERE export_value <> '') e LEFT JOIN (SELECT source_id, content_type, final_url, url FROM src) src ON src.source_id = s GROUP BY case_id, variable)
+SELECT exv.case_id, exv.variable, export_value AS value, coalesce(source, '') AS source, origin, concat_ws(' ', CASE WHEN origin = 'UNREVIEWED' THEN '[UNREVIEWED SUGGESTION — not confirmed by a human coder]' END,
+ CASE WHEN r_method = 'bulk_independent_agreement' THEN '[human-confirmed independent model agreement (bulk confirmation)]' END,
+ CASE WHEN comparison <> 'model_agreement' THEN '[providers: ' || {case('comparison', fixed.COMPARISON_LABELS, 'comparison')} || '; human decision needed]' END,
+ CASE WHEN kind = 'cross_version' THEN CASE WHEN same_value THEN '[cross-version: same suggested value, different analysis versions]' ELSE '[cross-version: results differ, but the models also used different analysis inputs]' END END,
+ CASE WHEN r_action IN ('edited', 'cleared') AND r_reason <> '' THEN 'Reviewer: ' || r_reason END, CASE WHEN origin = 'blank' AND status NOT IN ('suggested', 'derived', 'admin_generated', 'rule_unclear') THEN '(status: ' || status || ')' END,
+ CASE WHEN origin = 'blank' AND coalesce(why, '') <> '' THEN '(' || why || ')' END) AS explanation FROM exv LEFT JOIN cells ON cells.case_id = exv.case_id AND cells.variable = exv.variable""")
+def _(t):
+    return E.export_long(values(t), t.sources())
+
+
+COLUMNS = [("LENGTH_BAND", "categorical"), ("LANGS", "open_list"), ("N_LINES", "numeric"), ("SEEN_ON", "date"), ("NOTE", "text")]
+
+
+@query("export_case_row", EXPORTED + """
+SELECT case_id, max(CASE WHEN export_value <> '' THEN export_value END) FILTER (variable = 'LENGTH_BAND') AS "LENGTH_BAND", max(CASE WHEN export_value <> '' THEN export_value END) FILTER (variable = 'LANGS') AS "LANGS",
+ max(CASE WHEN regexp_full_match(export_value, '-?\\d+(\\.\\d+)?') THEN try_cast(export_value AS DOUBLE) END) FILTER (variable = 'N_LINES') AS "N_LINES",
+ max(CASE WHEN regexp_full_match(export_value, '\\d{4}-\\d{2}-\\d{2}') THEN CAST(try_cast(export_value AS DATE) AS VARCHAR) END) FILTER (variable = 'SEEN_ON') AS "SEEN_ON", max(CASE WHEN export_value <> '' THEN export_value END) FILTER (variable = 'NOTE') AS "NOTE" FROM exv GROUP BY case_id""")
+def _(t):
+    return E.export_case_row(values(t), COLUMNS)
+
+
+API = lambda c: case(c, fixed.PROVIDER_API_NAMES, c)
+
+
+@query("export_evidence", DISPLAY.rstrip() + ", " + with_tables("src").split("RECURSIVE ", 1)[1].rstrip() + f""", cit AS (SELECT case_id, variable, provider, quote, interpretation, 'supports' AS stance, ev_source AS s FROM lat WHERE ev_source IS NOT NULL
+ UNION ALL SELECT case_id, variable, provider, quote, interpretation, 'contradicts', ctr_source FROM lat WHERE ctr_source IS NOT NULL)
+SELECT c.case_id, variable, stance, 'S' || s || '-P1' AS passage, 'S' || s AS source, quote, coalesce(final_url, url) AS url, source_type, {API('provider')} AS provider, interpretation FROM cit c LEFT JOIN src ON source_id = s""")
+def _(t):
+    return E.export_evidence(latest(t), t.sources())
+
+
+@query("export_provider_suggestions", DISPLAY.rstrip() + f"""
+SELECT lat.case_id, lat.variable, {API('lat.provider')} AS provider, model, lat.value, lat.status, lat.cache_status, coalesce(CAST(lat.snapshot_id AS VARCHAR), 'not recorded') AS snapshot_id, coalesce(CAST(lat.spec_id AS VARCHAR), 'not recorded') AS spec_id, lat.run_id,
+ strftime(make_timestamp(lat.generated_at * 1000000), '%Y-%m-%d %H:%M:%S') AS generated_at, coalesce({case("CASE WHEN rev.action IN ('accepted', 'edited', 'cleared') AND comparison IS NOT NULL THEN 'human_approved' ELSE comparison END", fixed.COMPARISON_LABELS, 'NULL')}, '') AS comparison,
+ CASE WHEN rev.action IN ('accepted', 'edited', 'cleared') THEN rev.value ELSE '' END AS approved, coalesce(lat.evidence_status, 'not recorded') AS evidence_status
+FROM lat LEFT JOIN runs ON runs.run_id = lat.run_id LEFT JOIN cmp ON cmp.case_id = lat.case_id AND cmp.variable = lat.variable LEFT JOIN rev ON rev.case_id = lat.case_id AND rev.variable = lat.variable""")
+def _(t):
+    return E.export_provider_suggestions(latest(t), t.runs(), C.compare_pair(pair(t)), t.reviews())
+
+
+@query("export_sources", with_tables("src", HASHED, MARKED, SOURCES) + f"""
+SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY {SQL_PRIORITY}, -coalesce(n_pages, 0), -n_passages, source_id) AS rank, 'S' || source_id AS source, title, {case('source_type', fixed.SOURCE_TYPE_LABELS, 'source_type')} AS type,
+ regexp_replace({SQL_HOST.format(c='url')}, '^www\\.', '') AS domain, lang, url, CASE WHEN final_url IS NOT NULL AND final_url <> url THEN final_url ELSE '' END AS final_url, CASE WHEN fetch_status = 'ok' THEN 'retrieved' ELSE 'not retrieved (' || fetch_status || ')' END AS retrieval,
+ coalesce('S' || duplicate_of, '') AS duplicate_of, CASE WHEN {SQL_USABLE} AND n_passages > 0 THEN 'yes' ELSE 'no' END AS usable, CASE WHEN job_id IS NOT NULL THEN 'run ' || job_id WHEN origin IN ('manual_url', 'upload', 'text') THEN 'added by user' ELSE '' END AS search_run
+FROM so WHERE NOT excluded""")
+def _(t):
+    return E.export_sources(full_sources(t))
+
+
+@query("export_json_bundle", EXPORTED + ", " + SQL_TABLES["psg"] + """
+SELECT case_id, 'result' AS section, variable AS item, CAST(to_json({'variable': variable, 'export_value': export_value, 'origin': origin}) AS VARCHAR) AS json FROM exv
+UNION ALL SELECT case_id, 'review', variable, CAST(to_json({'variable': variable, 'action': action, 'value': value}) AS VARCHAR) FROM rev
+UNION ALL SELECT case_id, 'passage', passage_id, CAST(to_json({'passage_id': passage_id, 'seq': seq, 'text': text}) AS VARCHAR) FROM psg WHERE passage_id IN (SELECT 'S' || unnest(srcs) || '-P1' FROM exv)""")
+def _(t):
+    return E.export_json_bundle(values(t), t.reviews(), t.passages())

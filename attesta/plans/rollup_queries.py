@@ -40,9 +40,9 @@ def _(t):
     return df.select(*[F.round(c, 5).alias(c) if c.endswith("_usd") else F.col(c) for c in df.columns])
 
 
-SQL_ACT = lambda kind, label: f"""SELECT c.case_id, '{label}' AS activity, coalesce(n, 0) AS requests, CASE WHEN n IS NULL THEN 0 WHEN n > u THEN round(cost, 4) END AS cost, CASE WHEN n IS NULL THEN 'none used' WHEN n = u THEN 'unknown (no price configured)'
+SQL_ACT = lambda kind, label: f"""SELECT c.case_id, '{label}' AS activity, coalesce(n, 0) AS requests, CASE WHEN n IS NULL THEN 0 WHEN n > u THEN round(cost, 4)::DOUBLE END AS cost, CASE WHEN n IS NULL THEN 'none used' WHEN n = u THEN 'unknown (no price configured)'
   WHEN u > 0 THEN 'partly unknown: ' || u || ' request(s) without a price; known part shown' WHEN e THEN 'estimated (worst-case or list price)' ELSE 'measured (provider-reported usage)' END AS basis
- FROM (SELECT DISTINCT case_id FROM usg) c LEFT JOIN (SELECT case_id, count(*) AS n, count(*) FILTER (cost_usd IS NULL) AS u, sum(cost_usd) AS cost, bool_or(estimated) AS e FROM usg WHERE kind = '{kind}' GROUP BY case_id) k USING (case_id)"""
+ FROM (SELECT DISTINCT case_id FROM usg) c LEFT JOIN (SELECT case_id, count(*) AS n, count(*) FILTER (cost_usd IS NULL) AS u, sum(CAST(cost_usd AS DECIMAL(18, 5))) AS cost, bool_or(estimated) AS e FROM usg WHERE kind = '{kind}' GROUP BY case_id) k USING (case_id)"""
 
 
 @query("usage_summary", with_tables("usg") + SQL_ACT("search", "Web search (source discovery)") + " UNION ALL " + SQL_ACT("model", "Coding analysis (model requests)")
@@ -156,10 +156,12 @@ def _(t):
     return R.codebook_conflicts(cells(t), audit_book(t))
 
 
+MINUS9_PARTS = I.format(r"sum(len(list_filter(ps, lambda p: regexp_full_match(p, '\s*-9(\.0+)?\s*'))))")
+ABSENCE_PARTS = I.format(r"sum(len(list_filter(ps, lambda p: list_contains(ab, regexp_replace(trim(p), '\.0$', '')))))")
 SQL_AUDIT = rf"""au AS (SELECT *, concat_ws(', ', CASE WHEN NOT minus9_allowed AND (minus9_parts > 0 OR placeholder_rows > 0) THEN 'M3' END, CASE WHEN n_absence_codes > 0 AND field_class IN ('sourced', 'judgment') THEN 'M4' END) AS decisions FROM (
  SELECT variable, any_value(type) AS type, any_value(field_class) AS field_class, bool_or(list_contains(missing, '-9')) AS minus9_allowed, any_value(len(ab)) AS n_absence_codes, count(*) AS rows, count(*) FILTER (value = '') AS blank_rows,
-  {I.format("sum(len(list_filter(ps, lambda p: regexp_full_match(p, '\s*-9(\.0+)?\s*'))))")} AS minus9_parts, count(*) FILTER (upper(value) IN ({quoted(fixed.PLACEHOLDERS)})) AS placeholder_rows,
-  {I.format("sum(len(list_filter(ps, lambda p: list_contains(ab, regexp_replace(trim(p), '\.0$', '')))))")} AS absence_parts
+  {MINUS9_PARTS} AS minus9_parts, count(*) FILTER (upper(value) IN ({quoted(fixed.PLACEHOLDERS)})) AS placeholder_rows,
+  {ABSENCE_PARTS} AS absence_parts
  FROM (SELECT *, regexp_split_to_array(value, '[;,]') AS ps, list_filter(codes, lambda c: regexp_matches(labels[list_position(codes, c)], '(?i){fixed.ABSENCE_LABEL_PATTERN}')) AS ab FROM cells JOIN book USING (variable)) GROUP BY variable))"""
 
 
@@ -181,11 +183,13 @@ HEADER = ("CASE p_partkey % 7 WHEN 0 THEN lower(replace(p_name, ' ', '-')) || '
           "WHEN 4 THEN 'Unknown ' || CAST(p_partkey AS STRING) ELSE replace(upper(p_name), ' ', '_') || '_KEY' || CAST(p_partkey % 1500 AS STRING) END")
 NORM = lambda c: f"regexp_replace(upper({c}), '[^A-Z0-9]', '', 'g')"
 TOKS = lambda c: f"list_filter(regexp_split_to_array(upper({c}), '[^A-Z0-9]+'), lambda t: t <> '')"
+NO_PRIMARY = r"regexp_replace(codebook_name, '(?i)\s*\((Primary)\)\s*$', '')"
+NO_BRACKETS = r"regexp_replace({}, '\s*\(.*?\)\s*', '', 'g')"
 SQL_HEADERS = rf"""hd AS (SELECT p_partkey AS position, {HEADER} AS header FROM part), cb AS (SELECT p_partkey AS cb_id, {CB_NAME} AS codebook_name FROM part),
 ex AS (SELECT {NORM('codebook_name')} AS k, count(*) AS n, min(codebook_name) AS f FROM cb GROUP BY 1),
-va AS (SELECT k, count(*) AS n, min(codebook_name) AS f FROM (SELECT DISTINCT cb_id, codebook_name, unnest([{NORM(chr(114) + "egexp_replace(codebook_name, '(?i)\s*\((Primary)\)\s*$', '')")}, {NORM(chr(114) + "egexp_replace(codebook_name, '\s*\(.*?\)\s*', '', 'g')")}]) AS k FROM cb) GROUP BY 1),
+va AS (SELECT k, count(*) AS n, min(codebook_name) AS f FROM (SELECT DISTINCT cb_id, codebook_name, unnest([{NORM(NO_PRIMARY)}, {NORM(NO_BRACKETS.format('codebook_name'))}]) AS k FROM cb) GROUP BY 1),
 h1 AS (SELECT hd.*, CASE WHEN ex.n = 1 THEN 'exact' WHEN va.n = 1 THEN 'variant' WHEN va.n IS NOT NULL THEN 'ambiguous' WHEN q.n = 1 THEN 'qualified' END AS mapping, CASE WHEN ex.n = 1 THEN ex.f WHEN va.n = 1 THEN va.f WHEN va.n IS NULL AND q.n = 1 THEN q.f END AS found
- FROM hd LEFT JOIN ex ON ex.k = {NORM('header')} LEFT JOIN va ON va.k = {NORM('header')} LEFT JOIN ex q ON q.k = {NORM(chr(114) + "egexp_replace(header, '\s*\(.*?\)\s*', '', 'g')")}),
+ FROM hd LEFT JOIN ex ON ex.k = {NORM('header')} LEFT JOIN va ON va.k = {NORM('header')} LEFT JOIN ex q ON q.k = {NORM(NO_BRACKETS.format('header'))}),
 nr AS (SELECT position, count(*) AS n, min(codebook_name) AS near FROM (SELECT position, {TOKS('header')} AS ht FROM h1 WHERE mapping IS NULL) a JOIN (SELECT codebook_name, {TOKS('codebook_name')} AS vt FROM cb) b ON len(ht) = len(vt) AND ht <> vt
   AND len(list_filter(range(1, len(ht) + 1), lambda i: NOT starts_with(vt[i], ht[i]) OR length(ht[i]) < 3)) = 0 GROUP BY position),
 hm AS (SELECT h1.position, header, coalesce(mapping, CASE WHEN nr.n = 1 THEN 'approximate' END, 'none') AS mapping, coalesce(found, CASE WHEN nr.n = 1 THEN near END) AS codebook_name FROM h1 LEFT JOIN nr USING (position))"""
@@ -284,9 +288,6 @@ def _(t):
 
 
 # ------------------------------------------------------------------------------------------------ ordered logic
-ADMIT = "a.cap_spent + x.c"
-
-
 @query("budget_admission", with_tables("cal") + """
 SELECT case_id, id, reason FROM (SELECT case_id, unnest(ids) AS id, unnest(f.why[2:]) AS reason FROM (SELECT case_id, list(id ORDER BY id) AS ids,
  list_reduce(list_prepend({'c': 0.0::DOUBLE, 'isb': FALSE, 's': 0.0::DOUBLE, 'sb': 0.0::DOUBLE, 'n': 0::BIGINT, 'nb': 0::BIGINT, 'why': [NULL]::VARCHAR[]}, list({'c': worst_cost, 'isb': provider = 'openai', 's': 0.0::DOUBLE, 'sb': 0.0::DOUBLE, 'n': 0::BIGINT, 'nb': 0::BIGINT, 'why': []::VARCHAR[]} ORDER BY id)),

@@ -47,3 +47,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint directory, for streaming state and versioned tables."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/attesta-{uuid.uuid4().hex}"
