@@ -21,8 +21,8 @@ def squash(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Lower case, everything but letters, digits, underscore and space becomes a blank, blanks squashed."""
-    return squash(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s\p{Z}]", " "))
+    """Lower case; every run of anything but letters, digits and underscores becomes one blank. One pass over the text."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
 
 
 def content_hash(c: Column) -> Column:

@@ -212,7 +212,7 @@ def evidence_packets(hits: DataFrame, fields: DataFrame, passage_limit: int = fi
         "query_id", F.transform("h", lambda x: x["passage_id"]).alias("ids"))
     rows = fields.join(per_field, "query_id", "left")
 
-    def pack(key, group: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out, batch, names, ids = [], 0, [], {}
         for row in group.sort_values("pos").itertuples():
             mine = dict.fromkeys(row.ids if row.ids is not None else [])

@@ -10,7 +10,6 @@ from attesta.operators import dedup as D
 from attesta.operators import passages as P
 from attesta.plans.registry import query, with_tables
 from attesta.plans.text_queries import SQL_IS_BOILER, SQL_NORM
-from attesta.session import spread
 
 HASHED = f"hashed AS (SELECT *, sha256({SQL_NORM.format(c='text')}) AS content_hash FROM src)"
 MARKED = ("marked AS (SELECT *, CASE WHEN first_id < source_id THEN first_id END AS duplicate_of FROM (SELECT *, "
@@ -20,7 +19,7 @@ SQL_USABLE = "fetch_status = 'ok' AND duplicate_of IS NULL AND NOT excluded AND
 
 def marked_sources(t):
     """Sources with content hash and duplicate_of."""
-    return D.exact_duplicates(spread(t.sources()).withColumn("content_hash", X.content_hash(F.col("text"))))
+    return D.exact_duplicates(t.sources().withColumn("content_hash", X.content_hash(F.col("text"))))
 
 
 @query("exact_duplicates", with_tables("src", HASHED, MARKED) + "SELECT source_id, duplicate_of FROM marked")
@@ -42,12 +41,12 @@ def _(t):
 
 @query("html_extract")
 def _(t):
-    return P.html_extract(spread(t.raw("pages")))
+    return P.html_extract(t.raw("pages"))
 
 
 @query("html_links")
 def _(t):
-    return P.html_links(spread(t.raw("pages")))
+    return P.html_links(t.raw("pages"))
 
 
 SQL_HITS = ("hits AS (SELECT page_id * 2 + variant AS hit_id, page_id % 20 AS case_id, url || CASE variant WHEN 1 THEN '#part' ELSE '' END AS url, "
@@ -167,7 +166,7 @@ def _(t):
     page_list = F.transform(
         F.sequence(F.lit(0), F.greatest(F.ceil(F.size("ps") / 10).cast("int") - 1, F.lit(0))),
         lambda i: F.struct((i + 1).cast("long").alias("page"), F.slice("ps", i * 10 + 1, F.lit(10)).alias("paragraphs")))
-    docs = spread(t.sources().select("source_id", "text")).select("source_id", paragraphs.alias("ps"))
+    docs = t.sources().select("source_id", "text").select("source_id", paragraphs.alias("ps"))
     return P.make_passages(docs.select("source_id", page_list.alias("page_list")))
 
 

@@ -8,7 +8,6 @@ from attesta.functions import fixed_values as fixed
 from attesta.operators import identity as I
 from attesta.plans.registry import query, with_tables
 from attesta.plans.text_queries import HAZARD_TEXT, LOCATION_TEXT, SQL_COUNTRY_NAMES, SQL_HAZARDS, SQL_HOST, SQL_PLACE, SQL_SIG, SQL_US, quoted
-from attesta.session import spread
 from attesta.sources.tables import values_sql
 
 CASE_NAME = "replace(" + HAZARD_TEXT + ", ' ' || c_name, '')"
@@ -79,7 +78,7 @@ def _(t):
 
 @query("identity_score", BASE.rstrip() + f", {sql_score('sc', 'hits', 'title || chr(32) || snippet || chr(32) || url', 'published')} SELECT hit_id, score AS identity_score, why AS identity_why FROM sc")
 def _(t):
-    return I.score_hits(spread(hits(t)), I.case_terms(cases(t))).select("hit_id", "identity_score", "identity_why")
+    return I.score_hits(hits(t), I.case_terms(cases(t))).select("hit_id", "identity_score", "identity_why")
 
 
 SQL_TEXTS = f"texts AS (SELECT source_id, case_id, {HIT_TITLE} || ' ' || text AS body FROM src JOIN cases USING (case_id))"
@@ -90,7 +89,7 @@ SELECT case_id, source_id, greatest(hd.score, fl.score) AS relevance_score, CASE
  CASE WHEN hd.score >= fl.score THEN hd.why ELSE fl.why END AS relevance_reason FROM hd JOIN fl USING (case_id, source_id)""")
 def _(t):
     texts = t.sources().join(cases(t), "case_id").select("case_id", "source_id", F.concat_ws(" ", F.expr(HIT_TITLE), "text").alias("text"))
-    return I.relevance_status(spread(texts), I.case_terms(cases(t)))
+    return I.relevance_status(texts, I.case_terms(cases(t)))
 
 
 @query("identity_candidates", BASE.rstrip() + f", {sql_score('nm', 'hits', 'title || chr(32) || snippet', location=False, years=False)}" + rf""",
@@ -101,7 +100,7 @@ k AS (SELECT r.*, years, list_contains(years, year) AS tgt FROM r JOIN terms USI
 SELECT case_id, rank, year, n, examples, (len(years) = 0 AND count(*) FILTER (year <> '(no year)') OVER (PARTITION BY case_id) >= 2) OR (len(years) > 0
   AND coalesce(max(CASE WHEN NOT tgt AND year <> '(no year)' THEN n END) OVER (PARTITION BY case_id) > 1.5 * coalesce(max(CASE WHEN tgt THEN n END) OVER (PARTITION BY case_id), 0), FALSE)) AS ambiguous FROM k""")
 def _(t):
-    return I.identity_candidates(spread(hits(t)), I.case_terms(cases(t)))
+    return I.identity_candidates(hits(t), I.case_terms(cases(t)))
 
 
 WORD = r"\p{L}[\p{L}\p{N}]+(?:-\p{L}[\p{L}\p{N}]+)*"
@@ -127,7 +126,7 @@ KEYWORDS = BASE.rstrip() + f", {sql_score('sc', 'hits', 'title || chr(32) || sni
 
 def keywords(t):
     terms = I.case_terms(cases(t))
-    return I.keyword_discovery(I.score_hits(spread(hits(t)), terms), terms)
+    return I.keyword_discovery(I.score_hits(hits(t), terms), terms)
 
 
 @query("keyword_discovery", KEYWORDS + "SELECT * FROM kw")
@@ -171,7 +170,7 @@ def _(t):
 
 @query("expand_aliases")
 def _(t):
-    return I.expand_aliases(spread(hits(t)), I.case_terms(cases(t)))
+    return I.expand_aliases(hits(t), I.case_terms(cases(t)))
 
 
 LINK_URL = ("CASE i WHEN 0 THEN regexp_replace(url, '[?#].*$', '') || '/findings' WHEN 1 THEN 'https://www.fema.gov/' || CAST(page_id AS STRING) || '/review' WHEN 2 THEN 'https://files.example.net/a.PDF' "

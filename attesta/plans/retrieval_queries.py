@@ -11,7 +11,6 @@ from attesta.operators import retrieval as R
 from attesta.plans.evidence_queries import HASHED, MARKED, SQL_HITS, SQL_USABLE, marked_sources, page_hits
 from attesta.plans.registry import query, with_tables
 from attesta.plans.text_queries import SQL_CLASSIFY, SQL_HOST, SQL_INDEX_WORD, SQL_RAW_TOKENS, SQL_STEM, quoted
-from attesta.session import spread
 from attesta.sources.tables import values_sql
 
 
@@ -36,7 +35,7 @@ sz AS (SELECT case_id, count(*) AS n_passages, round(avg(len(tk)), 6) AS avg_len
 SELECT case_id, term, count(DISTINCT passage_id) AS df, count(*) AS uses, any_value(n_passages) AS n_passages, any_value(avg_len) AS avg_len
 FROM (SELECT case_id, passage_id, unnest(tk) AS term FROM tk) JOIN sz USING (case_id) GROUP BY case_id, term""".replace("\n, tk", ", tk", 1))
 def _(t):
-    return R.corpus_stats(spread(t.passages().select("case_id", "text"))).withColumn("avg_len", F.round("avg_len", 6))
+    return R.corpus_stats(t.passages().select("case_id", "text")).withColumn("avg_len", F.round("avg_len", 6))
 
 
 SQL_BM25 = f"""tk AS (SELECT case_id, passage_id, source_id, seq, {sql_tokens('text')} AS tk FROM corpus),
@@ -92,7 +91,7 @@ def _(t):
 def _(t):
     """Unit vectors of the first passage of every source, 16 dimensions."""
     firsts = t.passages().where("seq = 1").select("passage_id", "text")
-    return R.lsa_vectors(spread(firsts), dimensions=16, min_passages=5)
+    return R.lsa_vectors(firsts, dimensions=16, min_passages=5)
 
 
 def vectors_of_passages(t):

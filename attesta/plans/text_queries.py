@@ -8,7 +8,6 @@ from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
 from attesta.operators import text_jobs as J
 from attesta.plans.registry import query, with_tables
-from attesta.session import spread
 from attesta.sources.tables import dimension, values_sql
 
 
@@ -33,19 +32,19 @@ SQL_QUOTE = (r"lower(trim(regexp_replace(regexp_replace(replace(translate({c}, '
 
 @query("normalize_text", with_tables("src") + f"SELECT source_id, {SQL_NORM.format(c='text')} AS normalized FROM src")
 def _(t):
-    return spread(t.sources().select("source_id", "text")).select("source_id", X.normalize_text(F.col("text")).alias("normalized"))
+    return t.sources().select("source_id", "text").select("source_id", X.normalize_text(F.col("text")).alias("normalized"))
 
 
 @query("content_hash", with_tables("src") + f"SELECT source_id, sha256({SQL_NORM.format(c='text')}) AS content_hash FROM src")
 def _(t):
-    return spread(t.sources().select("source_id", "text")).select("source_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return t.sources().select("source_id", "text").select("source_id", X.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query("tokenize_stem", with_tables("psg") + f"""
 SELECT passage_id, len(tk) AS n_tokens, array_to_string(tk, ' ') AS tokens FROM (SELECT passage_id, list_transform(
   list_filter({SQL_RAW_TOKENS.format(c='text')}, lambda w: {SQL_INDEX_WORD}), lambda w: {SQL_STEM}) AS tk FROM psg)""")
 def _(t):
-    tokens = spread(t.passages().select("passage_id", "text")).select("passage_id", X.tokenize(F.col("text")).alias("tk"))
+    tokens = t.passages().select("passage_id", "text").select("passage_id", X.tokenize(F.col("text")).alias("tk"))
     return tokens.select("passage_id", F.size("tk").alias("n_tokens"), F.array_join("tk", " ").alias("tokens"))
 
 
@@ -88,7 +87,7 @@ def _(t):
 
 @query("normalize_quote", with_tables("psg") + f"SELECT passage_id, {SQL_QUOTE.format(c='text')} AS quote_form FROM psg")
 def _(t):
-    return spread(t.passages().select("passage_id", "text")).select("passage_id", X.normalize_quote(F.col("text")).alias("quote_form"))
+    return t.passages().select("passage_id", "text").select("passage_id", X.normalize_quote(F.col("text")).alias("quote_form"))
 
 
 MISSING_TEXT = ("CASE o_orderkey % 7 WHEN 0 THEN '-9' WHEN 1 THEN '-9.0' WHEN 2 THEN ' -9 ' WHEN 3 THEN '-8' WHEN 4 THEN '-9.5' "
@@ -142,7 +141,7 @@ TYPED_TITLE = ("CASE source_id % 10 WHEN 0 THEN 'After-action review ' || title
 SELECT source_id, {SQL_CLASSIFY} AS source_type FROM (SELECT source_id, {SQL_HOST.format(c='lower(url)')} AS host,
   lower({TYPED_TITLE} || ' ' || lower(url) || ' ' || substr(text, 1, 1500)) AS t FROM src)""")
 def _(t):
-    df = spread(t.sources().select("source_id", "url", F.expr(TYPED_TITLE).alias("title"), F.substring("text", 1, 1500).alias("head")))
+    df = t.sources().select("source_id", "url", F.expr(TYPED_TITLE).alias("title"), F.substring("text", 1, 1500).alias("head"))
     return df.select("source_id", X.classify_source(F.col("url"), F.col("title"), F.col("head")).alias("source_type"))
 
 
@@ -289,7 +288,7 @@ SELECT source_id, unnest(ps) AS paragraph, generate_subscripts(ps, 1) AS para FR
    list_filter(list_transform(regexp_split_to_array(txt, '\n\s*\n'), lambda x: trim(regexp_replace(x, '[\s\p{{Z}}]+', ' ', 'g'))), lambda x: x <> '') AS bs
    FROM (SELECT source_id, {PARAGRAPH_TEXT} AS txt FROM src)))""")
 def _(t):
-    return J.text_paragraphs(spread(t.sources().select("source_id", F.expr(PARAGRAPH_TEXT).alias("text"))))
+    return J.text_paragraphs(t.sources().select("source_id", F.expr(PARAGRAPH_TEXT).alias("text")))
 
 
 @query("reflow_lines", with_tables("src") + r"""
@@ -301,7 +300,7 @@ SELECT source_id, unnest(ps) AS paragraph, generate_subscripts(ps, 1) AS para FR
       THEN {'done': list_append(a.done, CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || ' ' || x.cur END), 'cur': ''}
     ELSE {'done': a.done, 'cur': CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || ' ' || x.cur END} END) AS f FROM src))""")
 def _(t):
-    return J.reflow_lines(spread(t.sources().select("source_id", "text")))
+    return J.reflow_lines(t.sources().select("source_id", "text"))
 
 
 LINE_TEXT = ("CASE seq % 8 WHEN 1 THEN 'II. MESSAGE DATA' WHEN 2 THEN 'Variable: FIELD_' || CAST(source_id AS STRING) || '_' || CAST(seq AS STRING) "

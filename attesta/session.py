@@ -41,7 +41,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy text work at least one partition per core.
 
     A table of many files already has more input splits than cores and is returned untouched, so this adds a shuffle
-    only for small inputs.
+    only for small inputs. Meant for a plain scan, right after reading it: filters and column selection still reach it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.session import spread
 from attesta.sources.tables import read_table
 
 # ------------------------------------------------------------------------------------------------ column rules
@@ -173,6 +174,10 @@ def _project(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     return df.select(*[F.col("*") if n == "*" else F.expr(e).alias(n) for n, e in columns])
 
 
+# text tables, whose rows are costly to work on, and their keys
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 class Tables:
     """The tables of one data directory plus the derived input tables."""
 
@@ -180,7 +185,9 @@ class Tables:
         self.spark, self.directory = spark, directory
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.directory, name)
+        """A table of the directory; text tables are spread over the cores when they come in too few splits."""
+        df = read_table(self.spark, self.directory, name)
+        return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
     def sources(self) -> DataFrame:
         df = _project(self.raw("documents"), SOURCE_COLUMNS)
