@@ -22,7 +22,7 @@ def _(t):
     return S.collect_appends(S.exact_dedup(docs).select("case_id", "source_id", "content_hash")).select("case_id", "content_hash")
 
 
-@query("stream_spend_by_case", with_tables("usg") + """SELECT case_id, strftime(date_trunc('day', at), '%Y-%m-%d') AS day, round(sum(coalesce(cost_usd, 0)), 5) AS spent, count(*) AS requests FROM usg GROUP BY ALL""")
+@query("stream_spend_by_case", with_tables("usg") + """SELECT case_id, strftime(date_trunc('day', usg.at), '%Y-%m-%d') AS day, round(sum(coalesce(cost_usd, 0)), 5) AS spent, count(*) AS requests FROM usg GROUP BY ALL""")
 def _(t):
     out = S.collect_updates(S.spend_by_case(_stream(t, "events", USAGE_COLUMNS)), "case_id", "day")
     return out.select("case_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("spent", 5).alias("spent"), "requests")

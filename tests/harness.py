@@ -27,7 +27,7 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{v:.9g}"
+        return repr(v)
     return str(v)
 
 
