@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attesta.operators.ranking import last_before
+
 KEY = ["case_id", "variable"]
 
 
 def review_history(actions: DataFrame) -> DataFrame:
     """Every action with the value before and after it; defer keeps the value, reset removes it."""
-    w = W.partitionBy(*KEY).orderBy("id")
-    after = (F.when(F.col("action") == "reset", F.struct(F.lit(None).cast("string").alias("v")))
-             .when(F.col("action") == "clear", F.struct(F.lit("").alias("v"))).when(F.col("action") != "defer", F.struct(F.col("value").alias("v"))))
-    running = F.last("after", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    filled = actions.withColumn("after", after).withColumn("running", running)
-    new = F.when(F.col("action") == "reset", F.lit(None).cast("string")).otherwise(F.coalesce("running.v", F.lit("")))
-    filled = filled.withColumn("new_value", new)
-    return filled.withColumn("old_value", F.lag("new_value").over(w)).drop("after", "running", "value")
+    value = lambda v: F.struct(v.alias("v"))
+    own = (F.when(F.col("action") == "reset", value(F.lit(None).cast("string"))).when(F.col("action") == "clear", value(F.lit("")))
+           .when(F.col("action") != "defer", value(F.col("value"))))
+    df = last_before(actions, KEY, "id", {"held": own, "previous": F.col("action")})
+    old = F.when(F.col("previous") == "defer", F.coalesce("held.v", F.lit(""))).otherwise(F.col("held.v"))
+    new = F.when(F.col("action") == "defer", F.coalesce(old, F.lit(""))).otherwise(own["v"])
+    return df.withColumns({"old_value": old, "new_value": new}).drop("held", "previous", "value")
 
 
 def review_current(history: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fixed
+from attesta.operators.ranking import full_rank, last_before
 
 
 def budget_admission(requests: DataFrame, cap: float = fixed.CASE_BUDGET_USD, cap_b: float = fixed.PROVIDER_B_BUDGET_USD,
@@ -46,33 +47,26 @@ def budget_admission(requests: DataFrame, cap: float = fixed.CASE_BUDGET_USD, ca
         decide, "case_id long, id long, reason string")
 
 
-def prefix_admission(requests: DataFrame, cap: float = fixed.CASE_BUDGET_USD) -> DataFrame:
-    """Requests before the budget is first exceeded, by running sum."""
-    w = W.partitionBy("case_id").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
-    return requests.withColumn("admitted", F.sum("worst_cost").over(w) <= cap + 1e-9)
-
-
 def repeat_error_abort(calls: DataFrame) -> DataFrame:
     """(run_id, id, outcome): after the same client error twice in a row the run's later calls are not sent.
 
     The signature of the last failed call is carried over calls that succeed.
     """
-    w = W.partitionBy("run_id").orderBy("id")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    last = F.last("error_signature", ignorenulls=True).over(before)
-    twice = F.coalesce(F.col("error_signature").startswith("HTTP 4") & (F.col("error_signature") == last), F.lit(False))
-    marked = calls.withColumn("twice", twice)
-    stopped = F.coalesce(F.max(F.col("twice").cast("int")).over(before), F.lit(0)) == 1
-    return marked.select("run_id", "id", F.when(stopped, "not sent").when(F.col("error_signature").isNotNull(), "failed").otherwise("sent").alias("outcome"))
+    df = last_before(calls.select("run_id", "id", "error_signature"), ["run_id"], "id", {"last_error": F.col("error_signature")})
+    twice = F.col("error_signature").startswith("HTTP 4") & (F.col("error_signature") == F.col("last_error"))
+    stop = df.where(twice).groupBy("run_id").agg(F.min("id").alias("stop_id"))
+    late = F.coalesce(F.col("id") > F.col("stop_id"), F.lit(False))
+    return df.join(stop, "run_id", "left").select(
+        "run_id", "id", F.when(late, "not sent").when(F.col("error_signature").isNotNull(), "failed").otherwise("sent").alias("outcome"))
 
 
 def sequence_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
     """(key, prefix) -> the next free PREFIXnn after the highest number in use, in the order of the keys."""
     used = existing.select(F.regexp_extract("case_code", r"^(.*?)\d\d$", 1).alias("prefix"), F.substring("case_code", -2, 2).try_cast("int").alias("n")).groupBy(
         "prefix").agg(F.max("n").alias("used"))
-    w = W.partitionBy("prefix").orderBy("key")
-    number = F.row_number().over(w) + F.coalesce("used", F.lit(0))
-    return new.join(used, "prefix", "left").select("key", F.concat("prefix", F.lpad(number.cast("string"), F.greatest(F.length(number.cast("string")), F.lit(2)), F.lit("0"))).alias("case_code"))
+    placed = full_rank(new, ["prefix"], [("block", F.floor(F.col("key") / 100_000))], [F.col("key")], "place")
+    number = F.col("place") + F.coalesce("used", F.lit(0))
+    return placed.join(used, "prefix", "left").select("key", F.concat("prefix", F.lpad(number.cast("string"), F.greatest(F.length(number.cast("string")), F.lit(2)), F.lit("0"))).alias("case_code"))
 
 
 def resume_todo(results: DataFrame) -> DataFrame:

@@ -127,22 +127,21 @@ def lsa_vectors(passages: DataFrame, dimensions: int = 120, min_passages: int =
     tokens = passages.select("passage_id", X.tokenize(F.col("text")).alias("tk")).where(F.size("tk") > 0)
     counter = CountVectorizer(inputCol="tk", outputCol="tf", minDF=float(min_passages)).fit(tokens)
     counted = counter.transform(tokens)
-    idf = IDF(inputCol="tf", outputCol="unused").fit(counted).idf.toArray().tolist()
-    spark, terms = passages.sparkSession, len(idf)
-    weight_row = F.broadcast(spark.createDataFrame([(idf,)], "idf array<double>"))
+    context = passages.sparkSession.sparkContext
+    idf = context.broadcast(IDF(inputCol="tf", outputCol="unused").fit(counted).idf.toArray() + 1)
+    terms = len(idf.value)
     cell = F.unwrap_udt("tf")
-    weight = lambda i, c: (1 + F.log(c)) * (F.get(F.col("idf"), i) + 1)
-    sparse = counted.select("passage_id", cell.alias("c")).crossJoin(weight_row).select(
-        "passage_id", F.col("c.indices").alias("i"), F.zip_with("c.indices", "c.values", weight).alias("w")).where(F.size("i") > 0)
+    sparse = counted.select("passage_id", cell["indices"].alias("i"), F.transform(cell["values"], lambda c: 1 + F.log(c)).alias("w")).where(
+        F.size("i") > 0)
     # the solver visits the rows once per iteration, so they are kept; a lost block is rebuilt from its lineage
-    matrix = RowMatrix(sparse.rdd.map(lambda r: Vectors.sparse(terms, r["i"], r["w"])).persist(StorageLevel.MEMORY_AND_DISK))
-    basis = spark.sparkContext.broadcast(matrix.computeSVD(max(2, min(dimensions, terms - 1))).V.toArray())
+    rows = sparse.rdd.map(lambda r: Vectors.sparse(terms, r["i"], idf.value[r["i"]] * r["w"])).persist(StorageLevel.MEMORY_AND_DISK)
+    basis = context.broadcast(RowMatrix(rows).computeSVD(max(2, min(dimensions, terms - 1))).V.toArray())
 
     def project(batches):
         import numpy as np
 
         for batch in batches:
-            z = np.array([np.asarray(w) @ basis.value[np.asarray(i)] for i, w in zip(batch["i"], batch["w"])])
+            z = np.array([(idf.value[i] * w) @ basis.value[i] for i, w in zip(batch["i"], batch["w"])])
             z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-9
             yield pd.DataFrame({"passage_id": batch["passage_id"], "vector": list(z)})
 

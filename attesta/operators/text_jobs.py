@@ -106,16 +106,14 @@ def _is_list(kind: Column) -> Column:
     return kind.startswith("ARRAY")
 
 
-def parse_reply_json(replies: DataFrame, fields: DataFrame) -> DataFrame:
-    """(reply_id, reply) x expected variables -> item rows, or the reason the reply breaks the agreed shape.
-
-    ``fields`` lists the expected variables and is a fixed-size codebook dimension.
-    """
-    parsed = replies.select("reply_id", F.try_parse_json("reply").alias("doc"))
+def parse_reply_json(replies: DataFrame, variables: list[str]) -> DataFrame:
+    """(reply_id, reply) -> one item row per expected variable, or the reason the reply breaks the agreed shape."""
+    parsed = replies.select("reply_id", F.try_parse_json("reply").alias("doc")).select(
+        "reply_id", "doc", F.explode(F.array(*[F.lit(v) for v in variables])).alias("variable"))
     part = lambda path, kind: F.try_variant_get("doc", F.concat(F.lit("$.results."), "variable", F.lit(path)), kind)
     kind_of = lambda path: F.coalesce(F.schema_of_variant(part(path, "variant")), F.lit("VOID"))
     body = F.coalesce(F.schema_of_variant(F.try_variant_get("doc", "$.results", "variant")), F.lit("VOID"))
-    rows = parsed.join(fields.select("variable"), how="cross").select(
+    rows = parsed.select(
         "reply_id", "variable", body.alias("body"), kind_of("").alias("item"),
         part(".variable", "string").alias("named"), part(".evidence_status", "string").alias("evidence_status"),
         part(".status", "string").alias("status"), kind_of(".value").alias("value_kind"),

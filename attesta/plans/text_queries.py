@@ -8,7 +8,7 @@ from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
 from attesta.operators import text_jobs as J
 from attesta.plans.registry import query, with_tables
-from attesta.sources.tables import dimension, values_sql
+from attesta.sources.tables import values_sql
 
 
 def quoted(words) -> str:
@@ -275,7 +275,7 @@ FROM (SELECT *, CASE WHEN bt IS DISTINCT FROM 'OBJECT' THEN 'missing results' WH
    FROM (SELECT doc_id, {REPLY_TEXT} AS j FROM documents), ({values_sql(REPLY_FIELDS, 'variable string')}))))""")
 def _(t):
     replies = t.raw("documents").select(F.col("doc_id").alias("reply_id"), F.expr(REPLY_TEXT).alias("reply"))
-    return J.parse_reply_json(replies, dimension(t.spark, REPLY_FIELDS, "variable string"))
+    return J.parse_reply_json(replies, [v for v, in REPLY_FIELDS])
 
 
 # ------------------------------------------------------------------------------------------------ lines, paragraphs
