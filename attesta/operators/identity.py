@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
 from attesta.operators.ranking import top_k
+from attesta.session import cut_lineage
 from attesta.sources.tables import dimension
 
 WORDS = r"[\p{L}\p{N}]+"
-EMPTY = F.array
 
 
 def _array(values: list[str]) -> Column:
@@ -198,11 +198,14 @@ def score_hits(hits: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def expand_aliases(hits: DataFrame, terms: DataFrame) -> DataFrame:
-    """Two rounds: discover keywords, let anchored ones count as aliases, score the hits again, discover once more."""
+    """Two rounds: discover keywords, let anchored ones count as aliases, score the hits again, discover once more.
+
+    The few keywords of a round are checkpointed, so the hits are scored once per round.
+    """
     found = None
     current = terms
     for _ in range(2):
-        fresh = keyword_discovery(score_hits(hits, current), current)
+        fresh = cut_lineage(keyword_discovery(score_hits(hits, current), current))
         if found is None:
             found = fresh
         else:
