@@ -155,3 +155,15 @@ def test_identity_wrong_year(spark):
     texts = spark.createDataFrame([(1, "Elbe flood 2002 in Germany"), (1, "Ahr valley flood July 2021, Deutschland")], "case_id long, t string")
     scores = [r.identity_score for r in I.identity_score(I.with_terms(texts, terms), F.col("t")).orderBy("t").collect()]
     assert scores[0] > 0.9 and scores[1] < 0.4
+
+
+def test_anchored_keywords_become_aliases_and_reach_local_titles(spark):
+    terms = I.case_terms(spark.createDataFrame(AHR, CASE_SCHEMA))
+    titles = [("https://a.de/1", "Ahr valley flood Germany 2021: Ahrtal"), ("https://b.de/2", "Germany 2021, Ahr valley flood in Ahrtal"),
+              ("https://c.de/3", "Ahrtal Sinzig 2021"), ("https://d.de/4", "2021: Ahrtal Sinzig")]
+    hits = spark.createDataFrame([(i, 1, u, t, "", "") for i, (u, t) in enumerate(titles)],
+                                 "hit_id long, case_id long, url string, title string, snippet string, published string")
+    first = {r.term for r in I.keyword_discovery(I.score_hits(hits, terms), terms).collect()}
+    after = {r.term for r in I.expand_aliases(hits, terms).collect()}
+    assert "Ahrtal" in first and "Ahrtal Sinzig" not in first
+    assert {"Ahrtal", "Ahrtal Sinzig"} <= after
