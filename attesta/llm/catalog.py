@@ -5,7 +5,51 @@ from __future__ import annotations
 from attesta.llm import checks
 from attesta.llm.exact_dedup import exact_dedup
 from attesta.llm.mixing import mix
+from attesta.llm.pieces import encode
+from attesta.llm.quality import quality_rules
+from attesta.llm.url_filters import filter_captures, host_of, path_of
+from attesta.llm.warc import archive_round_trip
 from attesta.sources.tables import read_table
+from pyspark.sql import functions as F
+
+YEAR_START, YEAR_SECONDS = 1_704_067_200, 366 * 86_400  # 2024 in UTC
+
+
+def _number(*parts):
+    """A number below 2**28 that depends on the parts only."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 7), 16, 10).cast("long")
+
+
+def op2_quality_rules(spark, directory):
+    return quality_rules(read_table(spark, directory, "documents")).drop("host_rate")
+
+
+def op3_warc_transactions(spark, directory):
+    return archive_round_trip(read_table(spark, directory, "pages")).drop("target")
+
+
+def dated_entries(pages):
+    """The dated block list that goes with the pages: three entries each for the hosts, the last two labels of the hosts
+    and the first path parts that occur, at times and with actions that follow from the pattern."""
+    host, part = host_of(F.col("url")), F.regexp_extract(path_of(F.col("url")), "^/([^/]+)", 1)
+    labels = F.split(host, r"\.")
+    listed = pages.where(host != "").select(F.explode(F.array(
+        host, F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2))), F.when(part != "", F.concat(host, F.lit("/"), part)))).alias("pattern"))
+    turns = listed.where("pattern IS NOT NULL").distinct().select("pattern", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("turn"))
+    return turns.select(
+        "pattern", (F.lit(YEAR_START) + _number("pattern", "turn") % YEAR_SECONDS).alias("listed_at"),
+        F.when(_number("pattern", "turn", F.lit("action")) % 3 == 0, "block").otherwise("allow").alias("action"),
+        F.concat(F.lit("list"), (_number("pattern", F.lit("category")) % 5).cast("string")).alias("category"))
+
+
+def op7_url_filters(spark, directory):
+    pages = read_table(spark, directory, "pages")
+    captures = pages.select("page_id", "url", (F.lit(YEAR_START) + _number(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("fetch")) % YEAR_SECONDS).alias("fetched_at"))
+    return filter_captures(captures, dated_entries(pages))
+
+
+def op8_piece_encoding(spark, directory):
+    return encode(read_table(spark, directory, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "round_trip", "ids")
 
 
 def op5_exact_dedup(spark, directory):
@@ -17,7 +61,7 @@ def op9_source_mixing(spark, directory):
 
 
 QUERIES = {f.__name__: f for f in (
-    op5_exact_dedup, op9_source_mixing,
+    op2_quality_rules, op3_warc_transactions, op5_exact_dedup, op7_url_filters, op8_piece_encoding, op9_source_mixing,
 )}
 
 

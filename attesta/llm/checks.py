@@ -42,4 +42,78 @@ SELECT s.doc_id, s.size, p.source_size, p.target, CAST(coalesce(u.taken, 0) AS B
 FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN used u ON u.doc_id = s.doc_id
 """
 
-SQL = {"op5_exact_dedup": EXACT, "op9_source_mixing": MIXING}
+QUALITY = rf"""
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+triples AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS triple
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM texts)),
+twice AS (SELECT doc_id, i FROM triples QUALIFY count(*) OVER (PARTITION BY doc_id, triple) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + step) AS n FROM twice, (VALUES (0), (1), (2)) AS s(step) GROUP BY doc_id),
+base AS (
+  SELECT t.doc_id, t.source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, w -> length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
+              - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+         coalesce(r.n, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN repeated r ON r.doc_id = t.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM judged GROUP BY source),
+corpus AS (SELECT sum(k) / sum(n) AS m, sum(k * k / n) / sum(n) AS squares, count(*) / sum(n) AS hosts_per_row FROM hosts),
+prior AS (
+  SELECT m, greatest(m * (1 - m) / CASE WHEN v > 0 THEN v ELSE 1 END - 1, 1) AS s
+  FROM (SELECT m, greatest(squares - m * m - m * (1 - m) * hosts_per_row, m * (1 - m) * 1e-4) AS v FROM corpus)),
+verdicts AS (SELECT source, (k + m * s) / (n + s) > 0.6 AS host_failed FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
+FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
+"""
+
+_BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+WARC = rf"""
+WITH digests AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+named AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), i -> substr({_BASE32},
+    CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM named WINDOW w AS (PARTITION BY payload_digest)
+"""
+
+_NUMBER = "CAST('0x' || substr(md5({}), 1, 7) AS BIGINT)"
+_HOST = r"lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*?)\.?(?::\d*)?(?:[/?#]|$)', 1))"
+_PATH = r"regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1)"
+URLS = rf"""
+WITH seen AS (
+  SELECT page_id, {_HOST} AS host, {_PATH} AS path, 1704067200 + {_NUMBER.format("page_id || '|fetch'")} % 31622400 AS fetched_at FROM pages),
+labelled AS (
+  SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), x -> x <> '') AS parts,
+         regexp_extract(path, '^/([^/]+)', 1) AS part FROM seen),
+listed AS (
+  SELECT DISTINCT pattern FROM (
+    SELECT unnest([host, array_to_string(labels[greatest(len(labels) - 1, 1):], '.'), CASE WHEN part <> '' THEN host || '/' || part END]) AS pattern
+    FROM labelled WHERE host <> '') WHERE pattern IS NOT NULL),
+entries AS (
+  SELECT lower(pattern) AS pattern, 1704067200 + {_NUMBER.format("pattern || '|' || turn")} % 31622400 AS listed_at,
+         CASE WHEN {_NUMBER.format("pattern || '|' || turn || '|action'")} % 3 = 0 THEN 'block' ELSE 'allow' END AS action,
+         'list' || {_NUMBER.format("pattern || '|category'")} % 5 AS category
+  FROM listed, (VALUES (1), (2), (3)) AS t(turn)),
+newest AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY pattern, listed_at ORDER BY action DESC, category DESC) = 1),
+asked AS (
+  SELECT page_id, host, fetched_at, 1000 - len(parts[1:i]) AS rank, host || '/' || array_to_string(parts[1:i], '/') AS pattern
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM labelled WHERE host <> '')
+  UNION ALL
+  SELECT page_id, host, fetched_at, 1000 + i, array_to_string(labels[i:], '.')
+  FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM labelled WHERE host <> '')),
+met AS (
+  SELECT a.page_id, a.rank, a.pattern, e.action, e.category
+  FROM asked a ASOF JOIN newest e ON a.pattern = e.pattern AND a.fetched_at >= e.listed_at),
+chosen AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank) = 1)
+SELECT s.page_id, s.host, s.fetched_at, c.pattern, c.action, c.category, coalesce(c.action = 'block', false) AS blocked
+FROM seen s LEFT JOIN chosen c ON s.page_id = c.page_id
+"""
+
+SQL = {
+    "op2_quality_rules": QUALITY, "op3_warc_transactions": WARC, "op5_exact_dedup": EXACT, "op7_url_filters": URLS,
+    "op9_source_mixing": MIXING,
+}
