@@ -1,7 +1,7 @@
 """Bytes, words and 64-bit hashes of a whole Arrow batch at once.
 
 The texts of a batch lie one after the other in one byte array. Words are maximal runs of bytes other than space and
-``\\x09-\\x0D``, A-Z lower-cased; they never run across two texts. A prefix polynomial hash (modulo 2**64, a random value
+``\\x09-\\x0D``, A-Z lower-cased where asked; they never run across two texts. A prefix polynomial hash (modulo 2**64, a random value
 per byte) gives the hash of any range in constant time.
 """
 
@@ -86,8 +86,8 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 class Words:
     """Words of a chunk: byte ranges, the row each belongs to, rows' first words, and hashes."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        self.data, self.at = LOWER[data], at
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = True):
+        self.data, self.at = LOWER[data] if lower else data, at
         word = ~SPACE[data]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
@@ -116,7 +116,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     n = max(len(words) - width + 1, 0)
     total = np.zeros(n, _U)
     for i in range(width):
-        total += words[i: i + n] * _U((_BASE * (2 * i + 1) + 2 * i * i) | 1)
+        total += words[i: i + n] * _U((_BASE * (2 * i + 1) + 2 * i * i) % 2**64 | 1)
     return mix(total)
 
 

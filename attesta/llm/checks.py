@@ -51,10 +51,10 @@ twice AS (SELECT doc_id, i FROM triples QUALIFY count(*) OVER (PARTITION BY doc_
 repeated AS (SELECT doc_id, count(DISTINCT i + step) AS n FROM twice, (VALUES (0), (1), (2)) AS s(step) GROUP BY doc_id),
 base AS (
   SELECT t.doc_id, t.source, CAST(len(words) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(words, w -> length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-         CAST(len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-              - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+         CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+              - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
          coalesce(r.n, 0) AS n_repeat_words
   FROM texts t LEFT JOIN repeated r ON r.doc_id = t.doc_id),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
@@ -73,7 +73,7 @@ WARC = rf"""
 WITH digests AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 named AS (
-  SELECT *, array_to_string(list_transform(range(0, 32), i -> substr({_BASE32},
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr({_BASE32},
     CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM digests)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
@@ -87,7 +87,7 @@ URLS = rf"""
 WITH seen AS (
   SELECT page_id, {_HOST} AS host, {_PATH} AS path, 1704067200 + {_NUMBER.format("page_id || '|fetch'")} % 31622400 AS fetched_at FROM pages),
 labelled AS (
-  SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), x -> x <> '') AS parts,
+  SELECT *, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts,
          regexp_extract(path, '^/([^/]+)', 1) AS part FROM seen),
 listed AS (
   SELECT DISTINCT pattern FROM (

@@ -393,7 +393,7 @@ def encode(documents: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     vocabulary = spark.sparkContext.broadcast(Vocabulary(model))  # as large as the vocabulary, whatever the data
     rows = documents.drop("ids", "n_ids", "round_trip")
     schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-    text_at = rows.columns.index("text")
+    names, text_at = [*rows.columns, "ids", "n_ids", "round_trip"], rows.columns.index("text")
 
     def run(batches):
         for batch in batches:
@@ -402,7 +402,7 @@ def encode(documents: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
             while first < batch.num_rows:  # smaller record batches, so ids of many long texts never pile up
                 last = min(max(int(np.searchsorted(at, at[first] + BATCH_BYTES, side="right")) - 1, first + 1), batch.num_rows)
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, *encode_column(vocabulary.value, part.column(text_at))], names=[*rows.columns, "ids", "n_ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *encode_column(vocabulary.value, part.column(text_at))], names=names)
                 first = last
 
     return rows.mapInArrow(run, schema)

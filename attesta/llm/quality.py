@@ -60,7 +60,7 @@ def measure(documents: DataFrame, *others: str) -> DataFrame:
         for batch in batches:
             found = np.zeros((5, batch.num_rows), np.int64)
             for first, last, data, at in chunks(batch.column(batch.num_columns - 1)):
-                words = Words(data, at)
+                words = Words(data, at, lower=False)
                 part = found[:, first:last]
                 part[0] = words.count
                 part[1] = run_sums((~SPACE[data] & _FIRST_OF_POINT[data]).astype(np.int64), at)

@@ -155,7 +155,7 @@ def assemble(records: DataFrame) -> DataFrame:
     them has nulls there; records that name no capture of the archives come as no row.
     """
     def partner(kind: str) -> DataFrame:
-        fields = F.struct("record_id", "content_type", F.when(F.col("record_type") == "metadata", F.decode("payload", F.lit("UTF-8"))).otherwise(F.col("head")).alias("body"))
+        fields = F.struct("record_id", "content_type", F.when(F.col("record_type") == "metadata", F.decode("payload", "UTF-8")).otherwise(F.col("head")).alias("body"))
         return records.where((F.col("record_type") == kind) & F.col("concurrent_to").isNotNull()).groupBy("concurrent_to").agg(
             F.min(fields).alias(kind)).withColumnRenamed("concurrent_to", f"{kind}_of")
 
