@@ -92,7 +92,7 @@ def host_verdicts(documents: DataFrame, host: str, max_rate: float) -> DataFrame
     within = m * (1 - m) * F.col("n_hosts") / F.col("n_all")  # what chance alone gives
     spread = F.greatest(between - within, m * (1 - m) * 1e-4)
     prior = totals.select(m.alias("mean"), F.greatest(m * (1 - m) / F.when(spread > 0, spread).otherwise(1.0) - 1, F.lit(1.0)).alias("strength"))
-    mean, strength = prior.agg(F.first("mean"), F.first("strength")).first()
+    mean, strength = (float(x) if x is not None else 1.0 for x in prior.agg(F.first("mean"), F.first("strength")).first())
     shrunk = (k + F.lit(mean) * F.lit(strength)) / (n + F.lit(strength))
     return hosts.select(host, "host_documents", "host_failures", shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_failed"))
 
