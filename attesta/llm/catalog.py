@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import checks
+from attesta.llm import checks, lm_scoring, toxicity
 from attesta.llm.exact_dedup import exact_dedup
 from attesta.llm.mixing import mix
 from attesta.llm.pieces import encode
@@ -42,6 +42,12 @@ def dated_entries(pages):
         F.concat(F.lit("list"), (_number("pattern", F.lit("category")) % 5).cast("string")).alias("category"))
 
 
+def op6_lm_scoring(spark, directory):
+    documents = read_table(spark, directory, "documents").select("doc_id", "text")
+    model, counts = lm_scoring.fit(documents)
+    return lm_scoring.score(documents, model, counts).withColumn("held_out", lm_scoring.held_out(2, 7))
+
+
 def op7_url_filters(spark, directory):
     pages = read_table(spark, directory, "pages")
     captures = pages.select("page_id", "url", (F.lit(YEAR_START) + _number(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("fetch")) % YEAR_SECONDS).alias("fetched_at"))
@@ -60,8 +66,14 @@ def op9_source_mixing(spark, directory):
     return mix(read_table(spark, directory, "documents"))
 
 
+def op10_toxicity(spark, directory):
+    documents = read_table(spark, directory, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, read_table(spark, directory, "labels"))
+    return toxicity.score(documents, model).select("doc_id", toxicity.held_out(2, 4).alias("held_out"), "score", "predicted", "neighbours", "cosines")
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_warc_transactions, op5_exact_dedup, op7_url_filters, op8_piece_encoding, op9_source_mixing,
+    op2_quality_rules, op3_warc_transactions, op5_exact_dedup, op6_lm_scoring, op7_url_filters, op8_piece_encoding, op9_source_mixing, op10_toxicity,
 )}
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from attesta.llm.batches import Words, chunks, mix, prefix_hash, range_hash
 from attesta.llm.shared import shared_table
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 BLOCK = 32
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?\"'()[]{}<>*_-")] = True
@@ -53,21 +53,44 @@ def _distinct(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[first], terms[first]
 
 
-def term_counts(labelled: DataFrame) -> DataFrame:
-    """(term, toxic_docs, clean_docs) over all rows of (text, toxic); counted per batch, then combined."""
+def term_counts(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(term, docs): in how many of the texts a term occurs; counted per batch, then combined. ``only``: sorted terms of interest."""
+    shared = texts.sparkSession.sparkContext.broadcast(only)
+
     def count(batches):
+        wanted = shared.value
         for b in batches:
-            toxic = np.array(b.column(1).to_pylist()) == 1
-            for first, last, data, at in chunks(b.column(0), 8 << 20):
-                rows, terms = _distinct(*_terms(data, at))
-                names, place = np.unique(terms, return_inverse=True)
-                bad = np.bincount(place[toxic[first:last][rows]], minlength=len(names))
-                all_ = np.bincount(place, minlength=len(names))
-                # a term without a toxic text and without company is no use for telling texts apart, yet it is counted
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(bad), pa.array(all_ - bad)], names=["term", "toxic_docs", "clean_docs"])
+            for _, _, data, at in chunks(b.column(0), 2 << 20):
+                rows, terms = _terms(data, at)
+                if wanted is not None:
+                    hit = wanted[np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)] == terms
+                    rows, terms = rows[hit], terms[hit]
+                names, docs = np.unique(_distinct(rows, terms)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(docs, pa.int64())], names=["term", "docs"])
+
+    return texts.select("text").mapInArrow(count, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+
 
-    counted = labelled.select("text", "toxic").mapInArrow(count, "term long, toxic_docs long, clean_docs long")
-    return counted.groupBy("term").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("clean_docs").alias("clean_docs"))
+def choose_terms(training: DataFrame, n_toxic: int, n_clean: int, max_terms: int, min_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that tell toxic from clean texts best, and the weight of each: inverse document frequency times gain.
+
+    Only terms in at least ``min_share`` of the toxic texts (and in two) are counted among the clean ones; there are at
+    most (terms of a text) / ``min_share`` of these, whatever the number of texts, so they may be broadcast.
+    """
+    least = max(2.0, min_share * n_toxic)
+    toxic = term_counts(training.where("toxic = 1")).where(F.col("docs") >= least).orderBy("term").toPandas()
+    terms, bad = toxic["term"].to_numpy(np.int64), toxic["docs"].to_numpy(float)
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0)
+    clean = term_counts(training.where("toxic <> 1"), terms).toPandas()
+    good = np.zeros(len(terms))
+    good[np.searchsorted(terms, clean["term"].to_numpy(np.int64))] = clean["docs"].to_numpy(float)
+    share_t, share_c, smooth = bad / max(n_toxic, 1), good / max(n_clean, 1), 1 / (n_toxic + n_clean)
+    gain = np.where(share_t > share_c, (share_t - share_c) * np.log((share_t + smooth) / (share_c + smooth)), 0)
+    best = np.lexsort((terms, -gain))[:max_terms]
+    best = best[gain[best] > 0]
+    idf = np.log((1 + n_toxic + n_clean) / (1 + bad + good)) + 1
+    return terms[best], (idf * gain)[best]
 
 
 class Model:
@@ -151,8 +174,8 @@ def held_out(fold: int, folds: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_terms: int = 256, max_examples: int = 4000, k: int = 15, pull: float = 0.5,
-        fold: int = 2, folds: int = 4) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_terms: int = 512, min_share: float = 0.005, max_examples: int = 4000,
+        k: int = 15, pull: float = 0.5, fold: int = 2, folds: int = 4) -> Model:
     """Learns from labelled rows outside the held-out fold. Only text and ``toxic`` are read, doc_id for the join and fold.
 
     A document with several labels counts as toxic if one of them is 1; labels without a document or value are ignored.
@@ -164,15 +187,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_terms: int = 256, max_examp
     n_toxic = sum(r["count"] for r in totals if r["toxic"] == 1)
     n_clean = sum(r["count"] for r in totals if r["toxic"] != 1)
     prior = n_toxic / max(n_toxic + n_clean, 1)
-    share_t, share_c = F.col("toxic_docs") / F.lit(float(n_toxic or 1)), F.col("clean_docs") / F.lit(float(n_clean or 1))
-    smooth = F.lit(1.0 / max(n_toxic + n_clean, 1))
-    gain = (share_t - share_c) * F.log((share_t + smooth) / (share_c + smooth))
-    best = term_counts(training).where((F.col("toxic_docs") >= 2) & (share_t > share_c)).select(
-        "term", (F.col("toxic_docs") + F.col("clean_docs")).alias("docs"), gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(max_terms).toPandas()
-    idf = np.log((1 + n_toxic + n_clean) / (1 + best["docs"].to_numpy(float))) + 1
-    model = Model(best["term"].to_numpy(np.int64), idf * np.sqrt(np.maximum(best["gain"].to_numpy(float), 0)), prior, k, pull)
-    # examples by hash, in the proportions of the training rows
-    sample = training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).select("doc_id", "toxic", "text")
+    model = Model(*choose_terms(training, n_toxic, n_clean, max_terms, min_share), prior, k, pull)
+    # examples by hash, so in about the proportions of the training rows; the hash of the last one is found on narrow rows
+    place = F.xxhash64("doc_id")
+    last = training.select(place.alias("place")).orderBy("place").limit(max_examples).agg(F.max("place")).first()[0]
+    sample = training.where(place <= F.lit(last)).select("doc_id", "toxic", "text") if last is not None else training.limit(0).select("doc_id", "toxic", "text")
     vectors = sample.mapInArrow(_vectors_of(model), "doc_id long, toxic int, places array<long>, weights array<double>").toPandas()
     vectors = vectors.sort_values("doc_id", kind="stable").reset_index(drop=True)
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in vectors["places"]])]).astype(np.int64)
@@ -193,7 +212,7 @@ def _row_of(model: Model, i: int) -> tuple[np.ndarray, np.ndarray]:
 def _vectors_of(model: Model):
     def run(batches):
         for b in batches:
-            for first, last, data, at in chunks(b.column(2), 8 << 20):
+            for first, last, data, at in chunks(b.column(2), 2 << 20):
                 bounds, place, weight = model.vectors(data, at)
                 offsets = pa.array(bounds.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
@@ -217,7 +236,7 @@ def score(documents: DataFrame, model: Model, limit: float = 0.3, evidence: int
     def run(batches):
         m = shared.value
         for b in batches:
-            for first, last, data, at in chunks(b.column(text_at), 4 << 20):
+            for first, last, data, at in chunks(b.column(text_at)):
                 bounds, place, weight = m.vectors(data, at)
                 scores, near, close = np.empty(last - first), [], []
                 for i in range(last - first):
