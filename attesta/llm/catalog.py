@@ -5,6 +5,7 @@ from __future__ import annotations
 from attesta.llm import checks, lm_scoring, toxicity
 from attesta.llm.exact_dedup import exact_dedup
 from attesta.llm.mixing import mix
+from attesta.llm.ngram_join import ngram_join
 from attesta.llm.pieces import encode
 from attesta.llm.quality import quality_rules
 from attesta.llm.url_filters import filter_captures, host_of, path_of
@@ -20,6 +21,10 @@ def _number(*parts):
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 7), 16, 10).cast("long")
 
 
+def op1_ngram_join(spark, directory):
+    return ngram_join(read_table(spark, directory, "documents"))
+
+
 def op2_quality_rules(spark, directory):
     return quality_rules(read_table(spark, directory, "documents")).drop("host_rate")
 
@@ -73,7 +78,7 @@ def op10_toxicity(spark, directory):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_warc_transactions, op5_exact_dedup, op6_lm_scoring, op7_url_filters, op8_piece_encoding, op9_source_mixing, op10_toxicity,
+    op1_ngram_join, op2_quality_rules, op3_warc_transactions, op5_exact_dedup, op6_lm_scoring, op7_url_filters, op8_piece_encoding, op9_source_mixing, op10_toxicity,
 )}
 
 
