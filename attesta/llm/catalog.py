@@ -8,6 +8,7 @@ from attesta.llm.mixing import mix
 from attesta.llm.ngram_join import ngram_join
 from attesta.llm.pieces import encode
 from attesta.llm.quality import quality_rules
+from attesta.llm.substring_dedup import substring_dedup
 from attesta.llm.url_filters import filter_captures, host_of, path_of
 from attesta.llm.warc import archive_round_trip
 from attesta.sources.tables import read_table
@@ -63,6 +64,10 @@ def op8_piece_encoding(spark, directory):
     return encode(read_table(spark, directory, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "round_trip", "ids")
 
 
+def op4_substring_dedup(spark, directory):
+    return substring_dedup(read_table(spark, directory, "documents"))
+
+
 def op5_exact_dedup(spark, directory):
     return exact_dedup(read_table(spark, directory, "documents"))
 
@@ -78,7 +83,7 @@ def op10_toxicity(spark, directory):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_join, op2_quality_rules, op3_warc_transactions, op5_exact_dedup, op6_lm_scoring, op7_url_filters, op8_piece_encoding, op9_source_mixing, op10_toxicity,
+    op1_ngram_join, op2_quality_rules, op3_warc_transactions, op4_substring_dedup, op5_exact_dedup, op6_lm_scoring, op7_url_filters, op8_piece_encoding, op9_source_mixing, op10_toxicity,
 )}
 
 

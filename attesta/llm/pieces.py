@@ -19,6 +19,7 @@ Nothing is shuffled: each task encodes its own rows, whole texts in batches of b
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from functools import lru_cache
 
@@ -31,7 +32,8 @@ from attesta.llm.batches import chunks, column_bytes, mix, prefix_hash, range_ha
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+REMEMBERED = 1 << 20
 
 
 def merge_pieces(text: str, ids: dict[str, int], score: dict[str, float]) -> list[str]:
@@ -117,6 +119,7 @@ class Vocabulary:
         texts = [n.replace(SPACE, " ").encode() for n in names]
         for b, i in enumerate(self.byte_ids):
             texts[i] = bytes([b])
+        self.name = hashlib.md5("\0".join(f"{n} {score.get(n)}" for n in names).encode()).hexdigest()
         self.piece_bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.piece_at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
 
@@ -207,9 +210,9 @@ def occurrences(vocabulary: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray,
     low = _bound(columns, [four(low_rows, i) for i in range(vocabulary.depth // 4)], False)
     high = _bound(columns, [four(high_rows, i) for i in range(vocabulary.depth // 4)], True)
     count = high - low
-    piece = np.repeat(np.arange(len(low)), count)
+    piece = np.repeat(np.arange(len(low), dtype=np.int32), count)
     inside = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-    return order[np.repeat(low, count) + inside], piece
+    return order[np.repeat(low, count) + inside].astype(np.int32), piece
 
 
 def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,18 +225,17 @@ def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray
     codes = vocabulary.code[points].astype(np.uint16)
     codes[begin + lengths] = 0
     position, piece = occurrences(vocabulary, codes)
-    unknown = np.flatnonzero(codes == 1)
+    unknown = np.flatnonzero(codes == 1).astype(np.int32)
     start = np.concatenate([position, unknown])
-    rank = np.concatenate([piece, np.full(len(unknown), -1)])
-    end = start + np.where(rank >= 0, vocabulary.length[np.maximum(rank, 0)], 1)
-    word_of = np.repeat(np.arange(len(words)), lengths + 1)
-    step = end - begin[word_of[start]]
+    rank = np.concatenate([piece, np.full(len(unknown), -1, np.int32)])
+    end = start + np.where(rank >= 0, vocabulary.length[np.maximum(rank, 0)], 1).astype(np.int32)
+    step = end - np.repeat(begin, lengths + 1)[start]
     step = step.astype(np.uint16 if step.max(initial=0) < 1 << 16 else np.int64)
     order = np.argsort(step, kind="stable")  # a radix sort for all but huge words
     start, end, rank = start[order], end[order], rank[order]
     bounds = np.concatenate([[0], np.cumsum(np.bincount(step, minlength=int(lengths.max(initial=0)) + 1))])
-    last = np.full(len(codes) + 1, -2)  # rank of the last piece of the prefix that ends here; -1 a byte piece, -2 none
-    came = np.zeros(len(codes) + 1, np.int64)
+    last = np.full(len(codes) + 1, -2, np.int32)  # rank of the last piece of the prefix that ends here; -1 a byte piece, -2 none
+    came = np.zeros(len(codes) + 1, np.int32)
     first_of = np.zeros(len(codes) + 1, bool)
     first_of[begin] = True
     for s, e in zip(bounds[:-1], bounds[1:]):
@@ -296,8 +298,60 @@ def _unit_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return out
 
 
-def encode_bytes(vocabulary: Vocabulary, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets per row) of texts lying one after the other; the caller has turned U+2581 into spaces."""
+class Known:
+    """Encoded units of earlier batches, by hash; forgotten as a whole when there are more than ``REMEMBERED``."""
+
+    def __init__(self):
+        self.keys, self.begin, self.length, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether known)"""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """New units, whose ids lie one after the other."""
+        if len(self.keys) + len(keys) > REMEMBERED and len(self.keys):
+            self.__init__()
+        keys, begin = np.concatenate([self.keys, keys]), np.concatenate([self.begin, len(self.pool) + np.cumsum(lengths) - lengths])
+        order = np.argsort(keys)
+        self.keys, self.begin, self.length = keys[order], begin[order], np.concatenate([self.length, lengths])[order]
+        self.pool = np.concatenate([self.pool, ids])
+
+
+_KNOWN: dict[str, Known] = {}
+
+
+def _encode_units(vocabulary: Vocabulary, texts: list[bytes], runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one after the other, number of ids) of units: a word after so many spaces."""
+    ids, offsets, alone = encode_words(vocabulary, texts)
+    odd = np.flatnonzero((runs != 1) | np.array([not t for t in texts], bool))
+    if not len(odd):
+        return ids, np.diff(offsets)
+    parts = {}
+    for i in odd.tolist():
+        own, n = ids[offsets[i]: offsets[i + 1]], int(runs[i])
+        if not texts[i] or alone[i]:  # the space before the word merged with nothing: it joins the run
+            parts[i] = np.concatenate([np.array(vocabulary.space_run(n), np.int32), own[1:]])
+        else:
+            parts[i] = np.concatenate([np.array(vocabulary.space_run(n - 1), np.int32), own])
+    pieces, at = [], 0
+    for i in odd.tolist():
+        pieces += [ids[offsets[at]: offsets[i]], parts[i]]
+        at = i + 1
+    pieces.append(ids[offsets[at]:])
+    lengths = np.diff(offsets)
+    lengths[odd] = [len(parts[i]) for i in odd.tolist()]
+    return np.concatenate(pieces), lengths
+
+
+def encode_bytes(vocabulary: Vocabulary, data: np.ndarray, at: np.ndarray, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets per row) of texts lying one after the other; the caller has turned U+2581 into spaces.
+
+    With ``known`` units are told apart by hash and each distinct one is encoded once; without, every unit is encoded.
+    """
     blank = data == 32
     row_begin = at[:-1][np.diff(at) > 0]
     # a unit is a run of spaces and the run of other characters after it; a row begins a unit
@@ -306,42 +360,29 @@ def encode_bytes(vocabulary: Vocabulary, data: np.ndarray, at: np.ndarray) -> tu
     opens[row_begin] = True
     start = np.flatnonzero(opens[:-1])
     end = np.concatenate([start[1:], [len(data)]])
-    spaces = np.concatenate([[0], np.cumsum(blank)])
-    k = spaces[end] - spaces[start]
+    spaces = np.concatenate([[0], np.cumsum(blank, dtype=np.int32)])
+    k = (spaces[end] - spaces[start]).astype(np.int64)  # spaces inside a unit lie at its beginning only
+    word = start + k
     leads = np.zeros(len(data) + 1, bool)
     leads[row_begin] = True
-    word = start + k
     k = k + leads[start]  # every text begins with one more space
-    # spaces inside a unit lie at its beginning only
-    key = mix(_unit_hashes(data, word, end) + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, where, unit = np.unique(key, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    texts = [raw[s:e] for s, e in zip(word[where].tolist(), end[where].tolist())]
-    runs = k[where]
-    ids, offsets, alone = encode_words(vocabulary, texts)
-    if (runs != 1).any() or b"" in texts:
-        parts, lengths = [], np.empty(len(texts), np.int64)
-        odd = (runs != 1) | np.array([t == b"" for t in texts])
-        for i in range(len(texts)) if odd.all() else np.flatnonzero(odd).tolist():
-            own = ids[offsets[i]: offsets[i + 1]]
-            n = int(runs[i])
-            if texts[i] == b"" or alone[i]:
-                own = np.concatenate([np.array(vocabulary.space_run(n), np.int32), own[1:]])
-            elif n > 1:
-                own = np.concatenate([np.array(vocabulary.space_run(n - 1), np.int32), own])
-            parts.append((i, own))
-        lengths[:] = np.diff(offsets)
-        extra_at, pool = offsets[:-1].copy(), [ids]
-        used = len(ids)
-        for i, own in parts:
-            lengths[i], extra_at[i] = len(own), used
-            pool.append(own)
-            used += len(own)
-        ids, begin = np.concatenate(pool), extra_at
-    else:
-        begin, lengths = offsets[:-1], np.diff(offsets)
-    out = gather(ids, begin[unit], lengths[unit])
-    per_unit = np.concatenate([[0], np.cumsum(lengths[unit])])
+    if known is None:
+        ids, lengths = _encode_units(vocabulary, [raw[s:e] for s, e in zip(word.tolist(), end.tolist())], k)
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(start, at)]
+    keys = mix(_unit_hashes(data, word, end) + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    keys, where, unit = np.unique(keys, return_index=True, return_inverse=True)
+    new = ~known.find(keys)[1]
+    if len(known.keys) + new.sum() > REMEMBERED and len(known.keys):
+        known.__init__()
+        new[:] = True
+    if new.any():
+        where = where[new]
+        ids, lengths = _encode_units(vocabulary, [raw[s:e] for s, e in zip(word[where].tolist(), end[where].tolist())], k[where])
+        known.add(keys[new], lengths, ids)
+    place = known.find(keys)[0][unit]
+    out = gather(known.pool, known.begin[place], known.length[place])
+    per_unit = np.concatenate([[0], np.cumsum(known.length[place])])
     return out, per_unit[np.searchsorted(start, at)]
 
 
@@ -355,7 +396,7 @@ def decode_bytes(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tup
     return data[keep], ends - np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
 
 
-def encode_column(vocabulary: Vocabulary, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+def encode_column(vocabulary: Vocabulary, texts: pa.Array, known: Known) -> tuple[pa.Array, pa.Array, pa.Array]:
     """(ids, number of ids, whether decoding gives the text back) for every text; null counts as empty."""
     ids, counts, same = [], [], []
     for first, last, data, at in chunks(texts, BATCH_BYTES):
@@ -367,13 +408,20 @@ def encode_column(vocabulary: Vocabulary, texts: pa.Array) -> tuple[pa.Array, pa
             counts.append(np.zeros(last - first, np.int64))
             same.append(np.ones(last - first, bool))
             continue
-        own, own_at = encode_bytes(vocabulary, data, at)
+        own, own_at = encode_bytes(vocabulary, data, at, known)
         back, back_at = decode_bytes(vocabulary, own, own_at)
         if len(back) == len(data) and (back_at == at).all():
             wrong = np.concatenate([[0], np.cumsum(back != data)])
             equal = wrong[at[1:]] == wrong[at[:-1]]
         else:
             equal = np.array([back[back_at[i]: back_at[i + 1]].tobytes() == data[at[i]: at[i + 1]].tobytes() for i in range(len(at) - 1)])
+        if not equal.all():  # two units with one hash: encode these texts without hashes
+            parts = [own[s:e] for s, e in zip(own_at[:-1], own_at[1:])]
+            for i in np.flatnonzero(~equal).tolist():
+                text = data[at[i]: at[i + 1]]
+                parts[i] = encode_bytes(vocabulary, text, np.array([0, len(text)]))[0]
+                equal[i] = decode_bytes(vocabulary, parts[i], np.array([0, len(parts[i])]))[0].tobytes() == text.tobytes()
+            own, own_at = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         ids.append(own.astype(np.int32))
         counts.append(np.diff(own_at))
         same.append(equal)
@@ -396,13 +444,14 @@ def encode(documents: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     names, text_at = [*rows.columns, "ids", "n_ids", "round_trip"], rows.columns.index("text")
 
     def run(batches):
+        known = _KNOWN.setdefault(vocabulary.value.name, Known())  # a worker goes on to the next task with what it knows
         for batch in batches:
             _, at = column_bytes(batch.column(text_at))
             first = 0
             while first < batch.num_rows:  # smaller record batches, so ids of many long texts never pile up
                 last = min(max(int(np.searchsorted(at, at[first] + BATCH_BYTES, side="right")) - 1, first + 1), batch.num_rows)
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, *encode_column(vocabulary.value, part.column(text_at))], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *encode_column(vocabulary.value, part.column(text_at), known)], names=names)
                 first = last
 
     return rows.mapInArrow(run, schema)
