@@ -74,6 +74,7 @@ BOILERPLATE_PHRASES = [
 PASSAGE_TARGET = 900
 PASSAGE_MAX = 1600
 PASSAGE_FLUSH = 540
+PASSAGE_MIN_CUT = 200  # a longer sentence is cut at a blank only beyond this place
 SHINGLE_WORDS = 5
 SHINGLE_MODULUS = 3
 NEAR_DUPLICATE_CONTAINMENT = 0.6
@@ -323,3 +324,6 @@ OUTPUT_BASE_TOKENS = 1500
 OUTPUT_TOKENS_PER_VARIABLE = 1200
 OUTPUT_MAX_TOKENS = 16000
 TYPICAL_REPLY_TOKENS = 320
+
+# cache states that mean an earlier answer was used again
+REUSED_STATES = ["hit", "legacy_v2_hit", "legacy_hit"]

@@ -215,7 +215,7 @@ def assess_agreement(pair: DataFrame, reviews: DataFrame, batch_hashes: DataFram
         *KEY, "status", lookup(c("status"), fixed.AGREEMENT_LABELS).alias("label"), c("status").startswith("eligible").alias("eligible"),
         F.when(F.coalesce(equal, F.lit(False)) & (c("status") == "pending"), F.array_join("problem_list", "; ")).otherwise("").alias("problems"),
         a["value"].alias("value"), "kind", F.array_join("differences", ", ").alias("differences"),
-        (a["cache_status"].isin("hit") | b["cache_status"].isin("hit")).alias("reused"))
+        (a["cache_status"].isin(*fixed.REUSED_STATES) | b["cache_status"].isin(*fixed.REUSED_STATES)).alias("reused"))
 
 
 def eligible_summary(assessed: DataFrame, code_labels: dict[str, list[tuple[str, str]]]) -> DataFrame:

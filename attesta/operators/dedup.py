@@ -19,17 +19,20 @@ from attesta.session import cut_lineage
 def exact_duplicates(sources: DataFrame) -> DataFrame:
     """Adds duplicate_of: the earliest source of the case with the same content hash (null for originals).
 
+    Only sources that were read and have text take part: a failed or empty source is neither a copy nor an original.
+
     The minimum is taken by a combined aggregation instead of a window, so a third of all rows sharing one hash does
     not end up in one task; only hashes that occur more than once take part in the join.
     """
+    readable = F.col("content_hash").isNotNull() & (F.col("fetch_status") == "ok") & (F.trim("text") != "")
     groups = (
-        sources.where(F.col("content_hash").isNotNull())
+        sources.where(readable)
         .groupBy("case_id", "content_hash")
         .agg(F.min("source_id").alias("first_id"), F.count("*").alias("copies"))
         .where("copies > 1").drop("copies")
     )
     return sources.join(groups, ["case_id", "content_hash"], "left").withColumn(
-        "duplicate_of", F.when(F.col("first_id") < F.col("source_id"), F.col("first_id"))).drop("first_id")
+        "duplicate_of", F.when(readable & (F.col("first_id") < F.col("source_id")), F.col("first_id"))).drop("first_id")
 
 
 def candidate_url_dedup(hits: DataFrame, stored: DataFrame) -> DataFrame:
@@ -123,51 +126,76 @@ def measure_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         share(F.greatest(F.least("na", "nb"), F.lit(1))).alias("containment"))
 
 
-def _prefix_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of one case that can reach the containment limit.
+def _prefix_pairs(sets: DataFrame, limit: float = fixed.NEAR_DUPLICATE_CONTAINMENT, jaccard: bool = False, across: str | None = None) -> DataFrame:
+    """Pairs (source_id < other_id) of one case that can reach the limit of containment (or jaccard).
 
     If the smaller set shares 60 % of its shingles with the larger one, its rarest 40 % plus one must meet the larger
-    set, so only those are used as probes. This drops no pair, and common phrases are rarely among the probes.
+    set, so only those are used as probes. This drops no pair, and common phrases are rarely among the probes. For
+    jaccard the smaller set must also have at least that share of the larger one's size. ``across`` names a boolean
+    column: only pairs of different values are wanted.
     """
-    postings = sets.select("case_id", "source_id", "n", F.explode("sh").alias("h"))
-    frequency = postings.groupBy("case_id", "h").agg(F.count("*").alias("holders"))
-    rated = postings.join(frequency, ["case_id", "h"])
-    order = W.partitionBy("source_id").orderBy("holders", "h")
-    needed = F.col("n") - F.ceil(F.col("n") * fixed.NEAR_DUPLICATE_CONTAINMENT) + 1
-    probes = rated.withColumn("place", F.row_number().over(order)).where((F.col("place") <= needed) & (F.col("holders") > 1)).select(
-        "case_id", "h", F.col("source_id").alias("small_id"), F.col("n").alias("small_n"))
-    index = rated.where("holders > 1").select("case_id", "h", F.col("source_id").alias("large_id"), F.col("n").alias("large_n"))
-    smaller = (F.col("small_n") < F.col("large_n")) | ((F.col("small_n") == F.col("large_n")) & (F.col("small_id") < F.col("large_id")))
-    return probes.join(index, ["case_id", "h"]).where(smaller).select(
-        "case_id", F.col("small_id").alias("source_id"), F.col("large_id").alias("other_id")).distinct()
-
-
-def _best_original(scored: DataFrame) -> DataFrame:
-    """Highest containment, then best rank, among partners that out-rank the source."""
-    close = scored.where((F.col("containment") >= fixed.NEAR_DUPLICATE_CONTAINMENT) & (F.col("other_rank") < F.col("rank")))
-    best = F.min(F.struct((-F.col("containment")).alias("neg"), F.col("other_rank"))).alias("best")
-    return close.groupBy("case_id", "source_id").agg(best).select(
-        "case_id", "source_id", F.col("best.other_rank.id").alias("near_duplicate_of"), F.round(-F.col("best.neg"), 3).alias("similarity"))
-
-
-def _both_ways(scored: DataFrame) -> DataFrame:
+    extra = [across] if across else []
+    postings = sets.select("case_id", "source_id", "n", *extra, F.explode("sh").alias("h"))
+    frequency = postings.groupBy("case_id", "h").agg(F.count("*").alias("holders")).where("holders > 1")
+    rated = postings.join(frequency, ["case_id", "h"], "left")
+    order = W.partitionBy("source_id").orderBy(F.coalesce("holders", F.lit(1)), "h")
+    needed = F.col("n") - F.ceil(F.col("n") * limit) + 1
+    side = lambda df, s: df.select("case_id", "h", F.col("source_id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), *[F.col(c).alias(f"{s}_side") for c in extra])
+    probes = side(rated.withColumn("place", F.row_number().over(order)).where((F.col("place") <= needed) & F.col("holders").isNotNull()), "small")
+    index = side(rated.where("holders IS NOT NULL"), "large")
+    fits = (F.col("small_n") < F.col("large_n")) | ((F.col("small_n") == F.col("large_n")) & (F.col("small_id") < F.col("large_id")))
+    if jaccard:
+        fits = fits & (F.col("small_n") >= F.ceil(F.col("large_n") * limit))
+    if across:
+        fits = fits & (F.col("small_side") != F.col("large_side"))
+    return probes.join(index, ["case_id", "h"]).where(fits).select(
+        "case_id", F.least("small_id", "large_id").alias("source_id"), F.greatest("small_id", "large_id").alias("other_id")).distinct()
+
+
+def similar_pairs(sets: DataFrame, limit: float, by: str = "containment") -> DataFrame:
+    """All pairs (source_id < other_id) of a case whose containment (or ``jaccard``) is at least ``limit`` (above 0)."""
+    return measure_pairs(_prefix_pairs(sets, limit, by == "jaccard"), sets).where(F.col(by) >= limit)
+
+
+def _close(scored: DataFrame) -> DataFrame:
+    """Pairs with enough containment, turned so that other_id has the better rank."""
     turned = scored.select("case_id", F.col("other_id").alias("source_id"), F.col("source_id").alias("other_id"),
                            F.col("other_rank").alias("rank"), F.col("rank").alias("other_rank"), "containment")
-    return scored.select(turned.columns).unionByName(turned)
+    return scored.select(turned.columns).unionByName(turned).where(
+        (F.col("containment") >= fixed.NEAR_DUPLICATE_CONTAINMENT) & (F.col("other_rank") < F.col("rank")))
 
 
 def near_duplicates(sets: DataFrame) -> DataFrame:
     """(case_id, source_id, near_duplicate_of, similarity) of every near copy.
 
-    First each source is held against the best-ranked holder of each of its shingles; sources found to be copies are
-    no longer candidates. The rest is matched exactly with each other. The shingle sets feed six joins, so they are
-    checkpointed once instead of being computed from the texts each time.
+    In the order of authority, a source is a copy if it is close to a better-ranked source that is no copy itself; it
+    points at the one with the highest containment, then the best rank.
+
+    A source that leads all its shingles has no better-ranked partner and is an original; what is close to it is a copy.
+    That settles large groups with one comparison per member. The close pairs of the others are found by the prefix
+    filter and settled in rounds: who has no open better-ranked partner is an original, its partners are copies, and
+    pairs with copies fall away. At last all copies are held against all originals.
     """
     sets = cut_lineage(sets)
-    first = cut_lineage(_best_original(measure_pairs(leader_pairs(sets), sets)))
-    rest = sets.join(first, ["case_id", "source_id"], "left_anti")
-    second = _best_original(_both_ways(measure_pairs(_prefix_pairs(rest), rest)))
-    return first.unionByName(second)
+    postings = sets.select("case_id", "source_id", "rank", F.explode("sh").alias("h"))
+    leaders = postings.groupBy("case_id", "h").agg(F.min("rank").alias("lead"))
+    followers = postings.join(leaders, ["case_id", "h"]).where("lead.id <> source_id").select("source_id").distinct()
+    sure = sets.join(followers, "source_id", "left_anti").select(F.col("source_id").alias("other_id"))
+    early = cut_lineage(_close(measure_pairs(leader_pairs(sets).join(sure, "other_id", "left_semi"), sets)).select("source_id").distinct())
+    rest = sets.join(early, "source_id", "left_anti").join(sure, F.col("source_id") == F.col("other_id"), "left_anti")
+    edges = cut_lineage(_close(measure_pairs(_prefix_pairs(rest), rest)).select("source_id", "other_id"))
+    copies = early
+    while not edges.isEmpty():  # as many rounds as the longest row of closeness by falling rank
+        originals = edges.select("other_id").distinct().join(edges.select(F.col("source_id").alias("other_id")), "other_id", "left_anti")
+        found = cut_lineage(edges.join(originals, "other_id", "left_semi").select("source_id").distinct())
+        copies = copies.unionByName(found)
+        edges = cut_lineage(edges.join(found, "source_id", "left_anti").join(found.select(F.col("source_id").alias("other_id")), "other_id", "left_anti"))
+    marked = cut_lineage(sets.join(copies.withColumn("copy", F.lit(True)), "source_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False))))
+    of_copy = marked.where("copy").select("source_id")
+    close = _close(measure_pairs(_prefix_pairs(marked, across="copy"), marked)).join(of_copy, "source_id", "left_semi")
+    best = F.min(F.struct((-F.col("containment")).alias("neg"), F.col("other_rank"))).alias("best")
+    return close.groupBy("case_id", "source_id").agg(best).select(
+        "case_id", "source_id", F.col("best.other_rank.id").alias("near_duplicate_of"), F.round(-F.col("best.neg"), 3).alias("similarity"))
 
 
 def citation_dedup(citations: DataFrame, *keys: str) -> DataFrame:

@@ -143,9 +143,10 @@ def _runs(words: Column, n: int) -> Column:
     return F.transform(good, lambda r: F.array_join(r, " "))
 
 
-# A kept list of eight can hide at most 3 words of each kept phrase and the pairs and triples of eight kept words,
-# so this many candidates always decide the first eight.
-DECIDING_CANDIDATES = 8 + 8 * 3 + 8 * 7 + 8 * 7 * 6
+def deciding_candidates(top: int) -> int:
+    """How many candidates always decide the first ``top``: those kept, at most three words of each kept phrase, and the
+    pairs and triples of kept words (a phrase may repeat a word)."""
+    return top + 3 * top + top**2 + top**3
 
 
 def keyword_discovery(hits: DataFrame, terms: DataFrame, min_sites: int = 2, top: int = 8) -> DataFrame:
@@ -169,7 +170,7 @@ def keyword_discovery(hits: DataFrame, terms: DataFrame, min_sites: int = 2, top
     rated = found.join(t, "case_id").where(~F.array_contains("known", F.col("low"))).withColumn("anchored", anchored).where(
         F.col("anchored") | proper).drop("own", "known").withColumn("words", F.size(F.split("term", " ")))
     order = [F.desc("anchored"), F.desc("sites"), F.desc("words"), F.asc("low")]
-    first = top_k(rated, ["case_id"], order, DECIDING_CANDIDATES, "place")
+    first = top_k(rated, ["case_id"], order, deciding_candidates(top), "place")
     listed = first.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("place", "low"))).alias("l"))
     kept = F.aggregate(F.transform("l", lambda x: x["low"]), F.array().cast("array<string>"), _keep)
     top_terms = listed.select("case_id", F.posexplode(F.slice(kept, 1, top)).alias("pos", "low"))

@@ -61,9 +61,17 @@ def repeat_error_abort(calls: DataFrame) -> DataFrame:
 
 
 def sequence_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(key, prefix) -> the next free PREFIXnn after the highest number in use, in the order of the keys."""
-    used = existing.select(F.regexp_extract("case_code", r"^(.*?)\d\d$", 1).alias("prefix"), F.substring("case_code", -2, 2).try_cast("int").alias("n")).groupBy(
-        "prefix").agg(F.max("n").alias("used"))
+    """(key, prefix) -> the next free PREFIXnn after the highest number in use, in the order of the keys.
+
+    A code in use belongs to a known prefix that is followed by digits only, two at least, so numbers beyond 99 count.
+    """
+    known = new.select("prefix").distinct()
+    tails = F.regexp_extract("case_code", r"(\d*)$", 1)
+    splits = existing.select("case_code", F.explode(F.when(F.length(tails) >= 2, F.sequence(F.lit(2), F.length(tails)))).alias("digits"))
+    used = splits.select(
+        F.col("case_code").substr(F.lit(1), F.length("case_code") - F.col("digits")).alias("prefix"), F.col("case_code").substr(-F.col("digits"), F.col("digits")).alias("tail"),
+    ).where((F.length("tail") == 2) | ~F.col("tail").startswith("0")).join(known, "prefix", "left_semi").groupBy("prefix").agg(
+        F.max(F.expr("try_cast(tail AS BIGINT)")).alias("used"))
     placed = full_rank(new, ["prefix"], [("block", F.floor(F.col("key") / 100_000))], [F.col("key")], "place")
     number = F.col("place") + F.coalesce("used", F.lit(0))
     return placed.join(used, "prefix", "left").select("key", F.concat("prefix", F.lpad(number.cast("string"), F.greatest(F.length(number.cast("string")), F.lit(2)), F.lit("0"))).alias("case_code"))

@@ -125,7 +125,7 @@ def lsa_vectors(passages: DataFrame, dimensions: int = 120, min_passages: int =
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     tokens = passages.select("passage_id", X.tokenize(F.col("text")).alias("tk")).where(F.size("tk") > 0)
-    counter = CountVectorizer(inputCol="tk", outputCol="tf", minDF=float(min_passages)).fit(tokens)
+    counter = CountVectorizer(inputCol="tk", outputCol="tf", minDF=float(min_passages), vocabSize=2**31 - 1).fit(tokens)
     counted = counter.transform(tokens)
     context = passages.sparkSession.sparkContext
     idf = context.broadcast(IDF(inputCol="tf", outputCol="unused").fit(counted).idf.toArray() + 1)

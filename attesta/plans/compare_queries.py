@@ -149,7 +149,7 @@ as2 AS (SELECT *, list_filter([CASE WHEN a.status = 'partially_valid' OR b.statu
   CASE WHEN len(a.src_list) = 0 OR len(b.src_list) = 0 THEN 'missing supporting evidence' END, CASE WHEN type = 'open_list' AND len(list_filter({UPS.format(c='a.value')}, lambda p: p NOT IN ('EN', 'FR', 'DE', 'ES'))) > 0 THEN 'open-list value not listed' END,
   CASE WHEN asv <> bsv THEN 'codebook versions differ' END, CASE WHEN NOT crossv AND hash_a IS DISTINCT FROM hash_b THEN 'batch evidence differs' END, CASE WHEN ract = 'deferred' THEN 'deferred by a reviewer' END], lambda x: x IS NOT NULL) AS probs FROM as1),
 ass AS MATERIALIZED (SELECT case_id, variable, kind, na, nb, final, status, {SQL_AG_LABELS} AS label, starts_with(status, 'eligible') AS eligible, CASE WHEN na = nb AND NOT final AND status = 'pending' THEN array_to_string(probs, '; ') ELSE '' END AS problems,
- value, array_to_string(diffs, ', ') AS differences, reused FROM (SELECT *, a.value AS value, a.cache_status = 'hit' OR b.cache_status = 'hit' AS reused,
+ value, array_to_string(diffs, ', ') AS differences, reused FROM (SELECT *, a.value AS value, a.cache_status IN ('hit', 'legacy_v2_hit', 'legacy_hit') OR b.cache_status IN ('hit', 'legacy_v2_hit', 'legacy_hit') AS reused,
  CASE WHEN NOT {DONE('a')} AND NOT {DONE('b')} THEN 'pending' WHEN {DONE('a')} AND NOT {DONE('b')} THEN 'claude_only' WHEN {DONE('b')} AND NOT {DONE('a')} THEN 'openai_only' WHEN kind = 'cross_model_review' THEN 'cross_model_review'
   WHEN a.status = 'validation_failed' OR b.status = 'validation_failed' THEN 'validation_failed' WHEN trim(a.value) = '' AND trim(b.value) = '' THEN 'both_insufficient' WHEN trim(a.value) = '' OR trim(b.value) = '' THEN 'pending'
   WHEN type NOT IN ('categorical', 'numeric', 'date', 'open_list') OR na IS NULL OR nb IS NULL THEN 'pending' WHEN na <> nb THEN CASE WHEN crossv THEN 'cross_version_disagreement' ELSE 'value_disagreement' END

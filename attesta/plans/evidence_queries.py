@@ -12,8 +12,9 @@ from attesta.plans.registry import query, with_tables
 from attesta.plans.text_queries import SQL_IS_BOILER, SQL_NORM
 
 HASHED = f"hashed AS (SELECT *, sha256({SQL_NORM.format(c='text')}) AS content_hash FROM src)"
-MARKED = ("marked AS (SELECT *, CASE WHEN first_id < source_id THEN first_id END AS duplicate_of FROM (SELECT *, "
-          "min(source_id) OVER (PARTITION BY case_id, content_hash) AS first_id FROM hashed))")
+READABLE = "(fetch_status = 'ok' AND trim(text) <> '')"
+MARKED = (f"marked AS (SELECT *, CASE WHEN {READABLE} AND first_id < source_id THEN first_id END AS duplicate_of FROM (SELECT *, "
+          f"min(source_id) FILTER (WHERE {READABLE}) OVER (PARTITION BY case_id, content_hash) AS first_id FROM hashed))")
 SQL_USABLE = "fetch_status = 'ok' AND duplicate_of IS NULL AND NOT excluded AND relevance_status <> 'irrelevant'"
 
 
@@ -71,9 +72,9 @@ def _(t):
     return D.candidate_url_dedup(page_hits(t), stored)
 
 
-@query("paragraph_dedup", with_tables("psg") + "SELECT source_id, substr(text, 1, 12) AS text, min(seq) AS seq FROM psg GROUP BY source_id, substr(text, 1, 12)")
+@query("paragraph_dedup", with_tables("psg") + "SELECT source_id, text, min(seq) AS seq FROM psg GROUP BY source_id, text")
 def _(t):
-    return D.paragraph_dedup(t.passages().select("source_id", F.substring("text", 1, 12).alias("text"), "seq"))
+    return D.paragraph_dedup(t.passages().select("source_id", "text", "seq"))
 
 
 PAGED_TEXT = "CASE WHEN seq % 5 = 1 THEN ' Printed 2021 page ' || CAST(seq AS STRING) ELSE text END"
@@ -103,10 +104,9 @@ SQL_SHINGLES = (f"words AS (SELECT case_id, source_id, source_type, content_type
                 "WHEN 'academic' THEN 3 WHEN 'ngo_technical' THEN 3 WHEN 'media' THEN 4 ELSE 5 END, CASE WHEN content_type = 'application/pdf' THEN 0 ELSE 1 END, source_id) AS rnk, h "
                 "FROM sums WHERE h % 3 = 0), "
                 "sizes AS (SELECT source_id, any_value(rnk) AS rnk, count(*) AS n FROM sh GROUP BY source_id)")
-SQL_LEADERS = ("lead AS (SELECT case_id, h, arg_min(source_id, rnk) AS other_id FROM sh GROUP BY case_id, h), "
-               "lp AS (SELECT DISTINCT case_id, source_id, other_id FROM sh JOIN lead USING (case_id, h) WHERE source_id <> other_id), "
-               "scored AS (SELECT lp.case_id, lp.source_id, lp.other_id, (SELECT count(*) FROM sh x JOIN sh y ON x.h = y.h WHERE x.source_id = lp.source_id AND y.source_id = lp.other_id) AS common, "
-               "a.n AS na, b.n AS nb, a.rnk AS ra, b.rnk AS rb FROM lp JOIN sizes a ON a.source_id = lp.source_id JOIN sizes b ON b.source_id = lp.other_id)")
+SQL_PAIRS = ("pairs AS MATERIALIZED (SELECT x.case_id, x.source_id, y.source_id AS other_id, x.rnk AS ra, y.rnk AS rb, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb "
+             "FROM sh x JOIN sh y ON x.case_id = y.case_id AND x.h = y.h AND x.source_id < y.source_id JOIN sizes a ON a.source_id = x.source_id JOIN sizes b ON b.source_id = y.source_id "
+             "GROUP BY x.case_id, x.source_id, y.source_id, x.rnk, y.rnk)")
 SH = with_tables("src", HASHED, MARKED, SQL_CRC_TABLE, SQL_SHINGLES)
 
 
@@ -121,26 +121,29 @@ def _(t):
         "source_id", "n", F.aggregate("sh", F.lit(0).cast("long"), lambda a, h: a + h).alias("checksum"))
 
 
-@query("jaccard_pairs", SH + f", {SQL_LEADERS} SELECT source_id, other_id, round(common / (na + nb - common), 6) AS jaccard FROM scored".replace("\n, ", ", "))
+PAIR_LIMIT = 0.2
+
+
+@query("jaccard_pairs", SH.rstrip() + f", {SQL_PAIRS} SELECT source_id, other_id, round(common / (na + nb - common), 6) AS jaccard FROM pairs WHERE common / (na + nb - common) >= {PAIR_LIMIT}")
 def _(t):
-    sets = source_shingles(t)
-    return D.measure_pairs(D.leader_pairs(sets), sets).select("source_id", "other_id", F.round("jaccard", 6).alias("jaccard"))
+    return D.similar_pairs(source_shingles(t), PAIR_LIMIT, "jaccard").select("source_id", "other_id", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("containment_pairs", SH + f", {SQL_LEADERS} SELECT source_id, other_id, round(common / least(na, nb), 6) AS containment FROM scored".replace("\n, ", ", "))
+@query("containment_pairs", SH.rstrip() + f", {SQL_PAIRS} SELECT source_id, other_id, round(common / least(na, nb), 6) AS containment FROM pairs WHERE common / least(na, nb) >= {PAIR_LIMIT}")
 def _(t):
-    sets = source_shingles(t)
-    return D.measure_pairs(D.leader_pairs(sets), sets).select("source_id", "other_id", F.round("containment", 6).alias("containment"))
+    return D.similar_pairs(source_shingles(t), PAIR_LIMIT).select("source_id", "other_id", F.round("containment", 6).alias("containment"))
 
 
-@query("near_duplicates", SH + f""", {SQL_LEADERS},
-one AS (SELECT case_id, source_id, arg_min(other_id, (-common / least(na, nb), rb)) AS near_duplicate_of, round(max(common / least(na, nb)), 3) AS similarity
-  FROM scored WHERE common / least(na, nb) >= 0.6 AND rb < ra GROUP BY case_id, source_id),
-rest AS (SELECT * FROM sh WHERE source_id NOT IN (SELECT source_id FROM one)),
-pairs AS (SELECT x.case_id, x.source_id, y.source_id AS other_id, x.rnk AS ra, y.rnk AS rb, count(*) AS common FROM rest x JOIN rest y ON x.case_id = y.case_id AND x.h = y.h AND y.rnk < x.rnk GROUP BY ALL),
-two AS (SELECT case_id, p.source_id, arg_min(other_id, (-common / least(a.n, b.n), rb)) AS near_duplicate_of, round(max(common / least(a.n, b.n)), 3) AS similarity
-  FROM pairs p JOIN sizes a ON a.source_id = p.source_id JOIN sizes b ON b.source_id = p.other_id WHERE common / least(a.n, b.n) >= 0.6 GROUP BY case_id, p.source_id)
-SELECT * FROM one UNION ALL SELECT * FROM two""")
+# sources of a case in the order of authority: one is a copy if a better-ranked close source is no copy
+@query("near_duplicates", SH.rstrip() + f""", {SQL_PAIRS},
+close AS (SELECT case_id, CASE WHEN rb < ra THEN source_id ELSE other_id END AS source_id, CASE WHEN rb < ra THEN other_id ELSE source_id END AS other_id,
+  least(ra, rb) AS rb, greatest(ra, rb) AS ra, common / least(na, nb) AS c FROM pairs WHERE common / least(na, nb) >= 0.6),
+near AS (SELECT case_id, source_id, ra, list(other_id) AS others FROM close GROUP BY ALL),
+folded AS (SELECT case_id, list_reduce(list_prepend({{'s': -1::BIGINT, 'o': []::BIGINT[], 'm': []::BIGINT[]}}, list({{'s': source_id, 'o': others, 'm': []::BIGINT[]}} ORDER BY ra)),
+  lambda acc, x: {{'s': -1::BIGINT, 'o': []::BIGINT[], 'm': CASE WHEN len(list_filter(x.o, lambda o: NOT list_contains(acc.m, o))) > 0 THEN list_append(acc.m, x.s) ELSE acc.m END}}).m AS copies FROM near GROUP BY case_id),
+copies AS (SELECT case_id, unnest(copies) AS id FROM folded)
+SELECT case_id, source_id, arg_min(other_id, (-c, rb)) AS near_duplicate_of, round(max(c), 3) AS similarity FROM close
+WHERE source_id IN (SELECT id FROM copies) AND other_id NOT IN (SELECT id FROM copies) GROUP BY case_id, source_id""")
 def _(t):
     return D.near_duplicates(source_shingles(t))
 

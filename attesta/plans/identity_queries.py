@@ -28,7 +28,7 @@ def cases(t):
 def hits(t):
     """Search hits: every document as a hit of its case; the title may name the incident."""
     df = t.sources().join(cases(t), "case_id").select(
-        F.col("source_id").alias("hit_id"), "case_id", "url", F.expr(HIT_TITLE).alias("title"), F.substring("text", 1, 160).alias("snippet"), F.expr(PUBLISHED).alias("published"))
+        F.col("source_id").alias("hit_id"), "case_id", "url", F.expr(HIT_TITLE).alias("title"), F.col("text").alias("snippet"), F.expr(PUBLISHED).alias("published"))
     return df
 
 
@@ -40,7 +40,7 @@ terms AS (SELECT case_id, name, location, country, {SQL_SIG.format(c='name')} AS
  list_filter({SQL_SIG.format(c='location')}, lambda w: length(w) > 2) AS loc_t, list_sort(list_distinct(regexp_extract_all(date_text, '{fixed.YEAR_PATTERN}'))) AS years,
  list_filter([{quoted(fixed.MONTHS)}], lambda m: contains(lower(date_text), m)) AS months, country IS NOT NULL AS cp,
  coalesce((SELECT list(name) FROM country_names WHERE code = country), []) AS cnames FROM ctry)"""
-SQL_HITLIST = (f"hits AS (SELECT source_id AS hit_id, case_id, url, {HIT_TITLE} AS title, substr(text, 1, 160) AS snippet, {PUBLISHED} AS published FROM src JOIN cases USING (case_id))")
+SQL_HITLIST = (f"hits AS (SELECT source_id AS hit_id, case_id, url, {HIT_TITLE} AS title, text AS snippet, {PUBLISHED} AS published FROM src JOIN cases USING (case_id))")
 BASE = with_tables("src", SQL_COUNTRY_NAMES, SQL_CASES, SQL_TERMS, SQL_HITLIST)
 
 

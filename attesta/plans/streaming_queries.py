@@ -30,7 +30,7 @@ def _(t):
 
 @query("stream_budget_alert", with_tables("usg") + "SELECT case_id, round(sum(cost_usd), 5) AS total FROM usg GROUP BY case_id HAVING sum(cost_usd) > 3.0")
 def _(t):
-    return S.collect_appends(S.budget_alert(_stream(t, "events", USAGE_COLUMNS), 3.0)).withColumn("total", F.round("total", 5))
+    return S.collect_updates(S.budget_alert(_stream(t, "events", USAGE_COLUMNS), 3.0), "case_id").withColumn("total", F.round("total", 5))
 
 
 CITE = [("item_id", "doc_id"), ("case_id", "doc_id"), ("part", "'value'"), ("code", "''"), ("ord", "0"), ("passage_id", "CASE WHEN doc_id % 7 = 0 THEN 'S0-P0' ELSE 'S' || CAST(doc_id AS STRING) || '-P1' END"),
@@ -44,6 +44,6 @@ def _(t):
 
 @query("stream_review_current", with_tables("act") + "SELECT case_id, variable, max(id) AS id, arg_max(action, id) AS action, arg_max(value, id) AS value FROM act GROUP BY case_id, variable")
 def _(t):
-    table = S.VersionedTable(t.spark, scratch_folder(t.spark))
-    S.run_to_end(_stream(t, "events", ACTION_COLUMNS), table.upsert, "append")
-    return table.read()
+    path = scratch_folder(t.spark)
+    S.run_to_end(_stream(t, "events", ACTION_COLUMNS), S.write_batch(path), "append")
+    return S.current_reviews(t.spark, path)

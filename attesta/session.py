@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,35 +24,26 @@ def local_session(cores: str | int = 8, app: str = "attesta", memory: str = "8g"
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor only costs its own tasks.
+def shared_base(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session may go without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
 
-    The directory is the one the cluster names in ``spark.checkpoint.dir``; only where none is set (tests on one
-    machine) a fresh temporary directory is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so a lost executor only costs its own tasks."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy text work at least one partition per core.
-
-    A table of many files already has more input splits than cores and is returned untouched, so this adds a shuffle
-    only for small inputs. Meant for a plain scan, right after reading it: filters and column selection still reach it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
-
-
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint directory, for streaming state and versioned tables."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/attesta-{uuid.uuid4().hex}"
+    """A new folder under the shared folder, for streaming state and what streams write."""
+    return f"{shared_base(spark)}/attesta-{uuid.uuid4().hex}"

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.session import spread
 from attesta.sources.tables import read_table
 
 # ------------------------------------------------------------------------------------------------ column rules
@@ -75,7 +74,7 @@ RESULT_STAGES = [
         ("snapshot_id", "CASE WHEN case_id % 53 = 0 THEN NULL WHEN p = 0 THEN 1 + case_id % 2 ELSE 1 + case_id % 3 % 2 END"),
         ("spec_id", "CASE WHEN case_id % 4 = 0 AND p = 1 THEN 2 ELSE 1 END"),
         ("interpretation", "CASE WHEN case_id % 67 = 0 AND p = 1 THEN 'cross_model_review' ELSE 'independent' END"),
-        ("cache_status", "CASE WHEN case_id % 9 = 0 THEN 'hit' ELSE 'new' END"),
+        ("cache_status", "CASE WHEN case_id % 9 = 0 THEN 'hit' WHEN case_id % 9 = 1 THEN 'legacy_v2_hit' WHEN case_id % 9 = 2 THEN 'legacy_hit' ELSE 'new' END"),
         ("stale", "case_id % 23 = 0"),
         ("generated_at", "1700000000 + id"),
         ("rationale", "CASE WHEN k % 5 = 0 THEN 'Stated in the passage.' ELSE '' END"),
@@ -174,10 +173,6 @@ def _project(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     return df.select(*[F.col("*") if n == "*" else F.expr(e).alias(n) for n, e in columns])
 
 
-# text tables, whose rows are costly to work on, and their keys
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
-
 class Tables:
     """The tables of one data directory plus the derived input tables."""
 
@@ -185,9 +180,8 @@ class Tables:
         self.spark, self.directory = spark, directory
 
     def raw(self, name: str) -> DataFrame:
-        """A table of the directory; text tables are spread over the cores when they come in too few splits."""
-        df = read_table(self.spark, self.directory, name)
-        return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+        """A table of the directory, as it lies."""
+        return read_table(self.spark, self.directory, name)
 
     def sources(self) -> DataFrame:
         df = _project(self.raw("documents"), SOURCE_COLUMNS)

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from attesta.functions import text as X
 from attesta.operators import validation as V
@@ -36,19 +34,8 @@ def spend_by_case(usage: DataFrame, lateness: str = "2 days") -> DataFrame:
 
 
 def budget_alert(usage: DataFrame, cap: float) -> DataFrame:
-    """One row per case when its running total first passes the cap. The state is the total and whether it was reported."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, reported = state.get if state.exists else (0.0, False)
-        for batch in batches:
-            total += float(batch["cost_usd"].fillna(0.0).sum())
-        alert = total > cap and not reported
-        state.update((total, reported or alert))
-        if alert:
-            yield pd.DataFrame({"case_id": [key[0]], "total": [total]})
-
-    return usage.select("case_id", "cost_usd").groupBy("case_id").applyInPandasWithState(
-        update, "case_id long, total double", "total double, reported boolean", "append", GroupStateTimeout.NoTimeout)
+    """(case_id, total) of cases beyond the cap, an update for each batch that changes the total."""
+    return usage.groupBy("case_id").agg(F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("total")).where(F.col("total") > cap)
 
 
 def citation_check(citations: DataFrame, passages: DataFrame) -> DataFrame:
@@ -61,25 +48,15 @@ def review_current(actions: DataFrame) -> DataFrame:
     return actions.groupBy("case_id", "variable").agg(F.max(F.struct("id", "action", "value")).alias("l")).select("case_id", "variable", "l.*")
 
 
-class VersionedTable:
-    """A small current-state table on plain Parquet: each micro-batch writes a whole new version next to the old one.
-
-    A batch that is run again writes the same version, so a restart neither loses nor repeats an update.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.version: int | None = None
+def write_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes what each micro-batch brings into a folder of its own. A batch that is run again replaces its own folder and
+    nothing else, so neither a repetition nor a restart loses or repeats a row."""
+    return lambda batch, batch_id: review_current(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        fresh = review_current(batch)
-        if self.version is not None and self.version != batch_id:
-            fresh = review_current(self.read().unionByName(fresh))
-        fresh.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        self.version = batch_id
+def current_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Newest action per (case, variable) over all batches written so far."""
+    return review_current(spark.read.parquet(path).drop("batch"))
 
 
 def run_to_end(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], mode: str) -> None:

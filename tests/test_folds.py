@@ -44,7 +44,8 @@ def test_passages_lose_no_text_and_keep_their_size(spark):
     rng = random.Random(1)
     words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma.", "delta"]) for _ in range(n))
     paragraphs = [words(rng.choice([5, 60, 400, 900])) for _ in range(30)] + ["x" * 4000]
-    chunks = P.chunk(paragraphs)
+    found = spark.createDataFrame([(paragraphs,)], "ps array<string>").select(P.page_passages(F.col("ps")).alias("p")).first().p
+    chunks = [(x.para, x.text) for x in found]
     assert "".join("".join(t.split()) for _, t in chunks) == "".join("".join(p.split()) for p in paragraphs)
     assert all(len(t) <= fixed.PASSAGE_MAX + 1 for _, t in chunks)
     assert [n for n, _ in chunks] == sorted(n for n, _ in chunks)
@@ -55,7 +56,7 @@ def test_passages_lose_no_text_and_keep_their_size(spark):
 
 
 def brute_near(docs):
-    """The same two passes in plain Python."""
+    """The rule in the order of authority, in plain Python."""
     sets = {}
     for i, case, kind, text in docs:
         w = text.lower().split()
@@ -64,16 +65,14 @@ def brute_near(docs):
     rank = {i: (prio.get(kind, 5), 1, i) for i, case, kind, text in docs}
     case_of = {i: case for i, case, *_ in docs}
     cont = lambda a, b: len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) if sets[a] and sets[b] else 0.0
-    lead = {}
-    for i in sets:
-        for h in sets[i]:
-            key = (case_of[i], h)
-            lead[key] = min(lead.get(key, i), i, key=rank.get)
-    best = lambda i, others: min(((-cont(i, o), rank[o], o) for o in others if rank[o] < rank[i] and cont(i, o) >= 0.6), default=None)
-    first = {i: b for i in sets if (b := best(i, {lead[(case_of[i], h)] for h in sets[i]} - {i}))}
-    rest = [i for i in sets if i not in first]
-    second = {i: b for i in rest if (b := best(i, [o for o in rest if o != i and case_of[o] == case_of[i]]))}
-    return {i: (b[2], round(-b[0], 3)) for i, b in {**first, **second}.items()}
+    copies, out = set(), {}
+    for i in sorted(sets, key=rank.get):
+        if any(rank[o] < rank[i] and o not in copies and case_of[o] == case_of[i] and cont(i, o) >= 0.6 for o in sets):
+            copies.add(i)
+    for i in copies:
+        c, _, o = min((-cont(i, o), rank[o], o) for o in sets if o not in copies and rank[o] < rank[i] and case_of[o] == case_of[i] and cont(i, o) >= 0.6)
+        out[i] = (o, round(-c, 3))
+    return out
 
 
 def test_near_duplicates_match_brute_force_with_a_large_group_of_copies(spark):
@@ -103,9 +102,33 @@ def test_leader_pairs_grow_with_the_members_and_not_with_their_square(spark):
     assert D.leader_pairs(D.shingle_sets(df)).count() == 199
 
 
-def test_exact_copies_point_at_the_earliest(spark):
-    df = spark.createDataFrame([(1, 1, "h"), (2, 1, "h"), (3, 2, "h"), (4, 1, None), (5, 1, "h")], "source_id long, case_id long, content_hash string")
-    assert {r.source_id: r.duplicate_of for r in D.exact_duplicates(df).collect()} == {1: None, 2: 1, 3: None, 4: None, 5: 1}
+def test_a_copy_never_points_at_a_copy(spark):
+    words = [f"w{i}" for i in range(1700)]
+    docs = [(1, 1, "media", words[:1000]), (2, 1, "media", words[300:1300]), (3, 1, "media", words[650:1650])]
+    df = spark.createDataFrame([(i, c, k, " ".join(w)) for i, c, k, w in docs], "source_id long, case_id long, source_type string, text string").withColumn("content_type", F.lit("text/html"))
+    assert [(r.source_id, r.near_duplicate_of) for r in D.near_duplicates(D.shingle_sets(df)).collect()] == [(2, 1)]
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    rng = random.Random(6)
+    docs = []
+    for i in range(40):
+        w = [f"w{rng.randrange(300)}" for _ in range(rng.choice([5, 40, 90]))] if i % 4 == 0 else docs[-1][3].split()[rng.randint(0, 9):] + [f"x{i}"]
+        docs.append((i, i % 2 // 2, "media", " ".join(w)))
+    df = spark.createDataFrame(docs, "source_id long, case_id long, source_type string, text string").withColumn("content_type", F.lit("text/html"))
+    sets = D.shingle_sets(df).persist()
+    sh = {r.source_id: set(r.sh) for r in sets.collect()}
+    pairs = [(a, b, len(sh[a] & sh[b])) for a in sh for b in sh if a < b and sh[a] & sh[b]]
+    for limit in (0.2, 0.7):
+        assert {(r.source_id, r.other_id) for r in D.similar_pairs(sets, limit, "jaccard").collect()} == {(a, b) for a, b, c in pairs if c / len(sh[a] | sh[b]) >= limit}
+        assert {(r.source_id, r.other_id) for r in D.similar_pairs(sets, limit).collect()} == {(a, b) for a, b, c in pairs if c / min(len(sh[a]), len(sh[b])) >= limit}
+
+
+def test_exact_copies_point_at_the_earliest_readable_source(spark):
+    df = spark.createDataFrame(
+        [(1, 1, "h", "failed", "t"), (2, 1, "h", "ok", "t"), (3, 2, "h", "ok", "t"), (4, 1, None, "ok", "t"), (5, 1, "h", "ok", "t"), (6, 1, "e", "ok", ""), (7, 1, "e", "ok", " ")],
+        "source_id long, case_id long, content_hash string, fetch_status string, text string")
+    assert {r.source_id: r.duplicate_of for r in D.exact_duplicates(df).collect()} == {1: None, 2: None, 3: None, 4: None, 5: 2, 6: None, 7: None}
 
 
 def test_reflow(spark):

@@ -167,3 +167,8 @@ def test_anchored_keywords_become_aliases_and_reach_local_titles(spark):
     after = {r.term for r in I.expand_aliases(hits, terms).collect()}
     assert "Ahrtal" in first and "Ahrtal Sinzig" not in first
     assert {"Ahrtal", "Ahrtal Sinzig"} <= after
+
+
+def test_keyword_bound_covers_every_kept_list():
+    for top in (1, 8, 20):
+        assert I.deciding_candidates(top) >= top + 3 * top + top * top + top**3

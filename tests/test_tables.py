@@ -49,6 +49,8 @@ def test_sequence_continues_after_the_highest_number(spark):
     new = spark.createDataFrame([(5, "20210714-TX"), (7, "20210714-TX"), (6, "20210714-CA")], "key long, prefix string")
     old = spark.createDataFrame([("20210714-TX03",), ("20210714-TX01",)], "case_code string")
     assert {r.key: r.case_code for r in O.sequence_ids(new, old).collect()} == {5: "20210714-TX04", 7: "20210714-TX05", 6: "20210714-CA01"}
+    old = spark.createDataFrame([("20210714-TX99",), ("20210714-TX100",), ("20210714-TX007",)], "case_code string")
+    assert {r.key: r.case_code for r in O.sequence_ids(new.where("prefix LIKE '%TX'"), old).collect()} == {5: "20210714-TX101", 7: "20210714-TX102"}
 
 
 def test_snapshot_ignores_order_and_notices_every_change(spark):
