@@ -24,6 +24,7 @@ from attesta.llm.shared import shared_table
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 BLOCK = 32
+MIN_GAIN = 0.01  # of the best term's gain
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?\"'()[]{}<>*_-")] = True
 
@@ -88,7 +89,7 @@ def choose_terms(training: DataFrame, n_toxic: int, n_clean: int, max_terms: int
     share_t, share_c, smooth = bad / max(n_toxic, 1), good / max(n_clean, 1), 1 / (n_toxic + n_clean)
     gain = np.where(share_t > share_c, (share_t - share_c) * np.log((share_t + smooth) / (share_c + smooth)), 0)
     best = np.lexsort((terms, -gain))[:max_terms]
-    best = best[gain[best] > 0]
+    best = best[gain[best] > MIN_GAIN * gain.max(initial=0)]
     idf = np.log((1 + n_toxic + n_clean) / (1 + bad + good)) + 1
     return terms[best], (idf * gain)[best]
 
@@ -127,30 +128,54 @@ class Model:
         self.blocks = [np.ascontiguousarray(dense[i: i + BLOCK].T) for i in range(0, n, BLOCK)]
         self.most = np.array([b.max(axis=1) for b in self.blocks]).T if self.blocks else np.zeros((len(self.terms), 0), np.float32)
 
-    def nearest(self, place: np.ndarray, weight: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above zero, exactly; ties keep the earlier example."""
-        if not len(place) or not len(self.doc_ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weight @ self.most[place]
-        found, scores, floor = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < floor - 1e-6:
-                break
-            cosine = weight @ self.blocks[b][place]
-            own = np.arange(b * BLOCK, b * BLOCK + len(cosine))
-            keep = (cosine > 0) if without is None else (cosine > 0) & (own != without)
-            found.append(own[keep])
-            scores.append(cosine[keep])
-            if sum(map(len, scores)) >= self.k:
-                floor = np.partition(np.concatenate(scores), -self.k)[-self.k]
-        at, cosine = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(scores or [np.zeros(0)])
-        best = np.lexsort((at, -cosine))[: self.k]
-        return at[best], cosine[best]
-
-    def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
+    def example_vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The examples in the order of the index, as ``vectors`` gives them."""
+        if not self.blocks:
+            return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows, place = np.nonzero(np.concatenate([b.T for b in self.blocks]))
+        weight = np.concatenate([b.T for b in self.blocks])[rows, place].astype(float)
+        return np.searchsorted(rows, np.arange(len(self.doc_ids) + 1)), place, weight
+
+    def search(self, bounds: np.ndarray, place: np.ndarray, weight: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest of every text, exactly, -1 and 0 where there are fewer with a cosine above
+        zero. ``without``: the example that each text is itself.
+
+        The block with the largest bound comes first and gives a first k-th best cosine; the other blocks are scored, each
+        for the texts whose bound reaches what they have by then.
+        """
+        n, k = len(bounds) - 1, self.k
+        best, close = np.full((n, k), -1), np.zeros((n, k))
+        if not self.blocks:
+            return best, close
+        filled = np.flatnonzero(np.diff(bounds))
+        for rows in np.array_split(filled, len(filled) // 2048 + 1):
+            count = np.diff(bounds)[rows]
+            spots = np.arange(int(count.sum())) + np.repeat(bounds[rows] - (np.cumsum(count) - count), count)
+            q = np.zeros((len(rows), len(self.terms)), np.float32)
+            q[np.repeat(np.arange(len(rows)), count), place[spots]] = weight[spots]
+            bound = q @ self.most
+            first = bound.argmax(axis=1)
+            for phase in (0, 1):
+                for b in range(len(self.blocks)):
+                    own = (first == b) if phase == 0 else (first != b) & (bound[:, b] > 0) & (bound[:, b] >= close[rows, k - 1] - 1e-5)
+                    at = np.flatnonzero(own)
+                    if not len(at):
+                        continue
+                    cosine = np.round((q[at] @ self.blocks[b]).astype(float), 5)
+                    names = np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + cosine.shape[1]), cosine.shape)
+                    if without is not None:
+                        cosine = np.where(names == without[rows[at], None], 0, cosine)
+                    all_close = np.concatenate([close[rows[at]], cosine], axis=1)
+                    all_names = np.concatenate([best[rows[at]], np.where(cosine > 0, names, -1)], axis=1)
+                    order = np.argsort(-all_close, axis=1, kind="stable")[:, :k]
+                    close[rows[at]], best[rows[at]] = np.take_along_axis(all_close, order, 1), np.take_along_axis(all_names, order, 1)
+        return best, close
+
+    def votes(self, best: np.ndarray, close: np.ndarray) -> np.ndarray:
         """Closeness-weighted share of toxic neighbours, drawn towards the training rate by the weight ``pull``."""
-        weight = cosine / (1.05 - np.minimum(cosine, 1.0))
-        return float((weight @ self.toxic[at] + self.pull * self.prior) / (weight.sum() + self.pull))
+        weight = close / (1.05 - np.minimum(close, 1.0))
+        toxic = self.toxic[best] if len(self.toxic) else np.zeros(best.shape)
+        return ((weight * np.where(best >= 0, toxic, 0)).sum(axis=1) + self.pull * self.prior) / (weight.sum(axis=1) + self.pull)
 
     def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
         """Isotonic steps (pooled neighbours) of the toxic rate over votes of examples left out of their own search."""
@@ -165,9 +190,9 @@ class Model:
             self.edges = np.array([(g[0] + g[1]) / 2 for g in groups])
             self.rates = np.array([(g[2] + self.prior) / (g[3] + 1) for g in groups])
 
-    def score(self, vote: float) -> float:
-        """Calibrated rate; a small share of the raw vote keeps texts with equal rates in order."""
-        return float(min(1.0, max(0.0, 0.98 * np.interp(vote, self.edges, self.rates) + 0.02 * vote)))
+    def scores(self, votes: np.ndarray) -> np.ndarray:
+        """Calibrated rates; a small share of the raw vote keeps texts with equal rates in order."""
+        return np.round(np.clip(0.98 * np.interp(votes, self.edges, self.rates) + 0.02 * votes, 0, 1), 6)
 
 
 def held_out(fold: int, folds: int):
@@ -181,7 +206,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_terms: int = 512, min_share
     A document with several labels counts as toxic if one of them is 1; labels without a document or value are ignored.
     """
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    training = documents.where(~held_out(fold, folds)).select("doc_id", "text").join(marks, "doc_id")
+    # labels grow with the documents, so they are joined by a shuffle at every size
+    training = documents.where(~held_out(fold, folds)).select("doc_id", "text").join(marks.hint("merge"), "doc_id")
     training = shared_table(training.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"), "training")
     totals = training.groupBy("toxic").count().collect()  # two rows
     n_toxic = sum(r["count"] for r in totals if r["toxic"] == 1)
@@ -198,17 +224,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_terms: int = 512, min_share
     place = np.concatenate([*vectors["places"], np.zeros(0)]).astype(np.int64)
     weight = np.concatenate([*vectors["weights"], np.zeros(0)]).astype(float)
     model.index(vectors["doc_id"].to_numpy(np.int64), vectors["toxic"].to_numpy(np.int64), bounds, place, weight)
-    votes = np.array([model.vote(*model.nearest(*_row_of(model, i), without=i)) for i in range(len(model.doc_ids))])
-    model.calibrate(votes, model.toxic)
+    bounds, place, weight = model.example_vectors()
+    model.calibrate(model.votes(*model.search(bounds, place, weight, np.arange(len(model.doc_ids)))), model.toxic)
     return model
 
 
-def _row_of(model: Model, i: int) -> tuple[np.ndarray, np.ndarray]:
-    vector = model.blocks[i // BLOCK][:, i % BLOCK]
-    place = np.flatnonzero(vector)
-    return place, vector[place].astype(float)
-
-
 def _vectors_of(model: Model):
     def run(batches):
         for b in batches:
@@ -238,13 +258,10 @@ def score(documents: DataFrame, model: Model, limit: float = 0.3, evidence: int
         for b in batches:
             for first, last, data, at in chunks(b.column(text_at)):
                 bounds, place, weight = m.vectors(data, at)
-                scores, near, close = np.empty(last - first), [], []
-                for i in range(last - first):
-                    s, e = bounds[i], bounds[i + 1]
-                    found, cosine = m.nearest(place[s:e], weight[s:e])
-                    scores[i] = m.score(m.vote(found, cosine))
-                    near.append(m.doc_ids[found[:evidence]].tolist())
-                    close.append(cosine[:evidence].tolist())
+                best, cosine = m.search(bounds, place, weight)
+                scores = m.scores(m.votes(best, cosine))
+                near = [[int(m.doc_ids[j]) for j in row if j >= 0] for row in best[:, :evidence]]
+                close = [row[: len(n)].tolist() for row, n in zip(cosine, near)]
                 yield pa.RecordBatch.from_arrays([
                     *b.slice(first, last - first).columns, pa.array(scores), pa.array((scores >= limit).astype(np.int32)),
                     pa.array(near, pa.list_(pa.int64())), pa.array(close, pa.list_(pa.float64()))], names=[*names, "score", "predicted", "neighbours", "cosines"])
