@@ -19,12 +19,14 @@ from attesta.session import cut_lineage
 def exact_duplicates(sources: DataFrame) -> DataFrame:
     """Adds duplicate_of: the earliest source of the case with the same content hash (null for originals).
 
-    Only sources that were read and have text take part: a failed or empty source is neither a copy nor an original.
+    Only sources that were read and have text (column ``text``, or ``has_text`` on narrow rows) take part: a failed or
+    empty source is neither a copy nor an original.
 
     The minimum is taken by a combined aggregation instead of a window, so a third of all rows sharing one hash does
     not end up in one task; only hashes that occur more than once take part in the join.
     """
-    readable = F.col("content_hash").isNotNull() & (F.col("fetch_status") == "ok") & (F.trim("text") != "")
+    has_text = F.col("has_text") if "has_text" in sources.columns else F.trim("text") != ""
+    readable = F.col("content_hash").isNotNull() & (F.col("fetch_status") == "ok") & has_text
     groups = (
         sources.where(readable)
         .groupBy("case_id", "content_hash")

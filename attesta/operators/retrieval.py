@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
+from attesta.session import cut_lineage
 from attesta.operators.ranking import full_rank, top_k
 
 
@@ -39,16 +40,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
         "query_id", "case_id", "term").agg(F.count("*").alias("qn"))
 
 
+def token_index(passages: DataFrame) -> DataFrame:
+    """Passages as stem lists (``tk``), written once into the shared folder: every statistic and score reads from it."""
+    return cut_lineage(passages.select("case_id", "passage_id", "source_id", "seq", X.tokenize(F.col("text")).alias("tk")))
+
+
 def bm25_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, case_id, passage_id, source_id, seq, bm25) of every passage of the query's case that shares a term.
 
-    Only terms some query of the case asks for are shuffled; all other tokens are dropped by a semi join right after
-    tokenizing. Length statistics need no stems and are taken from a separate narrow scan.
+    ``passages`` is a ``token_index``, or passages with text, which are indexed first, so texts are read and stemmed once.
+    Only terms some query of the case asks for are shuffled.
     """
     terms = query_terms(queries)
-    sizes = passages.select("case_id", _length(F.col("text")).alias("dl")).groupBy("case_id").agg(
-        F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tokens = passages.select("case_id", "passage_id", "source_id", "seq", X.tokenize(F.col("text")).alias("tk"))
+    tokens = passages if "tk" in passages.columns else token_index(passages)
+    sizes = tokens.select("case_id", F.size("tk").alias("dl")).groupBy("case_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("case_id", "term").distinct()
     tf = (
         tokens.select("case_id", "passage_id", "source_id", "seq", F.size("tk").alias("dl"), F.explode("tk").alias("term"))
@@ -171,7 +176,8 @@ def evidence_strength(hits: DataFrame, passages: DataFrame, fields: DataFrame) -
     """(query_id, strength): how well the best hits cover a variable; variables without hits get 0."""
     key = F.array_distinct(X.tokenize(F.array_join(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), " ")))
     named = fields.select("query_id", key.alias("key"))
-    text = passages.select("passage_id", X.tokenize(F.col("text")).alias("tk"))
+    text = passages.join(hits.select("passage_id").distinct(), "passage_id", "left_semi").select(
+        "passage_id", F.col("tk") if "tk" in passages.columns else X.tokenize(F.col("text")).alias("tk"))
     covered = F.size(F.array_intersect("key", "tk")) / F.greatest(F.size("key"), F.lit(1))
     best = (
         hits.join(text, "passage_id").join(named, "query_id")

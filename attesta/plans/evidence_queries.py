@@ -8,6 +8,7 @@ from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
 from attesta.operators import dedup as D
 from attesta.operators import passages as P
+from attesta.session import cut_lineage
 from attesta.plans.registry import query, with_tables
 from attesta.plans.text_queries import SQL_IS_BOILER, SQL_NORM
 
@@ -19,8 +20,11 @@ SQL_USABLE = "fetch_status = 'ok' AND duplicate_of IS NULL AND NOT excluded AND
 
 
 def marked_sources(t):
-    """Sources with content hash and duplicate_of."""
-    return D.exact_duplicates(t.sources().withColumn("content_hash", X.content_hash(F.col("text"))))
+    """Sources without their text, with content hash and duplicate_of. Texts are read once, for hashes on narrow rows."""
+    if t.marked is None:
+        narrow = t.sources().select("*", X.content_hash(F.col("text")).alias("content_hash"), (F.trim("text") != "").alias("has_text")).drop("text")
+        t.marked = cut_lineage(D.exact_duplicates(cut_lineage(narrow)).drop("has_text"))
+    return t.marked
 
 
 @query("exact_duplicates", with_tables("src", HASHED, MARKED) + "SELECT source_id, duplicate_of FROM marked")
@@ -112,7 +116,7 @@ SH = with_tables("src", HASHED, MARKED, SQL_CRC_TABLE, SQL_SHINGLES)
 
 def source_shingles(t):
     first = marked_sources(t).where("fetch_status = 'ok' AND duplicate_of IS NULL")
-    return D.shingle_sets(first)
+    return D.shingle_sets(first.join(t.sources().select("source_id", "text"), "source_id"))
 
 
 @query("shingles", SH + "SELECT source_id, count(*) AS n, CAST(sum(h) AS BIGINT) AS checksum FROM sh GROUP BY source_id")

@@ -25,6 +25,13 @@ def corpus(t):
     return P.scan_usable_passages(t.passages(), marked_sources(t)).select("case_id", "passage_id", "source_id", "seq", "text")
 
 
+def index(t):
+    """The corpus as stem lists, made once per query."""
+    if t.index is None:
+        t.index = R.token_index(corpus(t))
+    return t.index
+
+
 def benchmark_queries(t):
     return t.raw("benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20).alias("case_id"), F.col("text").alias("query"))
 
@@ -51,7 +58,7 @@ LEX = with_tables("psg", HASHED, MARKED, CORPUS, SQL_BM25)
 
 @query("bm25_topk", LEX + f"SELECT query_id, passage_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, source_id, seq) AS rank FROM bm {TOP(15)}")
 def _(t):
-    return R.bm25_topk(corpus(t), benchmark_queries(t), 15).select("query_id", "passage_id", "bm25", "rank")
+    return R.bm25_topk(index(t), benchmark_queries(t), 15).select("query_id", "passage_id", "bm25", "rank")
 
 
 # codebook variables made from the parts list
@@ -89,15 +96,14 @@ def _(t):
 
 @query("lsa_vectors")
 def _(t):
-    """Unit vectors of the first passage of every source, 16 dimensions."""
-    firsts = t.passages().where("seq = 1").select("passage_id", "text")
-    return R.lsa_vectors(firsts, dimensions=16, min_passages=5)
+    """Unit vectors of all passages, 16 dimensions."""
+    return R.lsa_vectors(t.passages().select("passage_id", "text"), dimensions=16, min_passages=5)
 
 
 def vectors_of_passages(t):
     """The first passage of a source carries the vector with the source's number, where there is one."""
     v = t.raw("embeddings").select(F.col("vec_id").alias("source_id"), "embedding")
-    return corpus(t).where("seq = 1").drop("text").join(v, "source_id")
+    return index(t).where("seq = 1").drop("tk").join(v, "source_id")
 
 
 def semantic_lists(t):
@@ -120,7 +126,7 @@ HYBRID = with_tables("psg", HASHED, MARKED, CORPUS, SQL_BM25, SQL_SEM)
 
 
 def hybrid(t, k):
-    lexical = R.bm25_scores(corpus(t), benchmark_queries(t)).withColumn("bm25", F.round("bm25", 6))
+    lexical = R.bm25_scores(index(t), benchmark_queries(t)).withColumn("bm25", F.round("bm25", 6))
     return R.rrf_fusion(lexical, semantic_lists(t), k)
 
 
@@ -146,7 +152,7 @@ str AS (SELECT names.query_id, case_id, name, coalesce(round(least(1.0, max(bm25
 
 def strengths(t):
     fields = t.raw("benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20).alias("case_id"), F.expr(NAME).alias("name"))
-    return R.evidence_strength(hybrid(t, 5), t.passages(), fields)
+    return R.evidence_strength(hybrid(t, 5), index(t), fields)
 
 
 @query("evidence_strength", HYBRID.rstrip() + f", {SQL_STRENGTH} SELECT query_id, case_id, name, strength FROM str")
@@ -177,7 +183,7 @@ def _(t):
     fields = t.raw("benchmark").select(
         F.col("item_id").alias("query_id"), (F.col("item_id") % 20).alias("case_id"), (F.col("item_id") % 40).cast("string").alias("section"),
         F.col("item_id").alias("pos"), F.expr(NAME).alias("name"))
-    return R.evidence_packets(R.bm25_topk(corpus(t), benchmark_queries(t), fixed.PASSAGES_PER_VARIABLE), fields)
+    return R.evidence_packets(hybrid(t, fixed.PASSAGES_PER_VARIABLE), fields)
 
 
 SQL_BLOCK = """'[' || passage_id || '] (source S' || source_id || ': ' || source_type || '; "' || substr(title, 1, 90) || '"; ' || coalesce(published_date, 'date unknown') || '; '

@@ -178,6 +178,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
+        self.marked = self.index = None  # tables that several parts of one query share
 
     def raw(self, name: str) -> DataFrame:
         """A table of the directory, as it lies."""
