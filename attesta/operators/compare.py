@@ -30,13 +30,18 @@ def latest_results(results: DataFrame) -> DataFrame:
 
 
 def changed_since_previous(results: DataFrame) -> DataFrame:
-    """Newest completed result per case, variable and provider with the previous one, where value or status changed."""
-    w = W.partitionBy(*KEY, "provider").orderBy("id")
-    done = results.where("status <> 'stopped'").select(
-        *KEY, "provider", "id", "value", "status", F.lag("value").over(w).alias("old_value"), F.lag("status").over(w).alias("old_status"),
-        F.lead("id").over(w).alias("next_id"))
-    changed = (F.col("value") != F.col("old_value")) | (F.col("status") != F.col("old_status"))
-    return done.where(F.col("next_id").isNull() & changed).drop("next_id")
+    """Newest completed result per case, variable and provider with the previous one, where value or status changed.
+
+    The newest row is a combined maximum; the one before it is the maximum of what is left.
+    """
+    group = [*KEY, "provider"]
+    done = results.where("status <> 'stopped'").select(*group, "id", "value", "status")
+    newest = done.groupBy(*group).agg(F.max(F.struct("id", "value", "status")).alias("new"))
+    earlier = done.join(newest.select(*group, F.col("new.id").alias("new_id")), group).where("id < new_id").groupBy(*group).agg(
+        F.max(F.struct("id", "value", "status")).alias("old"))
+    changed = (F.col("new.value") != F.col("old.value")) | (F.col("new.status") != F.col("old.status"))
+    return newest.join(earlier, group).where(changed).select(
+        *group, "new.id", "new.value", "new.status", F.col("old.value").alias("old_value"), F.col("old.status").alias("old_status"))
 
 
 def provider_pivot(latest: DataFrame) -> DataFrame:
@@ -74,15 +79,18 @@ def both_compared(pair: DataFrame) -> DataFrame:
     return pair.where(ok(F.col("a")) & ok(F.col("b")))
 
 
-def compare_pair(pair: DataFrame) -> DataFrame:
-    """Adds comparison and same_value to rows where both coders have a result; the first fitting rule decides."""
-    a, b = F.col("a"), F.col("b")
+def with_values(pair: DataFrame) -> DataFrame:
+    """Adds va and vb, the comparable code sets of the two results."""
+    return pair.withColumn("va", compared_values(F.col("a"))).withColumn("vb", compared_values(F.col("b")))
+
+
+def comparison(a: Column, b: Column) -> Column:
+    """How two results compare (rows have va and vb); the first fitting rule decides."""
     either = lambda test: test(a) | test(b)
-    df = both_compared(pair).withColumn("va", compared_values(a)).withColumn("vb", compared_values(b))
     same = F.col("va") == F.col("vb")
     none = lambda c: F.size(c) == 0
     sa, sb = _sources(a), _sources(b)
-    status = (
+    return (
         F.when(either(lambda r: r["status"].isin(fixed.INVALID_STATUSES)), "invalid_provider_output")
         .when(either(lambda r: r["status"] == "not_coded_budget"), "needs_human_review")
         .when(either(lambda r: r["status"] == "partially_valid") & same, "needs_human_review")
@@ -93,7 +101,16 @@ def compare_pair(pair: DataFrame) -> DataFrame:
         .when((F.size(sa) > 0) & (F.size(sb) > 0) & ~F.arrays_overlap(sa, sb), "evidence_disagreement")
         .otherwise("model_agreement")
     )
-    return df.withColumn("comparison", status).withColumn("same_value", same & ~none("va"))
+
+
+def agreed_value() -> Column:
+    return (F.col("va") == F.col("vb")) & (F.size("va") > 0)
+
+
+def compare_pair(pair: DataFrame) -> DataFrame:
+    """Adds comparison and same_value to rows where both coders have a result."""
+    df = with_values(both_compared(pair))
+    return df.withColumn("comparison", comparison(F.col("a"), F.col("b"))).withColumn("same_value", agreed_value())
 
 
 def comparison_kind(a: Column, b: Column) -> Column:
@@ -116,20 +133,24 @@ def version_differences(a: Column, b: Column) -> Column:
     ), lambda d: d.isNotNull())
 
 
-def combined_view(pair: DataFrame) -> DataFrame:
-    """Neutral view of two results: the agreed value or blank, all cited sources, and whether statuses are mixed."""
-    a, b = F.col("a"), F.col("b")
-    df = both_compared(pair).withColumn("va", compared_values(a)).withColumn("vb", compared_values(b))
-    agreed = (F.col("va") == F.col("vb")) & (F.size("va") > 0)
+def combined_columns(a: Column, b: Column) -> dict[str, Column]:
+    """Neutral view of two results (rows have va and vb): the agreed value or blank, all cited sources, mixed statuses."""
     partial = (a["status"] == "partially_valid") | (b["status"] == "partially_valid")
     first = F.when(a["id"] < b["id"], a["value"]).otherwise(b["value"])
-    return df.select(
-        *KEY, F.when(agreed, first).otherwise("").alias("value"),
-        F.when(agreed, F.when(partial, "partially_valid").otherwise("suggested")).otherwise("providers_differ").alias("status"),
-        F.array_sort(F.array_union(_sources(a), _sources(b))).alias("evidence_sources"),
-        (a["n_counter"] + b["n_counter"]).alias("n_counter"),
-        F.when(a["evidence_status"].eqNullSafe(b["evidence_status"]), a["evidence_status"]).otherwise("MIXED").alias("evidence_status"),
-        (a["stale"] | b["stale"]).alias("stale"))
+    return {
+        "value": F.when(agreed_value(), first).otherwise(""),
+        "status": F.when(agreed_value(), F.when(partial, "partially_valid").otherwise("suggested")).otherwise("providers_differ"),
+        "evidence_sources": F.array_sort(F.array_union(_sources(a), _sources(b))),
+        "n_counter": a["n_counter"] + b["n_counter"],
+        "evidence_status": F.when(a["evidence_status"].eqNullSafe(b["evidence_status"]), a["evidence_status"]).otherwise("MIXED"),
+        "stale": a["stale"] | b["stale"],
+    }
+
+
+def combined_view(pair: DataFrame) -> DataFrame:
+    """One neutral row for each variable that both coders have a result for."""
+    columns = combined_columns(F.col("a"), F.col("b"))
+    return with_values(both_compared(pair)).select(*KEY, *[c.alias(n) for n, c in columns.items()])
 
 
 def normalize_value(kind: Column, value: Column) -> Column:
@@ -268,20 +289,21 @@ def coder_vs_human(latest: DataFrame, reviews: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ values in use
 def display_rows(pair: DataFrame) -> DataFrame:
-    """One neutral row per variable: a single coder's result, or the combined view of two; with the comparison if any."""
-    two = combined_view(pair).select(*KEY, "value", "status", "n_counter", "evidence_sources")
-    review = lambda r: r["review_reason"]
-    flagged = both_compared(pair).select(*KEY, F.concat_ws("; ", F.when(review(F.col("a")) != "", review(F.col("a"))), F.when(review(F.col("b")) != "", review(F.col("b")))).alias("why"))
-    compared = compare_pair(pair).select(*KEY, "comparison", comparison_kind(F.col("a"), F.col("b")).alias("kind"), "same_value")
-    two = two.join(flagged, KEY).join(compared, KEY)
-    usable = lambda r: r.isNotNull() & F.coalesce(r["state"] != "stopped", F.lit(False))
+    """One neutral row per variable: a single coder's result, or the combined view of two; with the comparison if any.
+
+    All of it is one projection of the pair's own row.
+    """
     a, b = F.col("a"), F.col("b")
+    usable = lambda r: r.isNotNull() & F.coalesce(r["state"] != "stopped", F.lit(False))
     pick = F.when(usable(a), a).when(usable(b), b).when(a.isNotNull() & (b.isNull() | (a["id"] > b["id"])), a).otherwise(b)
-    one = pair.where(~(usable(a) & usable(b))).withColumn("s", pick).select(
-        *KEY, F.col("s.value").alias("value"), F.col("s.status").alias("status"), F.col("s.n_counter").alias("n_counter"), _sources(F.col("s")).alias("evidence_sources"),
-        F.col("s.review_reason").alias("why"),
-        F.lit(None).cast("string").alias("comparison"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("same_value"))
-    return two.unionByName(one)
+    df = with_values(pair).withColumn("both", usable(a) & usable(b)).withColumn("s", pick)
+    two, one, both = combined_columns(a, b), F.col("s"), F.col("both")
+    reason = lambda r: F.when(r["review_reason"] != "", r["review_reason"])
+    return df.select(
+        *KEY, *[F.when(both, two[n]).otherwise(one[n]).alias(n) for n in ("value", "status", "n_counter")],
+        F.when(both, two["evidence_sources"]).otherwise(_sources(one)).alias("evidence_sources"),
+        F.when(both, F.concat_ws("; ", reason(a), reason(b))).otherwise(one["review_reason"]).alias("why"),
+        F.when(both, comparison(a, b)).alias("comparison"), F.when(both, comparison_kind(a, b)).alias("kind"), F.when(both, agreed_value()).alias("same_value"))
 
 
 def current_value(display: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fixed
@@ -83,8 +82,9 @@ def resume_todo(results: DataFrame) -> DataFrame:
 
 
 def variable_history(results: DataFrame, history: DataFrame) -> DataFrame:
-    """Suggestions and reviews of each variable as one timeline, ordered within the variable."""
+    """Suggestions and then reviews of each variable as one timeline, numbered within the variable in two levels, so a
+    variable with a very long history is not sorted by one task."""
     s = results.select("case_id", "variable", F.lit("suggestion").alias("event"), "id", "value", F.col("status").alias("what"))
     r = history.select("case_id", "variable", F.lit("review").alias("event"), "id", "value", F.col("action").alias("what"))
-    w = W.partitionBy("case_id", "variable").orderBy(F.desc("event"), "id")
-    return s.unionByName(r).withColumn("step", F.row_number().over(w))
+    coarse = [("later", (F.col("event") == "review").cast("int")), ("block", F.floor(F.col("id") / 100_000))]
+    return full_rank(s.unionByName(r), ["case_id", "variable"], coarse, [F.col("id")], "step")
