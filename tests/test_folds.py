@@ -40,6 +40,14 @@ def test_page_without_blocks_or_metadata():
     assert (page["title"], page["language"], page["publisher"]) == ("", "", "")
 
 
+def test_publisher_and_date_from_linked_data():
+    script = '<script type="application/ld+json">%s</script>'
+    page = P.read_page("<html><head>" + script % "{broken" + script % '[{"a": 1}, {"datePublished": "2020-01-02", "publisher": {"name": "The House"}}]' + "</head></html>", "")
+    assert (page["published"], page["publisher"]) == ("2020-01-02", "The House")
+    page = P.read_page('<html><head><meta name="author" content="Someone">' + script % '{"datePublished": "2020", "publisher": {"name": "X"}}' + "</head></html>", "")
+    assert page["publisher"] == "Someone"
+
+
 def test_passages_lose_no_text_and_keep_their_size(spark):
     rng = random.Random(1)
     words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma.", "delta"]) for _ in range(n))
