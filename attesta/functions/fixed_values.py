@@ -327,3 +327,12 @@ TYPICAL_REPLY_TOKENS = 320
 
 # cache states that mean an earlier answer was used again
 REUSED_STATES = ["hit", "legacy_v2_hit", "legacy_hit"]
+
+# how much of each part enters a result
+QUERY_OPTIONS = 12
+QUERY_NOTE_CHARS = 300
+SHOWN_TITLE_CHARS = 90
+RELEVANCE_HEAD_CHARS = 6000
+CANDIDATE_YEARS = 6
+YEARS_PER_HIT = 2
+CANDIDATE_EXAMPLES = 3

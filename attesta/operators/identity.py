@@ -93,7 +93,7 @@ def with_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
     return df.join(terms.select("case_id", *TERM_COLUMNS), "case_id")
 
 
-def relevance_status(sources: DataFrame, terms: DataFrame, head_chars: int = 6000) -> DataFrame:
+def relevance_status(sources: DataFrame, terms: DataFrame, head_chars: int = fixed.RELEVANCE_HEAD_CHARS) -> DataFrame:
     """Better of the head's and the whole text's score -> relevant, uncertain or irrelevant."""
     df = with_terms(sources, terms)
     head = identity_score(df, F.substring("text", 1, head_chars)).withColumnRenamed("identity_score", "head").withColumnRenamed(
@@ -106,16 +106,17 @@ def relevance_status(sources: DataFrame, terms: DataFrame, head_chars: int = 600
         F.when(F.col("head") >= F.col("identity_score"), F.col("head_why")).otherwise(F.col("identity_why")).alias("relevance_reason"))
 
 
-def identity_candidates(hits: DataFrame, terms: DataFrame) -> DataFrame:
+def identity_candidates(hits: DataFrame, terms: DataFrame, most_years: int = fixed.CANDIDATE_YEARS, years_per_hit: int = fixed.YEARS_PER_HIT,
+                        most_examples: int = fixed.CANDIDATE_EXAMPLES) -> DataFrame:
     """Years under which the incident's name turns up, most frequent first, and whether the name is ambiguous."""
     text = F.concat_ws(" ", "title", "snippet")
     named = identity_score(with_terms(hits, terms), text, use_location=False, use_years=False).where("identity_score >= 0.45")
-    years = F.slice(F.array_sort(F.array_distinct(X.years_in(F.concat_ws(" ", text, "published")))), 1, 2)
+    years = F.slice(F.array_sort(F.array_distinct(X.years_in(F.concat_ws(" ", text, "published")))), 1, years_per_hit)
     by_year = named.select("case_id", "hit_id", "title", F.explode(
         F.when(F.size(years) > 0, years).otherwise(F.array(F.lit("(no year)")))).alias("year"))
     counts = by_year.groupBy("case_id", "year").agg(F.count("*").alias("n"), F.min("hit_id").alias("first_hit"))
-    best = top_k(counts, ["case_id"], [F.desc("n"), F.asc("first_hit")], 6).where("n >= 2")
-    examples = top_k(by_year, ["case_id", "year"], [F.asc("hit_id")], 3, "nth").groupBy("case_id", "year").agg(
+    best = top_k(counts, ["case_id"], [F.desc("n"), F.asc("first_hit")], most_years).where("n >= 2")
+    examples = top_k(by_year, ["case_id", "year"], [F.asc("hit_id")], most_examples, "nth").groupBy("case_id", "year").agg(
         F.array_sort(F.collect_list(F.struct("nth", "title"))).alias("e")).select(
         "case_id", "year", F.array_join(F.transform("e", lambda x: x["title"]), " | ").alias("examples"))
     rows = best.join(terms.select("case_id", "years"), "case_id").withColumn(

@@ -78,11 +78,17 @@ def bm25_topk(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(scores, ["query_id"], [F.desc("bm25"), F.asc("source_id"), F.asc("seq")], k)
 
 
-def variable_query(fields: DataFrame) -> DataFrame:
-    """(field_id, name, definition, labels, options, notes) -> search text of each codebook variable."""
+def variable_query(fields: DataFrame, most_options: int | None = fixed.QUERY_OPTIONS, note_chars: int | None = fixed.QUERY_NOTE_CHARS) -> DataFrame:
+    """(field_id, name, definition, labels, options, notes) -> search text of each codebook variable.
+
+    Options and notes enter up to the given numbers; ``None`` takes all of them.
+    """
+    options = F.col("options") if most_options is None else F.slice("options", 1, most_options)
+    notes = F.coalesce(F.col("notes"), F.lit(""))
+    notes = notes if note_chars is None else F.substring(notes, 1, note_chars)
     words = F.array_join(F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
     parts = F.concat_ws(" ", words, words, F.coalesce("definition", F.lit("")), F.array_join("labels", " "),
-                        F.array_join(F.slice("options", 1, 12), " "), F.substring(F.coalesce("notes", F.lit("")), 1, 300))
+                        F.array_join(options, " "), notes)
     built = fields.select("field_id", "name", F.regexp_replace(parts, " +", " ").alias("base")).withColumn("blob", F.lower("base"))
     extra = [F.when(F.col("blob").rlike(rf"\b{key}"), words) for key, words in fixed.QUERY_EXPANSIONS]
     return built.select("field_id", "name", F.concat_ws(" ", "base", *extra).alias("query"))
@@ -154,12 +160,13 @@ def lsa_vectors(passages: DataFrame, dimensions: int = 120, min_passages: int =
 
 
 # ------------------------------------------------------------------------------------------------ fusion
-def rrf_fusion(lexical: DataFrame, semantic: DataFrame, k: int) -> DataFrame:
-    """Reciprocal-rank fusion of the first 200 of each list; ties go to the better lexical, then semantic rank.
+def rrf_fusion(lexical: DataFrame, semantic: DataFrame, k: int, depth: int | None = fixed.FUSION_DEPTH) -> DataFrame:
+    """Reciprocal-rank fusion of the first ``depth`` of each list (``None``: all); ties go to the better lexical, then
+    semantic rank.
 
     ``lexical``: query_id, passage_id, source_id, seq, bm25; ``semantic``: query_id, passage_id, source_id, seq, semantic.
     """
-    depth, tail = fixed.FUSION_DEPTH, [F.asc("source_id"), F.asc("seq")]
+    depth, tail = depth or 2**31 - 1, [F.asc("source_id"), F.asc("seq")]
     lex = top_k(lexical, ["query_id"], [F.desc("bm25"), *tail], depth, "lex_rank")
     sem = top_k(semantic, ["query_id"], [F.desc("semantic"), *tail], depth, "sem_rank")
     keys = ["query_id", "passage_id", "source_id", "seq"]
@@ -232,7 +239,7 @@ def evidence_packets(hits: DataFrame, fields: DataFrame, passage_limit: int = fi
         pack, "case_id long, section string, batch long, variables array<string>, passage_ids array<string>")
 
 
-def passage_block(passage: dict[str, Column]) -> Column:
+def passage_block(passage: dict[str, Column], title_chars: int = fixed.SHOWN_TITLE_CHARS) -> Column:
     """One passage as it is shown to a coder, with its source and the flags a coder must know."""
     p = passage
     place = F.when(p["page"].isNotNull(), F.concat(F.lit("page "), p["page"])).otherwise(F.concat(F.lit("para "), p["para"]))
@@ -240,7 +247,7 @@ def passage_block(passage: dict[str, Column]) -> Column:
                   F.concat(F.lit("NEAR-DUPLICATE/SYNDICATED COPY of source S"), p["near_duplicate_of"]))
     unsure = F.when(p["relevance_status"] == "uncertain", "RELEVANCE UNCERTAIN")
     about = F.concat_ws("; ", F.concat(F.lit("source S"), p["source_id"], F.lit(": "), p["source_type"]),
-                        F.concat(F.lit('"'), F.substring(p["title"], 1, 90), F.lit('"')),
+                        F.concat(F.lit('"'), F.substring(p["title"], 1, title_chars), F.lit('"')),
                         F.coalesce(p["published_date"], F.lit("date unknown")), place, copy, unsure)
     return F.concat(F.lit("["), p["passage_id"], F.lit("] ("), about, F.lit(")\n"), p["text"])
 
