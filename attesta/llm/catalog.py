@@ -23,7 +23,7 @@ def _number(*parts):
 
 
 def op1_ngram_join(spark, directory):
-    return ngram_join(read_table(spark, directory, "documents"))
+    return ngram_join(read_table(spark, directory, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality_rules(spark, directory):
