@@ -11,11 +11,14 @@ Strings meet across documents without shuffling every suffix:
    form a region; there is about one region for 35 bytes.
 2. Regions are shuffled by their anchor's hash and sorted. A region whose whole bytes came earlier is removed altogether.
    Inside long repeats all regions are of this kind.
-3. Where one anchor has regions of different bytes (at the ends of repeats), the strings of the first region of each
-   kind are taken one by one: a task sorts its own by suffix mergesort and passes each distinct string on once, by two
-   64-bit hashes (the string's and its anchor's). Of equal strings all but the first are removed.
-
-Each step walks along sorted rows with a constant state, so a passage that very many documents share needs no gathering.
+3. Where one anchor has regions of different bytes (at the ends of repeats), the first region of each kind is shuffled as
+   bytes by its anchor, and a task sorts the strings of whole anchors by suffix mergesort. Of equal strings all but the
+   first are removed.
+4. An anchor with more than ``HOT_REGIONS`` kinds of regions is not gathered: its strings are sorted where they lie, and
+   each distinct one goes on by two 64-bit hashes, its own and its anchor's.
+
+All other steps walk along sorted rows with a constant state, so a passage that very many documents share needs no
+gathering.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from attesta.llm.batches import chunks, mix, prefix_hash, range_hash
 from attesta.llm.shared import bitmap_of, bitmap_place, in_bitmap, shared_table
 
 GRAM = 32
+HOT_REGIONS = 4096
 LAST_ID = 9223372036854775807
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -57,7 +61,7 @@ class Regions:
         starts = np.arange(int(count.sum())) + np.repeat(at[:-1] - (np.cumsum(count) - count), count)
         if not len(starts):
             self.row = self.low = self.high = self.anchor = np.zeros(0, np.int64)
-            self.gram = self.body = np.zeros(0, np.int64)
+            self.gram = self.body = self.sides = np.zeros(0, np.int64)
             return
         grams = range_hash(self.prefix, np.arange(len(data) - GRAM + 1), np.arange(GRAM, len(data) + 1))
         packed = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
@@ -69,6 +73,11 @@ class Regions:
         self.gram = grams[self.anchor].view(np.int64)
         body = range_hash(self.prefix, self.low, self.high + length)
         self.body = mix(body ^ (self.anchor - self.low).astype(np.uint64)).view(np.int64)
+        # a string takes at least half of its bytes beside the anchor from one side: 16 bits of the hash of each such half
+        half = (length - GRAM + 1) // 2
+        left = range_hash(self.prefix, np.maximum(self.anchor - half, at[self.row]), self.anchor)
+        right = range_hash(self.prefix, self.anchor + GRAM, np.minimum(self.anchor + GRAM + half, at[self.row + 1]))
+        self.sides = ((left >> np.uint64(48)) << np.uint64(16) | (right >> np.uint64(48))).astype(np.int64)
 
     def repeated_in_row(self) -> np.ndarray:
         """How often the same region came before in its row."""
@@ -151,27 +160,27 @@ def suffix_mergesort(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, s
 
 
 def region_rows(documents: DataFrame, length: int) -> DataFrame:
-    """(gram, body, doc): every region of every text; a region that a text repeats comes twice at most."""
+    """(gram, body, doc, sides): every region of every text; a region that a text repeats comes twice at most."""
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
             for first, last, data, at in chunks(b.column(1)):
                 r = Regions(data, at, length)
                 keep = r.repeated_in_row() < 2
-                yield pa.RecordBatch.from_arrays([pa.array(r.gram[keep]), pa.array(r.body[keep]), pa.array(ids[first:last][r.row[keep]], pa.int64())], names=["gram", "body", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(r.gram[keep]), pa.array(r.body[keep]), pa.array(ids[first:last][r.row[keep]], pa.int64()), pa.array(r.sides[keep].astype(np.uint32).view(np.int32))], names=["gram", "body", "doc", "sides"])
 
-    return documents.mapInArrow(run, "gram long, body long, doc long")
+    return documents.mapInArrow(run, "gram long, body long, doc long, sides int")
 
 
 def region_marks(rows: DataFrame) -> DataFrame:
-    """(doc, body, kind): 2 the region came in an earlier document, 1 the document repeats it, 0 its anchor has other
+    """(doc, body, kind, gram, sides): 2 the region came in an earlier document, 1 the document repeats it, 0 its anchor has other
     regions as well and this is the first document with this one."""
     def run(batches):
-        gram = body = first_doc = None
-        told = varied = False
+        gram = body = first_doc = first_sides = None
+        told = False
         for b in batches:
-            out_doc, out_body, out_kind = [], [], []
-            g, y, d = (b.column(i).to_numpy() for i in range(3))
+            out_doc, out_body, out_kind, out_gram, out_sides = [], [], [], [], []
+            g, y, d, e = (b.column(i).to_numpy() for i in range(4))
             if not len(g):
                 continue
             new_gram = np.ones(len(g), bool)
@@ -188,6 +197,8 @@ def region_marks(rows: DataFrame) -> DataFrame:
             later = ~new_body
             out_doc.append(d[later])
             out_body.append(y[later])
+            out_gram.append(g[later])
+            out_sides.append(e[later])
             out_kind.append(np.where(d[later] > leader[later], 2, 1))
             # regions of an anchor: all of them are told once there is a second
             gram_no = np.cumsum(new_gram)  # 0: the anchor of the batch before
@@ -201,18 +212,23 @@ def region_marks(rows: DataFrame) -> DataFrame:
             if second.any() and second[0] and not told and gram is not None and of_region[0] == 0:
                 out_doc.append(np.array([first_doc]))
                 out_body.append(np.array([body]))
+                out_gram.append(np.array([gram]))
+                out_sides.append(np.array([first_sides]))
                 out_kind.append(np.array([0]))
             out_doc.append(d[spots[tell]])
             out_body.append(y[spots[tell]])
+            out_gram.append(g[spots[tell]])
+            out_sides.append(e[spots[tell]])
             out_kind.append(np.zeros(int(tell.sum()), np.int64))
             if len(spots):
                 told = bool(tell[-1])
-                body, first_doc = int(y[spots[-1]]), int(firsts[-1])
+                body, first_doc, first_sides = int(y[spots[-1]]), int(firsts[-1]), int(e[spots[-1]])
             gram = int(g[-1])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(out_doc), pa.int64()), pa.array(np.concatenate(out_body), pa.int64()), pa.array(np.concatenate(out_kind).astype(np.int32))], names=["doc", "body", "kind"])
+                pa.array(np.concatenate(out_doc), pa.int64()), pa.array(np.concatenate(out_body), pa.int64()), pa.array(np.concatenate(out_kind).astype(np.int32)),
+                pa.array(np.concatenate(out_gram), pa.int64()), pa.array(np.concatenate(out_sides), pa.int32())], names=["doc", "body", "kind", "gram", "sides"])
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "body", "doc").mapInArrow(run, "doc long, body long, kind int")
+    return rows.repartition("gram").sortWithinPartitions("gram", "body", "doc").mapInArrow(run, "doc long, body long, kind int, gram long, sides int")
 
 
 def _with_marks(documents: DataFrame, marks: DataFrame, columns: str) -> DataFrame:
@@ -245,41 +261,112 @@ def _pairs_in(row: np.ndarray, value: np.ndarray, in_row: np.ndarray, in_value:
     return wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
 
 
-def string_rows(documents: DataFrame, marks: DataFrame, length: int) -> DataFrame:
-    """(string, gram, doc, start) of the strings in marked regions, start counted inside the text; ``again`` marks strings
-    that came earlier among those of the same task, the others are its distinct strings."""
+def sort_strings(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, gram: np.ndarray, distance: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int):
+    """(order, again): strings sorted so that equal ones lie together by doc and place, and which of them start later than
+    the first of their kind. Equal strings have equal anchors at equal distances: only these are sorted against each other."""
+    key = mix(gram.view(np.uint64) ^ mix(distance.astype(np.uint64)))
+    order = np.lexsort((place, doc, key))
+    order = order[suffix_mergesort(data, prefix, starts[order], key[order], length)]  # stable
+    starts, key, doc, place = starts[order], key[order], doc[order], place[order]
+    first = np.ones(len(order), bool)
+    same = np.flatnonzero(key[1:] == key[:-1])
+    first[same + 1] = _before(data, prefix, starts[same], starts[same + 1], length) != 0
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.zeros(0, np.int64)
+    return order, (doc != doc[lead]) | (place != place[lead])
+
+
+def _windows(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which region, start) of every string in regions with these first and last starts."""
+    count = high - low + 1
+    which = np.repeat(np.arange(len(low)), count)
+    return which, np.arange(int(count.sum())) + np.repeat(low - (np.cumsum(count) - count), count)
+
+
+def marked_regions(documents: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+    """The regions marked 0, as bytes (gram, doc, place: first start inside the text, distance to the anchor, text) or, for
+    hot anchors, as strings (gram, doc, place, string, again)."""
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
-            mark_row, (mark_body,) = _lists(b.column(2), ["body"])
+            mark_row, (mark_body, mark_hot) = _lists(b.column(2), ["body", "hot"])
+            mark_body, mark_hot = mark_body.astype(np.int64), mark_hot.astype(bool)
             for first, last, data, at in chunks(b.column(1)):
                 r = Regions(data, at, length)
                 near = (mark_row >= first) & (mark_row < last)
-                keep = _pairs_in(r.row, r.body, mark_row[near] - first, mark_body[near].astype(np.int64)) & (r.repeated_in_row() == 0)
-                low, count = r.low[keep], (r.high - r.low + 1)[keep]
-                starts = np.arange(int(count.sum())) + np.repeat(low - (np.cumsum(count) - count), count)
-                gram, anchor, row = (np.repeat(x[keep], count) for x in (r.gram, r.anchor, r.row))
-                # equal strings have equal anchors at equal distances: only these are sorted against each other
-                key = mix(gram.view(np.uint64) ^ mix((anchor - starts).astype(np.uint64)))
-                doc = ids[first:last][row]
-                order = np.lexsort((starts - at[row], doc, key))
-                starts, gram, row, doc, key = starts[order], gram[order], row[order], doc[order], key[order]
-                order = suffix_mergesort(data, r.prefix, starts, key, length)  # stable: equal strings stay by doc and start
-                starts, gram, row, doc, key = starts[order], gram[order], row[order], doc[order], key[order]
-                again = np.zeros(len(starts), bool)
-                same = np.flatnonzero(key[1:] == key[:-1])
-                again[same + 1] = _before(data, r.prefix, starts[same], starts[same + 1], length) == 0
-                string = range_hash(r.prefix, starts, starts + length).view(np.int64)
+                row, body, hot = mark_row[near] - first, mark_body[near], mark_hot[near]
+                new = r.repeated_in_row() == 0
+                doc = ids[first:last][r.row]
+                some = np.flatnonzero(new & _pairs_in(r.row, r.body, row[~hot], body[~hot]))
+                raw = data.tobytes()
+                n = len(some)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(string), pa.array(gram), pa.array(doc, pa.int64()), pa.array(starts - at[row], pa.int64()), pa.array(again)],
-                    names=["string", "gram", "doc", "start", "again"])
+                    pa.array(r.gram[some]), pa.array(doc[some], pa.int64()), pa.array(r.low[some] - at[r.row[some]]), pa.array((r.anchor - r.low)[some]),
+                    pa.array([raw[x:y] for x, y in zip(r.low[some].tolist(), (r.high[some] + length).tolist())], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=_MARKED)
+                many = np.flatnonzero(new & _pairs_in(r.row, r.body, row[hot], body[hot]))
+                if len(many):
+                    which, starts = _windows(r.low[many], r.high[many])
+                    own = many[which]
+                    place = starts - at[r.row[own]]
+                    order, again = sort_strings(data, r.prefix, starts, r.gram[own], r.anchor[own] - starts, doc[own], place, length)
+                    own, starts, place = own[order], starts[order], place[order]
+                    n = len(own)
+                    string = range_hash(r.prefix, starts, starts + length).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(r.gram[own]), pa.array(doc[own], pa.int64()), pa.array(place), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(string), pa.array(again)], names=_MARKED)
+
+    variants = marks.where("kind = 0").select("doc", "body", "gram", F.shiftright("sides", 16).alias("left"), F.col("sides").bitwiseAND(0xFFFF).alias("right"))
+    # regions of one anchor share a string only if they share the half string on one side
+    twice = [variants.groupBy("gram", side).agg(F.count("*").alias("n")).where("n > 1").select("gram", side) for side in ("left", "right")]
+    variants = variants.join(twice[0], ["gram", "left"], "left_semi").select("doc", "body", "gram").unionByName(
+        variants.join(twice[1], ["gram", "right"], "left_semi").select("doc", "body", "gram")).distinct()
+    hot = variants.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT_REGIONS).select("gram", F.lit(True).alias("hot"))
+    told = variants.join(hot, "gram", "left").select("doc", "body", F.coalesce("hot", F.lit(False)).alias("hot"))
+    marked = _with_marks(documents, told, "body hot")
+    return shared_table(marked.mapInArrow(run, "gram long, doc long, place long, distance long, text binary, string long, again boolean"), "regions")
+
+
+_MARKED = ["gram", "doc", "place", "distance", "text", "string", "again"]
+
+
+def later_in_anchors(rows: DataFrame, length: int) -> DataFrame:
+    """(doc, start) of strings in regions given as bytes that also start earlier. Whole anchors are sorted together; none
+    has more than ``HOT_REGIONS`` regions."""
+    def sort(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        gram, doc, place, distance = (table.column(i).to_numpy() for i in range(4))
+        text = table.column(4).combine_chunks()
+        parts = []
+        for first, last, data, at in chunks(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, 1 << 40):
+            which, starts = _windows(at[:-1], at[1:] - length)
+            own = which + first
+            inside = starts - at[which]
+            order, again = sort_strings(data, prefix_hash(data), starts, gram[own], distance[own] - inside, doc[own], place[own] + inside, length)
+            late = order[again]
+            parts.append((doc[own][late], (place[own] + inside)[late]))
+        docs, found = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (zip(*parts) if parts else ([], [])))
+        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(found)], names=["doc", "start"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            gram = b.column(0).to_numpy()
+            if not len(gram):
+                continue
+            cut = int(np.searchsorted(gram, gram[-1]))  # rows come sorted; the last anchor may go on in the next batch
+            if cut or (held and held[-1].column(0)[-1].as_py() != gram[0]):
+                whole = [*held, b.slice(0, cut)] if cut else held
+                held = []
+                yield sort(pa.Table.from_batches(whole))
+            held.append(b.slice(cut))
+        if held:
+            yield sort(pa.Table.from_batches(held))
 
-    marked = _with_marks(documents, marks.where("kind = 0").select("doc", "body"), "body")
-    return shared_table(marked.mapInArrow(run, "string long, gram long, doc long, start long, again boolean"), "strings")
+    given = rows.where("text IS NOT NULL").select("gram", "doc", "place", "distance", "text").repartition("gram").sortWithinPartitions("gram")
+    return given.mapInArrow(run, "doc long, start long")
 
 
 def later_strings(rows: DataFrame) -> DataFrame:
-    """(doc, start) of strings that also start earlier, in another document or before in the same one."""
+    """(doc, start) of strings of hot anchors that also start earlier, in another document or before in the same one."""
     def run(batches):
         string = gram = doc = start = None
         for b in batches:
@@ -297,8 +384,9 @@ def later_strings(rows: DataFrame) -> DataFrame:
             string, gram, doc, start = int(s[-1]), int(g[-1]), int(lead_doc[-1]), int(lead_start[-1])
             yield pa.RecordBatch.from_arrays([pa.array(d[later]), pa.array(t[later])], names=["doc", "start"])
 
-    across = rows.where("NOT again").select("string", "gram", "doc", "start").repartition("string").sortWithinPartitions("string", "gram", "doc", "start")
-    return across.mapInArrow(run, "doc long, start long").unionByName(rows.where("again").select("doc", "start"))
+    hot = rows.where("string IS NOT NULL").select("string", "gram", "doc", F.col("place").alias("start"), "again")
+    across = hot.where("NOT again").select("string", "gram", "doc", "start").repartition("string").sortWithinPartitions("string", "gram", "doc", "start")
+    return across.mapInArrow(run, "doc long, start long").unionByName(hot.where("again").select("doc", "start"))
 
 
 def _result(row_id: np.ndarray, data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple]:
@@ -337,7 +425,8 @@ def substring_dedup(documents: DataFrame, length: int = 100) -> DataFrame:
     """
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     marks = shared_table(region_marks(region_rows(texts, length)).distinct(), "marks")
-    later = shared_table(later_strings(string_rows(texts, marks, length)), "later")
+    regions = marked_regions(texts, marks, length)
+    later = shared_table(later_in_anchors(regions, length).unionByName(later_strings(regions)), "later")
     every = marks.where("kind > 0").select("doc", "body", "kind").unionByName(
         later.select("doc", F.col("start").alias("body"), F.lit(3).alias("kind")))
     touched = shared_table(every.select("doc").distinct(), "touched")
