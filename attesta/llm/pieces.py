@@ -32,7 +32,7 @@ from attesta.llm.batches import chunks, column_bytes, mix, prefix_hash, range_ha
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 5 << 20
 REMEMBERED = 1 << 20
 
 
