@@ -120,9 +120,9 @@ grams AS (
   SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM texts)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-overlaps AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+in_both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM overlaps JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * o >= 75 * (s.n + t.n - o)),
+  SELECT a, b FROM in_both JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * o >= 75 * (s.n + t.n - o)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS root, doc_id FROM documents UNION SELECT r.root, w.b FROM reach r JOIN ways w ON w.a = r.doc_id)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.root) AS component_id
