@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from attesta.llm.batches import chunks, column_bytes, mix, prefix_hash, range_hash
+from attesta.llm.batches import chunks, column_bytes, mix, prefix_hash, range_hash, release_memory
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_BYTES = 5 << 20
-REMEMBERED = 1 << 20
+BATCH_BYTES = 2 << 20
+REMEMBERED = 1 << 19
 
 
 def merge_pieces(text: str, ids: dict[str, int], score: dict[str, float]) -> list[str]:
@@ -444,6 +444,7 @@ def encode(documents: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     names, text_at = [*rows.columns, "ids", "n_ids", "round_trip"], rows.columns.index("text")
 
     def run(batches):
+        release_memory()
         known = _KNOWN.setdefault(vocabulary.value.name, Known())  # a worker goes on to the next task with what it knows
         for batch in batches:
             _, at = column_bytes(batch.column(text_at))
