@@ -11,7 +11,7 @@ from attesta.llm import gru, lm_scoring, toxicity
 from attesta.llm.batches import prefix_hash
 from attesta.llm.components import components
 from attesta.llm.count_tree import CountTree, bound_holds, points
-from attesta.llm.ngram_join import ngram_join
+from attesta.llm.ngram_join import ngram_join, shared_buckets
 from attesta.llm.substring_dedup import substring_dedup, suffix_mergesort
 
 
@@ -69,6 +69,26 @@ def test_ngram_join_equals_brute_force(documents, small_batches, seed):
     assert got == want_components(rows)
 
 
+def test_buckets_keep_their_centre_across_batches(spark, documents, small_batches):
+    rng = random.Random(6)
+    entries = [(key, rng.randint(-999, 999)) for key in range(80) for _ in range(2 if key % 9 else rng.randint(1, 30))]
+    of = {}
+    for key, name in entries:
+        of.setdefault(key, set()).add(name)
+    want = sorted((key, name, min(names)) for key, names in of.items() if len(names) > 1 for name in names)
+    got = shared_buckets(spark.createDataFrame(entries, "key long, class long").repartition(1)).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_ngram_join_of_pairs_that_meet_in_few_buckets(documents, small_batches):
+    rows = []
+    for i in range(80):  # six of seven n-grams are shared, and two n-grams of a set make buckets
+        words = [f"w{i}x{j}" for j in range(11)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:10], "other"]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(documents(rows)).collect()}
+    assert got == {i: (7, i - i % 2) for i, _ in rows}
+
+
 def test_ngram_join_of_odd_rows(documents):
     assert ngram_join(documents([])).count() == 0
     got = ngram_join(documents([(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (3, "x " * 30000), (4, None), (None, "z")])).collect()
