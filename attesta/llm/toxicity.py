@@ -1,21 +1,23 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are words and beginnings of words. From *all* labelled training texts their document frequencies in toxic and clean
-texts are counted (combined before the shuffle); the terms that tell the two apart best, and their inverse document
-frequencies, span the space of TF-IDF vectors. An index holds up to ``max_examples`` training texts, chosen by a hash in
-the proportions of the training rows; that sample is the only bound and is a parameter.
-
-The index is inverted and block-max: examples lie in blocks, and each term keeps, per block, its largest weight. A text's
-cosine with any example of a block is at most the sum of its own weights times those maxima, so blocks are scored exactly
-in order of that bound until no bound reaches the k-th best cosine found. Votes of the k nearest, weighted by closeness
-and drawn towards the training rate, give a score, which a monotone table fitted by leaving examples out turns into a
-rate. The neighbours are the evidence.
+Terms are words and beginnings of words. *All* terms of *all* labelled training texts, with their inverse document frequencies
+(counted per batch and combined before the shuffle), span the space of TF-IDF vectors; the table of terms travels with the
+model. An index holds up to ``max_examples`` training texts, chosen by a hash in the proportions of the training rows; that
+sample is the only bound and is a parameter.
+
+The index is inverted and block-max: examples lie in blocks. Terms of few examples have postings, whose products are summed
+exactly; each of the ``COMMON`` terms of most examples keeps, per block, its largest weight. A text's cosine with any example
+of a block is at most the block's best sum over postings and the sum of its own weights times those maxima, so blocks are
+scored exactly in order of that bound until no bound reaches the k-th best cosine found. Votes of the k nearest, weighted by
+closeness and drawn towards the training rate, give a score, which a monotone table fitted by leaving examples out turns into
+a rate. The neighbours are the evidence.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ from attesta.llm.shared import shared_table
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
 BLOCK = 32
-MIN_GAIN = 0.01  # of the best term's gain
+COMMON = 2048  # a matter of speed only: terms of most examples are multiplied as matrices, the others by postings
+LOT, LOT_POSTINGS = 256, 1 << 20  # texts searched at once, and about how many postings they meet
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?\"'()[]{}<>*_-")] = True
 
@@ -54,48 +57,25 @@ def _distinct(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[first], terms[first]
 
 
-def term_counts(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """(term, docs): in how many of the texts a term occurs; counted per batch, then combined. ``only``: sorted terms of interest."""
-    shared = texts.sparkSession.sparkContext.broadcast(only)
-
+def term_counts(texts: DataFrame) -> DataFrame:
+    """(term, docs): in how many of the texts a term occurs; counted per batch, then combined."""
     def count(batches):
-        wanted = shared.value
         for b in batches:
             for _, _, data, at in chunks(b.column(0), 2 << 20):
-                rows, terms = _terms(data, at)
-                if wanted is not None:
-                    hit = wanted[np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)] == terms
-                    rows, terms = rows[hit], terms[hit]
-                names, docs = np.unique(_distinct(rows, terms)[1], return_counts=True)
+                names, docs = np.unique(_distinct(*_terms(data, at))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(docs, pa.int64())], names=["term", "docs"])
 
     return texts.select("text").mapInArrow(count, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def choose_terms(training: DataFrame, n_toxic: int, n_clean: int, max_terms: int, min_share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The terms that tell toxic from clean texts best, and the weight of each: inverse document frequency times gain.
-
-    Only terms in at least ``min_share`` of the toxic texts (and in two) are counted among the clean ones; there are at
-    most (terms of a text) / ``min_share`` of these, whatever the number of texts, so they may be broadcast.
-    """
-    least = max(2.0, min_share * n_toxic)
-    toxic = term_counts(training.where("toxic = 1")).where(F.col("docs") >= least).orderBy("term").toPandas()
-    terms, bad = toxic["term"].to_numpy(np.int64), toxic["docs"].to_numpy(float)
-    if not len(terms):
-        return np.zeros(0, np.int64), np.zeros(0)
-    clean = term_counts(training.where("toxic <> 1"), terms).toPandas()
-    good = np.zeros(len(terms))
-    good[np.searchsorted(terms, clean["term"].to_numpy(np.int64))] = clean["docs"].to_numpy(float)
-    share_t, share_c, smooth = bad / max(n_toxic, 1), good / max(n_clean, 1), 1 / (n_toxic + n_clean)
-    gain = np.where(share_t > share_c, (share_t - share_c) * np.log((share_t + smooth) / (share_c + smooth)), 0)
-    best = np.lexsort((terms, -gain))[:max_terms]
-    best = best[gain[best] > MIN_GAIN * gain.max(initial=0)]
-    idf = np.log((1 + n_toxic + n_clean) / (1 + bad + good)) + 1
-    return terms[best], (idf * gain)[best]
+def weigh_terms(training: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of the ``n`` training texts and their inverse document frequencies."""
+    table = term_counts(training).toArrow()
+    return table["term"].to_numpy(), (np.log((1 + n) / (1 + table["docs"].to_numpy())) + 1).astype(np.float32)
 
 
 class Model:
-    """Vocabulary, index and calibration; as large as ``max_terms`` and ``max_examples`` allow, so it may be broadcast."""
+    """Vocabulary, index and calibration; with the terms of the training texts and ``max_examples`` of these texts."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, prior: float, k: int, pull: float):
         order = np.argsort(terms)
@@ -109,32 +89,70 @@ class Model:
         if not len(self.terms) or not len(data):
             return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
         rows, terms = _terms(data, at)
-        place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        hit = self.terms[place] == terms
-        code, count = np.unique(rows[hit] * len(self.terms) + place[hit], return_counts=True)
-        rows, place = code // len(self.terms), code % len(self.terms)
+        names, terms = np.unique(terms, return_inverse=True)
+        if not len(names):
+            return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        place = np.minimum(np.searchsorted(self.terms, names), len(self.terms) - 1)
+        hit = (self.terms[place] == names)[terms]
+        code, count = np.unique(rows[hit] * len(names) + terms[hit], return_counts=True)
+        rows, place = code // len(names), place[code % len(names)]
         weight = (1 + np.log(count)) * self.idf[place]
         size = np.sqrt(np.bincount(rows, weight * weight, minlength=n))
         return np.searchsorted(rows, np.arange(n + 1)), place, weight / size[rows]
 
     def index(self, doc_ids: np.ndarray, toxic: np.ndarray, bounds: np.ndarray, place: np.ndarray, weight: np.ndarray) -> None:
         """Lays examples out in blocks of like texts: ordered by their heaviest term."""
-        n = len(doc_ids)
-        dense = np.zeros((n, len(self.terms)), np.float32)
+        n, filled = len(doc_ids), np.flatnonzero(np.diff(bounds))
         rows = np.repeat(np.arange(n), np.diff(bounds))
-        dense[rows, place] = weight
-        order = np.lexsort((doc_ids, dense.max(axis=1, initial=0), dense.argmax(axis=1) if dense.shape[1] else np.zeros(n)))
-        self.doc_ids, self.toxic, dense = doc_ids[order], toxic[order].astype(float), dense[order]
-        self.blocks = [np.ascontiguousarray(dense[i: i + BLOCK].T) for i in range(0, n, BLOCK)]
-        self.most = np.array([b.max(axis=1) for b in self.blocks]).T if self.blocks else np.zeros((len(self.terms), 0), np.float32)
+        head = np.lexsort((-weight, rows))[bounds[filled]]
+        heaviest, most = np.full(n, -1), np.zeros(n)
+        heaviest[filled], most[filled] = place[head], weight[head]
+        order = np.lexsort((doc_ids, most, heaviest))
+        self.doc_ids, self.toxic = doc_ids[order], toxic[order].astype(float)
+        rows = np.argsort(order)[rows]
+        by_term = np.lexsort((rows, place))
+        self.example, self.weight = rows[by_term].astype(np.int32), weight[by_term].astype(np.float32)
+        # postings of each term: where they begin and how many there are, none for a term in no example
+        self.times = np.bincount(place, minlength=len(self.terms)).astype(np.int32)
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """Where postings begin, and the common terms as matrices; made again on every executor, so it does not travel."""
+        n = len(self.doc_ids)
+        self.first = np.cumsum(self.times) - self.times
+        common = np.argsort(-self.times, kind="stable")[:COMMON]
+        common = common[self.times[common] > 0]
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        column = np.repeat(self.column, self.times)
+        dense = np.zeros((n, len(common)), np.float32)
+        dense[self.example[column >= 0], column[column >= 0]] = self.weight[column >= 0]
+        self.parts = [np.ascontiguousarray(dense[i: i + BLOCK].T) for i in range(0, n, BLOCK)]
+        self.most = np.array([p.max(axis=1) for p in self.parts], np.float32).reshape(len(self.parts), len(common)).T
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("first", "column", "parts", "most")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if "example" in state:
+            self._lay_out()
+
+    @property
+    def blocks(self) -> list[np.ndarray]:
+        """The weights of all terms (rows) in each block's examples (columns), laid out in full."""
+        terms, out = np.repeat(np.arange(len(self.terms)), self.times), []
+        for i in range(0, len(self.doc_ids), BLOCK):
+            own = (self.example >= i) & (self.example < i + BLOCK)
+            out.append(np.zeros((len(self.terms), min(BLOCK, len(self.doc_ids) - i)), np.float32))
+            out[-1][terms[own], self.example[own] - i] = self.weight[own]
+        return out
 
     def example_vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The examples in the order of the index, as ``vectors`` gives them."""
-        if not self.blocks:
-            return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        rows, place = np.nonzero(np.concatenate([b.T for b in self.blocks]))
-        weight = np.concatenate([b.T for b in self.blocks])[rows, place].astype(float)
-        return np.searchsorted(rows, np.arange(len(self.doc_ids) + 1)), place, weight
+        order = np.argsort(self.example, kind="stable")
+        place = np.repeat(np.arange(len(self.terms)), self.times)[order]
+        return np.searchsorted(self.example[order], np.arange(len(self.doc_ids) + 1)), place, self.weight[order].astype(float)
 
     def search(self, bounds: np.ndarray, place: np.ndarray, weight: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest of every text, exactly, -1 and 0 where there are fewer with a cosine above
@@ -145,23 +163,36 @@ class Model:
         """
         n, k = len(bounds) - 1, self.k
         best, close = np.full((n, k), -1), np.zeros((n, k))
-        if not self.blocks:
+        if not self.parts:
             return best, close
+        width = len(self.parts) * BLOCK
         filled = np.flatnonzero(np.diff(bounds))
-        for rows in np.array_split(filled, len(filled) // 2048 + 1):
+        met = np.concatenate([[0], np.cumsum(np.where(self.column[place] >= 0, 0, self.times[place]))])
+        met = np.cumsum(met[bounds[1:]] - met[bounds[:-1]])[filled]
+        lot = met // LOT_POSTINGS + np.arange(len(filled)) // LOT
+        for rows in np.split(filled, np.flatnonzero(np.diff(lot)) + 1):
+            if not len(rows):
+                continue
             count = np.diff(bounds)[rows]
             spots = np.arange(int(count.sum())) + np.repeat(bounds[rows] - (np.cumsum(count) - count), count)
-            q = np.zeros((len(rows), len(self.terms)), np.float32)
-            q[np.repeat(np.arange(len(rows)), count), place[spots]] = weight[spots]
-            bound = q @ self.most
+            own, term, share = np.repeat(np.arange(len(rows)), count), place[spots], weight[spots].astype(np.float32)
+            column = self.column[term]
+            common = column >= 0
+            q = np.zeros((len(rows), len(self.most)), np.float32)
+            q[own[common], column[common]] = share[common]
+            times = np.where(common, 0, self.times[term])
+            posting = np.arange(int(times.sum())) + np.repeat(self.first[term] - (np.cumsum(times) - times), times)
+            rare = np.bincount(np.repeat(own, times) * width + self.example[posting], np.repeat(share, times) * self.weight[posting], minlength=len(rows) * width)
+            rare = rare.reshape(len(rows), len(self.parts), BLOCK)
+            bound = q @ self.most + rare.max(axis=2)
             first = bound.argmax(axis=1)
             for phase in (0, 1):
-                for b in range(len(self.blocks)):
+                for b in range(len(self.parts)):
                     own = (first == b) if phase == 0 else (first != b) & (bound[:, b] > 0) & (bound[:, b] >= close[rows, k - 1] - 1e-5)
                     at = np.flatnonzero(own)
                     if not len(at):
                         continue
-                    cosine = np.round((q[at] @ self.blocks[b]).astype(float), 5)
+                    cosine = np.round((q[at] @ self.parts[b]).astype(float) + rare[at, b, : self.parts[b].shape[1]], 5)
                     names = np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + cosine.shape[1]), cosine.shape)
                     if without is not None:
                         cosine = np.where(names == without[rows[at], None], 0, cosine)
@@ -199,7 +230,7 @@ def held_out(fold: int, folds: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_terms: int = 512, min_share: float = 0.005, max_examples: int = 4000,
+def fit(documents: DataFrame, labels: DataFrame, max_examples: int = 4000,
         k: int = 15, pull: float = 0.5, fold: int = 2, folds: int = 4) -> Model:
     """Learns from labelled rows outside the held-out fold. Only text and ``toxic`` are read, doc_id for the join and fold.
 
@@ -213,17 +244,16 @@ def fit(documents: DataFrame, labels: DataFrame, max_terms: int = 512, min_share
     n_toxic = sum(r["count"] for r in totals if r["toxic"] == 1)
     n_clean = sum(r["count"] for r in totals if r["toxic"] != 1)
     prior = n_toxic / max(n_toxic + n_clean, 1)
-    model = Model(*choose_terms(training, n_toxic, n_clean, max_terms, min_share), prior, k, pull)
+    model = Model(*weigh_terms(training, n_toxic + n_clean), prior, k, pull)
     # examples by hash, so in about the proportions of the training rows; the hash of the last one is found on narrow rows
     place = F.xxhash64("doc_id")
     last = training.select(place.alias("place")).orderBy("place").limit(max_examples).agg(F.max("place")).first()[0]
     sample = training.where(place <= F.lit(last)).select("doc_id", "toxic", "text") if last is not None else training.limit(0).select("doc_id", "toxic", "text")
-    vectors = sample.mapInArrow(_vectors_of(model), "doc_id long, toxic int, places array<long>, weights array<double>").toPandas()
-    vectors = vectors.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in vectors["places"]])]).astype(np.int64)
-    place = np.concatenate([*vectors["places"], np.zeros(0)]).astype(np.int64)
-    weight = np.concatenate([*vectors["weights"], np.zeros(0)]).astype(float)
-    model.index(vectors["doc_id"].to_numpy(np.int64), vectors["toxic"].to_numpy(np.int64), bounds, place, weight)
+    vectors = sample.mapInArrow(_vectors_of(model), "doc_id long, toxic int, places array<long>, weights array<double>").toArrow().combine_chunks()
+    places, weights = (pa.concat_arrays([c.flatten() for c in vectors[name].chunks] or [pa.array([], kind)]).to_numpy() for name, kind in (("places", pa.int64()), ("weights", pa.float64())))
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(vectors["places"]).to_numpy())]).astype(np.int64)
+    model.index(vectors["doc_id"].to_numpy(), vectors["toxic"].to_numpy(), bounds, places, weights)
+    del vectors, places, weights
     bounds, place, weight = model.example_vectors()
     model.calibrate(model.votes(*model.search(bounds, place, weight, np.arange(len(model.doc_ids)))), model.toxic)
     return model

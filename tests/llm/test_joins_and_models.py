@@ -265,6 +265,29 @@ def test_block_max_search_is_exact(spark, documents):
         assert np.allclose(close[i][: len(want)], want, atol=2e-5) and (best[i] >= 0).sum() == len(want)
 
 
+def test_toxicity_cosines_are_of_all_terms(spark, documents):
+    rng = random.Random(10)
+    rows, labels = toxic_rows(120, rng)
+    model = toxicity.fit(documents(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def terms(text):
+        words = [w.strip(".,;:!?") for w in text.lower().split()]
+        return Counter(words) + Counter((n, w[:n]) for w in words for n in range(3, 9) if len(w) > n)
+
+    training = {i: terms(t) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    docs = Counter(t for c in training.values() for t in c)
+
+    def vector(found):
+        raw = {t: (1 + math.log(n)) * (math.log((1 + len(training)) / (1 + docs[t])) + 1) for t, n in found.items() if t in docs}
+        return {t: w / math.sqrt(sum(x * x for x in raw.values())) for t, w in raw.items()}
+
+    examples = [vector(c) for c in training.values()]
+    for r in toxicity.score(documents(rows), model).collect():
+        own = vector(terms(r.text))
+        want = sorted((sum(w * e.get(t, 0) for t, w in own.items()) for e in examples), reverse=True)[:3]
+        assert np.allclose(r.cosines, want, atol=2e-5)
+
+
 def test_toxicity_without_labels_or_rows(spark, documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(documents([(1, "a")]), none)
