@@ -3,9 +3,8 @@
 p(word | past) = p(class | past) * p(word | class). The classes are the end of a text, the most frequent words (one class
 each) and shapes of the other words (their last letters, or their first letter outside ASCII, or punctuation and digits).
 The network predicts the class; within a class a word has its add-one share of the corpus counts, one unseen word
-included. Word counts cover every training text. The network learns by truncated backpropagation on a fixed share of the
-training texts, chosen by hash, so what it sees grows with the corpus: in each round every partition trains from the same
-weights, and the weights are averaged by tokens.
+included. Word counts cover every training text. The network learns by truncated backpropagation on every training text:
+in each round every partition trains from the same weights, and the weights are averaged by tokens.
 
 Counts reach the texts in two ways: those of the most frequent words, as many as ``table_words``, travel with the model;
 each other word of a text is joined to the table of counts. No count is left out.
@@ -155,8 +154,8 @@ def train_network(texts: DataFrame, model: Model, rounds: int) -> np.ndarray:
     return model.weights
 
 
-def fit(documents: DataFrame, fold: int = 2, folds: int = 7, table_words: int = 1 << 19, one_in: int = 16, rounds: int = 2) -> tuple[Model, DataFrame]:
-    """(model, word counts) from the documents outside the held-out fold; the network sees one text in ``one_in``."""
+def fit(documents: DataFrame, fold: int = 2, folds: int = 7, table_words: int = 1 << 19, one_in: int = 1, rounds: int = 2) -> tuple[Model, DataFrame]:
+    """(model, word counts) from the documents outside the held-out fold; the network sees one text in ``one_in``, all by default."""
     training = documents.where(~held_out(fold, folds))
     n_texts = training.count()
     counts = shared_table(word_counts(training), "counts")

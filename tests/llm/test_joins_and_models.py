@@ -190,6 +190,13 @@ def test_language_model_base_and_probability(documents):
     assert np.allclose(np.exp(gru.log_softmax(w, np.zeros((1, 1, gru.HIDDEN), np.float32))).sum(), 1, atol=1e-4)
 
 
+def test_network_learns_from_every_training_text(documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_scoring, "train_network", lambda texts, model, rounds: seen.extend(r.text for r in texts.collect()))
+    lm_scoring.fit(documents([(i, f"text {i}") for i in range(100)]).select("doc_id", "text"))
+    assert sorted(seen) == sorted(f"text {i}" for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+
+
 def test_language_model_of_nothing(documents):
     frame = documents([]).select("doc_id", "text")
     model, counts = lm_scoring.fit(frame)
