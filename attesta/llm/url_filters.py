@@ -41,9 +41,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals (pattern, action, category, valid_from, valid_to) from dated entries (pattern, listed_at, action, category).
 
     Times are seconds. Of entries with the same pattern and time the last by (action, category) counts. Entries without
-    pattern or time are never active. valid_to is null for the newest entry of a pattern.
+    pattern or time are never active. valid_to is null for the newest entry of a pattern. Hosts are lower-cased, paths are not.
     """
-    one = entries.where("pattern IS NOT NULL AND listed_at IS NOT NULL").groupBy(F.lower("pattern").alias("pattern"), "listed_at").agg(
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.substring("pattern", F.length(host) + 1, F.length("pattern")))
+    one = entries.where("pattern IS NOT NULL AND listed_at IS NOT NULL").groupBy(pattern.alias("pattern"), "listed_at").agg(
         F.max(F.struct("action", "category")).alias("last"))
     following = F.lead("listed_at").over(W.partitionBy("pattern").orderBy("listed_at"))
     return one.select("pattern", "last.action", "last.category", F.col("listed_at").alias("valid_from"), following.alias("valid_to"))

@@ -103,6 +103,13 @@ def test_url_filters_follow_time(spark):
     assert not any(r.blocked for r in filter_captures(captures, entries.limit(0)).collect())
 
 
+def test_url_filters_keep_the_case_of_paths(spark):
+    entries = spark.createDataFrame([("B.org/Docs", 1, "block", "x")], "pattern string, listed_at long, action string, category string")
+    captures = spark.createDataFrame([(1, "http://b.ORG/Docs/a", 5), (2, "http://b.org/docs/a", 5)], "page_id long, url string, fetched_at long")
+    got = {r.page_id: (r.blocked, r.pattern) for r in filter_captures(captures, entries).collect()}
+    assert got == {1: (True, "b.org/Docs"), 2: (False, None)}
+
+
 def test_pieces_equal_the_library(documents, small):
     import pyarrow.parquet as pq
 
