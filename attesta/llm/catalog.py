@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from attesta.llm import checks, lm_scoring, toxicity
 from attesta.llm.exact_dedup import exact_dedup
+from attesta.llm.fill_middle import fill_in_middle, restored
 from attesta.llm.mixing import mix
 from attesta.llm.ngram_join import ngram_join
+from attesta.llm.packing import pack
 from attesta.llm.pieces import encode
 from attesta.llm.quality import quality_rules
+from attesta.llm.ranked_search import ranked_search
 from attesta.llm.substring_dedup import substring_dedup
 from attesta.llm.url_filters import filter_captures, host_of, path_of
 from attesta.llm.warc import archive_round_trip
@@ -82,8 +85,23 @@ def op10_toxicity(spark, directory):
     return toxicity.score(documents, model).select("doc_id", toxicity.held_out(2, 4).alias("held_out"), "score", "predicted", "neighbours", "cosines")
 
 
+def op11_best_fit_packing(spark, directory):
+    return pack(read_table(spark, directory, "documents"), with_ids=False)
+
+
+def op12_fill_in_middle(spark, directory):
+    made = fill_in_middle(read_table(spark, directory, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_ranked_search(spark, directory):
+    return ranked_search(read_table(spark, directory, "documents"), read_table(spark, directory, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_quality_rules, op3_warc_transactions, op4_substring_dedup, op5_exact_dedup, op6_lm_scoring, op7_url_filters, op8_piece_encoding, op9_source_mixing, op10_toxicity,
+    op11_best_fit_packing, op12_fill_in_middle, op13_ranked_search,
 )}
 
 

@@ -18,4 +18,6 @@ def test_query_matches_its_sql(spark, small, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(CHECKS)))
 def test_query_has_a_row_for_every_document(spark, small, name):
     rows = catalog.queries()[name](spark, small)
+    if "piece" in rows.columns:
+        rows = rows.where("piece = 0")
     assert rows.count() == spark.read.parquet(f"{small}/documents.parquet").count()
