@@ -14,7 +14,9 @@ Only lengths and numbers are shuffled, never ids.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +32,7 @@ CAPACITY = 4096
 NEARLY_FULL = 512  # a bin with room for less than this part of the capacity is a sequence
 FAN_IN = 8
 NODE_ITEMS = 1 << 17
-REMEMBERED_WORDS, REMEMBERED_BYTES = 1 << 18, 64
+REMEMBERED_WORDS, REMEMBERED_SEGMENTS, REMEMBERED_CHARS = 1 << 19, 1 << 20, 64
 ROWS_BYTES = 4 << 20
 
 
@@ -44,26 +46,65 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-class WordIds:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers.
+# How the tokenizer splits lower-cased text, for the characters up to U+00FF, and the characters of single bytes.
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\r\x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {byte: 256 + i for i, byte in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
-    The tokenizer drops white space and none of its tokens runs across any, so a text is the row of its words
-    (``[^\\x20\\x09-\\x0D]+``) and each distinct word of a batch is encoded once. Short words are remembered up to a number.
+
+class _Segments(dict):
+    """Ids of segments; short ones are remembered."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def __missing__(self, segment: str) -> bytes:
+        if segment.isascii() and segment.isprintable():
+            ids = [token.id for token in self.model.tokenize(segment)]
+        elif max(segment) <= "\xff":
+            ids = [token.id for token in self.model.tokenize(segment.encode().decode("latin-1").translate(_BYTE))]
+        else:
+            ids = self.tokenizer.encode(segment, add_special_tokens=False).ids
+        ids = array("I", ids).tobytes()
+        if len(segment) <= REMEMBERED_CHARS:
+            self[segment] = ids
+        return ids
+
+
+class WordIds(dict):
+    """Ids of words and whole texts (UTF-8) as little-endian unsigned 32-bit numbers.
+
+    The tokenizer drops white space, no token runs across any, and what it does to a word depends on that word only, so words
+    are remembered. A new word up to U+00FF is split into segments as the tokenizer would (letters, one digit, other
+    characters), and merging a new segment is left to the library's model; any other word goes through the whole library.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        super().__init__()
+        self.segments = _Segments(_tokenizer(path))
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if text.isascii() or max(text) <= "\xff":
+            ids = b"".join(map(self.segments.__getitem__, _SPLIT.findall(text.lower())))
+        else:
+            ids = self.segments[text]
+        if len(word) <= REMEMBERED_CHARS:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        for known, limit in ((self, REMEMBERED_WORDS), (self.segments, REMEMBERED_SEGMENTS)):
+            if len(known) > limit:
+                known.clear()
+        return b"".join(map(self.__getitem__, text.split()))
+
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {}
-        split = [text.split() for text in texts]
-        new = list(set().union(*split) - self.known.keys())
-        found = self.tokenizer.encode_batch([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
-        fresh = {word: np.asarray(code.ids, "<u4").tobytes() for word, code in zip(new, found)}
-        self.known.update((word, ids) for word, ids in fresh.items() if len(word) <= REMEMBERED_BYTES)
-        ids = fresh | self.known if len(fresh) < len(self.known) else {**self.known, **fresh}
-        return [b"".join([ids[word] for word in words]) for words in split]
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """Kept by a Python worker from task to task."""
+    return WordIds(path)
 
 
 def token_pieces(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -76,27 +117,23 @@ def token_pieces(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, capac
     step = 4 * capacity
 
     def run(batches):
-        words = WordIds(tokenizer)
+        words = _word_ids(tokenizer)
         for batch in batches:
             doc, texts = batch.column(0).to_pylist(), batch.column(1)
             first = 0
             while first < len(doc):
-                last, held, part = first, 0, []
-                while last < len(doc) and held < ROWS_BYTES:
-                    part.append(texts[last].as_py() or b"")
-                    held += len(part[-1])
-                    last += 1
-                rows = ([], [], [], [], [])
-                for doc_id, ids in zip(doc[first:last], words.encode(part)):
-                    ids += end
+                held, rows = 0, ([], [], [], [], [])
+                while first < len(doc) and held < ROWS_BYTES:
+                    ids = words.encode(texts[first].as_py() or b"") + end
+                    held += len(ids)
                     for number, at in enumerate(range(0, len(ids), step)):
                         cut = ids[at: at + step]
-                        for column, value in zip(rows, (doc_id, number, at // 4, len(cut) // 4, cut)):
+                        for column, value in zip(rows, (doc[first], number, at // 4, len(cut) // 4, cut)):
                             column.append(value)
+                    first += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"])
-                first = last
         release_memory()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
