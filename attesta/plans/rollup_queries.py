@@ -288,16 +288,20 @@ def _(t):
 
 
 # ------------------------------------------------------------------------------------------------ ordered logic
-@query("budget_admission", with_tables("cal") + """
+SQL_ADMISSION = with_tables("cal") + """
 SELECT case_id, id, reason FROM (SELECT case_id, unnest(ids) AS id, unnest(f.why[2:]) AS reason FROM (SELECT case_id, list(id ORDER BY id) AS ids,
  list_reduce(list_prepend({'c': 0.0::DOUBLE, 'isb': FALSE, 's': 0.0::DOUBLE, 'sb': 0.0::DOUBLE, 'n': 0::BIGINT, 'nb': 0::BIGINT, 'why': [NULL]::VARCHAR[]}, list({'c': worst_cost, 'isb': provider = 'openai', 's': 0.0::DOUBLE, 'sb': 0.0::DOUBLE, 'n': 0::BIGINT, 'nb': 0::BIGINT, 'why': []::VARCHAR[]} ORDER BY id)),
   lambda a, x: CASE WHEN a.s + x.c > 0.6 + 1e-9 THEN {'c': 0.0, 'isb': FALSE, 's': a.s, 'sb': a.sb, 'n': a.n, 'nb': a.nb, 'why': list_append(a.why, 'case budget')}
    WHEN x.isb AND a.sb + x.c > 0.3 + 1e-9 THEN {'c': 0.0, 'isb': FALSE, 's': a.s, 'sb': a.sb, 'n': a.n, 'nb': a.nb, 'why': list_append(a.why, 'provider budget')}
    WHEN x.isb AND a.nb >= 20 THEN {'c': 0.0, 'isb': FALSE, 's': a.s, 'sb': a.sb, 'n': a.n, 'nb': a.nb, 'why': list_append(a.why, 'provider attempt limit')}
    WHEN a.n >= 40 THEN {'c': 0.0, 'isb': FALSE, 's': a.s, 'sb': a.sb, 'n': a.n, 'nb': a.nb, 'why': list_append(a.why, 'attempt limit')}
-   ELSE {'c': 0.0, 'isb': FALSE, 's': a.s + x.c, 'sb': a.sb + CASE WHEN x.isb THEN x.c ELSE 0 END, 'n': a.n + 1, 'nb': a.nb + CASE WHEN x.isb THEN 1 ELSE 0 END, 'why': list_append(a.why, NULL)} END) AS f FROM cal GROUP BY case_id))""")
+   ELSE {'c': 0.0, 'isb': FALSE, 's': a.s + x.c, 'sb': a.sb + CASE WHEN x.isb THEN x.c ELSE 0 END, 'n': a.n + 1, 'nb': a.nb + CASE WHEN x.isb THEN 1 ELSE 0 END, 'why': list_append(a.why, NULL)} END) AS f FROM cal GROUP BY case_id))"""
+ADMISSION = {"cap": 0.6, "cap_b": 0.3, "max_attempts": 40, "max_attempts_b": 20}
+
+
+@query("budget_admission", SQL_ADMISSION)
 def _(t):
-    return O.budget_admission(t.calls(), cap=0.6, cap_b=0.3, max_attempts=40, max_attempts_b=20)
+    return O.budget_admission(t.calls(), **ADMISSION)
 
 
 @query("repeat_error_abort", with_tables("cal") + """

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.operators.ordered import Limits
 from attesta.plans.registry import query, with_tables
+from attesta.plans.rollup_queries import ADMISSION, SQL_ADMISSION
 from attesta.plans.text_queries import SQL_NORM
 from attesta.plans.validation_queries import case_passages, sql_checked
 from attesta.session import scratch_folder
-from attesta.sources.stand_ins import ACTION_COLUMNS, USAGE_COLUMNS
+from attesta.sources.stand_ins import ACTION_COLUMNS, CALL_COLUMNS, USAGE_COLUMNS
 from attesta.streaming import jobs as S
 
 
@@ -33,6 +35,12 @@ def _(t):
     return S.collect_updates(S.budget_alert(_stream(t, "events", USAGE_COLUMNS), 3.0), "case_id").withColumn("total", F.round("total", 5))
 
 
+@query("stream_budget_admission", SQL_ADMISSION)
+def _(t):
+    """The same decisions as the batch query, call by call as calls arrive."""
+    return S.collect_appends(S.budget_admission(_stream(t, "events", CALL_COLUMNS), Limits(**ADMISSION)))
+
+
 CITE = [("item_id", "doc_id"), ("case_id", "doc_id"), ("part", "'value'"), ("code", "''"), ("ord", "0"), ("passage_id", "CASE WHEN doc_id % 7 = 0 THEN 'S0-P0' ELSE 'S' || CAST(doc_id AS STRING) || '-P1' END"),
         ("quote", "CASE WHEN doc_id % 5 = 0 THEN 'words nobody wrote' ELSE substr(text, 1, 12) END"), ("stance", "'supports'")]
 

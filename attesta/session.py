@@ -24,16 +24,21 @@ def local_session(cores: str | int = 8, app: str = "attesta", memory: str = "8g"
     )
 
 
+_LOCAL_BASE: list[str] = []
+
+
 def shared_base(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session may go without that setting."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session may go without that setting; it gets one
+    temporary folder per process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local[") and master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if not _LOCAL_BASE:
+        _LOCAL_BASE.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _LOCAL_BASE[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

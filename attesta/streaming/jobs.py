@@ -5,11 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
 from attesta.operators import validation as V
+from attesta.operators.ordered import Limits
 from attesta.session import scratch_folder
 
 
@@ -38,6 +42,34 @@ def budget_alert(usage: DataFrame, cap: float) -> DataFrame:
     return usage.groupBy("case_id").agg(F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("total")).where(F.col("total") > cap)
 
 
+def budget_admission(calls: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(case_id, id, reason) for every arriving call (case_id, id, provider, worst_cost), in order of arrival.
+
+    The state of a case is what it has spent and tried so far, in all and with provider B; it outlives batches and restarts. Calls
+    of one micro-batch are decided by ascending id, so a case's rows of one micro-batch are sorted in its task; the
+    trigger's options (``maxFilesPerTrigger``) bound them.
+    """
+
+    def decide(key, batches, state):
+        now = state.get if state.exists else (0.0, 0.0, 0, 0)
+        rows = pd.concat(list(batches)).sort_values("id", kind="stable")
+        is_b, cost = (rows["provider"] == fixed.PROVIDER_B).tolist(), rows["worst_cost"].fillna(0.0).tolist()
+        reasons = []
+        for b, c in zip(is_b, cost):
+            spent, spent_b, tries, tries_b = now
+            for _, now in limits.admit([b], [c], now):
+                reasons.append(None)
+                break
+            else:
+                reasons.append(limits.why(b, c, (spent, spent_b, tries, tries_b)))
+        state.update(now)
+        yield pd.DataFrame({"case_id": key[0], "id": rows["id"].to_numpy(), "reason": pd.Series(reasons, dtype=object).to_numpy()})
+
+    narrow = calls.select("case_id", "id", "provider", F.col("worst_cost").cast("double").alias("worst_cost"))
+    return narrow.groupBy("case_id").applyInPandasWithState(
+        decide, "case_id long, id long, reason string", "spent double, spent_b double, tries long, tries_b long", "append", GroupStateTimeout.NoTimeout)
+
+
 def citation_check(citations: DataFrame, passages: DataFrame) -> DataFrame:
     """Arriving citations against the stored passages."""
     return V.check_citations(citations, passages)
