@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
+import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fixed
@@ -125,38 +131,193 @@ def mean_vectors(vectors: DataFrame, *keys: str) -> DataFrame:
         *keys, F.transform("d", lambda e: e["x"]).alias("embedding"))
 
 
-def lsa_vectors(passages: DataFrame, dimensions: int = 120, min_passages: int = 1) -> DataFrame:
-    """Dense passage vectors from sublinear TF-IDF and a truncated SVD computed on the cluster, unit length.
+def semantic_cells(vectors: DataFrame, centres: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(vectors with ``cell`` and ``angle``, one row per case and cell with its centre, size and angles).
+
+    A case's cells form around the ``centres`` vectors with the smallest hashes; a vector belongs to the nearest centre and
+    keeps its angle to it. Any choice of centres gives the same results; near ones make tighter bounds.
+    """
+    unit = with_norm(vectors).where("norm > 0").withColumn("unit", F.transform("embedding", lambda x: x / F.col("norm")))
+    chosen = top_k(unit.select("case_id", "unit", F.xxhash64("unit").alias("h")), ["case_id"], [F.asc("h")], centres, "cell")
+    around = chosen.groupBy("case_id").agg(F.collect_list(F.struct("cell", F.col("unit").alias("v"))).alias("around"))
+    near = F.array_max(F.transform("around", lambda c: F.struct(_dot(F.col("unit"), c["v"]).alias("cosine"), (-c["cell"]).alias("minus"))))
+    held = unit.join(around, "case_id").withColumn("near", near).drop("around", "unit")
+    held = cut_lineage(held.select("*", (-F.col("near.minus")).alias("cell"), _angle(F.col("near.cosine")).alias("angle")).drop("near"))
+    cells = held.groupBy("case_id", "cell").agg(F.count("*").alias("members"), F.min("angle").alias("inner"), F.max("angle").alias("outer"))
+    return held, cells.join(chosen.select("case_id", "cell", F.col("unit").alias("centre")), ["case_id", "cell"])
+
+
+def _angle(cosine: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
+def semantic_topk(vectors: DataFrame, queries: DataFrame, tie: list[str], k: int, centres: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(the k vectors of highest cosine per query with their rank, the number of vectors each query was compared with).
+
+    The same as ranking ``semantic_scores``, but most vectors are never compared: by the triangle inequality the angle between
+    query and vector is at least the difference of their angles to the centre of the vector's cell. A first round compares
+    each query with the members of its nearest cells, until these hold k; the k-th best cosine found is a bound, and a second
+    round compares only vectors that may reach it. ``tie`` names the columns that order equal cosines.
+    """
+    held, cells = semantic_cells(vectors, centres)
+    q = with_norm(queries).where("norm > 0").select("query_id", "case_id", "embedding", F.transform("embedding", lambda x: x / F.col("norm")).alias("unit"))
+    # one row per query and cell: both are few per case
+    met = q.join(cells, "case_id").withColumn("to_centre", _angle(_dot(F.col("unit"), F.col("centre")))).drop("unit", "centre")
+    order = W.partitionBy("query_id").orderBy("to_centre", "cell").rowsBetween(W.unboundedPreceding, -1)
+    met = cut_lineage(met.withColumn("nearer", F.coalesce(F.sum("members").over(order), F.lit(0))))
+    keep = [c for c in vectors.columns if c not in ("case_id", "embedding")]
+
+    def compared(pairs: DataFrame, may: Column | None) -> DataFrame:
+        q_norm = F.sqrt(_dot(F.col("q"), F.col("q")))
+        both = held.join(pairs.select("query_id", "case_id", "cell", "to_centre", F.col("embedding").alias("q"), *(["least"] if may is not None else [])), ["case_id", "cell"])
+        both = both if may is None else both.where(may)
+        cosine = _dot(F.col("embedding"), F.col("q")) / ((F.col("norm") + 1e-9) * (q_norm + 1e-9))
+        return both.select("query_id", "case_id", *keep, F.round(cosine, 6).alias("semantic"))
+
+    first = cut_lineage(compared(met.where(F.col("nearer") < k), None))
+    enough = top_k(first, ["query_id"], [F.desc("semantic")], k, "place").where(F.col("place") == k).select("query_id", F.col("semantic").alias("kth"))
+    # cosines are compared after rounding, so the bound leaves room for it
+    least = F.greatest(F.coalesce("kth", F.lit(fixed.MIN_COSINE)), F.lit(fixed.MIN_COSINE)) - 2e-6
+    further = met.where(F.col("nearer") >= k).join(enough, "query_id", "left").withColumn("least", least)
+    gap = F.greatest(F.lit(0.0), F.col("to_centre") - F.col("outer"), F.col("inner") - F.col("to_centre"))
+    second = cut_lineage(compared(further.where(F.cos(gap) >= F.col("least")), F.cos(F.col("to_centre") - F.col("angle")) >= F.col("least")))
+    scored = first.unionByName(second)
+    ranked = top_k(scored.where(F.col("semantic") > fixed.MIN_COSINE), ["query_id"], [F.desc("semantic"), *[F.asc(c) for c in tie]], k)
+    return ranked, scored.groupBy("query_id").agg(F.count("*").alias("compared"))
+
+
+# ------------------------------------------------------------------------------------------------ latent semantics
+SALTS = 16
+
+
+class LatentModel(NamedTuple):
+    """Per case: ``basis`` (case_id, term, idf, vector) and ``passages`` (the passage's columns and its unit ``embedding``)."""
+
+    basis: DataFrame
+    passages: DataFrame
+
+
+def _vector_sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sum of ``w * vector`` per key, combined before the shuffle."""
+    total = Summarizer.metrics("sum").summary(array_to_vector("vector"), F.col("w"))
+    return rows.groupBy(*keys).agg(total.alias("s")).select(*keys, vector_to_array("s.sum").alias("vector"))
+
+
+def _gram(rows: DataFrame) -> DataFrame:
+    """(case_id, vector): the sum over a case's vectors of their outer products, row by row; a matrix per case."""
 
-    Rows stay sparse; the driver only holds the term weights and the term-by-dimension matrix, whose height is the
-    vocabulary and not the number of passages.
+    def partial(batches):
+        for batch in batches:
+            for case_id, part in batch.groupby("case_id"):
+                v = np.stack(part["vector"].to_numpy())
+                yield pd.DataFrame({"case_id": [case_id], "vector": [(v.T @ v).ravel()]})
+
+    parts = rows.select("case_id", "vector").mapInPandas(partial, "case_id long, vector array<double>")
+    return _vector_sums(parts.withColumn("w", F.lit(1.0)), "case_id")
+
+
+def _orthonormal(gram: np.ndarray, k: int) -> np.ndarray:
+    value, vector = np.linalg.eigh(gram)
+    scale = np.where(value > max(value[-1], 0) * 1e-13, 1 / np.sqrt(np.maximum(value, 1e-300)), 0.0)
+    return vector * scale
+
+
+def _leading(gram: np.ndarray, k: int) -> np.ndarray:
+    return np.linalg.eigh(gram)[1][:, ::-1][:, :k]
+
+
+def _case_matrix(gram: DataFrame, sizes: DataFrame, make: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """(case_id, vector): a small matrix per case, made from its Gram matrix."""
+
+    def run(batches):
+        for batch in batches:
+            made = [make(np.asarray(g).reshape(int(len(g) ** 0.5), -1), int(k)).ravel() for g, k in zip(batch["vector"], batch["k"])]
+            yield pd.DataFrame({"case_id": batch["case_id"], "vector": made})
+
+    return gram.join(sizes.select("case_id", "k"), "case_id").mapInPandas(run, "case_id long, vector array<double>")
+
+
+def _times(rows: DataFrame, matrix: DataFrame) -> DataFrame:
+    """rows (case_id, key, vector) with each vector multiplied by its case's matrix.
+
+    A case's rows are dealt over ``SALTS`` groups and its matrix goes ahead of each, so a large case is many tasks' work and
+    a task holds one matrix and one batch.
     """
-    from pyspark.ml.feature import IDF, CountVectorizer
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    tokens = passages.select("passage_id", X.tokenize(F.col("text")).alias("tk")).where(F.size("tk") > 0)
-    counter = CountVectorizer(inputCol="tk", outputCol="tf", minDF=float(min_passages), vocabSize=2**31 - 1).fit(tokens)
-    counted = counter.transform(tokens)
-    context = passages.sparkSession.sparkContext
-    idf = context.broadcast(IDF(inputCol="tf", outputCol="unused").fit(counted).idf.toArray() + 1)
-    terms = len(idf.value)
-    cell = F.unwrap_udt("tf")
-    sparse = counted.select("passage_id", cell["indices"].alias("i"), F.transform(cell["values"], lambda c: 1 + F.log(c)).alias("w")).where(
-        F.size("i") > 0)
-    # the solver visits the rows once per iteration, so they are kept; a lost block is rebuilt from its lineage
-    rows = sparse.rdd.map(lambda r: Vectors.sparse(terms, r["i"], idf.value[r["i"]] * r["w"])).persist(StorageLevel.MEMORY_AND_DISK)
-    basis = context.broadcast(RowMatrix(rows).computeSVD(max(2, min(dimensions, terms - 1))).V.toArray())
-
-    def project(batches):
-        import numpy as np
+    salted = rows.select("case_id", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"), F.lit(1).alias("place"), "key", "vector")
+    ahead = matrix.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("key"), "vector")
 
+    def run(batches):
+        current = None
         for batch in batches:
-            z = np.array([(idf.value[i] * w) @ basis.value[i] for i, w in zip(batch["i"], batch["w"])])
-            z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-9
-            yield pd.DataFrame({"passage_id": batch["passage_id"], "vector": list(z)})
+            vectors, place = batch["vector"].to_numpy(), batch["place"].to_numpy()
+            starts = [0, *np.flatnonzero(place == 0).tolist(), len(place)]
+            for start, end in zip(starts, starts[1:]):
+                if start < end and place[start] == 0:
+                    current, start = vectors[start], start + 1
+                if start < end:
+                    block = np.stack(vectors[start:end])
+                    part = batch.iloc[start:end]
+                    yield pd.DataFrame({"case_id": part["case_id"], "key": part["key"], "vector": list(block @ current.reshape(block.shape[1], -1))})
+
+    dealt = salted.unionByName(ahead).repartition("case_id", "salt").sortWithinPartitions("case_id", "salt", "place")
+    return dealt.mapInPandas(run, "case_id long, key string, vector array<double>")
 
-    return sparse.mapInPandas(project, "passage_id string, vector array<double>")
+
+def _unit(vector: Column) -> Column:
+    norm = F.sqrt(_dot(vector, vector)) + 1e-9
+    return F.transform(vector, lambda x: x / norm)
+
+
+def lsa_model(passages: DataFrame, dimensions: int = 120, iterations: int = 3, oversample: int = 10) -> LatentModel:
+    """Latent semantics of every case: TF-IDF of all its terms and the leading subspace of its passages.
+
+    ``passages``: case_id, passage_id and text, or a ``token_index``. Weights (1 + ln f) * (ln((1 + n) / (1 + df)) + 1) with rows
+    of unit length, as many dimensions as asked for but fewer than the case has passages or terms, two at least. Block power
+    iteration: weights, basis and products are tables, multiplied by joins and combined sums; only matrices of
+    (dimensions + oversample) squared, one per case, are turned in one piece. A case of one passage has no basis, and a passage
+    without terms a vector of zeros. Jobs run while the model is built: four per iteration.
+    """
+    tokens = passages if "tk" in passages.columns else token_index(passages.withColumns({c: F.lit(None).cast("long") for c in ("source_id", "seq") if c not in passages.columns}))
+    counted = tokens.select("case_id", "passage_id", F.explode("tk").alias("term")).groupBy("case_id", "passage_id", "term").agg(F.count("*").alias("f"))
+    counted = cut_lineage(counted)
+    n = tokens.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1")
+    terms = counted.groupBy("case_id", "term").agg(F.count("*").alias("df")).join(n, "case_id").select(
+        "case_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    terms = cut_lineage(terms)
+    sizes = terms.groupBy("case_id").agg(F.count("*").alias("v")).join(n, "case_id")
+    k = F.greatest(F.lit(2), F.least(F.lit(dimensions), F.col("n") - 1, F.col("v") - 1))
+    sizes = cut_lineage(sizes.withColumn("k", k).withColumn("width", F.greatest("k", F.least(F.col("k") + oversample, "n", "v"))))
+    weighed = counted.join(terms, ["case_id", "term"]).select("case_id", "passage_id", "term", ((1 + F.log("f")) * F.col("idf")).alias("w"))
+    lengths = weighed.groupBy("case_id", "passage_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighed = cut_lineage(weighed.join(lengths, ["case_id", "passage_id"]).select("case_id", "passage_id", "term", (F.col("w") / F.col("norm")).alias("w")))
+
+    noise = F.transform(F.sequence(F.lit(1), F.col("width").cast("int")), lambda j: F.xxhash64("term", j) / F.lit(2.0**63))
+    start = terms.join(sizes, "case_id").select("case_id", F.col("term").alias("key"), noise.alias("vector"))
+    to_passages = lambda basis: cut_lineage(_vector_sums(weighed.join(basis.withColumnRenamed("key", "term"), ["case_id", "term"]), "case_id", "passage_id"))
+    to_terms = lambda made: cut_lineage(_vector_sums(weighed.join(made, ["case_id", "passage_id"]), "case_id", "term").withColumnRenamed("term", "key"))
+    basis = start
+    for _ in range(iterations):
+        grown = to_terms(to_passages(basis))
+        basis = cut_lineage(_times(grown, _case_matrix(_gram(grown), sizes, _orthonormal)))
+    made = to_passages(basis)
+    turn = cut_lineage(_case_matrix(_gram(made), sizes, _leading))
+    basis = _times(basis, turn).withColumnRenamed("key", "term").join(terms, ["case_id", "term"])
+    placed = _times(made.withColumnRenamed("passage_id", "key"), turn).select("case_id", F.col("key").alias("passage_id"), _unit(F.col("vector")).alias("unit"))
+    zeros = F.array_repeat(F.lit(0.0), F.coalesce(F.col("k"), F.lit(2)).cast("int"))
+    out = tokens.drop("tk").join(placed, ["case_id", "passage_id"], "left").join(sizes.select("case_id", "k"), "case_id", "left")
+    return LatentModel(cut_lineage(basis), cut_lineage(out.withColumn("embedding", F.coalesce("unit", zeros)).drop("unit", "k")))
+
+
+def lsa_vectors(passages: DataFrame, dimensions: int = 120) -> DataFrame:
+    """(case_id, passage_id, vector): one row per passage."""
+    return lsa_model(passages, dimensions).passages.select("case_id", "passage_id", F.col("embedding").alias("vector"))
+
+
+def lsa_queries(model: LatentModel, queries: DataFrame) -> DataFrame:
+    """(query_id, case_id, embedding): queries folded into the space of their case. Those without a known term are left out."""
+    counted = query_terms(queries)
+    weighed = counted.join(model.basis, ["case_id", "term"]).withColumn("w", (1 + F.log("qn")) * F.col("idf"))
+    return _vector_sums(weighed, "query_id", "case_id").select("query_id", "case_id", _unit(F.col("vector")).alias("embedding"))
 
 
 # ------------------------------------------------------------------------------------------------ fusion

@@ -90,14 +90,22 @@ SELECT query_id, vec_id, semantic, row_number() OVER (PARTITION BY query_id ORDE
 def _(t):
     vectors = t.raw("embeddings").withColumn("case_id", F.col("vec_id") % 20)
     queries = R.mean_vectors(vectors, "case_id", "label").withColumn("query_id", F.concat_ws("/", "case_id", "label"))
-    scores = R.semantic_scores(vectors.drop("label"), queries)
-    return R.top_k(scores, ["query_id"], [F.desc("semantic"), F.asc("vec_id")], 8).select("query_id", "vec_id", "semantic", "rank")
+    found, _ = R.semantic_topk(vectors.drop("label"), queries, ["vec_id"], 8)
+    return found.select("query_id", "vec_id", "semantic", "rank")
 
 
 @query("lsa_vectors")
 def _(t):
-    """Unit vectors of all passages, 16 dimensions."""
-    return R.lsa_vectors(t.passages().select("passage_id", "text"), dimensions=16, min_passages=5)
+    """Unit vectors of all passages in the space of their case, 16 dimensions."""
+    return R.lsa_vectors(t.passages().select("case_id", "passage_id", "text"), dimensions=16)
+
+
+@query("lsa_topk")
+def _(t):
+    """The passages closest to each query in the latent space of its case."""
+    model = R.lsa_model(index(t), dimensions=16)
+    found, _ = R.semantic_topk(model.passages, R.lsa_queries(model, benchmark_queries(t)), ["source_id", "seq"], 8)
+    return found.select("query_id", "passage_id", "semantic", "rank")
 
 
 def vectors_of_passages(t):
