@@ -277,6 +277,7 @@ PROVIDER_API_NAMES = [
     ("anthropic", "Anthropic API"), ("openai", "OpenAI API"), ("openai_compatible", "OpenAI-compatible API"),
     ("tavily", "Tavily Search API"), ("brave", "Brave Search API"), ("searxng", "SearXNG"),
 ]
+PROVIDER_SHORT_NAMES = [("anthropic", "Claude"), ("openai", "GPT"), ("openai_compatible", "GPT")]
 AGREEMENT_LABELS = [
     ("eligible", "Independent agreement — matched analysis version"),
     ("eligible_cross_version", "Cross-version agreement — review version differences"),

@@ -12,6 +12,7 @@ from attesta.sources.tables import lookup
 
 A, B = fixed.PROVIDER_A, fixed.PROVIDER_B
 KEY = ["case_id", "variable"]
+CITATIONS = "array<struct<id:string,source_id:bigint,quote:string,stance:string,page:bigint,para:bigint>>"
 
 
 # ------------------------------------------------------------------------------------------------ latest results
@@ -133,15 +134,31 @@ def version_differences(a: Column, b: Column) -> Column:
     ), lambda d: d.isNotNull())
 
 
+def cited(r: Column, part: str) -> Column:
+    """The citations of a result: ``evidence`` or ``counter``, an array of (id, source_id, quote, stance, page, para)."""
+    return F.coalesce(r[part], F.array().cast(CITATIONS))
+
+
+def united(a: Column, b: Column) -> Column:
+    """Citations of both results, each passage once, as the first result that cites it has it."""
+    every = F.concat(a, b)
+    ids = F.transform(every, lambda c: c["id"])
+    return F.filter(every, lambda c, i: F.array_position(ids, c["id"]) == i + 1)
+
+
 def combined_columns(a: Column, b: Column) -> dict[str, Column]:
-    """Neutral view of two results (rows have va and vb): the agreed value or blank, all cited sources, mixed statuses."""
+    """Neutral view of two results (rows have va and vb): the agreed value or blank, all citations, what each coder said."""
     partial = (a["status"] == "partially_valid") | (b["status"] == "partially_valid")
     first = F.when(a["id"] < b["id"], a["value"]).otherwise(b["value"])
     return {
         "value": F.when(agreed_value(), first).otherwise(""),
         "status": F.when(agreed_value(), F.when(partial, "partially_valid").otherwise("suggested")).otherwise("providers_differ"),
         "evidence_sources": F.array_sort(F.array_union(_sources(a), _sources(b))),
-        "n_counter": a["n_counter"] + b["n_counter"],
+        "evidence": united(cited(a, "evidence"), cited(b, "evidence")),
+        "counter": united(cited(a, "counter"), cited(b, "counter")),
+        "n_counter": F.size(united(cited(a, "counter"), cited(b, "counter"))),
+        "values_by_provider": F.create_map(a["provider"], F.coalesce(a["value"], F.lit("")), b["provider"], F.coalesce(b["value"], F.lit(""))),
+        "evidence_statuses": F.create_map(a["provider"], a["evidence_status"], b["provider"], b["evidence_status"]),
         "evidence_status": F.when(a["evidence_status"].eqNullSafe(b["evidence_status"]), a["evidence_status"]).otherwise("MIXED"),
         "stale": a["stale"] | b["stale"],
     }
@@ -302,6 +319,9 @@ def display_rows(pair: DataFrame) -> DataFrame:
     return df.select(
         *KEY, *[F.when(both, two[n]).otherwise(one[n]).alias(n) for n in ("value", "status", "n_counter")],
         F.when(both, two["evidence_sources"]).otherwise(_sources(one)).alias("evidence_sources"),
+        *[F.when(both, two[n]).otherwise(cited(one, n)).alias(n) for n in ("evidence", "counter")],
+        F.when(both, two["values_by_provider"]).alias("values_by_provider"),
+        *[F.when(~both, one[n]).alias(n) for n in ("provider", "model", "rationale")],
         F.when(both, F.concat_ws("; ", reason(a), reason(b))).otherwise(one["review_reason"]).alias("why"),
         F.when(both, comparison(a, b)).alias("comparison"), F.when(both, comparison_kind(a, b)).alias("kind"), F.when(both, agreed_value()).alias("same_value"))
 
@@ -323,7 +343,7 @@ def current_value(display: DataFrame, reviews: DataFrame) -> DataFrame:
 def export_value(display: DataFrame, reviews: DataFrame, include_unreviewed: bool) -> DataFrame:
     """Exported value and its origin: reviewed, UNREVIEWED or blank."""
     c = F.col
-    r = reviews.select(*KEY, c("action").alias("r_action"), c("value").alias("r_value"), c("reason").alias("r_reason"), c("method").alias("r_method"))
+    r = reviews.select(*KEY, c("action").alias("r_action"), c("value").alias("r_value"), *[c(n).alias(f"r_{n}") for n in ("reason", "method", "reviewer", "source_provider")])
     df = display.join(r, KEY, "full_outer")
     final = F.coalesce(c("r_action").isin(fixed.FINAL_ACTIONS), F.lit(False))
     differ = F.coalesce(c("comparison") != "model_agreement", F.lit(False))

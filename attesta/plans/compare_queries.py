@@ -15,10 +15,29 @@ LISTED = {"LANGS": ["EN (English)", "FR (French)", "DE (German)", "ES (Spanish)"
 CODE_LABELS = {"LENGTH_BAND": [("1", "short"), ("2", "medium"), ("3", "long")]}
 
 
+def citation(source, seq, stance):
+    """A citation of the passage with this number; documents whose number is divisible by four have pages."""
+    source, seq = F.col(source), seq.cast("long")
+    page = F.when(source % 4 == 0, F.floor((seq - 1) / 5) + 1)
+    return F.struct(F.concat(F.lit("S"), source, F.lit("-P"), seq).alias("id"), source.alias("source_id"), F.col("quote"), F.lit(stance).alias("stance"), page.alias("page"), seq.alias("para"))
+
+
+SQL_CITATION = ("{{'id': 'S' || {src} || '-P' || ({seq}), 'source_id': {src}, 'quote': quote, 'stance': '{stance}', "
+                "'page': CASE WHEN {src} % 4 = 0 THEN (({seq}) - 1) // 5 + 1 END, 'para': ({seq})}}").format
+SQL_CITED = (f"CASE WHEN ev_source IS NULL THEN [] WHEN id % 6 = 0 THEN [{SQL_CITATION(src='ev_source', seq='ev_seq', stance='supports')}, {SQL_CITATION(src='ev_source', seq='ev_seq + 1', stance='supports')}] "
+             f"WHEN id % 6 = 1 THEN [{SQL_CITATION(src='ev_source', seq='ev_seq', stance='supports')}, {SQL_CITATION(src='ev_source', seq='ev_seq + 2', stance='alternative')}] ELSE [{SQL_CITATION(src='ev_source', seq='ev_seq', stance='supports')}] END AS evs, "
+             f"CASE WHEN ctr_source IS NULL THEN [] ELSE [{SQL_CITATION(src='ctr_source', seq='ctr_seq', stance='contradicts')}] END AS ctrs")
+
+
 def results(t):
-    """Coder results with cited sources as an array, number of counter-citations and the review reason."""
+    """Coder results with their citations, cited sources, number of counter-citations and the review reason."""
+    first = citation("ev_source", F.col("ev_seq"), "supports")
+    cites = (F.when(F.col("id") % 6 == 0, F.array(first, citation("ev_source", F.col("ev_seq") + 1, "supports")))
+             .when(F.col("id") % 6 == 1, F.array(first, citation("ev_source", F.col("ev_seq") + 2, "alternative"))).otherwise(F.array(first)))
+    none = F.array().cast(C.CITATIONS)
     return t.results().select(
-        "*", F.array_compact(F.array("ev_source")).alias("evidence_sources"), F.when(F.col("ctr_source").isNull(), 0).otherwise(1).alias("n_counter"),
+        "*", F.when(F.col("ev_source").isNull(), none).otherwise(cites).alias("evidence"),
+        F.when(F.col("ctr_source").isNull(), none).otherwise(F.array(citation("ctr_source", F.col("ctr_seq"), "contradicts"))).alias("counter"), F.array_compact(F.array("ev_source")).alias("evidence_sources"), F.when(F.col("ctr_source").isNull(), 0).otherwise(1).alias("n_counter"),
         V.review_reason().alias("review_reason")).drop("first_line")
 
 
@@ -33,11 +52,11 @@ def pair(t):
 SQL_STATE = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.CELL_STATES) + " ELSE status END"
 SQL_REASON = ("CASE WHEN coalesce(validation_status, '') = '' OR evidence_status = 'SUPPORTED' THEN '' WHEN evidence_status = 'INSUFFICIENT' AND trim(value) <> '' THEN 'not documented from silence' "
               "ELSE 'evidence status ' || coalesce(evidence_status, 'missing') END")
-SQL_LATEST = f"""lat AS MATERIALIZED (SELECT r.*, {SQL_STATE} AS state, id <> newest AND newest_status = 'stopped' AS stopped_latest, {SQL_REASON} AS review_reason, CASE WHEN ev_source IS NULL THEN [] ELSE [ev_source] END AS src_list, CASE WHEN ctr_source IS NULL THEN 0 ELSE 1 END AS n_counter
+SQL_LATEST = f"""lat AS MATERIALIZED (SELECT r.*, {SQL_STATE} AS state, id <> newest AND newest_status = 'stopped' AS stopped_latest, {SQL_REASON} AS review_reason, CASE WHEN ev_source IS NULL THEN [] ELSE [ev_source] END AS src_list, {SQL_CITED}, CASE WHEN ctr_source IS NULL THEN 0 ELSE 1 END AS n_counter
  FROM (SELECT *, row_number() OVER (PARTITION BY case_id, variable, provider ORDER BY status <> 'stopped' DESC, id DESC) AS rn, max(id) OVER (PARTITION BY case_id, variable, provider) AS newest,
   arg_max(status, id) OVER (PARTITION BY case_id, variable, provider) AS newest_status FROM res) r WHERE rn = 1)"""
 SET = lambda r: f"CASE WHEN {r}.status IN ({quoted(fixed.COMPARABLE_STATUSES)}) THEN list_sort(list_distinct(list_transform({SQL_SPLIT.format(c=r + '.value')}, lambda x: upper(x)))) ELSE [] END"
-SQL_PAIR = f"""pr AS MATERIALIZED (SELECT a.case_id, a.variable, a.type, a, b, ra.schema_version_id AS asv, rb.schema_version_id AS bsv, ra.prompt_version AS apv, rb.prompt_version AS bpv, {SET('a')} AS va, {SET('b')} AS vb,
+SQL_PAIR = f"""pr AS MATERIALIZED (SELECT a.case_id, a.variable, a.type, a, b, ra.model AS amodel, rb.model AS bmodel, ra.schema_version_id AS asv, rb.schema_version_id AS bsv, ra.prompt_version AS apv, rb.prompt_version AS bpv, {SET('a')} AS va, {SET('b')} AS vb,
  CASE WHEN a.interpretation = 'cross_model_review' OR b.interpretation = 'cross_model_review' THEN 'cross_model_review' WHEN a.snapshot_id = b.snapshot_id AND a.spec_id = b.spec_id THEN 'matched_version' ELSE 'cross_version' END AS kind,
  list_filter([CASE WHEN a.snapshot_id IS NULL OR b.snapshot_id IS NULL OR a.spec_id IS NULL OR b.spec_id IS NULL THEN 'version not recorded' END, CASE WHEN a.snapshot_id <> b.snapshot_id THEN 'evidence version' END,
   CASE WHEN ra.schema_version_id <> rb.schema_version_id THEN 'codebook version' END, CASE WHEN a.spec_id <> b.spec_id THEN 'analysis version' END, CASE WHEN ra.prompt_version <> rb.prompt_version THEN 'prompt version' END], lambda x: x IS NOT NULL) AS diffs
@@ -89,15 +108,22 @@ def _(t):
     return pair(t).select("case_id", "variable", F.array_join(C.version_differences(F.col("a"), F.col("b")), ", ").alias("differences"))
 
 
-SQL_COMBINED = """comb AS (SELECT *, va = vb AND len(va) > 0 AS agreed FROM cmp)"""
+UNITED = "list_filter(list_concat(a.{n}, b.{n}), lambda e, i: list_position(list_transform(list_concat(a.{n}, b.{n}), lambda x: x.id), e.id) = i)".format
+SQL_COMBINED = f"""comb AS (SELECT *, va = vb AND len(va) > 0 AS agreed, {UNITED(n='evs')} AS evs, {UNITED(n='ctrs')} AS ctrs FROM cmp)"""
+SHOWN = "array_to_string(list_transform({n}, lambda e: concat_ws(' ', e.id, e.page, e.para, e.stance, e.quote)), '; ')".format
 
 
 @query("combined_view", PAIR.rstrip() + f""", {SQL_COMBINED} SELECT case_id, variable, CASE WHEN agreed THEN CASE WHEN a.id < b.id THEN a.value ELSE b.value END ELSE '' END AS value,
  CASE WHEN agreed THEN CASE WHEN a.status = 'partially_valid' OR b.status = 'partially_valid' THEN 'partially_valid' ELSE 'suggested' END ELSE 'providers_differ' END AS status,
- array_to_string(list_sort(list_distinct(list_concat(a.src_list, b.src_list))), ',') AS sources, a.n_counter + b.n_counter AS n_counter,
+ array_to_string(list_sort(list_distinct(list_concat(a.src_list, b.src_list))), ',') AS sources, len(ctrs) AS n_counter, {SHOWN(n='evs')} AS evidence, {SHOWN(n='ctrs')} AS counter,
+ 'anthropic=' || a.value || '; openai=' || b.value AS provider_values, 'anthropic=' || coalesce(a.evidence_status, '-') || '; openai=' || coalesce(b.evidence_status, '-') AS provider_statuses,
  CASE WHEN a.evidence_status IS NOT DISTINCT FROM b.evidence_status THEN a.evidence_status ELSE 'MIXED' END AS evidence_status, a.stale OR b.stale AS stale FROM comb""")
 def _(t):
-    return C.combined_view(pair(t)).withColumn("sources", F.array_join("evidence_sources", ",")).drop("evidence_sources")
+    shown = lambda n: F.array_join(F.transform(n, lambda e: F.concat_ws(" ", e["id"], e["page"], e["para"], e["stance"], e["quote"])), "; ")
+    said = lambda n: F.concat_ws("; ", *[F.concat(F.lit(f"{p}="), F.coalesce(F.col(n)[p], F.lit("-"))) for p in (C.A, C.B)])
+    return C.combined_view(pair(t)).select(
+        "case_id", "variable", "value", "status", F.array_join("evidence_sources", ",").alias("sources"), "n_counter", shown("evidence").alias("evidence"),
+        shown("counter").alias("counter"), said("values_by_provider").alias("provider_values"), said("evidence_statuses").alias("provider_statuses"), "evidence_status", "stale")
 
 
 N1 = r"regexp_full_match({c}, '-?\d+(\.\d+)?')"

@@ -51,7 +51,7 @@ RESULT_STAGES = [
         ("p", "p"), ("r", "r"), ("v", "v"),
         ("k", "doc_id * 7 + v * 3 + p * 5 + r"),
         ("run_id", "(doc_id * 2 + p) * 2 + r"),
-        ("first_line", "first_line"),
+        ("first_line", "first_line"), ("n_lines", "n_lines"),
         ("proposed",
          "CASE v WHEN 1 THEN CASE WHEN r = 0 AND doc_id % 5 = 0 THEN '2' "
          "WHEN p = 0 THEN CASE WHEN n_chars < 1000 THEN '1' WHEN n_chars < 3000 THEN '2' ELSE '3' END "
@@ -95,6 +95,8 @@ RESULT_STAGES = [
         ("*", "*"),
         ("ev_source", "CASE WHEN value <> '' THEN case_id + CASE WHEN p = 1 AND case_id % 10 = 0 THEN 1 ELSE 0 END END"),
         ("ctr_source", "CASE WHEN k % 47 = 6 THEN case_id + 2 END"),
+        ("ev_seq", "1 + k % CASE WHEN n_lines > 0 THEN n_lines ELSE 1 END"),
+        ("ctr_seq", "1 + k % 3"),
         ("quote", "substr(first_line, 1, 40)"),
     ],
 ]
@@ -117,7 +119,8 @@ REVIEW_COLUMNS = [
               "WHEN 1 THEN 'EN' WHEN 2 THEN '3' WHEN 3 THEN '2021-07-14' ELSE 'reviewed' END END"),
     ("reason", "CASE WHEN doc_id % 4 IN (1, 3) THEN 'checked ' || CAST(doc_id % 10 AS STRING) ELSE '' END"),
     ("reviewer", "'coder' || CAST(doc_id % 3 AS STRING)"),
-    ("method", "CASE WHEN doc_id % 8 = 0 THEN 'bulk_independent_agreement' END"),
+    ("method", "CASE WHEN doc_id % 8 = 0 THEN 'bulk_independent_agreement' WHEN doc_id % 16 = 4 THEN 'bulk_separate_run_agreement' END"),
+    ("source_provider", "CASE doc_id % 16 WHEN 12 THEN 'anthropic+openai' WHEN 1 THEN 'openai' WHEN 5 THEN 'anthropic' END"),
 ]
 
 USAGE_COLUMNS = [
@@ -220,7 +223,7 @@ class Tables:
         df = self.document_facts().select("*", F.inline(rows))
         for stage in RESULT_STAGES:
             df = _project(df, stage)
-        return df.drop("p", "r", "v", "k", "proposed")
+        return df.drop("p", "r", "v", "k", "proposed", "n_lines")
 
     def runs(self) -> DataFrame:
         rows = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(r).cast("long").alias("r"))
