@@ -318,6 +318,8 @@ CASE_BUDGET_USD = 5.0
 PROVIDER_B_BUDGET_USD = 3.0
 MAX_ATTEMPTS_PER_CASE = 100
 MAX_PROVIDER_B_ATTEMPTS = 50
+CAUSAL_PATTERN = "caus|mechanism|why|training|procedur|technical_notes|root"
+SPEC_OPTIONS, SPEC_NOTE_CHARS = 15, 600
 MAX_VARIABLES_PER_CALL = 12
 MAX_PASSAGES_PER_CALL = 40
 PASSAGES_PER_VARIABLE = 8

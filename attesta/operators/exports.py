@@ -59,7 +59,7 @@ def explanation(columns: list[str]) -> Column:
         F.when(c("kind") == "cross_version", F.when(c("same_value"), "[cross-version: same suggested value, different analysis versions]").otherwise(
             "[cross-version: results differ, but the models also used different analysis inputs]")),
         F.when(c("r_action").isin("edited", "cleared") & (c("r_reason") != ""), F.concat(F.lit("Reviewer: "), "r_reason")),
-        *has("rule_flags", lambda f: F.array_join(F.transform(f, lambda x: F.concat(F.lit("[rule check: "), x, F.lit("]"))), " ")),
+        *has("rule_flags", lambda f: F.when(F.size(f) > 0, F.array_join(F.transform(f, lambda x: F.concat(F.lit("[rule check: "), x, F.lit("]"))), " "))),
         *has("analyzed", lambda f: F.when(~f & c("status").isNull(), "[not analyzed: no coding analysis has been run for this case — not a finding of insufficient evidence]")),
         F.nullif(c("rationale"), F.lit("")),
         *has("unresolved", lambda u: F.when(u != "", F.concat(F.lit("Unresolved: "), u))),

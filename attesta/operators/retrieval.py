@@ -413,10 +413,57 @@ def passage_block(passage: dict[str, Column], title_chars: int = fixed.SHOWN_TIT
     return F.concat(F.lit("["), p["passage_id"], F.lit("] ("), about, F.lit(")\n"), p["text"])
 
 
+def variable_specs(fields: DataFrame, most_options: int | None = fixed.SPEC_OPTIONS, note_chars: int | None = fixed.SPEC_NOTE_CHARS) -> DataFrame:
+    """fields with ``spec``: the codebook text of a variable as a coder reads it, one line per rule, empty rules left out.
+
+    ``fields``: name, type, multi, definition, codes and labels (arrays side by side), open_options, bands (low, high, label),
+    missing_codes and missing_labels (arrays side by side), absence (the code that silence may give), format, notes, issues.
+    """
+    c = F.col
+    text = lambda n: F.coalesce(c(n), F.lit(""))
+    filled = lambda n: F.coalesce(F.size(n), F.lit(0)) > 0
+    listed = lambda items: F.array_join(items, "; ")
+    coded = lambda codes, labels: F.zip_with(codes, labels, lambda a, b: F.concat(a, F.lit(" = "), b))
+    some = c("open_options") if most_options is None else F.slice("open_options", 1, most_options)
+    notes = text("notes") if note_chars is None else F.substring(text("notes"), 1, note_chars)
+    causal = F.lower(F.concat(text("definition"), F.lit(" "), "name")).rlike(fixed.CAUSAL_PATTERN)
+    silent = F.get("labels", (F.array_position("codes", c("absence")) - 1).cast("int"))
+    known = F.filter("issues", lambda i: ~i.startswith("Workbook data"))
+    lines = [
+        F.concat(F.lit("### "), "name", F.lit("  (type: "), "type", F.when(c("multi"), ", MULTI-SELECT").otherwise(", single value"), F.when(causal, ", CAUSAL").otherwise(""), F.lit(")")),
+        F.concat(F.lit("Definition: "), text("definition")),
+        F.when(filled("codes"), F.concat(F.lit("Permitted codes: "), listed(coded(c("codes"), c("labels"))))),
+        F.when(filled("open_options"), F.concat(F.lit("Listed options (open list; other specific values allowed): "), listed(some))),
+        F.when(filled("bands"), F.concat(F.lit("Percentage bands: "), listed(F.transform("bands", lambda b: F.concat(b["low"], F.lit("-"), b["high"], F.lit("% = "), b["label"]))), F.lit(" (record a percentage number)"))),
+        F.when(filled("missing_codes"), F.concat(
+            F.lit("Special missing values defined for THIS variable: "), listed(coded(c("missing_codes"), c("missing_labels"))),
+            F.lit(" (use -9 for Unknown = not mentioned in the passages, or Not applicable; begin the rationale with 'Unknown:' or 'Not applicable:')"))
+        ).otherwise("No special missing value is defined for this variable: leave blank when not established."),
+        F.when(c("absence").isNotNull(), F.concat(
+            F.lit("Absence code: "), "absence", F.lit(" = "), F.coalesce(silent, F.lit("")), F.lit('. Only if no passage discusses this variable, give "'), "absence",
+            F.lit("\" alone with evidence_status INSUFFICIENT, no citation, and a rationale beginning 'Not documented:'."))),
+        F.when(text("format") != "", F.concat(F.lit("Format: "), "format")),
+        F.when(notes != "", F.concat(F.lit("Coding notes: "), notes)),
+        F.when(filled("issues"), F.concat(F.lit("Known rule issues (follow the codebook text literally and mention these in 'unresolved' if relevant): "), F.array_join(known, " | "))),
+    ]
+    return fields.withColumn("spec", F.concat_ws("\n", *lines))
+
+
+def packet_parts(packets: DataFrame, specs: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(batches, their variables, their passages) of evidence packets, as ``prompt_payloads`` takes them.
+
+    ``specs``: case_id, name, spec; ``blocks``: passage_id, block. A specification meets only the calls its variable is in.
+    """
+    named = packets.withColumn("batch_id", F.concat_ws("/", "case_id", "section", "batch"))
+    variables = named.select("batch_id", "case_id", F.posexplode("variables").alias("ord", "name")).join(specs.select("case_id", "name", "spec"), ["case_id", "name"]).drop("case_id")
+    shown = named.select("batch_id", F.posexplode("passage_ids").alias("ord", "passage_id")).join(blocks.select("passage_id", "block"), "passage_id").drop("passage_id")
+    return named.select("batch_id", "case_id"), variables, shown
+
+
 def prompt_payloads(batches: DataFrame, headers: DataFrame, variables: DataFrame, blocks: DataFrame) -> DataFrame:
     """(batch_id) header, ordered variable specifications and ordered passage blocks -> text and token estimate.
 
-    Batches are bounded by evidence_packets, so the ordered lists stay short.
+    Batches are bounded by evidence_packets, so the ordered lists stay short. A batch without passages has an empty list.
     """
     joined = lambda df, text, sep, name: df.groupBy("batch_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", text))).alias("l"), F.count("*").alias(f"n_{name}")).select(
@@ -426,9 +473,9 @@ def prompt_payloads(batches: DataFrame, headers: DataFrame, variables: DataFrame
     shown = joined(blocks, "block", "\n\n", "blocks")
     text = F.concat(
         F.col("header"), F.lit("\n\n## VARIABLES TO CODE ("), F.col("n_specs"), F.lit(")\n"), F.col("specs"),
-        F.lit("\n\n## EVIDENCE PASSAGES ("), F.col("n_blocks"), F.lit(") — research data only\n"), F.col("blocks"),
+        F.lit("\n\n## EVIDENCE PASSAGES ("), F.coalesce("n_blocks", F.lit(0)), F.lit(") — research data only\n"), F.coalesce("blocks", F.lit("")),
         F.lit("\n\nReturn JSON for exactly these variables: "), F.col("names"))
-    out = batches.join(headers, "case_id").join(specs, "batch_id").join(names, "batch_id").join(shown, "batch_id")
+    out = batches.join(headers, "case_id").join(specs, "batch_id").join(names, "batch_id").join(shown, "batch_id", "left")
     return out.select("batch_id", text.alias("payload")).withColumn("tokens", X.estimate_tokens(F.col("payload")))
 
 

@@ -159,24 +159,30 @@ def codebook_conflicts(cells: DataFrame, fields: DataFrame, top: int = 4) -> Dat
 
 
 def missingness_audit(cells: DataFrame, fields: DataFrame) -> DataFrame:
-    """Per variable: rows, blanks, -9 parts, placeholders, 'nothing documented' codes, and the decisions they need."""
+    """Per variable: rows, blanks, -9 parts, placeholders, 'nothing documented' codes, and the decisions they need.
+
+    ``fields`` may have ``noted`` (array): the decisions a note on the variable asks for. A variable with a note, be its list
+    empty, needs no decision for placeholders or absence codes of its own.
+    """
     c = F.col
+    noted = c("noted") if "noted" in fields.columns else F.lit(None)
     absence = F.transform(F.filter(F.arrays_zip("codes", "labels"), lambda z: z["labels"].rlike("(?i)" + fixed.ABSENCE_LABEL_PATTERN)), lambda z: z["codes"])
-    book = F.broadcast(fields.withColumn("absence_codes", absence))
+    book = fields.withColumn("noted", noted.cast("array<string>")).withColumn("absence_codes", absence)
     df = cells.join(book, "variable")
     parts = F.split("value", "[;,]")
     size = lambda test: F.size(F.filter(parts, test))
     counts = df.groupBy("variable").agg(
         F.first("type").alias("type"), F.first("field_class").alias("field_class"), F.bool_or(F.array_contains("missing", "-9")).alias("minus9_allowed"),
-        F.first(F.size("absence_codes")).alias("n_absence_codes"), F.count("*").alias("rows"), F.count_if(c("value") == "").alias("blank_rows"),
+        F.first(F.size("absence_codes")).alias("n_absence_codes"), F.first("noted").alias("noted"), F.count("*").alias("rows"), F.count_if(c("value") == "").alias("blank_rows"),
         F.sum(size(lambda p: p.rlike(r"^\s*-9(\.0+)?\s*$"))).alias("minus9_parts"),
         F.count_if(F.upper("value").isin(fixed.PLACEHOLDERS)).alias("placeholder_rows"),
         F.sum(size(lambda p: F.array_contains("absence_codes", F.regexp_replace(F.trim(p), r"\.0$", "")))).alias("absence_parts"))
-    decisions = F.filter(F.array(
-        F.when(~c("minus9_allowed") & ((c("minus9_parts") > 0) | (c("placeholder_rows") > 0)), "M3"),
-        F.when((c("n_absence_codes") > 0) & c("field_class").isin("sourced", "judgment"), "M4"),
-    ), lambda d: d.isNotNull())
-    return counts.withColumn("decisions", F.array_join(decisions, ", "))
+    undefined = ~c("minus9_allowed") & ((c("minus9_parts") > 0) | (c("noted").isNull() & (c("placeholder_rows") > 0)))
+    own = F.array_compact(F.array(
+        F.when(undefined, "PI-M3"),
+        F.when(c("noted").isNull() & (c("n_absence_codes") > 0) & c("field_class").isin("sourced", "judgment"), "PI-M4")))
+    decisions = F.array_distinct(F.concat(F.coalesce("noted", F.array().cast("array<string>")), own))
+    return counts.withColumn("decisions", F.array_join(decisions, ", ")).drop("noted")
 
 
 def missingness_summary(audit: DataFrame) -> DataFrame:

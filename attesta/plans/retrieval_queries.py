@@ -8,6 +8,7 @@ from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
 from attesta.operators import passages as P
 from attesta.operators import retrieval as R
+from attesta.operators import validation as V
 from attesta.plans.evidence_queries import HASHED, MARKED, SQL_HITS, SQL_USABLE, marked_sources, page_hits
 from attesta.plans.registry import query, with_tables
 from attesta.plans.text_queries import SQL_CLASSIFY, SQL_HOST, SQL_INDEX_WORD, SQL_RAW_TOKENS, SQL_STEM, quoted
@@ -186,14 +187,64 @@ def _(t):
     return R.gap_queries(t.raw("part").select((F.col("p_partkey") % 20).alias("case_id"), F.col("p_partkey").alias("pos"), F.expr(FIELD_NAME).alias("name")))
 
 
-@query("evidence_packets")
-def _(t):
+# the packing order written as a fold over the variables of a section
+SQL_PACKETS = f"""hits AS ({FUSED(fixed.PASSAGES_PER_VARIABLE)}),
+fl AS (SELECT item_id, item_id % 20 AS case_id, CAST(item_id % 40 AS VARCHAR) AS section, {{name}} AS name, coalesce(ids, []) AS ids FROM benchmark LEFT JOIN (SELECT query_id, list(passage_id ORDER BY rank) AS ids FROM hits GROUP BY query_id) h ON query_id = item_id),
+fold AS (SELECT case_id, section, list_reduce(list_prepend({{{{'done': []::STRUCT(n VARCHAR[], p VARCHAR[])[], 'n': []::VARCHAR[], 'p': []::VARCHAR[]}}}}, list({{{{'done': []::STRUCT(n VARCHAR[], p VARCHAR[])[], 'n': [name], 'p': ids}}}} ORDER BY item_id)),
+  lambda a, x: CASE WHEN len(a.n) > 0 AND (len(list_distinct(list_concat(a.p, x.p))) > {fixed.MAX_PASSAGES_PER_CALL} OR len(a.n) >= {fixed.MAX_VARIABLES_PER_CALL})
+   THEN {{{{'done': list_append(a.done, {{{{'n': a.n, 'p': a.p}}}}), 'n': x.n, 'p': x.p}}}}
+   ELSE {{{{'done': a.done, 'n': list_concat(a.n, x.n), 'p': list_concat(a.p, list_filter(x.p, lambda i: NOT list_contains(a.p, i)))}}}} END) AS f FROM fl GROUP BY case_id, section),
+pk AS (SELECT case_id, section, i - 1 AS batch, d[i].n AS variables, d[i].p AS passage_ids FROM (SELECT case_id, section, d, unnest(range(1, len(d) + 1)) AS i FROM (SELECT case_id, section, list_append(f.done, {{{{'n': f.n, 'p': f.p}}}}) AS d FROM fold)))"""
+
+
+def packets(t, name):
     fields = t.raw("benchmark").select(
         F.col("item_id").alias("query_id"), (F.col("item_id") % 20).alias("case_id"), (F.col("item_id") % 40).cast("string").alias("section"),
-        F.col("item_id").alias("pos"), F.expr(NAME).alias("name"))
+        F.col("item_id").alias("pos"), F.expr(name).alias("name"))
     return R.evidence_packets(hybrid(t, fixed.PASSAGES_PER_VARIABLE), fields)
 
 
+@query("evidence_packets", HYBRID.rstrip() + ", " + SQL_PACKETS.format(name=NAME) + " SELECT case_id, section, batch, array_to_string(variables, ',') AS variables, array_to_string(passage_ids, ',') AS passage_ids FROM pk")
+def _(t):
+    return packets(t, NAME).select("case_id", "section", "batch", *[F.array_join(c, ",").alias(c) for c in ("variables", "passage_ids")])
+
+
+# codebook rules of the benchmark's items, as columns that both engines understand
+FIELD = f"CASE WHEN item_id = 8 THEN 'TRAINING_AND_PROCEDURAL_CONTEXT' ELSE {NAME} || '_' || CAST(item_id AS STRING) END"
+SPEC_COLUMNS = [
+    ("type", "CASE item_id % 4 WHEN 0 THEN 'categorical' WHEN 1 THEN 'numeric' WHEN 2 THEN 'open_list' ELSE 'text' END"), ("multi", "item_id % 5 = 0"), ("definition", "text"),
+    ("code_list", "CASE WHEN item_id % 4 = 0 THEN '0|1|2' END"), ("label_list", "CASE WHEN item_id % 4 = 0 THEN 'Not discussed|' || split_part(text, ' ', 1) || '|other' END"),
+    ("option_list", "CASE WHEN item_id % 4 = 2 THEN 'a|b|c|d|e|f|g|h|i|j|k|l|m|n|o|p|q' END"), ("has_bands", "item_id % 8 = 1"),
+    ("missing_list", "CASE WHEN item_id % 3 = 0 THEN '-9' END"), ("absence", "CASE WHEN item_id = 8 THEN '0' END"),
+    ("format", "CASE WHEN item_id % 4 = 1 THEN 'a number' END"), ("notes", "CASE WHEN item_id % 2 = 0 THEN repeat(text, 4) END"), ("has_issues", "item_id % 6 = 0"),
+]
+SQL_SPECS = ("sc AS (SELECT item_id, item_id % 20 AS case_id, " + FIELD + " AS name, " + ", ".join(f"{e} AS {n}" for n, e in SPEC_COLUMNS) + """ FROM benchmark),
+sp AS (SELECT case_id, name, concat_ws(chr(10), '### ' || name || '  (type: ' || type || CASE WHEN multi THEN ', MULTI-SELECT' ELSE ', single value' END || CASE WHEN regexp_matches(lower(definition || ' ' || name), '""" + fixed.CAUSAL_PATTERN + """') THEN ', CAUSAL' ELSE '' END || ')',
+ 'Definition: ' || definition, 'Permitted codes: ' || array_to_string(list_transform(range(1, 4), lambda i: string_split(code_list, '|')[i] || ' = ' || string_split(label_list, '|')[i]), '; '),
+ 'Listed options (open list; other specific values allowed): ' || array_to_string(string_split(option_list, '|')[1:15], '; '), CASE WHEN has_bands THEN 'Percentage bands: 0-50% = low; 51-100% = high (record a percentage number)' END,
+ CASE WHEN missing_list IS NULL THEN 'No special missing value is defined for this variable: leave blank when not established.' ELSE 'Special missing values defined for THIS variable: -9 = Unknown (use -9 for Unknown = not mentioned in the passages, or Not applicable; begin the rationale with ''Unknown:'' or ''Not applicable:'')' END,
+ CASE WHEN absence IS NOT NULL THEN 'Absence code: 0 = Not discussed. Only if no passage discusses this variable, give "0" alone with evidence_status INSUFFICIENT, no citation, and a rationale beginning ''Not documented:''.' END,
+ 'Format: ' || format, 'Coding notes: ' || substr(notes, 1, 600), CASE WHEN has_issues THEN 'Known rule issues (follow the codebook text literally and mention these in ''unresolved'' if relevant): Rule unclear | Two rules' END) AS spec FROM sc)""")
+
+
+def benchmark_specs(t):
+    rows = t.raw("benchmark").select("item_id", (F.col("item_id") % 20).alias("case_id"), F.expr(FIELD).alias("name"), *[F.expr(e).alias(n) for n, e in SPEC_COLUMNS])
+    split = lambda n: F.split(n, r"\|")
+    band = lambda low, high, label: F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(label).alias("label"))
+    fields = rows.select(
+        "case_id", "name", "type", "multi", "definition", split("code_list").alias("codes"), split("label_list").alias("labels"), split("option_list").alias("open_options"),
+        F.when(F.col("has_bands"), F.array(band(0, 50, "low"), band(51, 100, "high"))).alias("bands"), split("missing_list").alias("missing_codes"),
+        F.transform(split("missing_list"), lambda m: F.lit("Unknown")).alias("missing_labels"), "format", "notes",
+        F.when(F.col("has_issues"), F.array(F.lit("Rule unclear"), F.lit("Workbook data: odd"), F.lit("Two rules"))).alias("issues"))
+    absence = V.absence_codes(fields.withColumnRenamed("name", "variable")).withColumnRenamed("variable", "name")
+    return R.variable_specs(fields.join(absence, "name", "left"))
+
+
+@query("variable_spec", f"WITH {SQL_SPECS} SELECT case_id, name, spec FROM sp")
+def _(t):
+    return benchmark_specs(t).select("case_id", "name", "spec")
+
+
 SQL_BLOCK = """'[' || passage_id || '] (source S' || source_id || ': ' || source_type || '; "' || substr(title, 1, 90) || '"; ' || coalesce(published_date, 'date unknown') || '; '
  || CASE WHEN page IS NOT NULL THEN 'page ' || page ELSE 'para ' || para END || CASE WHEN near_duplicate_of IS NOT NULL THEN '; NEAR-DUPLICATE/SYNDICATED COPY of source S' || near_duplicate_of ELSE '' END
  || CASE WHEN relevance_status = 'uncertain' THEN '; RELEVANCE UNCERTAIN' ELSE '' END || ')' || chr(10) || text"""
@@ -201,22 +252,21 @@ NEAR_OF = "CASE WHEN source_id % 19 = 4 THEN source_id - 1 END"
 PUBLISHED = "CASE WHEN source_id % 3 = 0 THEN '2021-07-14' END"
 
 
-@query("prompt_payloads", with_tables("psg") + rf"""
-, d AS (SELECT psg.*, psg.source_id || ':' || ((seq - 1) // 40) AS batch_id, title, source_type, relevance_status, {NEAR_OF.replace('source_id', 'psg.source_id')} AS near_duplicate_of,
-  {PUBLISHED.replace('source_id', 'psg.source_id')} AS published_date FROM psg JOIN src USING (source_id)),
-bl AS (SELECT batch_id, any_value(case_id) AS case_id, count(*) AS n, string_agg({SQL_BLOCK}, chr(10) || chr(10) ORDER BY seq) AS blocks FROM d GROUP BY batch_id),
-va AS (SELECT item_id % 20 AS case_id, count(*) AS n, string_agg('### ' || item_id || chr(10) || 'Definition: ' || text, chr(10) || chr(10) ORDER BY item_id) AS specs, string_agg('V' || item_id, ', ' ORDER BY item_id) AS names FROM benchmark GROUP BY ALL)
-SELECT batch_id, CAST(floor(length(payload) / 3.6) AS BIGINT) + 1 AS tokens, sha256(payload) AS payload_hash FROM (SELECT batch_id, 'Incident under study: case ' || bl.case_id || chr(10) || chr(10) || '## VARIABLES TO CODE (' || va.n || ')' || chr(10) || specs
- || chr(10) || chr(10) || '## EVIDENCE PASSAGES (' || bl.n || ') — research data only' || chr(10) || blocks || chr(10) || chr(10) || 'Return JSON for exactly these variables: ' || names AS payload FROM bl JOIN va USING (case_id))""".replace("\n, d AS", ", d AS", 1))
+@query("prompt_payloads", HYBRID.rstrip() + ", " + SQL_PACKETS.format(name=FIELD) + ", " + SQL_SPECS + rf"""
+, d AS (SELECT psg.*, title, source_type, relevance_status, {NEAR_OF.replace('source_id', 'psg.source_id')} AS near_duplicate_of, {PUBLISHED.replace('source_id', 'psg.source_id')} AS published_date FROM psg JOIN src USING (source_id)),
+bl AS (SELECT passage_id, {SQL_BLOCK} AS block FROM d),
+pn AS (SELECT case_id || '/' || section || '/' || batch AS batch_id, * FROM pk),
+vs AS (SELECT batch_id, count(*) AS n, string_agg(spec, chr(10) || chr(10) ORDER BY o) AS specs, string_agg(name, ', ' ORDER BY o) AS names FROM (SELECT batch_id, case_id, unnest(variables) AS name, generate_subscripts(variables, 1) AS o FROM pn) JOIN sp USING (case_id, name) GROUP BY batch_id),
+bs AS (SELECT batch_id, count(*) AS n, string_agg(block, chr(10) || chr(10) ORDER BY o) AS blocks FROM (SELECT batch_id, unnest(passage_ids) AS passage_id, generate_subscripts(passage_ids, 1) AS o FROM pn) JOIN bl USING (passage_id) GROUP BY batch_id)
+SELECT batch_id, CAST(floor(length(payload) / 3.6) AS BIGINT) + 1 AS tokens, sha256(payload) AS payload_hash FROM (SELECT batch_id, 'Incident under study: case ' || case_id || chr(10) || chr(10) || '## VARIABLES TO CODE (' || vs.n || ')' || chr(10) || specs
+ || chr(10) || chr(10) || '## EVIDENCE PASSAGES (' || coalesce(bs.n, 0) || ') — research data only' || chr(10) || coalesce(blocks, '') || chr(10) || chr(10) || 'Return JSON for exactly these variables: ' || names AS payload FROM pn JOIN vs USING (batch_id) LEFT JOIN bs USING (batch_id))""")
 def _(t):
     about = t.sources().select("source_id", "title", "source_type", "relevance_status", F.expr(NEAR_OF).alias("near_duplicate_of"), F.expr(PUBLISHED).alias("published_date"))
-    rows = t.passages().join(about, "source_id").withColumn("batch_id", F.concat_ws(":", "source_id", F.floor((F.col("seq") - 1) / 40)))
-    blocks = rows.select("batch_id", F.col("seq").alias("ord"), R.passage_block({c: F.col(c) for c in rows.columns}).alias("block"))
-    batches = rows.where("(seq - 1) % 40 = 0").select("batch_id", "case_id")
-    items = t.raw("benchmark").select((F.col("item_id") % 20).alias("case_id"), F.col("item_id").alias("ord"), F.concat(F.lit("V"), "item_id").alias("name"),
-                                      F.concat(F.lit("### "), "item_id", F.lit("\nDefinition: "), "text").alias("spec"))
-    headers = items.select("case_id").distinct().withColumn("header", F.concat(F.lit("Incident under study: case "), "case_id"))
-    out = R.prompt_payloads(batches, headers, batches.join(items, "case_id").drop("case_id"), blocks)
+    rows = t.passages().join(about, "source_id")
+    blocks = rows.select("passage_id", R.passage_block({c: F.col(c) for c in rows.columns}).alias("block"))
+    batches, variables, shown = R.packet_parts(packets(t, FIELD), benchmark_specs(t), blocks)
+    headers = batches.select("case_id").distinct().withColumn("header", F.concat(F.lit("Incident under study: case "), "case_id"))
+    out = R.prompt_payloads(batches, headers, variables, shown)
     return out.select("batch_id", "tokens", F.sha2("payload", 256).alias("payload_hash"))
 
 

@@ -124,6 +124,7 @@ AUDIT_FIELDS = [
     ("STATUS", "categorical", False, "sourced", "F|O", "filled|open", ""), ("PRIORITY", "categorical", False, "judgment", "1|2|3|4", "urgent|high|medium|Not discussed", ""),
     ("BANDS", "categorical", True, "sourced", "0|1|2", "none documented|low|high", "-9"), ("AMOUNT", "numeric", False, "sourced", "", "", ""), ("REMARK", "text", False, "analyst_note", "", "", ""),
 ]
+NOTED = ("BANDS", "PI-M7")  # a variable with a note, and the decision the note asks for
 AUDIT_SCHEMA = "variable string, type string, multi boolean, field_class string, codes string, labels string, missing string"
 
 
@@ -156,9 +157,15 @@ def _(t):
     return R.codebook_conflicts(cells(t), audit_book(t))
 
 
+def audit(t):
+    noted = F.when(F.col("variable") == NOTED[0], F.array(F.lit(NOTED[1])))
+    return R.missingness_audit(cells(t), audit_book(t).withColumn("noted", noted))
+
+
 MINUS9_PARTS = I.format(r"sum(len(list_filter(ps, lambda p: regexp_full_match(p, '\s*-9(\.0+)?\s*'))))")
 ABSENCE_PARTS = I.format(r"sum(len(list_filter(ps, lambda p: list_contains(ab, regexp_replace(trim(p), '\.0$', '')))))")
-SQL_AUDIT = rf"""au AS (SELECT *, concat_ws(', ', CASE WHEN NOT minus9_allowed AND (minus9_parts > 0 OR placeholder_rows > 0) THEN 'M3' END, CASE WHEN n_absence_codes > 0 AND field_class IN ('sourced', 'judgment') THEN 'M4' END) AS decisions FROM (
+SQL_AUDIT = rf"""au AS (SELECT *, CASE variable WHEN '{NOTED[0]}' THEN concat_ws(', ', '{NOTED[1]}', CASE WHEN NOT minus9_allowed AND minus9_parts > 0 THEN 'PI-M3' END)
+  ELSE concat_ws(', ', CASE WHEN NOT minus9_allowed AND (minus9_parts > 0 OR placeholder_rows > 0) THEN 'PI-M3' END, CASE WHEN n_absence_codes > 0 AND field_class IN ('sourced', 'judgment') THEN 'PI-M4' END) END AS decisions FROM (
  SELECT variable, any_value(type) AS type, any_value(field_class) AS field_class, bool_or(list_contains(missing, '-9')) AS minus9_allowed, any_value(len(ab)) AS n_absence_codes, count(*) AS rows, count(*) FILTER (value = '') AS blank_rows,
   {MINUS9_PARTS} AS minus9_parts, count(*) FILTER (upper(value) IN ({quoted(fixed.PLACEHOLDERS)})) AS placeholder_rows,
   {ABSENCE_PARTS} AS absence_parts
@@ -167,14 +174,14 @@ SQL_AUDIT = rf"""au AS (SELECT *, concat_ws(', ', CASE WHEN NOT minus9_allowed A
 
 @query("missingness_audit", f"WITH {SQL_CELLS}, {SQL_AUDIT} SELECT * FROM au")
 def _(t):
-    return R.missingness_audit(cells(t), audit_book(t))
+    return audit(t)
 
 
 @query("missingness_summary", f"""WITH {SQL_CELLS}, {SQL_AUDIT} SELECT 'variables' AS measure, '' AS name, count(*) AS n FROM au UNION ALL SELECT 'decision required', '', count(*) FROM au WHERE decisions <> ''
 UNION ALL SELECT '-9 defined', variable, 1 FROM au WHERE minus9_allowed UNION ALL SELECT '-9 not defined', variable, minus9_parts FROM au WHERE NOT minus9_allowed AND minus9_parts > 0
 UNION ALL SELECT 'decision', d, count(*) FROM (SELECT unnest(string_split(decisions, ', ')) AS d FROM au WHERE decisions <> '') GROUP BY d""")
 def _(t):
-    return R.missingness_summary(R.missingness_audit(cells(t), audit_book(t)))
+    return R.missingness_summary(audit(t))
 
 
 CB_NAME = ("replace(upper(p_name), ' ', '_') || '_KEY' || CAST(p_partkey % 1500 AS STRING) || CASE p_partkey % 5 WHEN 0 THEN ' (Primary)' WHEN 1 THEN ' (Char. No Space)' ELSE '' END")
