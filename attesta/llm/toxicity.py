@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are words and beginnings of words. *All* terms of *all* labelled training texts, with their inverse document frequencies
-(counted per batch and combined before the shuffle), span the space of TF-IDF vectors; the table of terms travels with the
-model. An index holds up to ``max_examples`` training texts, chosen by a hash in the proportions of the training rows; that
-sample is the only bound and is a parameter.
+An index holds up to ``max_examples`` labelled training texts, chosen by a hash in the proportions of the training rows; that
+sample is the only bound and is a parameter. Terms are words and beginnings of words. *All* terms of the examples span the
+space of TF-IDF vectors; their inverse document frequencies count *all* labelled training texts (per batch, combined before
+the shuffle). The index is built in one task, as the sample is bounded, and travels as one broadcast; the driver keeps no
+layout of it, and examples are searched in tasks to calibrate.
 
 The index is inverted and block-max: examples lie in blocks. Terms of few examples have postings, whose products are summed
 exactly; each of the ``COMMON`` terms of most examples keeps, per block, its largest weight. A text's cosine with any example
@@ -15,17 +16,18 @@ a rate. The neighbours are the evidence.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.batches import Words, chunks, mix, prefix_hash, range_hash
+from attesta.llm.batches import Words, chunks, mix, prefix_hash, range_hash, release_memory
 from attesta.llm.shared import shared_table
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
-BLOCK = 32
+BLOCK = 128
 COMMON = 2048  # a matter of speed only: terms of most examples are multiplied as matrices, the others by postings
 LOT, LOT_POSTINGS = 256, 1 << 20  # texts searched at once, and about how many postings they meet
 _TRIM = np.zeros(256, bool)
@@ -68,9 +70,9 @@ def term_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def weigh_terms(training: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All terms of the ``n`` training texts and their inverse document frequencies."""
-    table = term_counts(training).toArrow()
+def weigh_terms(training: DataFrame, n: int, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of the sample's texts and their inverse document frequencies among the ``n`` training texts."""
+    table = term_counts(training).join(term_counts(sample).select("term").hint("merge"), "term").toArrow()
     return table["term"].to_numpy(), (np.log((1 + n) / (1 + table["docs"].to_numpy())) + 1).astype(np.float32)
 
 
@@ -114,10 +116,9 @@ class Model:
         self.example, self.weight = rows[by_term].astype(np.int32), weight[by_term].astype(np.float32)
         # postings of each term: where they begin and how many there are, none for a term in no example
         self.times = np.bincount(place, minlength=len(self.terms)).astype(np.int32)
-        self._lay_out()
 
     def _lay_out(self) -> None:
-        """Where postings begin, and the common terms as matrices; made again on every executor, so it does not travel."""
+        """Where postings begin, and the common terms as matrices; made on every executor at the first search."""
         n = len(self.doc_ids)
         self.first = np.cumsum(self.times) - self.times
         common = np.argsort(-self.times, kind="stable")[:COMMON]
@@ -131,12 +132,7 @@ class Model:
         self.most = np.array([p.max(axis=1) for p in self.parts], np.float32).reshape(len(self.parts), len(common)).T
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("first", "column", "parts", "most")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        if "example" in state:
-            self._lay_out()
+        return {k: v for k, v in self.__dict__.items() if k not in ("first", "column", "parts", "most", "shared")}
 
     @property
     def blocks(self) -> list[np.ndarray]:
@@ -161,6 +157,8 @@ class Model:
         The block with the largest bound comes first and gives a first k-th best cosine; the other blocks are scored, each
         for the texts whose bound reaches what they have by then.
         """
+        if "parts" not in self.__dict__:
+            self._lay_out()
         n, k = len(bounds) - 1, self.k
         best, close = np.full((n, k), -1), np.zeros((n, k))
         if not self.parts:
@@ -182,8 +180,10 @@ class Model:
             q[own[common], column[common]] = share[common]
             times = np.where(common, 0, self.times[term])
             posting = np.arange(int(times.sum())) + np.repeat(self.first[term] - (np.cumsum(times) - times), times)
-            rare = np.bincount(np.repeat(own, times) * width + self.example[posting], np.repeat(share, times) * self.weight[posting], minlength=len(rows) * width)
-            rare = rare.reshape(len(rows), len(self.parts), BLOCK)
+            cell, product = np.repeat(own * width, times), np.repeat(share, times)
+            cell += self.example[posting]
+            product *= self.weight[posting]
+            rare = np.bincount(cell, product, minlength=len(rows) * width).reshape(len(rows), len(self.parts), BLOCK)
             bound = q @ self.most + rare.max(axis=2)
             first = bound.argmax(axis=1)
             for phase in (0, 1):
@@ -196,6 +196,10 @@ class Model:
                     names = np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + cosine.shape[1]), cosine.shape)
                     if without is not None:
                         cosine = np.where(names == without[rows[at], None], 0, cosine)
+                    better = cosine.max(axis=1) > close[rows[at], k - 1]  # no other text's neighbours change
+                    at, cosine, names = at[better], cosine[better], names[better]
+                    if not len(at):
+                        continue
                     all_close = np.concatenate([close[rows[at]], cosine], axis=1)
                     all_names = np.concatenate([best[rows[at]], np.where(cosine > 0, names, -1)], axis=1)
                     order = np.argsort(-all_close, axis=1, kind="stable")[:, :k]
@@ -244,30 +248,55 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = 4000,
     n_toxic = sum(r["count"] for r in totals if r["toxic"] == 1)
     n_clean = sum(r["count"] for r in totals if r["toxic"] != 1)
     prior = n_toxic / max(n_toxic + n_clean, 1)
-    model = Model(*weigh_terms(training, n_toxic + n_clean), prior, k, pull)
     # examples by hash, so in about the proportions of the training rows; the hash of the last one is found on narrow rows
     place = F.xxhash64("doc_id")
     last = training.select(place.alias("place")).orderBy("place").limit(max_examples).agg(F.max("place")).first()[0]
     sample = training.where(place <= F.lit(last)).select("doc_id", "toxic", "text") if last is not None else training.limit(0).select("doc_id", "toxic", "text")
-    vectors = sample.mapInArrow(_vectors_of(model), "doc_id long, toxic int, places array<long>, weights array<double>").toArrow().combine_chunks()
-    places, weights = (pa.concat_arrays([c.flatten() for c in vectors[name].chunks] or [pa.array([], kind)]).to_numpy() for name, kind in (("places", pa.int64()), ("weights", pa.float64())))
-    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(vectors["places"]).to_numpy())]).astype(np.int64)
-    model.index(vectors["doc_id"].to_numpy(), vectors["toxic"].to_numpy(), bounds, places, weights)
-    del vectors, places, weights
-    bounds, place, weight = model.example_vectors()
-    model.calibrate(model.votes(*model.search(bounds, place, weight, np.arange(len(model.doc_ids)))), model.toxic)
+    model = Model(*weigh_terms(training, n_toxic + n_clean, sample), prior, k, pull)
+    built = sample.repartition(1).mapInArrow(_index_of(model), "state binary").toArrow()["state"]
+    if len(built):
+        model = pickle.loads(built[0].as_py())
+    else:
+        model.index(*(np.zeros(0, kind) for kind in (np.int64, np.int64)), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    del built
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    n = len(model.doc_ids)
+    votes = spark.range(0, n, 1, max(1, min(64, n // 64))).mapInArrow(_own_votes(shared), "id long, vote double").toArrow()
+    order = np.argsort(votes["id"].to_numpy())
+    model.calibrate(votes["vote"].to_numpy()[order], model.toxic)
+    model.shared = shared
     return model
 
 
-def _vectors_of(model: Model):
+def _own_votes(shared):
+    """Votes for the examples with the given numbers, each left out of its own search."""
     def run(batches):
+        for b in batches:
+            own, model = b.column(0).to_numpy(), shared.value
+            bounds, place, weight = model.example_vectors()
+            size = np.diff(bounds)[own]
+            spots = np.repeat(bounds[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            votes = model.votes(*model.search(np.concatenate([[0], np.cumsum(size)]), place[spots], weight[spots], own))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes)], names=["id", "vote"])
+
+    return run
+
+
+def _index_of(model: Model):
+    """The model with its index, built from all examples, as one row of bytes."""
+    def run(batches):
+        parts = []
         for b in batches:
             for first, last, data, at in chunks(b.column(2), 2 << 20):
-                bounds, place, weight = model.vectors(data, at)
-                offsets = pa.array(bounds.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(first, last - first), b.column(1).slice(first, last - first), pa.ListArray.from_arrays(offsets, pa.array(place)),
-                    pa.ListArray.from_arrays(offsets, pa.array(weight))], names=["doc_id", "toxic", "places", "weights"])
+                rows = slice(first, last)
+                parts.append((b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows], *model.vectors(data, at)))
+        if parts:
+            doc_ids, toxic, bounds, place, weight = zip(*parts)
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for at in bounds]))])
+            model.index(np.concatenate(doc_ids), np.concatenate(toxic), bounds, np.concatenate(place), np.concatenate(weight))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, protocol=5)], pa.binary())], names=["state"])
+        release_memory()
 
     return run
 
@@ -279,12 +308,13 @@ def score(documents: DataFrame, model: Model, limit: float = 0.3, evidence: int
     Whole texts are read. A null or empty text, or one without any of the terms, has no neighbours and gets the rate of
     such texts. Equal texts get equal scores. No rows give none; other columns stay.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared, steps = model.shared, (model.edges, model.rates)
     rows = documents.drop("score", "predicted", "neighbours", "cosines")
     names, text_at = rows.columns, rows.columns.index("text")
 
     def run(batches):
         m = shared.value
+        m.edges, m.rates = steps
         for b in batches:
             for first, last, data, at in chunks(b.column(text_at)):
                 bounds, place, weight = m.vectors(data, at)
