@@ -6,30 +6,24 @@ lost executor and its size is known to the planner, so it is broadcast only when
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.session import shared_base
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``. Only a local session may go without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local[") and master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows of ``df``, written as Parquet into the shared folder and read back."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

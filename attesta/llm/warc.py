@@ -5,7 +5,7 @@ the response) and a metadata record. Request and metadata name the response by W
 way: records are framed by Content-Length, joined through those identifiers, and one nested row per capture comes out.
 
 Archives are written by Spark's text writer and read by its binary file reader, so they may lie in any store that Spark
-reaches. ``pages_per_file`` bounds the size of an archive, which one task reads as a whole.
+reaches. ``file_bytes`` bounds the size of an archive on average, as one task reads it as a whole.
 """
 
 from __future__ import annotations
@@ -35,14 +35,19 @@ def _urn(*parts: object) -> str:
 
 
 def with_digests(pages: DataFrame) -> DataFrame:
-    """Per page: row (a number for the row), page_id, digest and size of the payload (html in UTF-8, null: empty)."""
+    """Per page: row (a number for the row), page_id, url, html, digest and size of the payload (html in UTF-8, null: empty).
+
+    The numbers hold for one reading of ``pages`` only, so the rows are written once and everything else starts from that table.
+    """
     def digests(batches):
         for b in batches:
-            found = [x or b"" for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([digest_name(x) for x in found]), pa.array([len(x) for x in found], pa.int64())], names=["row", "page_id", "digest", "size"])
+            found = [x or b"" for x in b.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest_name(x) for x in found]), pa.array([len(x) for x in found], pa.int64())],
+                                             names=["row", "page_id", "url", "html", "digest", "size"])
 
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.col("html").cast("binary").alias("html"))
-    return rows.mapInArrow(digests, "row long, page_id long, digest string, size long")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html"))
+    numbered = rows.mapInArrow(digests, "row long, page_id long, url string, html string, digest string, size long")
+    return shared_table(numbered, "pages", "zstd")
 
 
 def _block(kind: str, record_id: str, fields: list[tuple[str, str]], content_type: str, block: str) -> str:
@@ -73,23 +78,24 @@ def archive_texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
-def write_archives(pages: DataFrame, min_bytes: int = 0, pages_per_file: int = 5000) -> str:
+def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = 1 << 25) -> str:
     """Writes gzip archives into the shared folder and returns their place.
 
     Of pages with equal payloads of at least ``min_bytes`` the one with the largest page_id (null smallest; of equal
-    page_ids the last row) is the response, the others revisit it; shorter ones are all responses.
+    page_ids the last row) is the response, the others revisit it; shorter ones are all responses. A file holds as many pages
+    as have about ``file_bytes`` of payload on average.
     """
     spark = pages.sparkSession
-    numbered = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"))
-    digests = shared_table(with_digests(pages), "digests")
+    numbered = with_digests(pages)
+    digests = numbered.select("row", "page_id", "digest", "size")
+    pages_per_file = max(1, int(file_bytes / ((digests.agg(F.avg("size")).first()[0] or 0) + 1024)))
     latest = digests.where(F.col("size") >= min_bytes).groupBy("digest").agg(
         F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     # only pages whose payload occurs again need another page's row: a narrow table
     again = shared_table(digests.where(F.col("size") >= min_bytes).join(latest, "digest").select(
         F.col("row").alias("of_row"), F.col("first.row").alias("first_row"), F.col("first.page_id").alias("first_page")), "again")
-    named = digests.select(F.col("row").alias("d_row"), "digest").join(again, F.col("d_row") == F.col("of_row"), "left").select(
-        "d_row", "digest", F.coalesce("first_row", "d_row").alias("first_row"), "first_page")
-    rows = numbered.join(named, F.col("row") == F.col("d_row")).select("row", "page_id", "url", "html", "digest", "first_row", "first_page")
+    rows = numbered.join(again, F.col("row") == F.col("of_row"), "left").select(
+        "row", "page_id", "url", "html", "digest", F.coalesce("first_row", "row").alias("first_row"), "first_page")
     path = shared_folder(spark, "archives")
     (rows.mapInArrow(archive_texts, "value string").write.option("lineSep", END).option("compression", "gzip")
         .option("maxRecordsPerFile", pages_per_file).text(path))

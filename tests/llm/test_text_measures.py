@@ -68,6 +68,23 @@ def test_archives_round_trip(spark):
                             ("None", "revisit", 7), ("7", "response", None), ("8", "response", None), ("8", "revisit", 8)])
 
 
+def test_archives_of_a_shuffled_frame_with_long_addresses(spark):
+    rng = random.Random(3)
+    rows = [(i, "http://h/" + "".join(rng.choice("abcdefgh0123") for _ in range(96_000 if i % 2 else 5)), f"<p>{i // 3}", "q", "d") for i in range(400)]
+    plain = pages(spark, rows)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        for n, v in zip(names, ("40", "1m")):
+            spark.conf.set(n, v)
+        key = lambda df: sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or -1) for r in df.collect())
+        got = key(warc.archive_round_trip(plain.repartition("page_id")))
+        assert len(got) == 400 and got == key(warc.archive_round_trip(plain))
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
 def test_archives_of_nothing_and_small_payloads(spark):
     assert warc.archive_round_trip(pages(spark, [])).count() == 0
     got = warc.archive_round_trip(pages(spark, [(1, "u", "ab", "q", "d"), (2, "u", "ab", "q", "d")]), min_bytes=3).collect()
