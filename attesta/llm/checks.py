@@ -94,7 +94,7 @@ listed AS (
     SELECT unnest([host, array_to_string(labels[greatest(len(labels) - 1, 1):], '.'), CASE WHEN part <> '' THEN host || '/' || part END]) AS pattern
     FROM labelled WHERE host <> '') WHERE pattern IS NOT NULL),
 entries AS (
-  SELECT lower(pattern) AS pattern, 1704067200 + {_NUMBER.format("pattern || '|' || turn")} % 31622400 AS listed_at,
+  SELECT lower(split_part(pattern, '/', 1)) || substr(pattern, length(split_part(pattern, '/', 1)) + 1) AS pattern, 1704067200 + {_NUMBER.format("pattern || '|' || turn")} % 31622400 AS listed_at,
          CASE WHEN {_NUMBER.format("pattern || '|' || turn || '|action'")} % 3 = 0 THEN 'block' ELSE 'allow' END AS action,
          'list' || {_NUMBER.format("pattern || '|category'")} % 5 AS category
   FROM listed, (VALUES (1), (2), (3)) AS t(turn)),

@@ -12,7 +12,7 @@ def _fingerprint(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (columns ``a``, ``b``, long); root is the smallest node of its component.
 
     Large-star and small-star rounds: every node hands its smallest neighbour to the larger (then the smaller) neighbours,
@@ -21,9 +21,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = shared_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _fingerprint(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
