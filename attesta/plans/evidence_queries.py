@@ -177,7 +177,7 @@ def _(t):
     return P.make_passages(docs.select("source_id", page_list.alias("page_list")))
 
 
-BOILER_TEXT = "CASE WHEN seq % 9 = 0 THEN substr(text, 1, 90) || ' Read more' ELSE text END"
+BOILER_TEXT = "CASE WHEN seq % 9 = 0 THEN text || ' Read more' ELSE text END"
 
 
 @query("passage_boilerplate_drop", with_tables("psg") + f"""

@@ -41,8 +41,8 @@ def _(t):
     return S.collect_appends(S.budget_admission(_stream(t, "events", CALL_COLUMNS), Limits(**ADMISSION)))
 
 
-CITE = [("item_id", "doc_id"), ("case_id", "doc_id"), ("part", "'value'"), ("code", "''"), ("ord", "0"), ("passage_id", "CASE WHEN doc_id % 7 = 0 THEN 'S0-P0' ELSE 'S' || CAST(doc_id AS STRING) || '-P1' END"),
-        ("quote", "CASE WHEN doc_id % 5 = 0 THEN 'words nobody wrote' ELSE substr(text, 1, 12) END"), ("stance", "'supports'")]
+CITE = [("item_id", "doc_id"), ("case_id", "doc_id"), ("part", "'value'"), ("code", "''"), ("ord", "0"), ("passage_id", "CASE WHEN doc_id % 7 = 0 THEN 'S0-P0' ELSE 'S' || CAST(doc_id AS STRING) || '-P' || CAST(1 + doc_id % 3 AS STRING) END"),
+        ("quote", "CASE WHEN doc_id % 5 = 0 THEN 'words nobody wrote' ELSE split_part(text, chr(10), CAST(1 + doc_id % 3 AS INT)) END"), ("stance", "'supports'")]
 
 
 @query("stream_citation_check", with_tables("psg", "cites AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in CITE) + " FROM documents)") .rstrip() + ", " + sql_checked("cites").replace("c LEFT JOIN", "c LEFT JOIN") + " SELECT item_id, reason FROM checked")

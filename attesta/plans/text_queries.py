@@ -227,10 +227,10 @@ def _(t):
 @query("page_ranges", with_tables("psg") + """
 SELECT source_id, string_agg(CASE WHEN lo = hi THEN lo || '' ELSE lo || '-' || hi END, ', ' ORDER BY lo) AS ranges FROM (
   SELECT source_id, min(seq) AS lo, max(seq) AS hi FROM (
-    SELECT source_id, seq, seq - row_number() OVER (PARTITION BY source_id ORDER BY seq) AS g FROM psg WHERE length(text) < 300)
+    SELECT source_id, seq, seq - row_number() OVER (PARTITION BY source_id ORDER BY seq) AS g FROM psg WHERE regexp_matches(text, '[0-9]'))
   GROUP BY source_id, g) GROUP BY source_id""")
 def _(t):
-    return J.page_ranges(t.passages().where(F.length("text") < 300).select("source_id", "seq"), "source_id", "seq")
+    return J.page_ranges(t.passages().where(F.col("text").rlike("[0-9]")).select("source_id", "seq"), "source_id", "seq")
 
 
 PROVIDER_TEXT = "CASE WHEN id % 3 = 0 THEN provider || '+openai' WHEN id % 7 = 0 THEN 'other' ELSE provider END"
