@@ -325,6 +325,7 @@ def score(documents: DataFrame, model: Model, limit: float = 0.3, evidence: int
                 yield pa.RecordBatch.from_arrays([
                     *b.slice(first, last - first).columns, pa.array(scores), pa.array((scores >= limit).astype(np.int32)),
                     pa.array(near, pa.list_(pa.int64())), pa.array(close, pa.list_(pa.float64()))], names=[*names, "score", "predicted", "neighbours", "cosines"])
+        release_memory()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{schema}, score double, predicted int, neighbours array<long>, cosines array<double>")
