@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fixed
 from attesta.operators import identity as I
+from attesta.operators import passages as P
+from attesta.plans.evidence_queries import SQL_LINKS
 from attesta.plans.registry import query, with_tables
 from attesta.plans.text_queries import HAZARD_TEXT, LOCATION_TEXT, SQL_COUNTRY_NAMES, SQL_HAZARDS, SQL_HOST, SQL_PLACE, SQL_SIG, SQL_US, quoted
 from attesta.sources.tables import values_sql
@@ -179,12 +181,14 @@ LINK_TEXT = "CASE i WHEN 0 THEN 'Ahr Valley report' WHEN 1 THEN 'Marshall Fire a
 LINK_PAGE = "CASE page_id % 4 WHEN 3 THEN 'irrelevant' ELSE 'relevant' END"
 
 
-@query("follow_links", with_tables(SQL_COUNTRY_NAMES, SQL_CASES, SQL_TERMS, f"""links AS (SELECT page_id, page_id % 20 AS case_id, url AS final_url, i AS ord, {LINK_URL} AS link, {LINK_TEXT} AS link_text FROM pages, (VALUES (0), (1), (2), (3), (4), (5)) AS v(i) WHERE {LINK_PAGE} = 'relevant'),
+@query("follow_links", with_tables(SQL_COUNTRY_NAMES, SQL_CASES, SQL_TERMS, SQL_LINKS, f"""links AS (SELECT page_id, page_id % 20 AS case_id, pages.url AS final_url, ord, anchors.url AS link, link_text FROM anchors JOIN pages USING (page_id) WHERE {LINK_PAGE} = 'relevant'
+ UNION ALL SELECT page_id, page_id % 20, url, 1000 + i, {LINK_URL}, {LINK_TEXT} FROM pages, (VALUES (0), (1), (2), (3), (4), (5)) AS v(i) WHERE {LINK_PAGE} = 'relevant'),
 fit AS (SELECT *, {SQL_HOST.format(c='link')} AS host FROM links WHERE regexp_matches(link || ' ' || link_text, '(?i){fixed.LINK_HINT_PATTERN}')),
 ok AS (SELECT * FROM fit WHERE ends_with(host, '.gov') OR ends_with(host, '.us') OR ends_with(host, '.mil') OR host = {SQL_HOST.format(c='final_url')} OR ends_with(lower(link), '.pdf'))""", sql_score('sc', 'ok', "link_text || ' ' || link", years=False)) + """
 SELECT page_id, rank, link AS url, sc2 AS score FROM (SELECT *, greatest(score, 0.35) AS sc2, row_number() OVER (PARTITION BY page_id ORDER BY greatest(score, 0.35) DESC, ord) AS rank FROM sc) WHERE rank <= 4""")
 def _(t):
     pages = t.raw("pages").select("page_id", (F.col("page_id") % 20).alias("case_id"), F.col("url").alias("final_url"), F.expr(LINK_PAGE).alias("relevance_status"))
     links = t.raw("pages").select("page_id", "url", F.explode(F.array(*[F.lit(i) for i in range(6)])).alias("i")).select(
-        "page_id", F.col("i").alias("ord"), F.expr(LINK_URL).alias("url"), F.expr(LINK_TEXT).alias("link_text"))
+        "page_id", (F.col("i") + 1000).alias("ord"), F.expr(LINK_URL).alias("url"), F.expr(LINK_TEXT).alias("link_text"))
+    links = P.html_links(t.raw("pages")).unionByName(links)  # the pages' own links come first
     return I.follow_links(links, pages, I.case_terms(cases(t)))
