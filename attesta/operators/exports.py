@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
 from attesta.operators import compare as C
-from attesta.operators.ranking import full_rank
+from attesta.operators.retrieval import rank_sources
 from attesta.sources.tables import lookup
 
 KEY = ["case_id", "variable"]
@@ -115,8 +115,7 @@ def export_provider_suggestions(latest: DataFrame, runs: DataFrame, compared: Da
 def export_sources(sources: DataFrame) -> DataFrame:
     """Ranked list of the selected sources per case with derived columns."""
     chosen = sources.where(~F.col("excluded"))
-    ranked = full_rank(chosen, ["case_id"], [("c1", X.type_priority(F.col("source_type"))), ("c2", -F.coalesce("n_pages", F.lit(0)))],
-                       [-F.coalesce("n_passages", F.lit(0)), F.col("source_id")], "rank")
+    ranked = rank_sources(chosen, "type")
     usable = (F.col("fetch_status") == "ok") & F.col("duplicate_of").isNull() & (F.col("relevance_status") != "irrelevant") & (F.col("n_passages") > 0)
     yes_no = lambda c: F.when(c, "yes").otherwise("no")
     return ranked.select(

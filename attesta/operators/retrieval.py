@@ -188,6 +188,7 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, tie: list[str], k: int
 
 # ------------------------------------------------------------------------------------------------ latent semantics
 SALTS = 16
+RANK_RANGE = 100_000
 
 
 class LatentModel(NamedTuple):
@@ -309,8 +310,10 @@ def lsa_model(passages: DataFrame, dimensions: int = 120, iterations: int = 3, o
 
 
 def lsa_vectors(passages: DataFrame, dimensions: int = 120) -> DataFrame:
-    """(case_id, passage_id, vector): one row per passage."""
-    return lsa_model(passages, dimensions).passages.select("case_id", "passage_id", F.col("embedding").alias("vector"))
+    """(case_id, passage_id, vector): one row per passage. Passages without a case_id are one case, and get none."""
+    cased = passages if "case_id" in passages.columns else passages.withColumn("case_id", F.lit(0).cast("long"))
+    made = lsa_model(cased, dimensions).passages.select("case_id", "passage_id", F.col("embedding").alias("vector"))
+    return made if "case_id" in passages.columns else made.drop("case_id")
 
 
 def lsa_queries(model: LatentModel, queries: DataFrame) -> DataFrame:
@@ -481,15 +484,15 @@ def prompt_payloads(batches: DataFrame, headers: DataFrame, variables: DataFrame
 
 # ------------------------------------------------------------------------------------------------ source order
 def rank_sources(sources: DataFrame, mode: str = "type") -> DataFrame:
-    """Adds the display rank per case; mode is type, length or found."""
+    """Adds the display rank per case; mode is type, length or found.
+
+    All sort keys cut the buckets, the last one in ranges of ``RANK_RANGE`` source ids, so no bucket holds more rows than that
+    even where a third of all sources are alike.
+    """
     pages, passages = -F.coalesce("n_pages", F.lit(0)), -F.coalesce("n_passages", F.lit(0))
-    if mode == "type":
-        coarse, fine = [("c1", X.type_priority(F.col("source_type"))), ("c2", pages)], [passages, F.col("source_id")]
-    elif mode == "length":
-        coarse, fine = [("c1", pages), ("c2", passages)], [F.col("source_id")]
-    else:
-        coarse, fine = [("c1", F.floor(F.col("source_id") / 10000))], [F.col("source_id")]
-    return full_rank(sources, ["case_id"], coarse, fine, "rank")
+    keys = {"type": [X.type_priority(F.col("source_type")), pages, passages], "length": [pages, passages]}.get(mode, [])
+    keys = [*keys, F.floor(F.col("source_id") / RANK_RANGE)]
+    return full_rank(sources, ["case_id"], [(f"c{i}", k) for i, k in enumerate(keys)], [F.col("source_id")], "rank")
 
 
 def rank_candidates(candidates: DataFrame, used: DataFrame, limit: int) -> DataFrame:

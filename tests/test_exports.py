@@ -68,3 +68,15 @@ def test_a_note_decides_over_placeholders_and_absence_codes(spark):
     book = spark.createDataFrame([(v, "categorical", False, "sourced", ["0"], ["none documented"], [], n) for v, n in (("A", None), ("B", []), ("C", ["PI-M3", "PI-M7"]))],
                                  "variable string, type string, multi boolean, field_class string, codes array<string>, labels array<string>, missing array<string>, noted array<string>")
     assert {r.variable: r.decisions for r in rollups.missingness_audit(cells, book).collect()} == {"A": "PI-M3, PI-M4", "B": "PI-M3", "C": "PI-M3, PI-M7"}
+
+
+def test_ranks_of_one_case_with_many_equal_sources(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANK_RANGE", 7)
+    rows = [(1 if i % 3 else 2 + i % 5, i, "media" if i % 4 else "government", None if i % 2 else i % 3, 0 if i % 7 else i) for i in range(200)]
+    frame = spark.createDataFrame(rows, "case_id long, source_id long, source_type string, n_pages long, n_passages long")
+    order = {"type": lambda r: (r[2] != "government", -(r[3] or 0), -r[4], r[1]), "length": lambda r: (-(r[3] or 0), -r[4], r[1]), "found": lambda r: r[1]}
+    for mode, key in order.items():
+        want = {}
+        for r in sorted(rows, key=key):
+            want[r[1]] = sum(1 for s in rows if s[0] == r[0] and key(s) < key(r)) + 1
+        assert {r.source_id: r["rank"] for r in R.rank_sources(frame, mode).collect()} == want
