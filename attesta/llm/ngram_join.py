@@ -6,9 +6,11 @@
    ever make a bucket, and no n-gram is dropped: a set of frequent n-grams only still meets in their buckets.
 3. Every set is a point of group counts (``count_tree``). In three rounds each member of a bucket is held against one
    centre of the bucket, by the bound and then exactly, and what links is contracted: a group of copies of any size costs
-   one comparison per member and round.
+   few comparisons per member and round. In the first round a set meets the centre of most of its buckets before others.
 4. In buckets that still hold different components, an R-tree over the members' points finds all pairs of different
-   components whose summed coordinate minima reach the overlap they need. These pairs are compared exactly.
+   components whose summed coordinate minima reach the overlap they need. The members of such pairs, not the pairs, go on
+   with their whole sets to a task of the bucket that compares them exactly, contracts at once what links, and tells only
+   links that join two components: fewer than members.
 5. Components of all links are labelled by their smallest doc_id.
 
 Exact comparisons work on the whole sets, read again from the texts of just those documents. Sets are told apart by a
@@ -30,6 +32,7 @@ from attesta.llm.shared import bitmap_of, bitmap_place, in_bitmap, shared_table
 FREQUENT_IN_BATCH = 4
 PAIRS_PER_TASK = 256
 BLOCK = 1024
+BLOCK_GRAMS = 1 << 20
 REMEMBERED_PAIRS = 1 << 20
 
 
@@ -183,19 +186,16 @@ def _surviving(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return shared_table(full.mapInArrow(run, "a long, b long"), "pairs")
 
 
-def _links(documents: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity, by comparing their whole sets.
+def _sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(class, grams) of at least the wanted classes (column ``class``), read again from the documents that stand for them.
 
-    Sets are read again from the documents that stand for the classes of some pair. All pairs of one ``a`` meet its set in
-    a task, in lots of ``PAIRS_PER_TASK``, to each of which a copy of the set goes.
+    A bitmap of these documents' ids spares most others; the few it lets through fall out of the joins that follow.
     """
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     ids = shared_table(wanted.join(classes, "class").select("rep"), "wanted")
-    spark = documents.sparkSession
-    bitmap = spark.sparkContext.broadcast(bitmap_of(ids, F.col("rep")))
+    bitmap = documents.sparkSession.sparkContext.broadcast(bitmap_of(ids, F.col("rep")))
     rows = documents.select(bitmap_place(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))).alias("place"), "text")
 
-    def sets(batches):
+    def run(batches):
         seen: set[int] = set()
         for b in batches:
             text = b.column(1).filter(pa.array(in_bitmap(bitmap.value, b.column(0).to_numpy())))
@@ -206,8 +206,15 @@ def _links(documents: DataFrame, classes: DataFrame, pairs: DataFrame, width: in
                 yield pa.RecordBatch.from_arrays([
                     pa.array([names[i] for i in keep], pa.int64()), pa.array([grams[bounds[i]: bounds[i + 1]].tobytes() for i in keep], pa.binary())], names=["class", "grams"])
 
-    read = rows.mapInArrow(sets, "class long, grams binary").join(wanted, "class", "left_semi")
-    found = shared_table(read, "grams")
+    return shared_table(rows.mapInArrow(run, "class long, grams binary"), "grams")
+
+
+def _links(documents: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity, by comparing their whole sets.
+
+    All pairs of one ``a`` meet its set in a task, in lots of ``PAIRS_PER_TASK``, to each of which a copy of the set goes.
+    """
+    found = _sets(documents, classes, pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct(), width)
     numbered = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").withColumn(
         "lot", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS_PER_TASK)).cast("int"))
     lots = numbered.select("a", "lot").distinct()
@@ -248,65 +255,110 @@ def _open_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return shared_table(named.join(mixed, "key"), "open")
 
 
-def _tree_pairs(open_buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in a bucket whose bound allows the similarity, by R-trees.
+def bounded_partners(sizes: np.ndarray, raw: list[bytes], label: np.ndarray, blocks: np.ndarray, percent: int):
+    """(member, others) of all pairs of different labels within the bound, by R-trees; labels may change on the way.
 
-    A bucket with more than ``BLOCK`` members is dealt into blocks, and each two blocks meet in a task of their own.
+    Members of one block are not held against each other if there are two blocks.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = open_buckets.select("key", "class", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block")).select(
-        "key", "class", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    full = dealt.join(classes, "class").select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "root", "block", "size", "point"
-    ).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "class")
-
-    def search(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        # partners differ in size by less than a factor of two, so in sharpness by one step at most: a tree for each two steps
-        sharp = np.array([len(r[4]) for r in rows])
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        across = len({r[2] for r in rows}) > 1
-        for step in np.unique(sharp).tolist():
-            own = [r for r, n in zip(rows, sharp) if n in (step, 2 * step)]
-            if len(own) < 2:
-                continue
-            tree = CountTree(np.array([r[3] for r in own]), [r[4] for r in own], percent)
-            name, root, block = (np.array([r[i] for r in own])[tree.order] for i in range(3))
-            for i in range(len(own)):
-                near = tree.partners(i)
-                near = near[(root[near] != root[i]) & ((block[near] != block[i]) if across else True)]
-                a.append(np.minimum(name[near], name[i]))
-                b.append(np.maximum(name[near], name[i]))
-        return np.concatenate(a), np.concatenate(b)
-
-    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (zip(*found) if found else ([], [])))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def run(batches):
-        name, rows = None, []
-        told: set[tuple[int, int]] = set()  # pairs that meet in many buckets are passed on once by a task
-
-        def fresh(found):
-            a, b = found
-            new = [(x, y) not in told and not told.add((x, y)) for x, y in zip(a.tolist(), b.tolist())]
+    across = len(np.unique(blocks)) > 1
+    sharp = np.array([len(r) for r in raw])
+    # partners differ in size by less than a factor of two, so in sharpness by one step at most: a tree for each two steps
+    for step in np.unique(sharp).tolist():
+        members = np.flatnonzero((sharp == step) | (sharp == 2 * step))
+        if len(np.unique(label[members])) < 2:
+            continue
+        tree = CountTree(sizes[members], [raw[m] for m in members.tolist()], percent)
+        order = members[tree.order]
+        for i, me in enumerate(order.tolist()):
+            near = order[tree.partners(i)]
+            near = near[(label[near] != label[me]) & ((blocks[near] != blocks[me]) | (not across))]
+            if len(near):
+                yield me, near
+
+
+def linked_members(names: np.ndarray, roots: np.ndarray, blocks: np.ndarray, grams: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links (smaller name, larger name) among sets of different components, found by an R-tree and compared exactly.
+
+    Components grow while the search goes on, so the links are a forest over them.
+    """
+    sizes = np.array([len(g) // 8 for g in grams])
+    hashes = np.concatenate([np.frombuffer(g, np.uint64) for g in grams])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.unique(hashes, return_inverse=True)[1]
+    own = np.zeros(len(hashes), bool)  # own[code]: whether the set in hand has it
+    label = np.unique(roots, return_inverse=True)[1]
+    links = []
+    for me, near in bounded_partners(sizes, points(hashes, begin), label, blocks, percent):
+        own[codes[begin[me]: begin[me + 1]]] = True
+        ends = np.cumsum(sizes[near])
+        place = np.arange(ends[-1]) + np.repeat(begin[near] - (ends - sizes[near]), sizes[near])
+        overlap = np.add.reduceat(own[codes[place]].astype(np.int64), ends - sizes[near])
+        own[codes[begin[me]: begin[me + 1]]] = False
+        for other in near[100 * overlap >= percent * (sizes[me] + sizes[near] - overlap)].tolist():
+            if label[other] != label[me]:
+                label[label == label[other]] = label[me]
+                links.append((min(int(names[me]), int(names[other])), max(int(names[me]), int(names[other]))))
+    return links
+
+
+def _by_block(batches):
+    """The rows of each (key, low, high), the leading columns, of batches sorted by them."""
+    name, rows = None, []
+    for b in batches:
+        for key, low, high, *row in zip(*[x.to_pylist() for x in b.columns]):
+            if (key, low, high) != name:
+                if len(rows) > 1:
+                    yield name, rows
+                name, rows = (key, low, high), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield name, rows
+
+
+def _tree_links(documents: DataFrame, open_buckets: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components which the buckets' members can link, by R-trees.
+
+    A bucket with more than ``BLOCK`` members or ``BLOCK_GRAMS`` n-grams is dealt into blocks, and each two blocks meet in a
+    task of their own. Points travel first; whole sets follow for members that have a partner within the bound.
+    """
+    known = open_buckets.join(classes.select("class", "size", "point"), "class")
+    load = known.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    block = ["key", "low", "high"]
+    dealt = known.join(load, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pointed = dealt.select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "root", "block", "size", "point")
+
+    def prune(batches):
+        told: set[tuple[int, int]] = set()  # pairs that meet in many buckets of a task count in the first only
+        for (key, low, high), rows in _by_block(batches):
+            names, roots, blocks, sizes = (np.array(x) for x in list(zip(*rows))[:4])
+            wanted = np.zeros(len(rows), bool)
+            for me, near in bounded_partners(sizes, [r[4] for r in rows], roots, blocks, percent):
+                mine = int(names[me])
+                new = [o for o, n in zip(near.tolist(), names[near].tolist())
+                       if (pair := (min(mine, n), max(mine, n))) not in told and not told.add(pair)]
+                wanted[new] = True
+                wanted[me] |= bool(new)
             if len(told) > REMEMBERED_PAIRS:
                 told.clear()
-            new = np.array(new, bool)
-            return a[new], b[new]
+            n = int(wanted.sum())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([key] * n, pa.int64()), pa.array([low] * n, pa.int32()), pa.array([high] * n, pa.int32()),
+                pa.array(names[wanted]), pa.array(roots[wanted]), pa.array(blocks[wanted].astype(np.int32))], names=[*block, "class", "root", "block"])
+        release_memory()
 
-        for b in batches:
-            found = []
-            for key, low, high, *row in zip(*[x.to_pylist() for x in b.columns]):
-                if (key, low, high) != name:
-                    if len(rows) > 1:
-                        found.append(fresh(search(rows)))
-                    name, rows = (key, low, high), []
-                rows.append(row)
-            yield batch(found)
-        yield batch([fresh(search(rows))] if len(rows) > 1 else [])
+    def compare(batches):
+        for _, rows in _by_block(batches):
+            links = linked_members(*(np.array(x) for x in list(zip(*rows))[:3]), [r[3] for r in rows], percent)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
         release_memory()
 
-    return full.mapInArrow(run, "a long, b long").distinct()
+    left = shared_table(pointed.repartition(*block).sortWithinPartitions(*block, "class").mapInArrow(
+        prune, "key long, low int, high int, class long, root long, block int"), "left")
+    grams = _sets(documents, classes, left.select("class").distinct(), width).dropDuplicates(["class"])
+    full = left.join(grams, "class").select(*left.columns, "grams")
+    return full.repartition(*block).sortWithinPartitions(*block, "class").mapInArrow(compare, "a long, b long").distinct()
 
 
 def ngram_join(documents: DataFrame, width: int = 5, percent: int = 75, frequent: int = 1 << 18) -> DataFrame:
@@ -325,9 +377,17 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 75, frequent
     classes = shared_table(per_document.where("size > 0").groupBy("class").agg(
         F.min(F.coalesce("doc_id", F.lit(-1).cast("long"))).alias("rep"), F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.min("point").alias("point")), "classes")
     buckets = shared_buckets(bucket_entries(documents, frequent_grams(read.where("point IS NULL"), frequent), width, percent))
-    stars = buckets.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
-    tested = _surviving(stars, classes, percent)
-    links = _links(documents, classes, tested, width, percent)
+    meetings = shared_table(
+        buckets.where("class <> centre").groupBy(F.col("centre").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("n")), "meetings")
+    tested = _surviving(meetings.select("a", "b"), classes, percent)
+    # each set meets the centre of most of its buckets first, and the others only if that leaves them apart
+    best = shared_table(tested.join(meetings, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
+    links = _links(documents, classes, best, width, percent)
+    roots = components(links)
+    root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    rest = tested.join(best, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    links = shared_table(links.unionByName(_links(documents, classes, shared_table(rest, "rest"), width, percent)), "links")
     open_ = _open_buckets(buckets, components(links))
     # two more rounds among what is left: around the members that share most n-grams (an original shares more than its
     # changed copies), then around others
@@ -341,8 +401,7 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 75, frequent
         tested = tested.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         links = shared_table(links.unionByName(_links(documents, classes, more, width, percent)), "links")
         open_ = _open_buckets(open_.select("key", "class"), components(links))
-    pairs = shared_table(_tree_pairs(open_, classes, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = shared_table(links.unionByName(_links(documents, classes, pairs, width, percent)), "links")
+    links = shared_table(links.unionByName(_tree_links(documents, open_, classes, width, percent)).distinct(), "links")
     roots = components(links)
     named = classes.select("class", "first_id").join(roots, F.col("class") == F.col("node"), "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
     labels = named.groupBy("root").agg(F.min("first_id").alias("component"))

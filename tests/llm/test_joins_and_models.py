@@ -11,7 +11,7 @@ from attesta.llm import gru, lm_scoring, toxicity
 from attesta.llm.batches import prefix_hash
 from attesta.llm.components import components
 from attesta.llm.count_tree import CountTree, bound_holds, points
-from attesta.llm.ngram_join import ngram_join, shared_buckets
+from attesta.llm.ngram_join import linked_members, ngram_join, shared_buckets
 from attesta.llm.substring_dedup import substring_dedup, suffix_mergesort
 
 
@@ -89,6 +89,35 @@ def test_ngram_join_of_pairs_that_meet_in_few_buckets(documents, small_batches):
     assert got == {i: (7, i - i % 2) for i, _ in rows}
 
 
+def test_ngram_join_of_near_copies_at_the_edge(documents, small_batches, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = list(enumerate((" ".join(changed(base, 0.035, rng)) for _ in range(70)), 1))  # many pairs on both sides of the limit
+    monkeypatch.setattr("attesta.llm.ngram_join.BLOCK", 16)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(documents(rows)).collect()}
+    assert got == want_components(rows)
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_links_of_a_bucket_are_a_forest_over_its_components(blocks):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(85, 120), replace=False), rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(90)]
+    names, roots, block = np.arange(90) * 7 - 300, np.arange(90) // 2, np.arange(90) % blocks
+    links = linked_members(names, roots, block, [x.tobytes() for x in sets], 75)
+
+    def groups(pairs):
+        label = list(roots)
+        for i, j in pairs:
+            label = [label[i] if x == label[j] else x for x in label]
+        return sorted(sorted(i for i in range(90) if label[i] == x) for x in set(label)), len(set(label))
+
+    want = [(i, j) for i in range(90) for j in range(i) if block[i] != block[j] or blocks == 1]
+    want = [(i, j) for i, j in want for both in [len(np.intersect1d(sets[i], sets[j]))] if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)]
+    got, left = groups([((a + 300) // 7, (b + 300) // 7) for a, b in links])
+    assert got == groups(want)[0] and len(links) == 45 - left and all(a < b for a, b in links)
+
+
 def test_ngram_join_of_odd_rows(documents):
     assert ngram_join(documents([])).count() == 0
     got = ngram_join(documents([(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (3, "x " * 30000), (4, None), (None, "z")])).collect()
