@@ -7,6 +7,8 @@ member; only what is left over is matched by an exact prefix-filter join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,6 +100,22 @@ def shingle_sets(sources: DataFrame) -> DataFrame:
         "n", F.size("sh"))
 
 
+def shingle_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaders, members): sources of a case whose shingle sets are equal form a class, led by the best-ranked one.
+
+    Members (case_id, source_id, rank, leader_id, class_size) are one row per source with shingles; leaders are the rows of
+    ``sets`` that lead a class, with class_size. Sets are told apart by a SHA-256 of their sorted shingles, so only narrow
+    rows are shuffled and a group of copies is combined before the shuffle. Sources without a case or shingles are in no
+    class.
+    """
+    digest = F.sha2(F.array_join(F.array_sort("sh"), ","), 256)
+    named = sets.where("n > 0 AND case_id IS NOT NULL").select("case_id", "source_id", "rank", digest.alias("digest"))
+    classes = cut_lineage(named.groupBy("case_id", "digest").agg(F.min("rank.id").alias("first_id"), F.min("rank").alias("lead"), F.count("*").alias("class_size")))
+    members = named.join(classes, ["case_id", "digest"]).select("case_id", "source_id", "rank", F.col("lead.id").alias("leader_id"), "first_id", "class_size")
+    leaders = sets.join(classes.select(F.col("lead.id").alias("source_id"), "first_id", "class_size"), "source_id")
+    return cut_lineage(leaders), members
+
+
 def leader_pairs(sets: DataFrame) -> DataFrame:
     """(case_id, source_id, other_id): every source with the best-ranked holder of each of its shingles.
 
@@ -131,23 +149,28 @@ def measure_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _prefix_pairs(sets: DataFrame, limit: float = fixed.NEAR_DUPLICATE_CONTAINMENT, jaccard: bool = False, across: str | None = None) -> DataFrame:
     """Pairs (source_id < other_id) of one case that can reach the limit of containment (or jaccard).
 
-    If the smaller set shares 60 % of its shingles with the larger one, its rarest 40 % plus one must meet the larger
-    set, so only those are used as probes. This drops no pair, and common phrases are rarely among the probes. For
-    jaccard the smaller set must also have at least that share of the larger one's size. ``across`` names a boolean
-    column: only pairs of different values are wanted.
+    Shingles of a case are ordered by rarity. If the smaller set shares 60 % of its shingles with the larger one, its
+    rarest 40 % plus one must meet the larger set, so only those are used as probes. Where they meet, the places bound
+    the overlap: what came before in the shorter of both beginnings, and what can still come in the shorter of both
+    ends. For jaccard the overlap must reach that share of the *larger* set, so sizes must be near, both sides need
+    their rarest shingles only and the bound is tighter. None of this drops a pair. ``across`` names a boolean column:
+    only pairs of different values are wanted.
     """
     extra = [across] if across else []
     postings = sets.select("case_id", "source_id", "n", *extra, F.explode("sh").alias("h"))
     frequency = postings.groupBy("case_id", "h").agg(F.count("*").alias("holders")).where("holders > 1")
-    rated = postings.join(frequency, ["case_id", "h"], "left")
     order = W.partitionBy("source_id").orderBy(F.coalesce("holders", F.lit(1)), "h")
-    needed = F.col("n") - F.ceil(F.col("n") * limit) + 1
-    side = lambda df, s: df.select("case_id", "h", F.col("source_id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), *[F.col(c).alias(f"{s}_side") for c in extra])
-    probes = side(rated.withColumn("place", F.row_number().over(order)).where((F.col("place") <= needed) & F.col("holders").isNotNull()), "small")
-    index = side(rated.where("holders IS NOT NULL"), "large")
+    rated = postings.join(frequency, ["case_id", "h"], "left").withColumn("place", F.row_number().over(order)).where("holders IS NOT NULL")
+    share = lambda n: F.ceil(n * limit - 1e-9)
+    side = lambda df, s: df.select("case_id", "h", F.col("source_id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("place").alias(f"{s}_place"), *[F.col(c).alias(f"{s}_side") for c in extra])
+    rarest = rated.where(F.col("place") <= F.col("n") - share(F.col("n")) + 1)
+    probes, index = side(rarest, "small"), side(rarest if jaccard else rated, "large")
     fits = (F.col("small_n") < F.col("large_n")) | ((F.col("small_n") == F.col("large_n")) & (F.col("small_id") < F.col("large_id")))
+    least = share(F.col("large_n")) if jaccard else share(F.col("small_n"))
+    ends = F.least(F.col("small_n") - F.col("small_place"), F.col("large_n") - F.col("large_place"))
+    fits = fits & (F.least("small_place", "large_place") + ends >= least)
     if jaccard:
-        fits = fits & (F.col("small_n") >= F.ceil(F.col("large_n") * limit))
+        fits = fits & (F.col("small_n") >= least)
     if across:
         fits = fits & (F.col("small_side") != F.col("large_side"))
     return probes.join(index, ["case_id", "h"]).where(fits).select(
@@ -155,10 +178,29 @@ def _prefix_pairs(sets: DataFrame, limit: float = fixed.NEAR_DUPLICATE_CONTAINME
 
 
 def similar_pairs(sets: DataFrame, limit: float, by: str = "containment") -> DataFrame:
-    """All pairs (source_id < other_id) of a case whose containment (or ``jaccard``) is at least ``limit`` (above 0)."""
+    """All pairs (source_id < other_id) of a case whose containment (or ``jaccard``) is at least ``limit`` (above 0).
+
+    Grows with the square of a group of copies; ``similar_class_pairs`` tells the same links without doing so.
+    """
     return measure_pairs(_prefix_pairs(sets, limit, by == "jaccard"), sets).where(F.col(by) >= limit)
 
 
+def similar_class_pairs(sets: DataFrame, limit: float, by: str = "containment") -> DataFrame:
+    """Pairs of classes of equal shingle sets whose containment (or ``jaccard``) is at least ``limit`` (above 0).
+
+    (case_id, source_id < other_id, ..., links): both ids are the smallest of their class, ``links`` is the number of pairs of
+    sources that the row stands for. Members of a class are alike whatever the limit; ``shingle_classes`` lists them. So
+    the rows do not grow with the square of a group of copies, and no link is lost.
+    """
+    leaders, _ = shingle_classes(sets)
+    named = leaders.select("case_id", F.col("first_id").alias("source_id"), "rank", "sh", "n", "class_size")
+    sizes = named.select("source_id", "class_size")
+    found = measure_pairs(_prefix_pairs(named, limit, by == "jaccard"), named).where(F.col(by) >= limit)
+    other = sizes.select(F.col("source_id").alias("other_id"), F.col("class_size").alias("other_size"))
+    return found.join(sizes, "source_id").join(other, "other_id").withColumn("links", F.col("class_size") * F.col("other_size")).select(
+        "case_id", "source_id", "other_id", "na", "nb", "common", "jaccard", "containment", "links")
+
+
 def _close(scored: DataFrame) -> DataFrame:
     """Pairs with enough containment, turned so that other_id has the better rank."""
     turned = scored.select("case_id", F.col("other_id").alias("source_id"), F.col("source_id").alias("other_id"),
@@ -173,12 +215,12 @@ def near_duplicates(sets: DataFrame) -> DataFrame:
     In the order of authority, a source is a copy if it is close to a better-ranked source that is no copy itself; it
     points at the one with the highest containment, then the best rank.
 
-    A source that leads all its shingles has no better-ranked partner and is an original; what is close to it is a copy.
+    Sources with equal sets are settled once, by the best-ranked of them: the others are copies in any case. A source that leads all its shingles has no better-ranked partner and is an original; what is close to it is a copy.
     That settles large groups with one comparison per member. The close pairs of the others are found by the prefix
     filter and settled in rounds: who has no open better-ranked partner is an original, its partners are copies, and
     pairs with copies fall away. At last all copies are held against all originals.
     """
-    sets = cut_lineage(sets)
+    sets, members = shingle_classes(cut_lineage(sets))
     postings = sets.select("case_id", "source_id", "rank", F.explode("sh").alias("h"))
     leaders = postings.groupBy("case_id", "h").agg(F.min("rank").alias("lead"))
     followers = postings.join(leaders, ["case_id", "h"]).where("lead.id <> source_id").select("source_id").distinct()
@@ -193,11 +235,18 @@ def near_duplicates(sets: DataFrame) -> DataFrame:
         copies = copies.unionByName(found)
         edges = cut_lineage(edges.join(found, "source_id", "left_anti").join(found.select(F.col("source_id").alias("other_id")), "other_id", "left_anti"))
     marked = cut_lineage(sets.join(copies.withColumn("copy", F.lit(True)), "source_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False))))
-    of_copy = marked.where("copy").select("source_id")
-    close = _close(measure_pairs(_prefix_pairs(marked, across="copy"), marked)).join(of_copy, "source_id", "left_semi")
-    best = F.min(F.struct((-F.col("containment")).alias("neg"), F.col("other_rank"))).alias("best")
-    return close.groupBy("case_id", "source_id").agg(best).select(
-        "case_id", "source_id", F.col("best.other_rank.id").alias("near_duplicate_of"), F.round(-F.col("best.neg"), 3).alias("similarity"))
+    led = members.where("source_id <> leader_id")
+    original = marked.where("NOT copy").select(F.col("source_id").alias("leader_id"))
+    same = led.join(original, "leader_id", "left_semi").select("case_id", "source_id", F.col("leader_id").alias("near_duplicate_of"), F.lit(1.0).alias("similarity"))
+    # every member of a copy's class may point at any original that is ranked before itself
+    pairs = measure_pairs(_prefix_pairs(marked, across="copy"), marked).where(F.col("containment") >= fixed.NEAR_DUPLICATE_CONTAINMENT)
+    ends = [("source_id", "other_rank"), ("other_id", "rank")]
+    close = reduce(DataFrame.unionByName, [pairs.select(F.col(mine).alias("leader_id"), F.col(theirs).alias("original"), "containment") for mine, theirs in ends])
+    close = cut_lineage(close.join(marked.where("copy").select(F.col("source_id").alias("leader_id")), "leader_id", "left_semi"))
+    best = F.min(F.struct((-F.col("containment")).alias("neg"), F.col("original"))).alias("best")
+    pointed = members.join(close, "leader_id").where(F.col("original") < F.col("rank")).groupBy("case_id", "source_id").agg(best).select(
+        "case_id", "source_id", F.col("best.original.id").alias("near_duplicate_of"), F.round(-F.col("best.neg"), 3).alias("similarity"))
+    return same.unionByName(pointed)
 
 
 def citation_dedup(citations: DataFrame, *keys: str) -> DataFrame:

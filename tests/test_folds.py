@@ -189,3 +189,29 @@ def test_lsa_vectors_are_unit_and_close_for_like_texts(spark):
     dot = lambda a, b: sum(x * y for x, y in zip(vectors[a], vectors[b]))
     assert all(abs(dot(p, p) - 1) < 1e-6 for p in vectors)
     assert dot("p0", "p1") > 0.99 and dot("p0", "p3") < dot("p0", "p6")
+
+
+def test_pairs_of_classes_lose_no_link_and_stay_linear_in_a_group_of_copies(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(90)) for _ in range(12)]
+    texts += [t + f" x{k} y{k}" for k, t in enumerate(texts[:4])] + [t.rsplit(" ", 40)[0] for t in texts[:6]] + ["short", None]
+    docs = [(i, i % 2 + 1, rng.choice(["media", "aar"]), texts[0] if i % 3 == 0 else rng.choice(texts)) for i in range(120)] + [(900, None, "media", texts[0])]
+    df = spark.createDataFrame(docs, "source_id long, case_id long, source_type string, text string").withColumn("content_type", F.lit("text/html"))
+    sets = D.shingle_sets(df).persist()
+    rows = {r.source_id: (r.case_id, frozenset(r.sh or [])) for r in sets.collect()}
+    members = {r.source_id: (r.first_id, r.class_size) for r in D.shingle_classes(sets)[1].collect()}
+    assert set(members) == {i for i, (c, s) in rows.items() if s and c is not None}
+    for i, (first, size) in members.items():
+        alike = [j for j in members if rows[j] == rows[i]]
+        assert (first, size) == (min(alike), len(alike))
+    share = {"jaccard": lambda a, b: len(a & b) / len(a | b), "containment": lambda a, b: len(a & b) / min(len(a), len(b))}
+    for by, rate in share.items():
+        for limit in (0.3, 0.8):
+            want = {(a, b) for a in members for b in members if a < b and rows[a][0] == rows[b][0] and rate(rows[a][1], rows[b][1]) >= limit}
+            found = D.similar_class_pairs(sets, limit, by).collect()
+            of = lambda first: [i for i in members if members[i][0] == first]
+            got = {tuple(sorted((a, b))) for r in found for a in of(r.source_id) for b in of(r.other_id)}
+            assert all(r.links == len(of(r.source_id)) * len(of(r.other_id)) for r in found)
+            assert got | {(a, b) for a in members for b in members if a < b and members[a] == members[b]} == want and len(found) < 80 < len(want)
+    near = {r.source_id: (r.near_duplicate_of, r.similarity) for r in D.near_duplicates(sets).collect()}
+    assert near == brute_near([d for d in docs if d[0] in members])
