@@ -7,12 +7,13 @@
 3. The directory starts at a small depth. Buckets with more than ``bucket_entries`` entries are split by one more bit of
    the key, again and again (directory doubling), until they fit. Bucket ids are key ranges: each owner task writes the
    entries of the buckets in its range, sorted, as one index file.
-4. Every document looks its entry up by bucket, key and digest.
+4. Every document finds its bucket in the directory, as its entry did, and looks its entry up by bucket, key and digest.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.llm.shared import shared_table
@@ -51,12 +52,29 @@ def directory(entries: DataFrame, bucket_entries: int, first_depth: int = 6, ste
         depth = min(depth + step, MAX_DEPTH)
 
 
+def in_buckets(rows: DataFrame, buckets: DataFrame, depths: list[int]) -> DataFrame:
+    """Adds ``bucket``, the first key bits of the bucket that holds the row's key.
+
+    A row asks once per depth that occurs in the directory (one or two for evenly hashed keys) and exactly one answers.
+    """
+    asked = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _bits(F.col("key"), d).alias("prefix")) for d in depths])).alias("asked")
+    known = buckets.select(F.struct("depth", "prefix").alias("asked"))
+    start = (F.col("asked.prefix") * F.pow(F.lit(2.0), F.lit(MAX_DEPTH) - F.col("asked.depth"))).cast("long")
+    return rows.select("*", asked).join(known, "asked").withColumn("bucket", start).drop("asked")
+
+
 def build_index(documents: DataFrame, bucket_entries: int = 200_000) -> DataFrame:
     """The index: one entry per distinct normalised text.
 
-    Columns: bucket (key range), key, chain (place among entries of the same key), digest (SHA-256 of the normalised
-    text), group_size, keep_id (most code points in the original text, then smallest doc_id; a null doc_id comes last).
+    Columns: bucket (key range), key, chain (place among the entries of the key, from 0), digest (SHA-256 of the
+    normalised text), group_size, keep_id and keep_size (the row that stays: most code points in the original text, then
+    smallest doc_id; a null doc_id comes last).
     """
+    return index_and_directory(documents, bucket_entries)[0]
+
+
+def index_and_directory(documents: DataFrame, bucket_entries: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """``build_index`` with its directory and the depths that occur there (one at least)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = documents.select("doc_id", F.char_length(text).cast("long").alias("size"), normalised(F.col("text")).alias("plain"))
     # one number that orders rows by size, then by doc_id downwards; null doc_id below all others
@@ -70,21 +88,14 @@ def build_index(documents: DataFrame, bucket_entries: int = 200_000) -> DataFram
     rest = F.col("best") % scale
     entries = shared_table(gathered.select(
         "key", F.unhex(F.sha2(F.col("plain"), 256)).alias("digest"), "group_size",
-        F.when(rest > 0, (most + 1 - rest).cast("long")).alias("keep_id"),
+        F.when(rest > 0, (most + 1 - rest).cast("long")).alias("keep_id"), F.floor(F.col("best") / scale).cast("long").alias("keep_size"),
     ), "entries")
     buckets = directory(entries, bucket_entries)
-    depths = [r["depth"] for r in buckets.select("depth").distinct().orderBy("depth").limit(MAX_DEPTH).collect()]
-    placed = None
-    for depth in depths:  # at most one round per doubling
-        own = buckets.where(F.col("depth") == depth).select(F.col("prefix").alias("bucket_prefix"))
-        part = entries.withColumn("bucket_prefix", _bits(F.col("key"), depth)).join(own, "bucket_prefix", "left_semi")
-        start = (F.col("bucket_prefix") * F.pow(F.lit(2.0), MAX_DEPTH - depth)).cast("long").alias("bucket")
-        part = part.select(start, "key", "digest", "group_size", "keep_id")
-        placed = part if placed is None else placed.unionByName(part)
-    if placed is None:
-        placed = entries.select(F.lit(0).cast("long").alias("bucket"), "key", "digest", "group_size", "keep_id").limit(0)
-    owned = placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "digest")
-    return shared_table(owned, "index")
+    depths = sorted(r["depth"] for r in buckets.select("depth").distinct().limit(MAX_DEPTH).collect()) or [MAX_DEPTH]
+    # an owner task holds whole key ranges, so a chain lies in one task and needs no further shuffle
+    owned = in_buckets(entries, buckets, depths).repartitionByRange("bucket", "key")
+    chain = (F.row_number().over(W.partitionBy("bucket", "key").orderBy("digest")) - 1).alias("chain")
+    return shared_table(owned.select("bucket", "key", chain, "digest", "group_size", "keep_id", "keep_size"), "index"), buckets, depths
 
 
 def exact_dedup(documents: DataFrame, bucket_entries: int = 200_000) -> DataFrame:
@@ -93,12 +104,13 @@ def exact_dedup(documents: DataFrame, bucket_entries: int = 200_000) -> DataFram
     Texts are equal when they are the same after removing white space of ``[\\x20\\x09-\\x0D]``; null counts as empty, and
     all empty texts form one group. Of equal texts the row with the most code points stays, then the smallest doc_id.
     Where the very row that stays occurs twice with the same doc_id and size, all its repeats are ``kept``. A group whose
-    only doc_ids are null has keep_id null and keeps its rows. An empty table gives no rows; other columns are ignored.
+    only doc_ids are null has keep_id null and keeps its longest rows. An empty table gives no rows; other columns are
+    ignored.
     """
-    index = build_index(documents, bucket_entries).select("key", "digest", "group_size", "keep_id")
+    index, buckets, depths = index_and_directory(documents, bucket_entries)
     text = F.coalesce(F.col("text"), F.lit(""))
     looked = documents.select("doc_id", F.char_length(text).cast("long").alias("n_points"), normalised(F.col("text")).alias("plain")).select(
         "doc_id", "n_points", F.xxhash64("plain").alias("key"), F.unhex(F.sha2(F.col("plain"), 256)).alias("digest"))
-    return looked.join(index, ["key", "digest"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_size"))
+    return in_buckets(looked, buckets, depths).join(index, ["bucket", "key", "digest"]).select(
+        "doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -41,6 +41,20 @@ def test_exact_dedup_of_nothing_nulls_and_repeats(documents):
         ("1", "1", 3, True), ("1", "1", 3, True), ("None", "1", 3, False), ("None", "None", 1, True)]
 
 
+def test_exact_dedup_looks_up_by_bucket_at_any_depth(documents):
+    rows = [(i, f"text {i % 400} " + " " * (i % 5)) for i in range(1200)]
+    index = build_index(documents(rows), bucket_entries=2).toPandas()
+    assert index["bucket"].nunique() > 100 and (index["chain"] == 0).all() and len(index) == 400
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup(documents(rows), bucket_entries=2).collect()}
+    assert got == want_exact(rows)
+
+
+def test_of_rows_with_one_doc_id_the_longest_stays(documents):
+    got = exact_dedup(documents([(1, "a"), (1, "a  "), (2, "a "), (None, "b"), (None, "b ")])).collect()
+    assert sorted((str(r.doc_id), r.group_size, r.kept) for r in got) == [
+        ("1", 3, False), ("1", 3, True), ("2", 3, False), ("None", 2, False), ("None", 2, True)]
+
+
 def test_mix_meets_targets_and_reruns_agree(documents):
     random.seed(2)
     rows = [(i, "w " * random.randint(0, 30), random.choice(["a", "b", "b", "b", "c", None])) for i in range(600)]

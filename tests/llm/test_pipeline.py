@@ -77,3 +77,28 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_go_by_row_where_doc_ids_are_null_or_repeated(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    top = 1 << 62
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, b + " "), (None, c), (2, c), (top, d), (top, d), (None, d.rsplit(" ", 1)[0] + " other"), (-5, None), (None, None)]
+    full = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    exact = corpus_pipeline.exact_dedup(spark, docs, "")
+    assert exact.columns == COLUMNS
+    left = exact.collect()
+    plain = sorted("".join((r.text or "").split()) for r in left)
+    assert plain == sorted({"".join((t or "").split()) for _, t in rows}) and {r.doc_id for r in left if r.text in (c, d)} == {2, top}
+    near = corpus_pipeline.ngram_jaccard(spark, docs, "").collect()
+    assert len(near) <= 5 and {"".join(r.text.split()) for r in near if r.text} >= {"".join(t.split()) for t in (a, b, c)}
+    assert len([r for r in near if r.text and r.text.startswith(d[:100])]) == 1
+    mixed = corpus_pipeline.source_mixing(spark, docs, "").collect()
+    words = lambda t: len((t or "").split())
+    assert abs(sum(words(r.text) for r in mixed) - 1.5 * sum(words(t) for _, t in rows)) <= 61
+    # no room behind the largest doc_id
+    ends = [((1 << 63) - 1, a, "en", "s", 9), ((1 << 63) - 1, b, "en", "s", 9), (3, b, "en", "s", 9)]
+    left = corpus_pipeline.exact_dedup(spark, spark.createDataFrame(ends, docs.schema), "").collect()
+    assert sorted(r.text for r in left) == sorted([a, b])
