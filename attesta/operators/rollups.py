@@ -121,7 +121,7 @@ def source_type_codes(sources: DataFrame, codes: DataFrame) -> DataFrame:
     wanted = [w for w in dict.fromkeys([w for _, w in fixed.SOURCE_TYPE_LABEL_WORD] + ["other"])]
     by_word = reduce(DataFrame.unionByName, [
         codes.where(F.contains(F.lower("label"), F.lit(w))).agg(F.min_by("code", "ord").alias("code")).select(F.lit(w).alias("word"), "code") for w in wanted])
-    found = types.join(F.broadcast(by_word.where("code IS NOT NULL")), "word")
+    found = types.join(by_word.where("code IS NOT NULL"), "word")
     return found.groupBy("case_id").agg(F.collect_set(F.struct(F.length("code").alias("len"), "code")).alias("s")).select(
         "case_id", F.array_join(F.transform(F.array_sort("s"), lambda x: x["code"]), ", ").alias("codes"))
 
@@ -140,7 +140,7 @@ def _plain(c: Column) -> Column:
 def codebook_conflicts(cells: DataFrame, fields: DataFrame, top: int = 4) -> DataFrame:
     """(variable, kind, value, n): what the coded rows hold that the codebook does not define."""
     c = F.col
-    df = cells.where("value <> ''").join(F.broadcast(fields), "variable")
+    df = cells.where("value <> ''").join(fields, "variable")
     coded = df.where((c("type") == "categorical") & (F.size("codes") > 0)).withColumn("parts", X.split_values(_plain(c("value"))))
     several = coded.where(~c("multi") & (F.size("parts") > 1)).groupBy("variable").agg(F.count("*").alias("n")).select(
         "variable", F.lit("several codes").alias("kind"), F.lit("").alias("value"), "n")

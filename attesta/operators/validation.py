@@ -89,7 +89,7 @@ def prepare_items(items: DataFrame, citations: DataFrame, options: DataFrame, pa
     listed = per_option.join(option_facts, ["item_id", "up"], "left").groupBy("item_id").agg(F.collect_list(F.struct(
         "up", F.coalesce("supported", F.lit(False)).alias("supported"), support_reason(F.col("supported"), F.col("any_good")).alias("why"),
         F.coalesce("bad", _strings()).alias("bad"), F.coalesce("n", F.lit(0)).alias("n"))).alias("opts"))
-    book = F.broadcast(fields.join(absence_codes(fields), "variable", "left"))
+    book = fields.join(absence_codes(fields), "variable", "left")
     df = items.join(book, "variable").join(top, "item_id", "left").join(listed, "item_id", "left")
     val = F.trim(F.coalesce("value", F.lit("")))
     several = F.col("type").isin("categorical", "open_list")
@@ -333,7 +333,7 @@ def review_reason() -> Column:
 # ------------------------------------------------------------------------------------------------ human values
 def validate_review_edit(edits: DataFrame, fields: DataFrame) -> DataFrame:
     """(id, variable, value, reason) -> problem (null when accepted) and the value in the codebook's spelling."""
-    df = edits.join(F.broadcast(fields), "variable").withColumn("value", F.trim("value")).withColumn("parts", X.split_values(F.col("value")))
+    df = edits.join(fields, "variable").withColumn("value", F.trim("value")).withColumn("parts", X.split_values(F.col("value")))
     allowed = F.concat("codes", "missing")
     df = df.withColumn("allowed", allowed).withColumn("allowed_up", F.transform("allowed", lambda a: F.upper(a)))
     coded = (F.col("type") == "categorical") & (F.col("value") != "")
@@ -354,7 +354,7 @@ def _plain(c: Column) -> Column:
 
 def consistency_flags(finals: DataFrame, fields: DataFrame) -> DataFrame:
     """(case_id, variable, value) human-final values -> (case_id, variable, flag) of every broken codebook rule."""
-    undefined = finals.join(F.broadcast(fields.select("variable", "type", "missing")), "variable").withColumn(
+    undefined = finals.join(fields.select("variable", "type", "missing"), "variable").withColumn(
         "parts", F.when(F.col("type").isin("categorical", "open_list"), X.split_values(_plain(F.col("value")))).otherwise(F.array(_plain(F.col("value")))))
     undefined = undefined.where(F.exists("parts", lambda p: X.special_missing_form(p).isNotNull()) & ~F.array_contains("missing", "-9")).select(
         "case_id", "variable", F.lit("missing code not defined").alias("flag"))
