@@ -18,9 +18,10 @@ from attesta.session import scratch_folder
 
 
 def file_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A stream over one table of a data directory; new files of that name pattern become new micro-batches."""
+    """A stream over one table of a data directory, be it a file or a folder of files; new files of that name pattern, or
+    within such a folder, become new micro-batches."""
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(directory)
+    return spark.readStream.schema(schema).parquet(f"{directory}/{name}*.parquet")
 
 
 def exact_dedup(sources: DataFrame, horizon: str = "7 days") -> DataFrame:

@@ -61,3 +61,14 @@ def test_citations_against_stored_passages(spark):
     passages = spark.createDataFrame([(1, "S1-P1", "At night the river  rose fast.")], "case_id long, passage_id string, text string")
     rows = S.collect_appends(S.citation_check(_files(spark, parts, schema, "c"), passages).select("item_id", "reason")).collect()
     assert {r.item_id: r.reason for r in rows} == {1: None, 2: "quote_not_found", 3: "evidence_id_not_supplied"}
+
+
+def test_a_table_may_be_a_folder_of_files(spark):
+    folder, schema = scratch_folder(spark), "source_id long, case_id long, text string, arrived timestamp"
+    rows = [(i, 1, f"text {i % 3}", T0) for i in range(12)]
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{folder}/docs.parquet")
+    spark.createDataFrame([(9, 2, "text 0", T0)], schema).coalesce(1).write.parquet(f"{folder}/docs-2.parquet")
+    spark.createDataFrame([(9, 3, "text 0", T0)], schema).coalesce(1).write.parquet(f"{folder}/other.parquet")
+    stream = S.file_stream(spark, folder, "docs")
+    kept = S.collect_appends(S.exact_dedup(stream).select("case_id", "content_hash")).collect()
+    assert sorted(r.case_id for r in kept) == [1, 1, 1, 2]
