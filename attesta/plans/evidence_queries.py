@@ -133,8 +133,9 @@ def _(t):
 # classes of sources of a case with equal shingle sets; pairs are told between the smallest ids of two classes
 SQL_CLASSES = ("sets AS (SELECT case_id, source_id, list(h ORDER BY h) AS hs FROM sh WHERE case_id IS NOT NULL GROUP BY case_id, source_id), "
                "classes AS MATERIALIZED (SELECT case_id, min(source_id) AS class_id, count(*) AS class_size, list(source_id) AS ids FROM sets GROUP BY case_id, hs)")
-SQL_CLASS_PAIRS = ("SELECT source_id, other_id, round({share}, 6) AS {name}, x.class_size * y.class_size AS links FROM pairs "
-                   "JOIN classes x ON x.class_id = source_id JOIN classes y ON y.class_id = other_id WHERE {share} >= {limit}")
+SQL_CLASS_PAIRS = ("SELECT source_id, other_id, round({share}, 6) AS {name}, x.class_size * y.class_size AS links, 'classes' AS kind FROM pairs "
+                   "JOIN classes x ON x.class_id = source_id JOIN classes y ON y.class_id = other_id WHERE {share} >= {limit} "
+                   "UNION ALL SELECT * FROM (SELECT class_id AS source_id, unnest(ids) AS other_id, 1.0::DOUBLE AS {name}, 1::BIGINT AS links, 'member' AS kind FROM classes) WHERE source_id <> other_id")
 
 
 @query("shingle_classes", SH.rstrip() + f", {SQL_CLASSES} SELECT case_id, unnest(ids) AS source_id, class_id, class_size FROM classes")
@@ -147,12 +148,12 @@ PAIR_LIMIT = 0.2
 
 @query("jaccard_pairs", SH.rstrip() + f", {SQL_PAIRS}, {SQL_CLASSES} " + SQL_CLASS_PAIRS.format(share="common / (na + nb - common)", name="jaccard", limit=PAIR_LIMIT))
 def _(t):
-    return D.similar_class_pairs(source_shingles(t), PAIR_LIMIT, "jaccard").select("source_id", "other_id", F.round("jaccard", 6).alias("jaccard"), "links")
+    return D.similar_classes(source_shingles(t), PAIR_LIMIT, "jaccard").select("source_id", "other_id", F.round("jaccard", 6).alias("jaccard"), "links", "kind")
 
 
 @query("containment_pairs", SH.rstrip() + f", {SQL_PAIRS}, {SQL_CLASSES} " + SQL_CLASS_PAIRS.format(share="common / least(na, nb)", name="containment", limit=PAIR_LIMIT))
 def _(t):
-    return D.similar_class_pairs(source_shingles(t), PAIR_LIMIT).select("source_id", "other_id", F.round("containment", 6).alias("containment"), "links")
+    return D.similar_classes(source_shingles(t), PAIR_LIMIT).select("source_id", "other_id", F.round("containment", 6).alias("containment"), "links", "kind")
 
 
 # sources of a case in the order of authority: one is a copy if a better-ranked close source is no copy

@@ -215,3 +215,22 @@ def test_pairs_of_classes_lose_no_link_and_stay_linear_in_a_group_of_copies(spar
             assert got | {(a, b) for a in members for b in members if a < b and members[a] == members[b]} == want and len(found) < 80 < len(want)
     near = {r.source_id: (r.near_duplicate_of, r.similarity) for r in D.near_duplicates(sets).collect()}
     assert near == brute_near([d for d in docs if d[0] in members])
+
+
+def test_pairs_of_classes_with_their_members_give_every_pair(spark):
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(80)) for _ in range(5)]
+    texts = [rng.choice(base + [b.rsplit(" ", 30)[0] for b in base]) for _ in range(60)] + ["short"]
+    df = spark.createDataFrame([(i, i % 2, "media", t) for i, t in enumerate(texts)], "source_id long, case_id long, source_type string, text string").withColumn("content_type", F.lit("text/html"))
+    sets = D.shingle_sets(df).persist()
+    for by in ("jaccard", "containment"):
+        rows = D.similar_classes(sets, 0.2, by).collect()
+        of = {}
+        for r in rows:
+            if r.kind == "member":
+                of.setdefault(r.source_id, {r.source_id}).add(r.other_id)
+        of = lambda i, groups=of: groups.get(i, {i})
+        pairs = [(a, b) for r in rows if r.kind == "classes" for a in of(r.source_id) for b in of(r.other_id)]
+        pairs += [(a, b) for first in {r.source_id for r in rows if r.kind == "member"} for a in of(first) for b in of(first) if a < b]
+        want = {(r.source_id, r.other_id) for r in D.similar_pairs(sets, 0.2, by).collect()}
+        assert {tuple(sorted(p)) for p in pairs} == want and len(pairs) == len(want) and any(r.kind == "member" for r in rows)
