@@ -181,3 +181,12 @@ def test_length_of_a_quotation_counts_blanks_at_its_ends(spark):
     passages = spark.createDataFrame([(1, "S1-P1", "De. They sent all on.")], "case_id long, passage_id string, text string")
     found = {r.item_id: r.reason for r in V.check_citations(cites, passages).collect()}
     assert found == {0: None, 1: "quote_invalid_length", 2: None, 3: "quote_not_found"}
+
+
+def test_keyword_discovery_reads_the_hits_once(spark):
+    terms = I.case_terms(spark.createDataFrame([(1, "Ahr Valley Flood", "Ahrweiler, Deutschland", "", "July 2021")], "case_id long, name string, location string, aliases string, date_text string"))
+    rows = [(i, 1, f"https://site{i}.de/a", "Ahrtal Flood Ahr Valley Ahrweiler", "Katastrophe im Ahrtal 2021", "") for i in range(3)]
+    hits = spark.createDataFrame(rows, "hit_id long, case_id long, url string, title string, snippet string, published string")
+    found = I.keyword_discovery(I.score_hits(hits, terms), terms)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?:-") == 1
+    assert "Ahr Valley" in {r.term for r in found.collect()}
