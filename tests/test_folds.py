@@ -234,3 +234,18 @@ def test_pairs_of_classes_with_their_members_give_every_pair(spark):
         pairs += [(a, b) for first in {r.source_id for r in rows if r.kind == "member"} for a in of(first) for b in of(first) if a < b]
         want = {(r.source_id, r.other_id) for r in D.similar_pairs(sets, 0.2, by).collect()}
         assert {tuple(sorted(p)) for p in pairs} == want and len(pairs) == len(want) and any(r.kind == "member" for r in rows)
+
+
+def test_pages_are_read_few_at_a_time(spark):
+    pages = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("https://news.example.com/a/b").alias("url"), F.when(F.col("id") != 5, HTML).alias("html")).coalesce(1)
+    sizes = P.read_pages(pages).mapInArrow(lambda batches: batches, P.PAGE_SCHEMA)
+    assert sizes.count() == 1000 and P.html_links(pages).count() == 999
+    seen = []
+
+    class Frame:
+        select = lambda self, *names: self
+        mapInArrow = lambda self, parse, schema: seen.append(parse)
+
+    P.read_pages(Frame())
+    made = list(seen[0](iter(pages.toArrow().combine_chunks().to_batches())))
+    assert sum(b.num_rows for b in made) == 1000 and max(b.num_rows for b in made) <= P.PAGES_AT_ONCE
