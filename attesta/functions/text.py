@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from attesta.functions import fixed_values as fixed
 from attesta.sources.tables import lookup
 
-SPACE = r"[\s\p{Z}]"
+SPACE = r"[\t\n\f\r\p{Z}]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -85,14 +85,17 @@ def parse_number(c: Column) -> Column:
 
 
 def normalize_quote(c: Column) -> Column:
-    """Straight quotes and dashes, no soft hyphens, no blank after a hyphen, blanks squashed, lower case."""
-    s = F.translate(c, "’‘“”–— ­", "''\"\"-- ")
+    """Straight quotes and dashes, no soft hyphens, no blank after a hyphen, blanks squashed, lower case.
+
+    Letters are lowered one by one, so a piece cut out of a text keeps its form: a sigma at its end stays a sigma.
+    """
+    s = F.translate(c, "Σİ’‘“”–— ­", "σi''\"\"-- ")
     s = F.regexp_replace(s, "-" + SPACE + "+", "-")
     return F.lower(squash(s))
 
 
 def trim_quote(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ .\"']+|[ .\"']+$", "")
+    return F.regexp_replace(c, r"^[ .\"']+|[ .\"']+\z", "")
 
 
 def quote_found(q: Column, t: Column) -> Column:

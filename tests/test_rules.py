@@ -183,6 +183,15 @@ def test_length_of_a_quotation_counts_blanks_at_its_ends(spark):
     assert found == {0: None, 1: "quote_invalid_length", 2: None, 3: "quote_not_found"}
 
 
+def test_pieces_of_a_passage_are_found_in_it(spark):
+    passages = ["They sent it all. \x85 and more", "\u039f\u0394\u039f\u03a3\u039f\u0394\u039f\u03a3 is a way", "one\x0btwo  three four"]
+    quotes = ["sent it all. \x85", "\u039f\u0394\u039f\u03a3\u039f\u0394\u039f\u03a3"[:4], "one\x0btwo three"]
+    rows = spark.createDataFrame(list(zip(range(3), quotes, passages)), "i long, q string, t string")
+    found = {r.i: (r.found, r.n) for r in rows.select("i", X.quote_in_passage(F.col("q"), F.col("t")).alias("found"), X.normalize_quote(F.col("t")).alias("n")).collect()}
+    assert [found[i][0] for i in range(3)] == [True, True, True]
+    assert found[2][1] == "one\x0btwo three four"  # as in the SQL, a vertical tab is no blank
+
+
 def test_keyword_discovery_reads_the_hits_once(spark):
     terms = I.case_terms(spark.createDataFrame([(1, "Ahr Valley Flood", "Ahrweiler, Deutschland", "", "July 2021")], "case_id long, name string, location string, aliases string, date_text string"))
     rows = [(i, 1, f"https://site{i}.de/a", "Ahrtal Flood Ahr Valley Ahrweiler", "Katastrophe im Ahrtal 2021", "") for i in range(3)]
