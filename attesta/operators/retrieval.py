@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -188,13 +190,16 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, tie: list[str], k: int
 
 # ------------------------------------------------------------------------------------------------ latent semantics
 SALTS = 16
+BLOCK_TOKENS = 1 << 21
 RANK_RANGE = 100_000
 
 
 class LatentModel(NamedTuple):
-    """Per case: ``basis`` (case_id, term, idf, vector) and ``passages`` (the passage's columns and its unit ``embedding``)."""
+    """Per case: ``basis`` (case_id, term, idf, vector), which ``turns``, two matrices, bring into the latent space one after the
+    other, and ``passages`` (the passage's columns and its unit ``embedding``)."""
 
     basis: DataFrame
+    turns: tuple[DataFrame, DataFrame]
     passages: DataFrame
 
 
@@ -269,44 +274,172 @@ def _unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: x / norm)
 
 
+def start_vectors(seeds: np.ndarray, width: int) -> np.ndarray:
+    """Noise of a term, the same in every task: ``xxhash64(term, j) / 2**63`` for j from 1, of seeds ``xxhash64(term)``."""
+    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (seeds.view(np.uint64) + five + np.uint64(4))[:, None] ^ (np.arange(1, width + 1, dtype=np.uint64) * one)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * two + three
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return (h ^ (h >> np.uint64(32))).view(np.int64) / 2.0**63
+
+
+BLOCK_ROW = ("case_id long, block int, width int, passage_ids array<string>, bounds binary, cols binary, f binary, idf binary, seeds binary, "
+             "shared binary, own_terms array<string>")
+
+
+def _block_row(passages: pa.Table, vocabulary: pa.Table) -> pa.Table:
+    """One row for a block of passages: how often each holds which term of the block's vocabulary. Terms that other blocks of the
+    case hold too come first, by their id; the others are the block's own."""
+    ids, own = vocabulary["term_id"].to_numpy(), vocabulary["own"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, own))
+    vocabulary, n_shared = vocabulary.take(order), int((~own).sum())
+    lists = passages["tk"].combine_chunks()
+    names, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy()
+    codes = pc.index_in(names, value_set=vocabulary["term"].combine_chunks()).to_numpy().astype(np.int64)
+    spots, f = np.unique(np.repeat(np.arange(len(lengths)), lengths) * len(ids) + codes, return_counts=True)
+    rows, cols = spots // len(ids), spots % len(ids)
+    raw = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
+    return pa.Table.from_pylist([{
+        **{c: passages[c][0].as_py() for c in ("case_id", "block", "width")},
+        "passage_ids": passages["passage_id"].to_pylist(), "bounds": raw(np.searchsorted(rows, np.arange(len(lengths) + 1)), np.int64), "cols": raw(cols, np.int32),
+        "f": raw(f, np.int32), "idf": raw(vocabulary["idf"].to_numpy(), float), "seeds": raw(vocabulary["seed"].to_numpy(), np.int64),
+        "shared": raw(ids[order][:n_shared], np.int64), "own_terms": vocabulary["term"].to_pylist()[n_shared:]}], schema=_BLOCK_SCHEMA)
+
+
+_BLOCK_SCHEMA = pa.schema([("case_id", pa.int64()), ("block", pa.int32()), ("width", pa.int32()), ("passage_ids", pa.list_(pa.string())),
+                           *[(n, pa.binary()) for n in ("bounds", "cols", "f", "idf", "seeds", "shared")], ("own_terms", pa.list_(pa.string()))])
+_SENT_SCHEMA = pa.schema([("case_id", pa.int64()), ("block", pa.int32()), ("kind", pa.string()), ("id", pa.int64()), ("key", pa.string()),
+                          ("vector", pa.list_(pa.float64()))])
+SENT_ROW = "case_id long, block int, kind string, id long, key string, vector array<double>"
+
+
+class _Block:
+    """The weights of a block of passages (rows of unit length) with the products that power iteration needs of them."""
+
+    def __init__(self, row: dict):
+        read = lambda n, kind: np.frombuffer(row[n], kind)
+        self.case_id, self.block, self.width, self.passage_ids, self.own_terms = (row[n] for n in ("case_id", "block", "width", "passage_ids", "own_terms"))
+        self.cols, self.idf, self.shared, self.seeds = read("cols", np.int32), read("idf", float), read("shared", np.int64), read("seeds", np.int64)
+        self.rows = np.repeat(np.arange(len(self.passage_ids)), np.diff(read("bounds", np.int64)))
+        w = (1 + np.log(read("f", np.int32))) * self.idf[self.cols]
+        norm = np.sqrt(np.bincount(self.rows, w * w, minlength=len(self.passage_ids)))
+        self.w = w / norm[self.rows]
+
+    def to_passages(self, basis: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.rows, self.w * x[self.cols], minlength=len(self.passage_ids)) for x in np.ascontiguousarray(basis.T)], axis=1)
+
+    def to_terms(self, made: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.cols, self.w * x[self.rows], minlength=len(self.idf)) for x in np.ascontiguousarray(made.T)], axis=1)
+
+    def grown(self, sent: pa.Table) -> np.ndarray:
+        """The vectors of the block's terms: its own from what its passages were before, the shared ones as they were sent."""
+        out = self.to_terms(_sent(sent, "passages").reshape(-1, self.width))
+        mine = sent.filter(pc.equal(sent["kind"], "term"))
+        if mine.num_rows:
+            out[np.searchsorted(self.shared, mine["id"].to_numpy())] = _sent(sent, "term").reshape(-1, self.width)
+        return out
+
+    def rows_of(self, kind: str, vectors: np.ndarray, ids: np.ndarray | None = None, keys: list[str] | None = None) -> pa.Table:
+        n = len(vectors)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * vectors.shape[1], pa.int32()), pa.array(np.ascontiguousarray(vectors, float).ravel()))
+        return pa.Table.from_arrays([pa.array([self.case_id] * n, pa.int64()), pa.array([self.block] * n, pa.int32()), pa.array([kind] * n, pa.string()),
+                                     pa.nulls(n, pa.int64()) if ids is None else pa.array(ids, pa.int64()), pa.array(keys or [None] * n, pa.string()), flat], schema=_SENT_SCHEMA)
+
+
+def _sent(sent: pa.Table, kind: str) -> np.ndarray:
+    return pc.list_flatten(sent.filter(pc.equal(sent["kind"], kind))["vector"]).to_numpy()
+
+
+def _round(block: _Block, made: np.ndarray) -> pa.Table:
+    """What a block hands on: its passages, its part of the shared terms' sums and the Gram matrix of its own terms."""
+    grown = block.to_terms(made)
+    n, own = len(block.shared), grown[len(block.shared):]
+    return pa.concat_tables([block.rows_of("passages", made.reshape(1, -1)), block.rows_of("term", grown[:n], ids=block.shared), block.rows_of("gram", (own.T @ own).reshape(1, -1))])
+
+
+def _first_round(blocks: pa.Table) -> pa.Table:
+    block = _Block(blocks.to_pylist()[0])
+    return _round(block, block.to_passages(start_vectors(block.seeds, block.width)))
+
+
+def _turned(blocks: pa.Table, sent: pa.Table) -> tuple[_Block, np.ndarray]:
+    block = _Block(blocks.to_pylist()[0])
+    return block, block.to_passages(block.grown(sent)) @ _sent(sent, "matrix").reshape(block.width, -1)
+
+
+def _next_round(blocks: pa.Table, sent: pa.Table) -> pa.Table:
+    return _round(*_turned(blocks, sent))
+
+
+def _last_round(blocks: pa.Table, sent: pa.Table) -> pa.Table:
+    block, made = _turned(blocks, sent)
+    return pa.concat_tables([block.rows_of("passages", made, keys=block.passage_ids), block.rows_of("gram", (made.T @ made).reshape(1, -1))])
+
+
+def _own_basis(blocks: pa.Table, sent: pa.Table) -> pa.Table:
+    block = _Block(blocks.to_pylist()[0])
+    n = len(block.shared)
+    vectors = block.to_terms(_sent(sent, "passages").reshape(-1, block.width))[n:]
+    made = block.rows_of("basis", vectors, keys=block.own_terms)
+    return pa.table({"case_id": made["case_id"], "term": made["key"], "idf": block.idf[n:], "vector": made["vector"]})
+
+
+def _beside(blocks: DataFrame, others: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Every block in a task with the rows that are sent to it."""
+    by = ["case_id", "block"]
+    others = others.select(*[F.col(c).alias(c) for c in others.columns])  # columns of their own, as both sides come from one table
+    return blocks.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(work, schema)
+
+
 def lsa_model(passages: DataFrame, dimensions: int = 120, iterations: int = 3, oversample: int = 10) -> LatentModel:
     """Latent semantics of every case: TF-IDF of all its terms and the leading subspace of its passages.
 
     ``passages``: case_id, passage_id and text, or a ``token_index``. Weights (1 + ln f) * (ln((1 + n) / (1 + df)) + 1) with rows
     of unit length, as many dimensions as asked for but fewer than the case has passages or terms, two at least. Block power
-    iteration: weights, basis and products are tables, multiplied by joins and combined sums; only matrices of
-    (dimensions + oversample) squared, one per case, are turned in one piece. A case of one passage has no basis, and a passage
-    without terms a vector of zeros. Jobs run while the model is built: four per iteration.
+    iteration: a case's passages are dealt into blocks of about ``BLOCK_TOKENS`` words, and a task multiplies a block's weights,
+    there and back. Only vectors of terms that several blocks hold travel, one per term and block, and are summed; a block's own
+    terms never leave it. Matrices of (dimensions + oversample) squared, one per case, are turned in one piece. A case of one
+    passage has no basis, and a passage without terms a vector of zeros. Jobs run while the model is built.
     """
     tokens = passages if "tk" in passages.columns else token_index(passages.withColumns({c: F.lit(None).cast("long") for c in ("source_id", "seq") if c not in passages.columns}))
-    counted = tokens.select("case_id", "passage_id", F.explode("tk").alias("term")).groupBy("case_id", "passage_id", "term").agg(F.count("*").alias("f"))
-    counted = cut_lineage(counted)
-    n = tokens.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1")
-    terms = counted.groupBy("case_id", "term").agg(F.count("*").alias("df")).join(n, "case_id").select(
-        "case_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = tokens.groupBy("case_id").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.sum(F.size("tk")), F.lit(1)) / BLOCK_TOKENS).cast("int").alias("blocks")).where("n > 1")
+    dealt = tokens.select("case_id", "passage_id", "tk").join(n, "case_id").withColumn("block", F.pmod(F.xxhash64("passage_id"), "blocks").cast("int"))
+    held = dealt.select("case_id", "block", F.explode(F.array_distinct("tk")).alias("term")).groupBy("case_id", "block", "term").agg(F.count("*").alias("df"))
+    terms = held.groupBy("case_id", "term").agg(F.sum("df").alias("df"), F.collect_list("block").alias("in")).join(n, "case_id").select(
+        "case_id", "term", F.monotonically_increasing_id().alias("term_id"), "in", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     terms = cut_lineage(terms)
     sizes = terms.groupBy("case_id").agg(F.count("*").alias("v")).join(n, "case_id")
     k = F.greatest(F.lit(2), F.least(F.lit(dimensions), F.col("n") - 1, F.col("v") - 1))
     sizes = cut_lineage(sizes.withColumn("k", k).withColumn("width", F.greatest("k", F.least(F.col("k") + oversample, "n", "v"))))
-    weighed = counted.join(terms, ["case_id", "term"]).select("case_id", "passage_id", "term", ((1 + F.log("f")) * F.col("idf")).alias("w"))
-    lengths = weighed.groupBy("case_id", "passage_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighed = cut_lineage(weighed.join(lengths, ["case_id", "passage_id"]).select("case_id", "passage_id", "term", (F.col("w") / F.col("norm")).alias("w")))
-
-    noise = F.transform(F.sequence(F.lit(1), F.col("width").cast("int")), lambda j: F.xxhash64("term", j) / F.lit(2.0**63))
-    start = terms.join(sizes, "case_id").select("case_id", F.col("term").alias("key"), noise.alias("vector"))
-    to_passages = lambda basis: cut_lineage(_vector_sums(weighed.join(basis.withColumnRenamed("key", "term"), ["case_id", "term"]), "case_id", "passage_id"))
-    to_terms = lambda made: cut_lineage(_vector_sums(weighed.join(made, ["case_id", "passage_id"]), "case_id", "term").withColumnRenamed("term", "key"))
-    basis = start
-    for _ in range(iterations):
-        grown = to_terms(to_passages(basis))
-        basis = cut_lineage(_times(grown, _case_matrix(_gram(grown), sizes, _orthonormal)))
-    made = to_passages(basis)
-    turn = cut_lineage(_case_matrix(_gram(made), sizes, _leading))
-    basis = _times(basis, turn).withColumnRenamed("key", "term").join(terms, ["case_id", "term"])
-    placed = _times(made.withColumnRenamed("passage_id", "key"), turn).select("case_id", F.col("key").alias("passage_id"), _unit(F.col("vector")).alias("unit"))
+
+    by = ["case_id", "block"]
+    vocabulary = terms.select("case_id", F.explode("in").alias("block"), "term", "term_id", "idf", F.xxhash64("term").alias("seed"), (F.size("in") == 1).alias("own"))
+    members = dealt.join(sizes.select("case_id", F.col("width").cast("int").alias("width")), "case_id").select(*by, "passage_id", "tk", "width").where(F.size("tk") > 0)
+    blocks = cut_lineage(_beside(members, vocabulary, _block_row, BLOCK_ROW))
+    names = blocks.select(*by)
+    places = terms.where(F.size("in") > 1).select("case_id", F.col("term_id").alias("id"), F.explode("in").alias("block"))
+
+    def summed(step: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        grams = step.where("kind = 'gram'").select("case_id", "vector")
+        return _vector_sums((grams if more is None else grams.unionByName(more)).withColumn("w", F.lit(1.0)), "case_id")
+
+    step = cut_lineage(blocks.groupBy(*by).applyInArrow(_first_round, SENT_ROW))
+    for turn in range(iterations):
+        shared = cut_lineage(_vector_sums(step.where("kind = 'term'").withColumn("w", F.lit(1.0)), "case_id", "id"))
+        matrix = cut_lineage(_case_matrix(summed(step, _gram(shared)), sizes, _orthonormal))
+        row = lambda kind, df: df.select(*by, F.lit(kind).alias("kind"), F.col("id") if "id" in df.columns else F.lit(None).cast("long").alias("id"), "vector")
+        before = step.where("kind = 'passages'").drop("id")
+        sent = row("term", places.join(shared, ["case_id", "id"])).unionByName(row("passages", before)).unionByName(row("matrix", names.join(matrix, "case_id")))
+        work = _next_round if turn < iterations - 1 else _last_round
+        step = cut_lineage(_beside(blocks, sent, work, SENT_ROW))
+    leading = cut_lineage(_case_matrix(summed(step), sizes, _leading))
+    own = _beside(blocks, before, _own_basis, "case_id long, term string, idf double, vector array<double>")
+    basis = own.unionByName(shared.withColumnRenamed("id", "term_id").join(terms, ["case_id", "term_id"]).select("case_id", "term", "idf", "vector"))
+    placed = _times(step.where("kind = 'passages'"), leading).select("case_id", F.col("key").alias("passage_id"), _unit(F.col("vector")).alias("unit"))
     zeros = F.array_repeat(F.lit(0.0), F.coalesce(F.col("k"), F.lit(2)).cast("int"))
     out = tokens.drop("tk").join(placed, ["case_id", "passage_id"], "left").join(sizes.select("case_id", "k"), "case_id", "left")
-    return LatentModel(cut_lineage(basis), cut_lineage(out.withColumn("embedding", F.coalesce("unit", zeros)).drop("unit", "k")))
+    return LatentModel(basis, (matrix, leading), cut_lineage(out.withColumn("embedding", F.coalesce("unit", zeros)).drop("unit", "k")))
 
 
 def lsa_vectors(passages: DataFrame, dimensions: int = 120) -> DataFrame:
@@ -320,7 +453,11 @@ def lsa_queries(model: LatentModel, queries: DataFrame) -> DataFrame:
     """(query_id, case_id, embedding): queries folded into the space of their case. Those without a known term are left out."""
     counted = query_terms(queries)
     weighed = counted.join(model.basis, ["case_id", "term"]).withColumn("w", (1 + F.log("qn")) * F.col("idf"))
-    return _vector_sums(weighed, "query_id", "case_id").select("query_id", "case_id", _unit(F.col("vector")).alias("embedding"))
+    placed = _vector_sums(weighed, "query_id", "case_id").withColumn("key", F.col("query_id").cast("string"))
+    for matrix in model.turns:
+        placed = _times(placed, matrix)
+    kind = queries.schema["query_id"].dataType
+    return placed.select(F.col("key").cast(kind).alias("query_id"), "case_id", _unit(F.col("vector")).alias("embedding"))
 
 
 # ------------------------------------------------------------------------------------------------ fusion

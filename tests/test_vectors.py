@@ -73,3 +73,25 @@ def test_latent_space_ranks_like_a_dense_decomposition(spark):
         want, got = z @ fold(words[query]), np.array([vectors[case, p] @ q for p in ids])
         assert np.abs(want - got).max() < 1e-3
         assert [ids[i] for i in np.argsort(-want)[:5]] == [ids[i] for i in np.argsort(-got)[:5]]
+
+
+def test_latent_space_does_not_depend_on_blocks(spark, monkeypatch):
+    random.seed(5)
+    passages = [(1 + i % 2, f"P{i}", " ".join(f"w{random.randrange(40)}" for _ in range(12)) + f" only{i}") for i in range(60)] + [(1, "empty", "??")]
+    frame = spark.createDataFrame(passages, "case_id long, passage_id string, text string")
+    asked = spark.createDataFrame([(1, 1, "w1 w2 only4"), (2, 2, "w3 only7 only7")], "query_id long, case_id long, query string")
+
+    def found():
+        model = R.lsa_model(frame, dimensions=3, iterations=2)
+        return {**{r.passage_id: r.embedding for r in model.passages.collect()}, **{r.query_id: r.embedding for r in R.lsa_queries(model, asked).collect()}}
+
+    whole = found()
+    monkeypatch.setattr(R, "BLOCK_TOKENS", 100)
+    dealt = found()
+    assert whole.keys() == dealt.keys() and len(whole) == 63
+    assert all(np.abs(np.array(whole[k]) - dealt[k]).max() < 1e-9 for k in whole)
+
+
+def test_start_vectors_are_hashes_of_terms(spark):
+    rows = spark.range(20).select(F.xxhash64(F.concat(F.lit("t"), "id")).alias("h"), F.transform(F.sequence(F.lit(1), F.lit(5)), lambda j: F.xxhash64(F.concat(F.lit("t"), "id"), j) / F.lit(2.0**63)).alias("v")).collect()
+    assert np.array_equal(R.start_vectors(np.array([r.h for r in rows], np.int64), 5), np.array([r.v for r in rows]))
