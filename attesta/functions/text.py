@@ -107,7 +107,12 @@ def quote_found(q: Column, t: Column) -> Column:
 
 def quote_in_passage(quote: Column, passage: Column) -> Column:
     """The quote occurs word for word in the passage, quotation marks, dashes, blanks and case aside."""
-    return quote_found(trim_quote(normalize_quote(quote)), normalize_quote(passage))
+    return quote_in_prepared(quote, normalize_quote(passage))
+
+
+def quote_in_prepared(quote: Column, prepared: Column) -> Column:
+    """``quote_in_passage`` for a passage that is normalised already, once for all its quotes."""
+    return quote_found(trim_quote(normalize_quote(quote)), prepared)
 
 
 def special_missing_form(c: Column) -> Column:

@@ -196,8 +196,10 @@ SELECT source_id AS passage_id, quote_no, {SQL_INSIDE} AS found FROM nq""".repla
 def _(t):
     quote = ("CASE i WHEN 0 THEN ' ' || substr(text, 3, 25) || '.' WHEN 1 THEN substr(text, 1, 12) || ' … ' || substr(text, 20, 12) || '.' "
              "WHEN 2 THEN substr(text, 1, 8) || '...' || 'zzzzzzz' ELSE ' .' END")
-    df = t.passages().select("passage_id", "text", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("i"))
-    return df.select("passage_id", F.col("i").alias("quote_no"), X.quote_in_passage(F.expr(quote), F.col("text")).alias("found"))
+    # a passage is normalised once, and only the beginning that quotations are cut from goes with each of them
+    passages = t.passages().select("passage_id", F.substring("text", 1, 31).alias("text"), X.normalize_quote(F.col("text")).alias("prepared"))
+    df = passages.select("*", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("i"))
+    return df.select("passage_id", F.col("i").alias("quote_no"), X.quote_in_prepared(F.expr(quote), F.col("prepared")).alias("found"))
 
 
 @query("check_citations", CHECKED + " SELECT item_id, ord, code, reason FROM checked")
