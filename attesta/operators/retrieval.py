@@ -98,7 +98,8 @@ def variable_query(fields: DataFrame, most_options: int | None = fixed.QUERY_OPT
     parts = F.concat_ws(" ", words, words, F.coalesce("definition", F.lit("")), F.array_join("labels", " "),
                         F.array_join(options, " "), notes)
     built = fields.select("field_id", "name", F.regexp_replace(parts, " +", " ").alias("base")).withColumn("blob", F.lower("base"))
-    extra = [F.when(F.col("blob").rlike(rf"\b{key}"), words) for key, words in fixed.QUERY_EXPANSIONS]
+    # most texts hold few of the keys, which a plain search tells before a pattern looks for the start of a word
+    extra = [F.when(F.col("blob").contains(key) & F.col("blob").rlike(rf"\b{key}"), words) for key, words in fixed.QUERY_EXPANSIONS]
     return built.select("field_id", "name", F.concat_ws(" ", "base", *extra).alias("query"))
 
 

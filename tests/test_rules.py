@@ -199,3 +199,18 @@ def test_keyword_discovery_reads_the_hits_once(spark):
     found = I.keyword_discovery(I.score_hits(hits, terms), terms)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("(?:-") == 1
     assert "Ahr Valley" in {r.term for r in found.collect()}
+
+
+def test_passages_are_normalised_before_their_quotations_are_made(spark, small):
+    from attesta.plans.catalog import queries
+
+    plan = queries()["quote_in_passage"](spark, small)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = next(i for i, line in enumerate(plan) if "Generate explode([0,1,2,3])" in line)
+    assert any("translate(text" in line for line in plan[made:]) and not any("translate(text" in line for line in plan[:made])
+
+
+def test_variable_queries_look_for_keys_by_plain_search_first(spark, small):
+    from attesta.plans.catalog import queries
+
+    plan = queries()["variable_query"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") == plan.count("RLIKE") > 0 and "RepartitionByExpression" in plan
