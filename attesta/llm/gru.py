@@ -38,29 +38,40 @@ def unpack(vector: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _tanh(x: np.ndarray) -> np.ndarray:
-    return 1 - 2 / (np.exp(np.clip(2 * x, -30, 30)) + 1)
-
-
 def forward(w: dict[str, np.ndarray], inputs: np.ndarray, state: np.ndarray, keep: bool = False):
-    """Runs a window (steps x texts of classes) and returns all states, the last state and, if asked, what gradients need."""
-    h, trail = state, []
-    states = np.empty((len(inputs), *state.shape), np.float32)
-    for t in range(len(inputs)):
-        given = w["inputs"][inputs[t]] + w["bias"]
-        past = h @ w["recur"]
-        gates = _sigmoid(given[:, : 2 * HIDDEN] + past[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = _tanh(given[:, 2 * HIDDEN:] + r * past[:, 2 * HIDDEN:])
-        if keep:
-            trail.append((h, z, r, new, past[:, 2 * HIDDEN:]))
-        h = new + z * (h - new)
-        states[t] = h
-    return states, h, trail
+    """Runs a window (steps x texts of classes) and returns all states, the last state and, if asked, what gradients need.
+
+    What does not depend on the state is looked up for the whole window at once; a step only adds what the state brings.
+    """
+    # signs and factors of sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 2 / (1 + exp(-2x)) - 1 go into the weights
+    factor = np.repeat(np.array([-1, -1, -2], w["recur"].dtype), HIDDEN)
+    given, recur = ((w["inputs"] + w["bias"]) * factor)[inputs], w["recur"] * factor
+    h, shape = state, (len(inputs), *state.shape)
+    states = np.empty(shape, given.dtype)
+    gates, news, pasts = (np.empty((*shape[:2], n * HIDDEN), given.dtype) for n in (2, 1, 1)) if keep else (None, None, None)
+    with np.errstate(over="ignore"):  # an infinite power gives the right limit
+        for t in range(len(inputs)):
+            past = h @ recur
+            gate = given[t, :, : 2 * HIDDEN] + past[:, : 2 * HIDDEN]
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
+            new = r * past[:, 2 * HIDDEN:]
+            new += given[t, :, 2 * HIDDEN:]
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            if keep:
+                gates[t], news[t], pasts[t] = gate, new, past[:, 2 * HIDDEN:]
+            h = h - new
+            h *= z
+            h += new
+            states[t] = h
+    if keep:
+        pasts *= -0.5
+    return states, h, (gates, news, pasts)
 
 
 def log_softmax(w: dict[str, np.ndarray], states: np.ndarray) -> np.ndarray:
@@ -72,29 +83,43 @@ def log_softmax(w: dict[str, np.ndarray], states: np.ndarray) -> np.ndarray:
 def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, wanted: np.ndarray, real: np.ndarray, state: np.ndarray):
     """(gradient vector, last state, log likelihood) of one window; ``real`` marks steps inside their text."""
     steps, texts = inputs.shape
-    states, last, trail = forward(w, inputs, state, keep=True)
-    logp = log_softmax(w, states)
+    states, last, (gates, news, pasts) = forward(w, inputs, state, keep=True)
+    flat_states = states.reshape(-1, HIDDEN)
+    logits = flat_states @ w["out"]
+    logits += w["out_bias"]
+    logits -= logits.max(axis=1, keepdims=True)
     place = np.arange(steps * texts), wanted.ravel()
-    mask = real.ravel().astype(np.float32)
-    d_logits = np.exp(logp)
-    d_logits[place] -= 1
-    d_logits *= (mask / max(mask.sum(), 1))[:, None]
+    mask = real.ravel().astype(logits.dtype)
+    own = logits[place]
+    d_logits = np.exp(logits, out=logits)
+    total = d_logits.sum(axis=1)
+    share = mask / max(mask.sum(), 1)
+    d_logits *= (share / total)[:, None]
+    d_logits[place] -= share
     d_states = (d_logits @ w["out"].T).reshape(steps, texts, HIDDEN)
-    d_recur, d_given, d_h = np.zeros_like(w["recur"]), np.empty((steps, texts, 3 * HIDDEN), np.float32), np.zeros((texts, HIDDEN), np.float32)
+    # all that a step's gradients are multiplied by, for the whole window at once
+    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    before = np.concatenate([state[None].astype(states.dtype), states[:-1]])
+    by_z, by_new, by_r = (before - news) * z * (1 - z), (1 - z) * (1 - news * news), pasts * r * (1 - r)
+    d_given, d_past = (np.empty((steps, texts, 3 * HIDDEN), states.dtype) for _ in range(2))
+    d_h, back = np.zeros((texts, HIDDEN), states.dtype), np.ascontiguousarray(w["recur"].T)
     for t in range(steps - 1, -1, -1):
-        h, z, r, new, past = trail[t]
-        d_h = d_h + d_states[t]
-        d_z, d_new = d_h * (h - new) * z * (1 - z), d_h * (1 - z) * (1 - new * new)
-        d_r = d_new * past * r * (1 - r)
-        d_given[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-        d_past = np.concatenate([d_z, d_r, d_new * r], axis=1)
-        d_recur += h.T @ d_past
-        d_h = d_h * z + d_past @ w["recur"].T
+        d_h += d_states[t]
+        d = d_past[t]
+        np.multiply(d_h, by_z[t], out=d[:, :HIDDEN])
+        d_new = d_given[t, :, 2 * HIDDEN:]
+        np.multiply(d_h, by_new[t], out=d_new)
+        np.multiply(d_new, by_r[t], out=d[:, HIDDEN: 2 * HIDDEN])
+        np.multiply(d_new, r[t], out=d[:, 2 * HIDDEN:])
+        d_h *= z[t]
+        d_h += d @ back
+    d_given[:, :, : 2 * HIDDEN] = d_past[:, :, : 2 * HIDDEN]
     flat = d_given.reshape(-1, 3 * HIDDEN)
-    seen = np.zeros((steps * texts, len(w["inputs"])), np.float32)
+    seen = np.zeros((steps * texts, len(w["inputs"])), states.dtype)
     seen[np.arange(steps * texts), inputs.ravel()] = 1
-    parts = [seen.T @ flat, d_recur, flat.sum(axis=0), states.reshape(-1, HIDDEN).T @ d_logits, d_logits.sum(axis=0)]
-    return np.concatenate([p.ravel() for p in parts]), last, float(logp[place] @ mask)
+    d_recur = before.reshape(-1, HIDDEN).T @ d_past.reshape(-1, 3 * HIDDEN)
+    parts = [seen.T @ flat, d_recur, flat.sum(axis=0), flat_states.T @ d_logits, d_logits.sum(axis=0)]
+    return np.concatenate([p.ravel() for p in parts]), last, float((own - np.log(total)) @ mask)
 
 
 def _windows(texts: list[np.ndarray], width: int):

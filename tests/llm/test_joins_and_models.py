@@ -249,6 +249,20 @@ def test_gradients_are_right():
         assert abs((loss(vector + step) - loss(vector - step)) / 2e-3 - got[i]) < 2e-3
 
 
+def test_a_step_looks_up_its_inputs_once_a_window():
+    class Counted(np.ndarray):
+        reads = 0
+
+        def __getitem__(self, at):
+            Counted.reads += 1
+            return np.asarray(super().__getitem__(at))
+
+    w = gru.unpack(gru.start(np.ones(4)), 4)
+    w["inputs"] = w["inputs"].view(Counted)
+    gru.forward(w, np.zeros((20, 3), np.uint8), np.zeros((3, gru.HIDDEN), np.float32))
+    assert Counted.reads <= 1
+
+
 def test_state_is_carried_across_windows():
     vector = gru.start(np.ones(4))
     text = np.array([1, 2, 3] * 40 + [0], np.uint8)
