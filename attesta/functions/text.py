@@ -132,7 +132,7 @@ BOILERPLATE = r"(?i)\b(" + "|".join(fixed.BOILERPLATE_PHRASES) + r")\b"
 
 def is_boilerplate(c: Column) -> Column:
     hits = F.regexp_count(c, F.lit(BOILERPLATE))
-    return (hits >= 2) | ((hits >= 1) & (F.length(c) < 160))
+    return F.when(F.length(c) < 160, hits >= 1).otherwise(hits >= 2)  # a text is searched once only
 
 
 def url_host(c: Column) -> Column:

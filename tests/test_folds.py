@@ -249,3 +249,17 @@ def test_pages_are_read_few_at_a_time(spark):
     P.read_pages(Frame())
     made = list(seen[0](iter(pages.toArrow().combine_chunks().to_batches())))
     assert sum(b.num_rows for b in made) == 1000 and max(b.num_rows for b in made) <= P.PAGES_AT_ONCE
+
+
+def test_a_passage_is_searched_for_advertising_once(spark):
+    from attesta.functions import text as X
+
+    plan = spark.range(1).select(X.is_boilerplate(F.lit("Read more").substr(F.lit(1), F.col("id").cast("int") + 9)).alias("b"))
+    assert plan.first().b
+    texts = spark.createDataFrame([("Read more",), ("x" * 200 + " Read more",), ("x" * 200 + " Read more. Read more",), ("plain",), (None,)], "t string")
+    assert [r.b for r in texts.select(X.is_boilerplate(F.col("t")).alias("b")).collect()] == [True, False, True, False, None]
+    from attesta.operators.passages import _strip
+    shown = texts.select(_strip(F.col("t")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in shown
+    odd = spark.createDataFrame([(" a b \n",), ("　a",), ("a\t",), ("",), (" ",), ("a b",)], "t string")
+    assert [r.s for r in odd.select(_strip(F.col("t")).alias("s")).collect()] == ["a b", "a", "a", "", "", "a b"]
