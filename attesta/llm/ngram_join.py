@@ -132,7 +132,12 @@ def bucket_entries(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray]
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
-    """(key, class, centre) of buckets with at least two classes; the centre is the bucket's smallest class.
+    """(key, class, centre) of buckets with at least two classes; the centre is the bucket's smallest class."""
+    return marked_buckets(entries).drop("two")
+
+
+def marked_buckets(entries: DataFrame) -> DataFrame:
+    """``shared_buckets`` with a column that tells most buckets of exactly two classes (two): those inside one Arrow batch.
 
     Entries are shuffled and sorted by key once; a task walks along them and remembers one bucket's key and centre, so no
     bucket is ever gathered.
@@ -157,15 +162,18 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
             told = second[np.concatenate([[True], group[second][1:] != group[second][:-1]])] if len(second) else second
             if open_ and len(told) and not starts[0] and group[told[0]] == 0:
                 told = told[1:]
+            # a bucket that begins in this batch, behind its start, and ends before its last row lies inside it
+            two = np.bincount(group[second], minlength=int(group[-1]) + 1) == 1
+            two[[0, -1]] = False
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([k[fresh], k[told]])), pa.array(np.concatenate([c[fresh], centres[told]])), pa.array(np.concatenate([centres[fresh], centres[told]]))],
-                names=["key", "class", "centre"])
+                pa.array(np.concatenate([k[fresh], k[told]])), pa.array(np.concatenate([c[fresh], centres[told]])), pa.array(np.concatenate([centres[fresh], centres[told]])),
+                pa.array(two[np.concatenate([group[second], group[told]])])], names=["key", "class", "centre", "two"])
             same = k[-1] == key
             has = bool((fresh & (k == k[-1])).any())
             open_ = (open_ and same) or has
             key, centre, last = int(k[-1]), int(centres[-1]), int(c[-1])
 
-    return shared_table(entries.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "key long, class long, centre long"), "buckets")
+    return shared_table(entries.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "key long, class long, centre long, two boolean"), "buckets")
 
 
 def _surviving(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -315,19 +323,70 @@ def _by_block(batches):
         yield name, rows
 
 
+def partners_by_size(percent: int):
+    """Of rows (key, low, high, class, root, block, size) sorted by the first three, those with a partner of another root
+    whose size allows the similarity."""
+    def run(batches):
+        held = None
+        for b in batches:  # a block may go on in the next batch
+            rows = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                rows = [np.concatenate([x, y]) for x, y in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            begins = np.flatnonzero(np.any([c[1:] != c[:-1] for c in rows[:3]], axis=0)) + 1
+            last = int(begins[-1]) if len(begins) else 0
+            held = [c[last:] for c in rows]
+            yield kept([c[:last] for c in rows], np.concatenate([[0], begins])[: len(begins)])
+        if held is not None:
+            yield kept(held, np.zeros(1, np.int64))
+
+    def kept(rows, begins):
+        _, low, high, _, root, block, size = rows
+        keep = np.zeros(len(root), bool)
+        for s, e in zip(begins.tolist(), np.append(begins[1:], len(root)).tolist()):
+            if e - s < 2:
+                continue
+            mine, n, part = root[s:e], size[s:e], block[s:e]
+            fits = (mine[:, None] != mine) & (100 * n[:, None] >= percent * n) & (100 * n >= percent * n[:, None])
+            if low[s] < high[s]:
+                fits &= part[:, None] != part
+            keep[s:e] = fits.any(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], names=["key", "low", "high", "class", "root", "block", "size"])
+
+    return run
+
+
+def alike_once(left: DataFrame) -> DataFrame:
+    """Of blocks that hold the same members, dealt alike, the one with the smallest name: their pairs are the same.
+
+    Two exclusive-or sums of 64-bit values and their number tell members apart.
+    """
+    block = ["key", "low", "high"]
+    side = F.when(F.col("low") == F.col("high"), 0).when(F.col("block") == F.col("low"), 1).otherwise(2)
+    marks = left.groupBy(*block).agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("class", side)).alias("x"), F.bit_xor(F.xxhash64(side, "class")).alias("y"))
+    first = marks.groupBy("members", "x", "y").agg(F.min(F.struct(*block)).alias("first")).select("first.*")
+    return shared_table(left.join(first, block, "left_semi"), "alike")
+
+
 def _tree_links(documents: DataFrame, open_buckets: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that join all components which the buckets' members can link, by R-trees.
 
     A bucket with more than ``BLOCK`` members or ``BLOCK_GRAMS`` n-grams is dealt into blocks, and each two blocks meet in a
-    task of their own. Points travel first; whole sets follow for members that have a partner within the bound.
+    task of their own. Sizes travel first, points follow for members that have a partner of a fitting size, and whole sets
+    for members that have a partner within the bound.
     """
-    known = open_buckets.join(classes.select("class", "size", "point"), "class")
+    known = open_buckets.join(classes.select("class", "size"), "class")
     load = known.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     block = ["key", "low", "high"]
     dealt = known.join(load, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pointed = dealt.select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "root", "block", "size", "point")
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "class", "root", "block", "size")
+    sized = dealt.repartition(*block).sortWithinPartitions(*block, "class").mapInArrow(
+        partners_by_size(percent), "key long, low int, high int, class long, root long, block int, size long")
+    # points, the wide part, travel once, with the members that sizes leave
+    pointed = shared_table(sized, "sized").join(classes.select("class", "point"), "class").select(*block, "class", "root", "block", "size", "point")
 
     def prune(batches):
         told: set[tuple[int, int]] = set()  # pairs that meet in many buckets of a task count in the first only
@@ -354,8 +413,8 @@ def _tree_links(documents: DataFrame, open_buckets: DataFrame, classes: DataFram
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
         release_memory()
 
-    left = shared_table(pointed.repartition(*block).sortWithinPartitions(*block, "class").mapInArrow(
-        prune, "key long, low int, high int, class long, root long, block int"), "left")
+    left = alike_once(shared_table(pointed.repartition(*block).sortWithinPartitions(*block, "class").mapInArrow(
+        prune, "key long, low int, high int, class long, root long, block int"), "left"))
     grams = _sets(documents, classes, left.select("class").distinct(), width).dropDuplicates(["class"])
     full = left.join(grams, "class").select(*left.columns, "grams")
     return full.repartition(*block).sortWithinPartitions(*block, "class").mapInArrow(compare, "a long, b long").distinct()
@@ -376,7 +435,7 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 75, frequent
     per_document = read.where("point IS NOT NULL")
     classes = shared_table(per_document.where("size > 0").groupBy("class").agg(
         F.min(F.coalesce("doc_id", F.lit(-1).cast("long"))).alias("rep"), F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.min("point").alias("point")), "classes")
-    buckets = shared_buckets(bucket_entries(documents, frequent_grams(read.where("point IS NULL"), frequent), width, percent))
+    buckets = marked_buckets(bucket_entries(documents, frequent_grams(read.where("point IS NULL"), frequent), width, percent))
     meetings = shared_table(
         buckets.where("class <> centre").groupBy(F.col("centre").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("n")), "meetings")
     tested = _surviving(meetings.select("a", "b"), classes, percent)
@@ -388,7 +447,7 @@ def ngram_join(documents: DataFrame, width: int = 5, percent: int = 75, frequent
     rest = tested.join(best, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where(
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = shared_table(links.unionByName(_links(documents, classes, shared_table(rest, "rest"), width, percent)), "links")
-    open_ = _open_buckets(buckets, components(links))
+    open_ = _open_buckets(buckets.where("NOT two"), components(links))
     # two more rounds among what is left: around the members that share most n-grams (an original shares more than its
     # changed copies), then around others
     shared = buckets.groupBy("class").agg(F.count("*").alias("shared"))

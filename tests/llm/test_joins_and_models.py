@@ -11,7 +11,7 @@ from attesta.llm import gru, lm_scoring, toxicity
 from attesta.llm.batches import prefix_hash
 from attesta.llm.components import components
 from attesta.llm.count_tree import CountTree, bound_holds, points
-from attesta.llm.ngram_join import linked_members, ngram_join, shared_buckets
+from attesta.llm.ngram_join import alike_once, linked_members, marked_buckets, ngram_join, partners_by_size, shared_buckets
 from attesta.llm.substring_dedup import substring_dedup, suffix_mergesort
 
 
@@ -80,6 +80,16 @@ def test_buckets_keep_their_centre_across_batches(spark, documents, small_batche
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_most_buckets_of_two_are_told_and_no_others(spark, small_batches):
+    rng = random.Random(7)
+    entries = [(key, name) for key in range(300) for name in rng.sample(range(99), rng.choice([1, 2, 2, 3, 9]))]
+    sizes = Counter(key for key, _ in entries)
+    got = marked_buckets(spark.createDataFrame(entries, "key long, class long").repartition(1)).collect()
+    told = {r.key for r in got if r.two}
+    assert {sizes[k] for k in told} == {2} and len(told) > 0.5 * sum(n == 2 for n in sizes.values())
+    assert all(not r.two for r in got if r.key not in told)
+
+
 def test_ngram_join_of_pairs_that_meet_in_few_buckets(documents, small_batches):
     rows = []
     for i in range(80):  # six of seven n-grams are shared, and two n-grams of a set make buckets
@@ -118,6 +128,25 @@ def test_links_of_a_bucket_are_a_forest_over_its_components(blocks):
     assert got == groups(want)[0] and len(links) == 45 - left and all(a < b for a, b in links)
 
 
+def test_members_of_a_bucket_without_a_partner_of_their_size_stay_behind(spark, small_batches):
+    rng = random.Random(8)
+    rows = [(k, 0, 0, i, rng.randint(1, 4), 0, rng.randint(5, 60)) for k in range(30) for i in range(rng.randint(1, 12))]
+    rows += [(99, 0, 1, i, i, i % 2, 20 if i < 8 else 21 + 9 * (i - 7)) for i in range(14)]
+    frame = spark.createDataFrame(rows, "key long, low int, high int, class long, root long, block int, size long")
+    fits = lambda a, b: a[:3] == b[:3] and a[4] != b[4] and (a[1] == a[2] or a[5] != b[5]) and 100 * min(a[6], b[6]) >= 75 * max(a[6], b[6])
+    want = sorted(r for r in rows if any(fits(r, o) for o in rows))
+    got = frame.repartition(1).sortWithinPartitions("key", "low", "high").mapInArrow(partners_by_size(75), frame.schema).collect()
+    assert sorted(tuple(r) for r in got) == want and len(want) < len(rows)
+
+
+def test_blocks_of_the_same_members_are_compared_once(spark):
+    blocks = {(5, 0, 0): {1: 0, 2: 0}, (7, 0, 0): {1: 0, 2: 0}, (8, 0, 0): {1: 0, 3: 0}, (9, 0, 1): {1: 0, 2: 1}, (11, 0, 2): {1: 0, 2: 2}, (12, 0, 1): {1: 0, 2: 1, 3: 1}}
+    rows = [(*name, c, c, b) for name, members in blocks.items() for c, b in members.items()]
+    left = spark.createDataFrame(rows, "key long, low int, high int, class long, root long, block int")
+    got = {r.key for r in alike_once(left).collect()}
+    assert got == {5, 8, 9, 12}
+
+
 def test_ngram_join_of_odd_rows(documents):
     assert ngram_join(documents([])).count() == 0
     got = ngram_join(documents([(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (3, "x " * 30000), (4, None), (None, "z")])).collect()
