@@ -189,10 +189,15 @@ def batch_evidence_hash(calls: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "variable").agg(F.max_by("evidence_hash", "id").alias("evidence_hash"))
 
 
+# what the agreement of two coders is judged by; quotations and other wide columns need not travel to it
+AGREEMENT_COLUMNS = [*KEY, "provider", "id", "run_id", "type", "status", "value", "snapshot_id", "spec_id", "interpretation", "evidence_status",
+                     "validation_status", "stale", "cache_status", "evidence_sources", "n_counter"]
+
+
 def assess_agreement(pair: DataFrame, reviews: DataFrame, batch_hashes: DataFrame, listed: dict[str, list[str]]) -> DataFrame:
     """(case, variable) -> status, label, problems: may the two coders' agreement be confirmed in bulk?
 
-    ``listed`` holds the codebook's options of open-list variables.
+    ``listed`` holds the codebook's options of open-list variables; results need ``AGREEMENT_COLUMNS`` only.
     """
     a, b, c = F.col("a"), F.col("b"), F.col
     h = batch_hashes.select("run_id", "variable", "evidence_hash")
@@ -260,11 +265,13 @@ def eligible_summary(assessed: DataFrame, code_labels: dict[str, list[tuple[str,
     """Eligible rows with readable values, and how many rows of each other label a case has."""
     pairs_ = [(f"{v}/{code.upper()}", label) for v, codes in code_labels.items() for code, label in codes]
     labels = F.filter(F.transform(X.split_values(F.col("value")), lambda p: lookup(F.concat_ws("/", F.col("variable"), F.upper(p)), pairs_)), lambda x: x.isNotNull())
-    eligible = assessed.where("eligible").select(
-        "case_id", "variable", "label", "value", F.array_join(labels, "; ").alias("value_label"), F.lit(1).cast("bigint").alias("n"))
-    other = assessed.where("NOT eligible").groupBy("case_id", "label").agg(F.count("*").alias("n")).select(
-        "case_id", F.lit(None).cast("string").alias("variable"), "label", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("value_label"), "n")
-    return eligible.unionByName(other)
+    kept = lambda c: F.when(F.col("eligible"), F.col(c)).alias(c)
+    # one aggregation over all rows, so that the assessment is made once; an eligible row stays a row of its own
+    counted = assessed.select("case_id", kept("variable"), "label", kept("value"), "eligible").groupBy(
+        "case_id", "variable", "label", "value", "eligible").agg(F.count("*").alias("n"))
+    times = F.when(F.col("eligible"), F.array_repeat(F.lit(1).cast("bigint"), F.col("n").cast("int"))).otherwise(F.array("n"))
+    return counted.select(
+        "case_id", "variable", "label", "value", F.when(F.col("eligible"), F.array_join(labels, "; ")).alias("value_label"), F.explode(times).alias("n"))
 
 
 def bulk_confirm(selected: DataFrame, assessed: DataFrame, reviews: DataFrame, acknowledged: bool) -> DataFrame:

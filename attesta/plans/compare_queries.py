@@ -185,7 +185,8 @@ ASSESS = with_tables("res", "runs", "rev", SQL_LATEST, SQL_PAIR, SQL_HASHES, SQL
 
 
 def assessed(t):
-    return C.assess_agreement(pair(t), t.reviews(), C.batch_evidence_hash(run_calls(t)), LISTED)
+    narrow = C.pairs(C.latest_results(results(t).select(C.AGREEMENT_COLUMNS)), t.runs())
+    return C.assess_agreement(narrow, t.reviews(), C.batch_evidence_hash(run_calls(t)), LISTED)
 
 
 @query("assess_agreement", ASSESS + "SELECT case_id, variable, status, label, eligible, problems, value, kind, differences, reused FROM ass")
