@@ -284,9 +284,9 @@ def bulk_confirm(selected: DataFrame, assessed: DataFrame, reviews: DataFrame, a
     cross = c("status") == "eligible_cross_version"
     blocked = F.lit(False)
     if not acknowledged:
-        halted = rows.where(cross).select("case_id").distinct().withColumn("halted", F.lit(True))
-        rows = rows.join(halted, "case_id", "left")
-        blocked = F.coalesce("halted", F.lit(False))
+        # a maximum over the narrow selection of a case, so that the assessment is made once
+        rows = rows.withColumn("halted", F.max(F.coalesce(cross, F.lit(False))).over(W.partitionBy("case_id")))
+        blocked = c("halted")
     reason = (
         F.when(blocked, "version warning not acknowledged")
         .when(~F.coalesce("eligible", F.lit(False)), F.coalesce(F.when(c("problems") != "", c("problems")), "label", F.lit("not eligible")))

@@ -22,3 +22,16 @@ def test_summary_reads_the_assessment_once_and_keeps_equal_rows(spark):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [
         (1, "A", "ok", "1", "short", 1), (1, "A", "ok", "1", "short", 1), (1, "B", "ok", "2", "", 1), (1, None, "open", None, None, 2), (2, None, None, None, None, 1)]))
     assert "Union" not in plan(got)
+
+
+def test_confirming_reads_the_assessment_once_and_halts_whole_cases(spark):
+    assessed = spark.createDataFrame([
+        (1, "A", "eligible", "ok", True, "", "1"), (1, "B", "eligible_cross_version", "x", True, "", "2"), (2, "A", "eligible", "ok", True, "", "3")], ROWS)
+    selected = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (2, "Z"), (None, "A")], "case_id bigint, variable string")
+    reviews = spark.createDataFrame([], "case_id bigint, variable string")
+    got = C.bulk_confirm(selected, assessed, reviews, acknowledged=False)
+    warned = "version warning not acknowledged"
+    assert {(r.case_id, r.variable): (r.outcome, r.value, r.reason) for r in got.collect()} == {
+        (1, "A"): ("skipped", None, warned), (1, "B"): ("skipped", None, warned), (2, "A"): ("confirmed", "3", None),
+        (2, "Z"): ("skipped", None, "not eligible"), (None, "A"): ("skipped", None, "not eligible")}
+    assert plan(got).count("LogicalRDD") == 3
