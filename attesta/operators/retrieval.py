@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
-from attesta.session import cut_lineage
+from attesta.session import cut_lineage, written
 from attesta.operators.ranking import full_rank, top_k
 
 
@@ -482,7 +482,12 @@ def rrf_fusion(lexical: DataFrame, semantic: DataFrame, k: int, depth: int | Non
 
 
 def evidence_strength(hits: DataFrame, passages: DataFrame, fields: DataFrame) -> DataFrame:
-    """(query_id, strength): how well the best hits cover a variable; variables without hits get 0."""
+    """(query_id, strength): how well the best hits cover a variable; variables without hits get 0.
+
+    The few hits of a query are read twice here, so they are written first: a search is not made again for the second
+    reader, and where they are small the stem lists of all passages stay where they are.
+    """
+    hits = written(hits)
     key = F.array_distinct(X.tokenize(F.array_join(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), " ")))
     named = fields.select("query_id", key.alias("key"))
     text = passages.join(hits.select("passage_id").distinct(), "passage_id", "left_semi").select(
