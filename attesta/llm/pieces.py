@@ -32,7 +32,7 @@ from attesta.llm.batches import chunks, column_bytes, mix, prefix_hash, range_ha
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 REMEMBERED = 1 << 19
 
 
@@ -454,6 +454,7 @@ def encode(documents: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, *encode_column(vocabulary.value, part.column(text_at), known)], names=names)
                 first = last
+        release_memory()
 
     return rows.mapInArrow(run, schema)
 

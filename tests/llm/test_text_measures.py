@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import tracemalloc
 
 import pyarrow as pa
 import sentencepiece
@@ -148,3 +149,14 @@ def test_pieces_as_an_operator(documents):
     back = pieces.decode(out.select("doc_id", "ids")).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in rows)
     assert pieces.encode(documents([])).count() == 0
+
+
+def test_encoding_new_words_takes_bounded_memory():
+    vocabulary, rng = pieces.Vocabulary(pieces.DEFAULT_MODEL), random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    texts = pa.array([" ".join(word() for _ in range(300)) for _ in range(1200)])
+    tracemalloc.start()
+    ids, count, same = pieces.encode_column(vocabulary, texts, pieces.Known())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(same.to_pylist()) and sum(count.to_pylist()) == len(ids.flatten()) and peak < 150e6
