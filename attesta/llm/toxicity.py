@@ -30,6 +30,7 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 BLOCK = 128
 COMMON = 2048  # a matter of speed only: terms of most examples are multiplied as matrices, the others by postings
 LOT, LOT_POSTINGS = 256, 1 << 20  # texts searched at once, and about how many postings they meet
+PIECE_BYTES = 1 << 19  # texts whose terms are taken at once: a term of a word takes some ten times its bytes meanwhile
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?\"'()[]{}<>*_-")] = True
 
@@ -63,9 +64,20 @@ def term_counts(texts: DataFrame) -> DataFrame:
     """(term, docs): in how many of the texts a term occurs; counted per batch, then combined."""
     def count(batches):
         for b in batches:
-            for _, _, data, at in chunks(b.column(0), 2 << 20):
-                names, docs = np.unique(_distinct(*_terms(data, at))[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(docs, pa.int64())], names=["term", "docs"])
+            parts, taken = [], 0
+            for _, last, data, at in chunks(b.column(0), PIECE_BYTES):
+                parts.append(np.unique(_distinct(*_terms(data, at))[1], return_counts=True))
+                taken += len(data)
+                if taken < 3 * PIECE_BYTES and last < b.num_rows:  # rows of some pieces are combined
+                    continue
+                terms, docs = (np.concatenate(x) for x in zip(*parts))
+                parts, taken = [], 0
+                order = np.argsort(terms)
+                terms, docs = terms[order], docs[order]
+                first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])[: len(terms)])
+                sums = np.add.reduceat(docs, first) if len(first) else docs
+                yield pa.RecordBatch.from_arrays([pa.array(terms[first], pa.int64()), pa.array(sums, pa.int64())], names=["term", "docs"])
+        release_memory()
 
     return texts.select("text").mapInArrow(count, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
@@ -102,21 +114,27 @@ class Model:
         size = np.sqrt(np.bincount(rows, weight * weight, minlength=n))
         return np.searchsorted(rows, np.arange(n + 1)), place, weight / size[rows]
 
-    def index(self, doc_ids: np.ndarray, toxic: np.ndarray, bounds: np.ndarray, place: np.ndarray, weight: np.ndarray) -> None:
-        """Lays examples out in blocks of like texts: ordered by their heaviest term."""
-        n, filled = len(doc_ids), np.flatnonzero(np.diff(bounds))
-        rows = np.repeat(np.arange(n), np.diff(bounds))
-        head = np.lexsort((-weight, rows))[bounds[filled]]
-        heaviest, most = np.full(n, -1), np.zeros(n)
-        heaviest[filled], most[filled] = place[head], weight[head]
+    def index(self, doc_ids: np.ndarray, toxic: np.ndarray, bounds: np.ndarray, place: np.ndarray, weight: np.ndarray, heads: tuple[np.ndarray, np.ndarray]) -> None:
+        """Lays examples out in blocks of like texts: ordered by their heaviest terms, of which ``heads`` holds the numbers and weights."""
+        heaviest, most = heads
         order = np.lexsort((doc_ids, most, heaviest))
         self.doc_ids, self.toxic = doc_ids[order], toxic[order].astype(float)
-        rows = np.argsort(order)[rows]
-        by_term = np.lexsort((rows, place))
-        self.example, self.weight = rows[by_term].astype(np.int32), weight[by_term].astype(np.float32)
+        rows = np.repeat(np.argsort(order).astype(np.int32), np.diff(bounds))
+        # a term's examples in their order: the pairs are distinct, so one sort of numbers made of both will do
+        by_term = np.argsort((place.astype(np.int64) << 32) | rows)
+        self.example, self.weight = rows[by_term], weight.astype(np.float32)[by_term]
         # postings of each term: where they begin and how many there are, none for a term in no example
         self.times = np.bincount(place, minlength=len(self.terms)).astype(np.int32)
 
+    @staticmethod
+    def heads(bounds: np.ndarray, place: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The heaviest term of every row and its weight, -1 and 0 in rows without terms."""
+        n, filled = len(bounds) - 1, np.flatnonzero(np.diff(bounds))
+        head = np.lexsort((-weight, np.repeat(np.arange(n), np.diff(bounds))))[bounds[filled]]
+        heaviest, most = np.full(n, -1), np.zeros(n)
+        heaviest[filled], most[filled] = place[head], weight[head]
+        return heaviest, most
+
     def _lay_out(self) -> None:
         """Where postings begin, and the common terms as matrices; made on every executor at the first search."""
         n = len(self.doc_ids)
@@ -126,9 +144,11 @@ class Model:
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[common] = np.arange(len(common))
         column = np.repeat(self.column, self.times)
-        dense = np.zeros((n, len(common)), np.float32)
-        dense[self.example[column >= 0], column[column >= 0]] = self.weight[column >= 0]
-        self.parts = [np.ascontiguousarray(dense[i: i + BLOCK].T) for i in range(0, n, BLOCK)]
+        own = np.flatnonzero(column >= 0)
+        example, column = self.example[own], column[own]
+        dense = np.zeros((-(-n // BLOCK), len(common), BLOCK), np.float32)
+        dense[example // BLOCK, column, example % BLOCK] = self.weight[own]
+        self.parts = [p if i + BLOCK <= n else np.ascontiguousarray(p[:, : n - i]) for i, p in zip(range(0, n, BLOCK), dense)]
         self.most = np.array([p.max(axis=1) for p in self.parts], np.float32).reshape(len(self.parts), len(common)).T
 
     def __getstate__(self) -> dict:
@@ -144,11 +164,17 @@ class Model:
             out[-1][terms[own], self.example[own] - i] = self.weight[own]
         return out
 
-    def example_vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The examples in the order of the index, as ``vectors`` gives them."""
-        order = np.argsort(self.example, kind="stable")
-        place = np.repeat(np.arange(len(self.terms)), self.times)[order]
-        return np.searchsorted(self.example[order], np.arange(len(self.doc_ids) + 1)), place, self.weight[order].astype(float)
+    def example_vectors(self, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The examples with the given numbers, which differ (all of the index by default), as ``vectors`` gives them; only their
+        postings are taken out."""
+        own = np.arange(len(self.doc_ids)) if own is None else own
+        turn = np.full(len(self.doc_ids), -1, np.int32)
+        turn[own] = np.arange(len(own))
+        found = np.flatnonzero(turn[self.example] >= 0)
+        place = np.searchsorted(np.cumsum(self.times), found, side="right")
+        turn = turn[self.example[found]]
+        order = np.argsort(turn, kind="stable")
+        return np.searchsorted(turn[order], np.arange(len(own) + 1)), place[order], self.weight[found][order].astype(float)
 
     def search(self, bounds: np.ndarray, place: np.ndarray, weight: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest of every text, exactly, -1 and 0 where there are fewer with a cosine above
@@ -257,7 +283,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_examples: int = 4000,
     if len(built):
         model = pickle.loads(built[0].as_py())
     else:
-        model.index(*(np.zeros(0, kind) for kind in (np.int64, np.int64)), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        none = np.zeros(0, np.int64)
+        model.index(none, none, np.zeros(1, np.int64), none, np.zeros(0), (none, none))
     del built
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -274,11 +301,9 @@ def _own_votes(shared):
     def run(batches):
         for b in batches:
             own, model = b.column(0).to_numpy(), shared.value
-            bounds, place, weight = model.example_vectors()
-            size = np.diff(bounds)[own]
-            spots = np.repeat(bounds[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            votes = model.votes(*model.search(np.concatenate([[0], np.cumsum(size)]), place[spots], weight[spots], own))
+            votes = model.votes(*model.search(*model.example_vectors(own), own))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes)], names=["id", "vote"])
+        release_memory()
 
     return run
 
@@ -288,13 +313,14 @@ def _index_of(model: Model):
     def run(batches):
         parts = []
         for b in batches:
-            for first, last, data, at in chunks(b.column(2), 2 << 20):
+            for first, last, data, at in chunks(b.column(2), PIECE_BYTES):
                 rows = slice(first, last)
-                parts.append((b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows], *model.vectors(data, at)))
+                bounds, place, weight = model.vectors(data, at)
+                parts.append((b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows], np.diff(bounds), place.astype(np.int32), weight.astype(np.float32), *model.heads(bounds, place, weight)))
         if parts:
-            doc_ids, toxic, bounds, place, weight = zip(*parts)
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for at in bounds]))])
-            model.index(np.concatenate(doc_ids), np.concatenate(toxic), bounds, np.concatenate(place), np.concatenate(weight))
+            doc_ids, toxic, sizes, place, weight, heaviest, most = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            model.index(doc_ids, toxic, np.concatenate([[0], np.cumsum(sizes)]), place, weight, (heaviest, most))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, protocol=5)], pa.binary())], names=["state"])
         release_memory()
 
@@ -316,7 +342,7 @@ def score(documents: DataFrame, model: Model, limit: float = 0.3, evidence: int
         m = shared.value
         m.edges, m.rates = steps
         for b in batches:
-            for first, last, data, at in chunks(b.column(text_at)):
+            for first, last, data, at in chunks(b.column(text_at), PIECE_BYTES):
                 bounds, place, weight = m.vectors(data, at)
                 best, cosine = m.search(bounds, place, weight)
                 scores = m.scores(m.votes(best, cosine))

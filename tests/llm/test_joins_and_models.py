@@ -1,10 +1,13 @@
 import hashlib
 import math
+import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attesta.llm import gru, lm_scoring, toxicity
@@ -372,3 +375,67 @@ def test_toxicity_without_labels_or_rows(spark, documents):
     model = toxicity.fit(documents([(1, "a")]), none)
     assert [r.predicted for r in toxicity.score(documents([(1, "a"), (1, "a"), (None, None)]), model).collect()] == [0, 0, 0]
     assert toxicity.score(documents([]), model).count() == 0
+
+
+class Batches:
+    """Stands for a table and takes the function that would run on it in tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        self.run = function
+        return self
+
+    def groupBy(self, *columns):
+        return self
+
+    def agg(self, *columns):
+        return self
+
+
+def peak_of(call):
+    tracemalloc.start()
+    out = call()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def many_terms(n):
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    return [" ".join("".join(letters[rng.integers(0, 20, 9)]) for _ in range(300)) for _ in range(n)]
+
+
+def test_term_counts_of_a_large_batch_take_bounded_memory(spark):
+    words, rng = many_terms(5)[0].split(), random.Random(12)
+    texts, table = [" ".join(rng.choices(words, k=300)) for _ in range(1000)], Batches()  # 3 MB
+    toxicity.term_counts(table)
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    list(table.run(iter([batch.slice(0, 1)])))  # tables that are made once
+    parts, peak = peak_of(lambda: list(table.run(iter([batch]))))
+    assert peak < 60e6
+    docs, want = Counter(), Counter()
+    for p in parts:
+        docs.update(dict(zip(p["term"].to_pylist(), p["docs"].to_pylist())))
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        want.update(set(toxicity._terms(data, np.array([0, len(data)]))[1].tolist()))
+    assert docs == want and len(parts) <= 2
+
+
+def test_examples_are_taken_out_of_the_index_one_by_one():
+    texts, n = many_terms(600), 600
+    data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    terms = np.unique(np.concatenate([toxicity._terms(data[s:e], np.array([0, e - s]))[1] for s, e in zip(at[:-1], at[1:])]))
+    model = toxicity.Model(terms, np.ones(len(terms), np.float32), 0.1, 15, 0.5)
+    run = toxicity._index_of(model)
+    states, _ = peak_of(lambda: list(run(iter([pa.record_batch([pa.array(np.arange(n)), pa.array(np.arange(n) % 2), pa.array(texts)], names=["doc_id", "toxic", "text"])]))))
+    model = pickle.loads(states[0]["state"][0].as_py())
+    bounds, place, weight = model.example_vectors()
+    own = np.array([17, 3, 599])
+    (got_bounds, got_place, got_weight), peak = peak_of(lambda: model.example_vectors(own))
+    assert got_place.tolist() == np.concatenate([place[bounds[i]: bounds[i + 1]] for i in own]).tolist()
+    assert got_weight.tolist() == np.concatenate([weight[bounds[i]: bounds[i + 1]] for i in own]).tolist()
+    assert np.diff(got_bounds).tolist() == np.diff(bounds)[own].tolist() and peak < 30 * len(model.example)
