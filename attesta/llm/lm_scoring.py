@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import gru
-from attesta.llm.batches import Words, chunks
+from attesta.llm.batches import Words, chunks, column_bytes, release_memory
 from attesta.llm.shared import shared_table
 
 OWN_CLASSES = 24
@@ -128,7 +128,21 @@ def count_model(counts: DataFrame, n_texts: int, table_words: int) -> Model:
 
 
 def train_network(texts: DataFrame, model: Model, rounds: int) -> np.ndarray:
-    """Weights after some rounds: each partition trains from the common weights, which are then averaged by tokens."""
+    """Weights after some rounds: each partition trains from the common weights, which are then averaged by tokens.
+
+    The classes of a text do not change from round to round, so they are found and written once, a byte for each token.
+    """
+    named = texts.sparkSession.sparkContext.broadcast(model)
+
+    def classes(batches):
+        for b in batches:
+            found = _class_texts(named.value, b.column(0))
+            at = np.concatenate([[0], np.cumsum([len(t) for t in found])]).astype(np.int64)
+            data = np.concatenate([*found, np.zeros(0, np.uint8)])
+            yield pa.RecordBatch.from_arrays([pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())], names=["classes"])
+        release_memory()
+
+    written = shared_table(texts.select("text").mapInArrow(classes, "classes binary"), "network_classes")
     for _ in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -137,7 +151,8 @@ def train_network(texts: DataFrame, model: Model, rounds: int) -> np.ndarray:
             sequences = []
             vector, tokens = m.weights, 0
             for b in batches:
-                sequences += _class_texts(m, b.column(0))
+                data, at = column_bytes(b.column(0))
+                sequences += [data[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
                 if sum(map(len, sequences)) > 4_000_000:  # bounded memory; training goes on with the next texts
                     vector, n = gru.train(vector, CLASSES, sequences)
                     tokens, sequences = tokens + n, []
@@ -147,7 +162,7 @@ def train_network(texts: DataFrame, model: Model, rounds: int) -> np.ndarray:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vector)), pa.int64()), pa.array(vector.astype(float)), pa.array(np.full(len(vector), float(tokens)))], names=["place", "value", "tokens"])
 
-        found = texts.select("text").mapInArrow(local, "place long, value double, tokens double").groupBy("place").agg(
+        found = written.mapInArrow(local, "place long, value double, tokens double").groupBy("place").agg(
             (F.sum(F.col("value") * F.col("tokens")) / F.sum("tokens")).alias("value")).orderBy("place").toPandas()  # one row per weight
         if len(found):
             model.weights = found["value"].to_numpy(np.float32)
@@ -160,8 +175,7 @@ def fit(documents: DataFrame, fold: int = 2, folds: int = 7, table_words: int =
     n_texts = training.count()
     counts = shared_table(word_counts(training), "counts")
     model = count_model(counts, n_texts, table_words)
-    sample = shared_table(training.where(F.pmod(F.xxhash64("doc_id", F.lit("network")), F.lit(one_in)) == 0).select("text"), "network_texts")
-    train_network(sample, model, rounds)
+    train_network(training.where(F.pmod(F.xxhash64("doc_id", F.lit("network")), F.lit(one_in)) == 0).select("text"), model, rounds)
     return model, counts
 
 

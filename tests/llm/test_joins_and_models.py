@@ -439,3 +439,31 @@ def test_examples_are_taken_out_of_the_index_one_by_one():
     assert got_place.tolist() == np.concatenate([place[bounds[i]: bounds[i + 1]] for i in own]).tolist()
     assert got_weight.tolist() == np.concatenate([weight[bounds[i]: bounds[i + 1]] for i in own]).tolist()
     assert np.diff(got_bounds).tolist() == np.diff(bounds)[own].tolist() and peak < 30 * len(model.example)
+
+
+def test_classes_of_texts_are_found_once_for_all_rounds(spark, documents, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), lm_scoring._class_texts
+
+    def counted(model, column):
+        seen.add(len(column))
+        return plain(model, column)
+
+    monkeypatch.setattr(lm_scoring, "_class_texts", counted)
+    texts = documents([(i, f"text {i % 5} again.") for i in range(60)]).select("text")
+    model = lm_scoring.Model(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.ones(lm_scoring.CLASSES), np.ones(lm_scoring.CLASSES), 100, 10, 60)
+    before = model.weights.copy()
+    after = lm_scoring.train_network(texts, model, 3)
+    assert seen.value == 60 and after.shape == before.shape and (after != before).any()
+
+
+def test_a_window_ends_with_its_texts():
+    rng = np.random.default_rng(3)
+    vector = gru.start(np.ones(6))
+    texts = [rng.integers(1, 6, n).astype(np.uint8) for n in (70, 33, 32, 1, 5)]
+    alone = [gru.score(vector, 6, [t])[0] for t in texts]
+    assert np.allclose(gru.score(vector, 6, [*texts, np.zeros(0, np.uint8)]), [*alone, 0], atol=1e-4)
+    w, state, total = gru.unpack(vector, 6), np.zeros((1, gru.HIDDEN), np.float32), 0.0
+    for c, before in zip(texts[0], [0, *texts[0][:-1]]):
+        _, state, found = gru.gradient(w, np.array([[before]]), np.array([[c]]), np.ones((1, 1), bool), state)
+        total += found
+    assert abs(total / math.log(10) - alone[0]) < 1e-3
