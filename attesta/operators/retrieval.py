@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from attesta.functions import fixed_values as fixed
 from attesta.functions import text as X
-from attesta.session import cut_lineage, written
+from attesta.session import cut_lineage, dropped, scratch_folder, written
+from attesta.operators import latent
+from attesta.operators.latent import start_vectors  # noqa: F401  for those who knew it here
 from attesta.operators.ranking import full_rank, top_k
 
 
@@ -190,17 +196,15 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, tie: list[str], k: int
 
 
 # ------------------------------------------------------------------------------------------------ latent semantics
-SALTS = 16
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 11 << 20
 RANK_RANGE = 100_000
 
 
 class LatentModel(NamedTuple):
-    """Per case: ``basis`` (case_id, term, idf, vector), which ``turns``, two matrices, bring into the latent space one after the
-    other, and ``passages`` (the passage's columns and its unit ``embedding``)."""
+    """Per case: ``basis`` (case_id, term, idf, vector), the terms' places in the latent space, and ``passages`` (the passage's
+    columns and its unit ``embedding``)."""
 
     basis: DataFrame
-    turns: tuple[DataFrame, DataFrame]
     passages: DataFrame
 
 
@@ -210,255 +214,124 @@ def _vector_sums(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(total.alias("s")).select(*keys, vector_to_array("s.sum").alias("vector"))
 
 
-def _gram(rows: DataFrame) -> DataFrame:
-    """(case_id, vector): the sum over a case's vectors of their outer products, row by row; a matrix per case."""
-
-    def partial(batches):
-        for batch in batches:
-            for case_id, part in batch.groupby("case_id"):
-                v = np.stack(part["vector"].to_numpy())
-                yield pd.DataFrame({"case_id": [case_id], "vector": [(v.T @ v).ravel()]})
-
-    parts = rows.select("case_id", "vector").mapInPandas(partial, "case_id long, vector array<double>")
-    return _vector_sums(parts.withColumn("w", F.lit(1.0)), "case_id")
-
-
-def _orthonormal(gram: np.ndarray, k: int) -> np.ndarray:
-    value, vector = np.linalg.eigh(gram)
-    scale = np.where(value > max(value[-1], 0) * 1e-13, 1 / np.sqrt(np.maximum(value, 1e-300)), 0.0)
-    return vector * scale
-
-
-def _leading(gram: np.ndarray, k: int) -> np.ndarray:
-    return np.linalg.eigh(gram)[1][:, ::-1][:, :k]
-
-
-def _case_matrix(gram: DataFrame, sizes: DataFrame, make: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
-    """(case_id, vector): a small matrix per case, made from its Gram matrix."""
-
-    def run(batches):
-        for batch in batches:
-            made = [make(np.asarray(g).reshape(int(len(g) ** 0.5), -1), int(k)).ravel() for g, k in zip(batch["vector"], batch["k"])]
-            yield pd.DataFrame({"case_id": batch["case_id"], "vector": made})
-
-    return gram.join(sizes.select("case_id", "k"), "case_id").mapInPandas(run, "case_id long, vector array<double>")
-
-
-def _times(rows: DataFrame, matrix: DataFrame) -> DataFrame:
-    """rows (case_id, key, vector) with each vector multiplied by its case's matrix.
-
-    A case's rows are dealt over ``SALTS`` groups and its matrix goes ahead of each, so a large case is many tasks' work and
-    a task holds one matrix and one batch.
-    """
-    salted = rows.select("case_id", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"), F.lit(1).alias("place"), "key", "vector")
-    ahead = matrix.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("key"), "vector")
-
-    def run(batches):
-        current = None
-        for batch in batches:
-            vectors, place = batch["vector"].to_numpy(), batch["place"].to_numpy()
-            starts = [0, *np.flatnonzero(place == 0).tolist(), len(place)]
-            for start, end in zip(starts, starts[1:]):
-                if start < end and place[start] == 0:
-                    current, start = vectors[start], start + 1
-                if start < end:
-                    block = np.stack(vectors[start:end])
-                    part = batch.iloc[start:end]
-                    yield pd.DataFrame({"case_id": part["case_id"], "key": part["key"], "vector": list(block @ current.reshape(block.shape[1], -1))})
-
-    dealt = salted.unionByName(ahead).repartition("case_id", "salt").sortWithinPartitions("case_id", "salt", "place")
-    return dealt.mapInPandas(run, "case_id long, key string, vector array<double>")
-
-
 def _unit(vector: Column) -> Column:
     norm = F.sqrt(_dot(vector, vector)) + 1e-9
     return F.transform(vector, lambda x: x / norm)
 
 
-def start_vectors(seeds: np.ndarray, width: int) -> np.ndarray:
-    """Noise of a term, the same in every task: ``xxhash64(term, j) / 2**63`` for j from 1, of seeds ``xxhash64(term)``."""
-    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
-    h = (seeds.view(np.uint64) + five + np.uint64(4))[:, None] ^ (np.arange(1, width + 1, dtype=np.uint64) * one)
-    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * two + three
-    h = (h ^ (h >> np.uint64(33))) * two
-    h = (h ^ (h >> np.uint64(29))) * three
-    return (h ^ (h >> np.uint64(32))).view(np.int64) / 2.0**63
-
-
-BLOCK_ROW = ("case_id long, block int, width int, passage_ids array<string>, bounds binary, cols binary, f binary, idf binary, seeds binary, "
-             "shared binary, own_terms array<string>")
-
-
-def _block_row(passages: pa.Table, vocabulary: pa.Table) -> pa.Table:
-    """One row for a block of passages: how often each holds which term of the block's vocabulary. Terms that other blocks of the
-    case hold too come first, by their id; the others are the block's own."""
-    ids, own = vocabulary["term_id"].to_numpy(), vocabulary["own"].to_numpy(zero_copy_only=False)
-    order = np.lexsort((ids, own))
-    vocabulary, n_shared = vocabulary.take(order), int((~own).sum())
-    lists = passages["tk"].combine_chunks()
-    names, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy()
-    codes = pc.index_in(names, value_set=vocabulary["term"].combine_chunks()).to_numpy().astype(np.int64)
-    spots, f = np.unique(np.repeat(np.arange(len(lengths)), lengths) * len(ids) + codes, return_counts=True)
-    rows, cols = spots // len(ids), spots % len(ids)
-    raw = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
-    return pa.Table.from_pylist([{
-        **{c: passages[c][0].as_py() for c in ("case_id", "block", "width")},
-        "passage_ids": passages["passage_id"].to_pylist(), "bounds": raw(np.searchsorted(rows, np.arange(len(lengths) + 1)), np.int64), "cols": raw(cols, np.int32),
-        "f": raw(f, np.int32), "idf": raw(vocabulary["idf"].to_numpy(), float), "seeds": raw(vocabulary["seed"].to_numpy(), np.int64),
-        "shared": raw(ids[order][:n_shared], np.int64), "own_terms": vocabulary["term"].to_pylist()[n_shared:]}], schema=_BLOCK_SCHEMA)
-
-
-_BLOCK_SCHEMA = pa.schema([("case_id", pa.int64()), ("block", pa.int32()), ("width", pa.int32()), ("passage_ids", pa.list_(pa.string())),
-                           *[(n, pa.binary()) for n in ("bounds", "cols", "f", "idf", "seeds", "shared")], ("own_terms", pa.list_(pa.string()))])
-_SENT_SCHEMA = pa.schema([("case_id", pa.int64()), ("block", pa.int32()), ("kind", pa.string()), ("id", pa.int64()), ("key", pa.string()),
-                          ("vector", pa.list_(pa.float64()))])
-SENT_ROW = "case_id long, block int, kind string, id long, key string, vector array<double>"
+def _by_group(rows: DataFrame, second: str, work: Callable[..., Iterator[pa.RecordBatch]], schema: StructType | str, *more: str) -> DataFrame:
+    """``work`` on all rows of a case and block (or segment), batch by batch; it gets the values of the keys first."""
 
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(*[k.as_py() for k in key], batches)
 
-class _Block:
-    """The weights of a block of passages (rows of unit length) with the products that power iteration needs of them."""
+    return rows.groupBy("case_id", second, *more).applyInArrow(run, schema)
 
-    def __init__(self, row: dict):
-        read = lambda n, kind: np.frombuffer(row[n], kind)
-        self.case_id, self.block, self.width, self.passage_ids, self.own_terms = (row[n] for n in ("case_id", "block", "width", "passage_ids", "own_terms"))
-        self.cols, self.idf, self.shared, self.seeds = read("cols", np.int32), read("idf", float), read("shared", np.int64), read("seeds", np.int64)
-        self.rows = np.repeat(np.arange(len(self.passage_ids)), np.diff(read("bounds", np.int64)))
-        w = (1 + np.log(read("f", np.int32))) * self.idf[self.cols]
-        norm = np.sqrt(np.bincount(self.rows, w * w, minlength=len(self.passage_ids)))
-        self.w = w / norm[self.rows]
 
-    def to_passages(self, basis: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.rows, self.w * x[self.cols], minlength=len(self.passage_ids)) for x in np.ascontiguousarray(basis.T)], axis=1)
+def _large_cases(dealt: DataFrame, made: StructType, columns: list[str], asks: latent.Asks, sizes: dict[int, int]) -> DataFrame:
+    """The rounds of cases of several blocks, each of which is one task's work.
 
-    def to_terms(self, made: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.cols, self.w * x[self.rows], minlength=len(self.idf)) for x in np.ascontiguousarray(made.T)], axis=1)
-
-    def grown(self, sent: pa.Table) -> np.ndarray:
-        """The vectors of the block's terms: its own from what its passages were before, the shared ones as they were sent."""
-        out = self.to_terms(_sent(sent, "passages").reshape(-1, self.width))
-        mine = sent.filter(pc.equal(sent["kind"], "term"))
-        if mine.num_rows:
-            out[np.searchsorted(self.shared, mine["id"].to_numpy())] = _sent(sent, "term").reshape(-1, self.width)
-        return out
-
-    def rows_of(self, kind: str, vectors: np.ndarray, ids: np.ndarray | None = None, keys: list[str] | None = None) -> pa.Table:
-        n = len(vectors)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * vectors.shape[1], pa.int32()), pa.array(np.ascontiguousarray(vectors, float).ravel()))
-        return pa.Table.from_arrays([pa.array([self.case_id] * n, pa.int64()), pa.array([self.block] * n, pa.int32()), pa.array([kind] * n, pa.string()),
-                                     pa.nulls(n, pa.int64()) if ids is None else pa.array(ids, pa.int64()), pa.array(keys or [None] * n, pa.string()), flat], schema=_SENT_SCHEMA)
-
-
-def _sent(sent: pa.Table, kind: str) -> np.ndarray:
-    return pc.list_flatten(sent.filter(pc.equal(sent["kind"], kind))["vector"]).to_numpy()
-
-
-def _round(block: _Block, made: np.ndarray) -> pa.Table:
-    """What a block hands on: its passages, its part of the shared terms' sums and the Gram matrix of its own terms."""
-    grown = block.to_terms(made)
-    n, own = len(block.shared), grown[len(block.shared):]
-    return pa.concat_tables([block.rows_of("passages", made.reshape(1, -1)), block.rows_of("term", grown[:n], ids=block.shared), block.rows_of("gram", (own.T @ own).reshape(1, -1))])
-
-
-def _first_round(blocks: pa.Table) -> pa.Table:
-    block = _Block(blocks.to_pylist()[0])
-    return _round(block, block.to_passages(start_vectors(block.seeds, block.width)))
-
-
-def _turned(blocks: pa.Table, sent: pa.Table) -> tuple[_Block, np.ndarray]:
-    block = _Block(blocks.to_pylist()[0])
-    return block, block.to_passages(block.grown(sent)) @ _sent(sent, "matrix").reshape(block.width, -1)
-
-
-def _next_round(blocks: pa.Table, sent: pa.Table) -> pa.Table:
-    return _round(*_turned(blocks, sent))
-
-
-def _last_round(blocks: pa.Table, sent: pa.Table) -> pa.Table:
-    block, made = _turned(blocks, sent)
-    return pa.concat_tables([block.rows_of("passages", made, keys=block.passage_ids), block.rows_of("gram", (made.T @ made).reshape(1, -1))])
-
-
-def _own_basis(blocks: pa.Table, sent: pa.Table) -> pa.Table:
-    block = _Block(blocks.to_pylist()[0])
-    n = len(block.shared)
-    vectors = block.to_terms(_sent(sent, "passages").reshape(-1, block.width))[n:]
-    made = block.rows_of("basis", vectors, keys=block.own_terms)
-    return pa.table({"case_id": made["case_id"], "term": made["key"], "idf": block.idf[n:], "vector": made["vector"]})
-
-
-def _beside(blocks: DataFrame, others: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Every block in a task with the rows that are sent to it."""
-    by = ["case_id", "block"]
-    others = others.select(*[F.col(c).alias(c) for c in others.columns])  # columns of their own, as both sides come from one table
-    return blocks.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(work, schema)
-
-
-def lsa_model(passages: DataFrame, dimensions: int = 120, iterations: int = 3, oversample: int = 10) -> LatentModel:
+    Blocks are kept as counts of terms. In a round only vectors of terms that several blocks hold travel: to the task that sums
+    a segment of them, and back. A matrix of (dimensions + oversample) squared per case is turned on the driver, and such a case has
+    ``BLOCK_TOKENS`` words or more. What a round has written goes as soon as nothing reads it any more.
+    """
+    spark = dealt.sparkSession
+    folders: list[str] = []
+    options = {"compression": "zstd", "parquet.block.size": str(1 << 24)}
+    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": "16m", "spark.sql.maxConcurrentOutputFileWriters": "8"}  # no sort by kind
+
+    def held(df: DataFrame) -> DataFrame:
+        folders.append(scratch_folder(spark))
+        return written(df, folders[-1], options, settings, ["_kind"])
+
+    def grams(*tables: DataFrame) -> dict[int, np.ndarray]:
+        found: dict[int, np.ndarray] = {}
+        for row in [r for t in tables for r in t.where("_kind = 'gram'").select("case_id", "_data").toLocalIterator()]:
+            found[row.case_id] = found.get(row.case_id, 0) + pickle.loads(row._data)
+        return found
+
+    of = lambda table, *kinds: table.where(F.col("_kind").isin(*kinds))
+    parts = held(_by_group(dealt, "_block", partial(latent.first_parts, columns, asks), latent.PART_ROW))
+    known = held(_by_group(of(parts, "terms"), "_segment", latent.known_terms, latent.PART_ROW))
+    terms: dict[int, int] = {}
+    for row in of(known, "size").select("case_id", "_data").toLocalIterator():
+        terms[row.case_id] = terms.get(row.case_id, 0) + pickle.loads(row._data)
+    spaces = {c: latent.space(n, terms.get(c, 0), asks.dimensions, asks.oversample) for c, n in sizes.items()}
+    matrices, state = None, None
+    for turn in range(asks.iterations + 1):
+        last = turn == asks.iterations
+        kinds = ["counts", *(["terms"] if last or not turn else []), *(["names", "blank"] if last else [])]
+        rows = of(parts, *kinds).unionByName(of(known, "known"))
+        rows = reduce(DataFrame.unionByName, [rows, *([of(state[0], "state"), of(state[1], "down")] if state else [])])
+        step = held(_by_group(rows, "_block", partial(latent.block_round, spaces, matrices, last), latent.PART_ROW))
+        for folder in folders[2:-1]:
+            dropped(spark, folder)
+        del folders[2:-1]
+        if not last:
+            summed = held(_by_group(of(step, "up"), "_segment", latent.summed_terms, latent.PART_ROW))
+            dropped(spark, f"{folders[-2]}/_kind=up")
+            state = step, summed
+            matrices = {c: latent.orthonormal(g) for c, g in grams(*state).items()}
+    turns = {c: latent.leading(g, spaces[c].k) for c, g in grams(step).items()}
+    for folder in folders[:2]:
+        dropped(spark, folder)
+    return of(step, "made", "blank", "basis").mapInArrow(partial(latent.last_rows, to_arrow_schema(made), spaces, turns), made)
+
+
+def lsa_model(passages: DataFrame, dimensions: int = 120, iterations: int = 3, oversample: int = 10, terms: DataFrame | None = None, lasting: bool = True) -> LatentModel:
     """Latent semantics of every case: TF-IDF of all its terms and the leading subspace of its passages.
 
     ``passages``: case_id, passage_id and text, or a ``token_index``. Weights (1 + ln f) * (ln((1 + n) / (1 + df)) + 1) with rows
     of unit length, as many dimensions as asked for but fewer than the case has passages or terms, two at least. Block power
-    iteration: a case's passages are dealt into blocks of about ``BLOCK_TOKENS`` words, and a task multiplies a block's weights,
-    there and back. Only vectors of terms that several blocks hold travel, one per term and block, and are summed; a block's own
-    terms never leave it. Matrices of (dimensions + oversample) squared, one per case, are turned in one piece. A case of one
-    passage has no basis, and a passage without terms a vector of zeros. Jobs run while the model is built.
+    iteration: a case is dealt into blocks of about ``BLOCK_TOKENS`` words (fewer where more than 26 dimensions are worked with). A
+    case of one block, which most are, is shuffled once, as stems, and all its rounds are one task's work; others go by
+    ``_large_cases``. A case of one passage has no basis, and a passage without terms a vector of zeros. ``terms`` (case_id, term)
+    names the only terms whose vectors are wanted. Where the model is not ``lasting``, it has no terms' vectors, and is made each
+    time it is read; else it is written once.
     """
-    tokens = passages if "tk" in passages.columns else token_index(passages.withColumns({c: F.lit(None).cast("long") for c in ("source_id", "seq") if c not in passages.columns}))
-    n = tokens.groupBy("case_id").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.sum(F.size("tk")), F.lit(1)) / BLOCK_TOKENS).cast("int").alias("blocks")).where("n > 1")
-    dealt = tokens.select("case_id", "passage_id", "tk").join(n, "case_id").withColumn("block", F.pmod(F.xxhash64("passage_id"), "blocks").cast("int"))
-    held = dealt.select("case_id", "block", F.explode(F.array_distinct("tk")).alias("term")).groupBy("case_id", "block", "term").agg(F.count("*").alias("df"))
-    terms = held.groupBy("case_id", "term").agg(F.sum("df").alias("df"), F.collect_list("block").alias("in")).join(n, "case_id").select(
-        "case_id", "term", F.monotonically_increasing_id().alias("term_id"), "in", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    terms = cut_lineage(terms)
-    sizes = terms.groupBy("case_id").agg(F.count("*").alias("v")).join(n, "case_id")
-    k = F.greatest(F.lit(2), F.least(F.lit(dimensions), F.col("n") - 1, F.col("v") - 1))
-    sizes = cut_lineage(sizes.withColumn("k", k).withColumn("width", F.greatest("k", F.least(F.col("k") + oversample, "n", "v"))))
-
-    by = ["case_id", "block"]
-    vocabulary = terms.select("case_id", F.explode("in").alias("block"), "term", "term_id", "idf", F.xxhash64("term").alias("seed"), (F.size("in") == 1).alias("own"))
-    members = dealt.join(sizes.select("case_id", F.col("width").cast("int").alias("width")), "case_id").select(*by, "passage_id", "tk", "width").where(F.size("tk") > 0)
-    blocks = cut_lineage(_beside(members, vocabulary, _block_row, BLOCK_ROW))
-    names = blocks.select(*by)
-    places = terms.where(F.size("in") > 1).select("case_id", F.col("term_id").alias("id"), F.explode("in").alias("block"))
-
-    def summed(step: DataFrame, more: DataFrame | None = None) -> DataFrame:
-        grams = step.where("kind = 'gram'").select("case_id", "vector")
-        return _vector_sums((grams if more is None else grams.unionByName(more)).withColumn("w", F.lit(1.0)), "case_id")
-
-    step = cut_lineage(blocks.groupBy(*by).applyInArrow(_first_round, SENT_ROW))
-    for turn in range(iterations):
-        shared = cut_lineage(_vector_sums(step.where("kind = 'term'").withColumn("w", F.lit(1.0)), "case_id", "id"))
-        matrix = cut_lineage(_case_matrix(summed(step, _gram(shared)), sizes, _orthonormal))
-        row = lambda kind, df: df.select(*by, F.lit(kind).alias("kind"), F.col("id") if "id" in df.columns else F.lit(None).cast("long").alias("id"), "vector")
-        before = step.where("kind = 'passages'").drop("id")
-        sent = row("term", places.join(shared, ["case_id", "id"])).unionByName(row("passages", before)).unionByName(row("matrix", names.join(matrix, "case_id")))
-        work = _next_round if turn < iterations - 1 else _last_round
-        step = cut_lineage(_beside(blocks, sent, work, SENT_ROW))
-    leading = cut_lineage(_case_matrix(summed(step), sizes, _leading))
-    own = _beside(blocks, before, _own_basis, "case_id long, term string, idf double, vector array<double>")
-    basis = own.unionByName(shared.withColumnRenamed("id", "term_id").join(terms, ["case_id", "term_id"]).select("case_id", "term", "idf", "vector"))
-    placed = _times(step.where("kind = 'passages'"), leading).select("case_id", F.col("key").alias("passage_id"), _unit(F.col("vector")).alias("unit"))
-    zeros = F.array_repeat(F.lit(0.0), F.coalesce(F.col("k"), F.lit(2)).cast("int"))
-    out = tokens.drop("tk").join(placed, ["case_id", "passage_id"], "left").join(sizes.select("case_id", "k"), "case_id", "left")
-    return LatentModel(basis, (matrix, leading), cut_lineage(out.withColumn("embedding", F.coalesce("unit", zeros)).drop("unit", "k")))
+    stemmed = "tk" in passages.columns
+    stems = F.array_join("tk", " ") if stemmed else F.array_join(X.tokenize(F.col("text")), " ")
+    words = F.size("tk") if stemmed else F.ceil(F.length("text") / 6)
+    columns = [c for c in passages.columns if c not in ("tk", "text")]
+    asks = latent.Asks(dimensions, oversample, iterations, "none" if not lasting else "all" if terms is None else "asked")
+    share = max(1.0, (dimensions + oversample) / 26) / BLOCK_TOKENS
+    sizes = written(passages.where("case_id IS NOT NULL").groupBy("case_id").agg(
+        F.count("*").alias("_n"), F.greatest(F.lit(1), F.ceil(F.sum(words) * share)).cast("int").alias("_blocks")))
+    large = {r.case_id: r._n for r in sizes.where("_blocks > 1 AND _n > 1").toLocalIterator()}
+    made = StructType([*[T.StructField(f.name, f.dataType) for f in passages.select(*columns).schema], *T._parse_datatype_string("embedding array<double>, _kind string, _term string, _idf double").fields])
+
+    def dealt(which: str) -> DataFrame:
+        mine = sizes.where(which)
+        out = passages.join(mine, "case_id") if "> 1" in which else passages.join(sizes, "case_id", "left").where(f"_blocks IS NULL OR {which}")
+        block = F.coalesce(F.pmod(F.xxhash64("passage_id"), F.col("_blocks")), F.lit(0)).cast("int")
+        out = out.select(*columns, "_n", block.alias("_block"), stems.alias("_stems"), F.lit(False).alias("_asked"))
+        if asks.basis != "asked":
+            return out
+        wanted = terms.groupBy("case_id").agg(F.array_join(F.collect_set("term"), " ").alias("_stems")).join(mine, "case_id")
+        each = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
+        return out.unionByName(wanted.select("case_id", "_n", each, "_stems", F.lit(True).alias("_asked")), allowMissingColumns=True)
+
+    schema = to_arrow_schema(made)
+    work = lambda case_id, _, n, batches: latent.whole_case(schema, columns, asks, case_id, n, batches)
+    rows = _by_group(dealt("_blocks = 1 OR _n = 1"), "_block", work, made, "_n")
+    if large:
+        rows = rows.unionByName(_large_cases(dealt("_blocks > 1 AND _n > 1"), made, columns, asks, large))
+    rows = written(rows) if lasting else rows
+    return LatentModel(rows.where("_kind = 'basis'").select("case_id", F.col("_term").alias("term"), F.col("_idf").alias("idf"), F.col("embedding").alias("vector")),
+                       rows.where("_kind = 'done'").select(*columns, "embedding"))
 
 
 def lsa_vectors(passages: DataFrame, dimensions: int = 120) -> DataFrame:
     """(case_id, passage_id, vector): one row per passage. Passages without a case_id are one case, and get none."""
     cased = passages if "case_id" in passages.columns else passages.withColumn("case_id", F.lit(0).cast("long"))
-    made = lsa_model(cased, dimensions).passages.select("case_id", "passage_id", F.col("embedding").alias("vector"))
+    made = lsa_model(cased, dimensions, lasting=False).passages.select("case_id", "passage_id", F.col("embedding").alias("vector"))
     return made if "case_id" in passages.columns else made.drop("case_id")
 
 
 def lsa_queries(model: LatentModel, queries: DataFrame) -> DataFrame:
     """(query_id, case_id, embedding): queries folded into the space of their case. Those without a known term are left out."""
-    counted = query_terms(queries)
-    weighed = counted.join(model.basis, ["case_id", "term"]).withColumn("w", (1 + F.log("qn")) * F.col("idf"))
-    placed = _vector_sums(weighed, "query_id", "case_id").withColumn("key", F.col("query_id").cast("string"))
-    for matrix in model.turns:
-        placed = _times(placed, matrix)
-    kind = queries.schema["query_id"].dataType
-    return placed.select(F.col("key").cast(kind).alias("query_id"), "case_id", _unit(F.col("vector")).alias("embedding"))
+    weighed = query_terms(queries).join(model.basis, ["case_id", "term"]).withColumn("w", (1 + F.log("qn")) * F.col("idf"))
+    return _vector_sums(weighed, "query_id", "case_id").select("query_id", "case_id", _unit(F.col("vector")).alias("embedding"))
 
 
 # ------------------------------------------------------------------------------------------------ fusion

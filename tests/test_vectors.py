@@ -1,14 +1,18 @@
 """Vector search by cells and latent semantics on tables, against plain numpy."""
 
 import math
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attesta.functions import text as X
+from attesta.operators import latent
 from attesta.operators import retrieval as R
+from attesta.session import shared_base
 
 VECTORS = "case_id long, vec_id long, embedding array<double>"
 QUERIES = "query_id string, case_id long, embedding array<double>"
@@ -95,3 +99,45 @@ def test_latent_space_does_not_depend_on_blocks(spark, monkeypatch):
 def test_start_vectors_are_hashes_of_terms(spark):
     rows = spark.range(20).select(F.xxhash64(F.concat(F.lit("t"), "id")).alias("h"), F.transform(F.sequence(F.lit(1), F.lit(5)), lambda j: F.xxhash64(F.concat(F.lit("t"), "id"), j) / F.lit(2.0**63)).alias("v")).collect()
     assert np.array_equal(R.start_vectors(np.array([r.h for r in rows], np.int64), 5), np.array([r.v for r in rows]))
+
+
+def test_seeds_of_terms_are_spark_hashes(spark):
+    random.seed(3)
+    terms = ["".join(random.choice("abcxyz019-'") for _ in range(n)) for n in range(1, 80)]
+    want = [r.h for r in spark.createDataFrame(list(enumerate(terms)), "i long, term string").orderBy("i").select(F.xxhash64("term").alias("h")).collect()]
+    assert latent.term_seeds(pa.array(terms)).tolist() == want and latent.term_seeds(pa.array([], pa.string())).tolist() == []
+
+
+def test_counts_kept_as_bytes_weigh_in_full_precision():
+    chunk = latent.Chunk(np.array([2], np.int32), np.array([0, 1], np.int32), np.array([3, 200], np.uint8))
+    assert np.array_equal(chunk.damped, 1 + np.log(np.array([3.0, 200.0])))
+
+
+def test_the_sign_of_a_dimension_does_not_hang_on_rounding():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 13))
+    flip = np.diag(rng.choice([-1.0, 1.0], 13))
+    want = x @ latent.orthonormal(x.T @ x)
+    for vectors in (latent.orthonormal(x.T @ x), latent.leading(x.T @ x, 5), flip @ latent.leading(flip @ x.T @ x @ flip, 5)):
+        assert vectors.shape[0] == 13
+    assert ((1 / np.sqrt(np.arange(1.0, 14))) @ latent.leading(x.T @ x, 13) >= 0).all()
+    assert np.abs(want.T @ want - np.eye(13)).max() < 1e-9
+
+
+def stored(spark):
+    base = shared_base(spark).removeprefix("file://")
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(base) for f in files if not f.endswith(".crc")}
+
+
+def test_latent_vectors_leave_no_copies_of_the_texts(spark, monkeypatch):
+    random.seed(8)
+    passages = [(1 + i % 2, f"P{i}", " ".join(f"word{random.randrange(10 ** 6)}" for _ in range(60))) for i in range(300)]
+    frame = spark.createDataFrame(passages, "case_id long, passage_id string, text string")
+    chars = sum(len(text) for *_, text in passages)
+    for tokens in (R.BLOCK_TOKENS, 6000):
+        monkeypatch.setattr(R, "BLOCK_TOKENS", tokens)
+        before = stored(spark)
+        assert R.lsa_vectors(frame, 4).count() == 300
+        left = {f: n for f, n in stored(spark).items() if f not in before}
+        # one block: the sizes of the cases only; several: besides them the last vectors, with which the dimensions are turned
+        assert sum(left.values()) < (chars / 10 if tokens > 6000 else chars)
