@@ -106,8 +106,9 @@ def _(t):
 @query("lsa_topk")
 def _(t):
     """The passages closest to each query in the latent space of its case."""
-    model = R.lsa_model(index(t), dimensions=16)
-    found, _ = R.semantic_topk(model.passages, R.lsa_queries(model, benchmark_queries(t)), ["source_id", "seq"], 8)
+    asked = benchmark_queries(t)
+    model = R.lsa_model(corpus(t), dimensions=16, terms=R.query_terms(asked).select("case_id", "term"))
+    found, _ = R.semantic_topk(model.passages, R.lsa_queries(model, asked), ["source_id", "seq"], 8)
     return found.select("query_id", "passage_id", "semantic", "rank")
 
 

@@ -141,3 +141,17 @@ def test_latent_vectors_leave_no_copies_of_the_texts(spark, monkeypatch):
         left = {f: n for f, n in stored(spark).items() if f not in before}
         # one block: the sizes of the cases only; several: besides them the last vectors, with which the dimensions are turned
         assert sum(left.values()) < (chars / 10 if tokens > 6000 else chars)
+
+
+def test_only_terms_that_are_asked_for_keep_their_vectors(spark, monkeypatch):
+    random.seed(9)
+    passages = [(1 + i % 2, f"P{i}", " ".join(f"w{random.randrange(60)}" for _ in range(15))) for i in range(80)]
+    frame = spark.createDataFrame(passages, "case_id long, passage_id string, text string").withColumn("seq", F.lit(1).cast("long"))  # never null
+    asked = spark.createDataFrame([(1, 1, "w1 w2 w2"), (2, 2, "w3 w4"), (3, 9, "w1"), (4, 1, "nothing")], "query_id long, case_id long, query string")
+    for tokens in (R.BLOCK_TOKENS, 150):
+        monkeypatch.setattr(R, "BLOCK_TOKENS", tokens)
+        every, some = R.lsa_model(frame, 3), R.lsa_model(frame, 3, terms=R.query_terms(asked).select("case_id", "term"))
+        assert some.basis.groupBy("case_id", "term").count().count() == some.basis.count() == 4 < every.basis.count()
+        found = [{r.query_id: r.embedding for r in R.lsa_queries(m, asked).collect()} for m in (every, some)]
+        assert found[0].keys() == found[1].keys() == {1, 2}
+        assert all(np.abs(np.array(found[0][q]) - found[1][q]).max() < 1e-9 for q in found[0])
